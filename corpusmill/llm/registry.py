@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_simhash": simhash.op2_simhash,
         "op8_warc": warc.op8_warc,
     }
 
