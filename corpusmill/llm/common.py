@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (a few numbers or short strings a row) is broadcast.
 BROADCAST_ROWS = 200_000
 
+#: zstd compresses in buffers that are freed with the writer; snappy's direct buffers wait for the collector.
+CODEC = "zstd"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -37,7 +40,7 @@ def stash_path(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = stash_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

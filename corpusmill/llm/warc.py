@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, stash_path, table
+from .common import CODEC, stash, stash_path, table
 
 CRLF = "\r\n"
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -51,7 +51,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, page_id="page_id"
         named.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1")),
         "warc-facts",
     )
-    named.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    named.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", CODEC).parquet(f"{path}/payloads")
     groups = stash(facts.groupBy("sha256").agg(F.max("page_id").alias("response_id")), "warc-groups")
     rows = facts.join(groups, "sha256", "left")
     revisit = (F.col("bytes") >= least) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
@@ -72,7 +72,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, page_id="page_id"
         line("Content-Length", F.when(F.col("revisit"), F.lit(0).cast("long")).otherwise(F.col("bytes")).cast("string")),
         F.lit(CRLF),
     )
-    rows.select("sha256", F.encode(head, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    rows.select("sha256", F.encode(head, "UTF-8").alias("header")).write.option("compression", CODEC).parquet(f"{path}/headers")
 
 
 def read_payloads(spark, path: str) -> DataFrame:
