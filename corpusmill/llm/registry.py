@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, warc
+from . import ann, bpe, licenses, mixing, rules, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
+        "op4_ann": ann.op4_ann,
+        "op5_licenses": licenses.op5_licenses,
+        "op6_bpe": bpe.op6_bpe,
         "op8_warc": warc.op8_warc,
+        "op9_rules": rules.op9_rules,
     }
 
 
