@@ -36,8 +36,8 @@ from .components import connected_components
 
 #: Shard members that a task holds at once.
 MOST = 20_000
-#: Expected members of a shard by chance, above which more blocks are taken.
-CROWD = 16
+#: Blocks that the 64 bits are cut into: 15 shards a fingerprint for a radius of 4, each over 21 bits or more.
+BLOCKS = 6
 STEP = 1 << 16
 
 
@@ -140,14 +140,6 @@ def _cut(free: int, blocks: int):
     return [free // blocks + (i < free % blocks) for i in range(blocks)]
 
 
-def blocks_for(n: int, radius: int = 4) -> int:
-    """The fewest blocks with which n random fingerprints share a shard with CROWD others at most."""
-    for k in range(radius + 1, 17):
-        if n / 2 ** (64 * (k - radius) / k) <= CROWD:
-            return k
-    return 16
-
-
 def _level(rows: DataFrame, blocks: int, radius: int, most: int) -> DataFrame:
     """rows: fp, mask (bits that the members of its shard share). One round of shards over the other bits.
 
@@ -223,9 +215,8 @@ def _level(rows: DataFrame, blocks: int, radius: int, most: int) -> DataFrame:
     return dealt.mapInArrow(shards, "a long, b long, fp long, mask long")
 
 
-def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, most: int = MOST) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """a, b: fingerprints (distinct, column fp) within radius; not every pair, but all connections."""
-    blocks = blocks or blocks_for(max(fps.count(), 1), radius)
     # a shard with f free bits holds 2^f members at most, so it is never passed on
     most = max(most, 2 ** (radius + 2))
     todo, found = fps.select("fp", F.lit(0).cast("long").alias("mask")), None
@@ -237,11 +228,10 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, most: int
         if not todo.limit(1).count():
             break
         todo = stash(todo.distinct(), "simhash-finer")
-        blocks = max(blocks, radius + 2)
     return found
 
 
-def components(prints: DataFrame, key: str = "doc_id", radius: int = 4, blocks: int | None = None, most: int = MOST) -> DataFrame:
+def components(prints: DataFrame, key: str = "doc_id", radius: int = 4, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """fp, root, component_id for every distinct fp of prints (key, fp); root names the component by a fingerprint."""
     distinct = stash(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
     member = stash(connected_components(links(distinct, radius, blocks, most)), "simhash-members").withColumnRenamed("node", "fp")
