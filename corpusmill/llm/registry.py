@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, licenses, mixing, rules, simhash, warc
+from . import ann, bpe, langid, licenses, mixing, rules, simhash, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_ann": ann.op4_ann,
         "op5_licenses": licenses.op5_licenses,
         "op6_bpe": bpe.op6_bpe,
+        "op7_langid": langid.op7_langid,
         "op8_warc": warc.op8_warc,
         "op9_rules": rules.op9_rules,
     }
