@@ -31,9 +31,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import table
 
 #: Characters of text whose words are laid out together.
-BLOCK = 8_000_000
+BLOCK = 2_000_000
 #: Words whose ids a task keeps.
-WORDS = 400_000
+WORDS = 150_000
 #: Matches of one text that are held at once.
 STRETCH = 1_000_000
 NONE = np.int32(2**31 - 1)
