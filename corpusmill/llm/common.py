@@ -62,3 +62,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_of(key: str = "doc_id", folds: int = 5):
     """crc32 of the key's text, modulo folds; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % F.lit(folds)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text", most: int = 1 << 16):
+    """A pandas frame of about `per_class` documents of each label, chosen by their ids' hash, with their columns and _label.
+
+    Documents of more than `most` bytes, null texts and null ids or labels aren't chosen; of several labels of an id the
+    largest counts. Also the number of labelled ids of each label, to weigh the classes by.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    known = stash(known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label")), "labels")
+    counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
+    part = F.lit(0.0)
+    for value, n in counts.items():
+        part = F.when(F.col("_label") == value, min(1.0, per_class / n)).otherwise(part)
+    chosen = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < part * (1 << 20)).limit(2 * per_class * max(len(counts), 1))
+    some = docs.where(F.octet_length(text) <= most).join(F.broadcast(chosen), F.col(key) == F.col("_key")).drop("_key")
+    got = some.limit(4 * per_class * max(len(counts), 1)).toPandas()
+    return got.sort_values([key, text], kind="stable").reset_index(drop=True), counts
+
+
+def logistic(x, y, weight=None, ridge: float = 1.0, rounds: int = 60):
+    """Weights of a logistic regression (the last one the intercept, which isn't shrunk), by Newton steps."""
+    import numpy as np
+
+    x = np.c_[x, np.ones(len(x))]
+    weight = np.ones(len(x)) if weight is None else weight
+    w, shrink = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9), x.T @ (weight * (p - y)) + shrink * w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def sigmoid(z):
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

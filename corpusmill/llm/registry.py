@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, licenses, mixing, rules, simhash, warc
+from . import ann, bpe, langid, licenses, mixing, rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_langid": langid.op7_langid,
         "op8_warc": warc.op8_warc,
         "op9_rules": rules.op9_rules,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
