@@ -23,6 +23,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import table
 
 #: Characters of text whose words are laid out together.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 #: Words whose ids a task keeps.
-WORDS = 150_000
+WORDS = 400_000
 #: Matches of one text that are held at once.
 STRETCH = 1_000_000
 NONE = np.int32(2**31 - 1)
@@ -145,7 +146,21 @@ class Vocabulary:
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each of the ranges, joined."""
     total = np.cumsum(counts)
-    return np.repeat(starts - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
+    n = int(total[-1]) if len(total) else 0
+    kind = np.int32 if n < 2**31 and (not len(starts) or starts.max() < 2**31 - n) else np.int64
+    return np.repeat((starts - (total - counts)).astype(kind), counts) + np.arange(n, dtype=kind)
+
+
+def slices(sizes: np.ndarray, most: int):
+    """Ranges of rows whose sizes add up to about `most`; a larger row stands alone."""
+    lo = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 class Encoder:
@@ -229,9 +244,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
     def run(batches):
         encoder = _encoder(shared.value, pattern)
         for b in batches:
-            ids, counts = encoder.encode([x or "" for x in b.column(at).to_pylist()])
-            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
+            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy()
+            for lo, hi in slices(sizes, BLOCK):
+                part = b.slice(lo, hi - lo)
+                ids, counts = encoder.encode([x or "" for x in part.column(at).to_pylist()])
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("ids", ArrayType(IntegerType()))]))
 
@@ -245,17 +263,24 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> Dat
 
     def run(batches):
         v = _encoder(shared.value, pattern).v
-        for b in batches:
-            col = b.column(at)
-            flat = col.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(v.known) or not v.known[flat].all()):
-                raise ValueError("an id is outside the vocabulary")
-            each = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            lengths = v.starts[flat + 1] - v.starts[flat]
-            data = v.bytes[spread(v.starts[flat], lengths)]
-            ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(each)]]
-            whole = pa.Array.from_buffers(pa.binary(), len(col), [col.is_valid().buffers()[1] if col.null_count else None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*b.columns, whole], names=names)
+        for whole in batches:
+            each = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(each, BLOCK // 4):
+                b = whole.slice(lo, hi - lo)
+                col, parts = b.column(at), []
+                flat = col.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and (flat.min() < 0 or flat.max() >= len(v.known) or not v.known[flat].all()):
+                    raise ValueError("an id is outside the vocabulary")
+                lengths = (v.starts[flat + 1] - v.starts[flat]).astype(np.int32)
+                for i in range(0, len(flat), BLOCK // 4):  # a long row is one slice, but isn't decoded at once
+                    some = flat[i : i + BLOCK // 4]
+                    parts.append(v.bytes[spread(v.starts[some], lengths[i : i + BLOCK // 4])])
+                ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.r_[0, np.cumsum(each[lo:hi])]]
+                data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+                done = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                if col.null_count:
+                    done = pc.if_else(col.is_valid(), done, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns, done], names=names)
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", BinaryType())]))
 
