@@ -31,14 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded, fold_of, labelled_sample, logistic, sigmoid, stash, table
 
-PER_CLASS, SIZE, WORDS = 1_500, 8_192, 8
-#: Settings tried: lengths of k-mers, least G2, least ratio of document frequencies.
-SETTINGS = [((4,), 18.0, 8.0), ((4, 5, 6), 12.0, 8.0), ((4, 5, 6, 7, 8), 10.0, 20.0)]
-GAINS = (1, 2, 3, 4, 5, 6)
+PER_CLASS, SIZE, WORDS = 1_500, 8_192, 12
+#: Bytes of the ordinary dictionary put before each window: a window that saves too little is stored as it is, and these
+#: save enough in either dictionary for every further byte to show.
+LEAD = 40
+#: Settings tried: lengths of k-mers (none: whole words), least G2, least ratio of document frequencies.
+SETTINGS = [((4,), 18.0, 8.0), ((4, 5), 18.0, 8.0), ((4, 6, 8), 25.0, 20.0)]
+GAINS = (1, 2, 3, 4, 5, 6, 8, 10)
 
 
 def kmers(word: bytes, lengths) -> set[bytes]:
-    return {word[i : i + n] for n in lengths for i in range(len(word) - n + 1)}
+    """The k-mers of a word of these lengths; the word itself for no lengths."""
+    return {word[i : i + n] for n in lengths for i in range(len(word) - n + 1)} if lengths else {word}
 
 
 def g2(a: int, b: int, na: int, nb: int) -> float:
@@ -65,7 +69,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], lengths, least: floa
     for word, n in words[0].items():
         w = b" " + word + b" "
         covered = bytearray(len(w))
-        for k in lengths:
+        for k in lengths or (len(w),):
             for i in range(len(w) - k + 1):
                 if w[i : i + k] in marks:
                     covered[i : i + k] = b"\1" * k
@@ -101,7 +105,8 @@ class Scorer:
         words = text.lower().split()
         toxic, ordinary = (c.compress for c in self.compressors)
         n = -(-len(words) // WORDS)
-        windows = (b" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS))
+        lead = self.parts[1][-LEAD:] + b" "
+        windows = (lead + b" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS))
         gain = np.sort(np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows), np.int64, n))
         if not n:
             return [0.0] * (4 + len(GAINS))
