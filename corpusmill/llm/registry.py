@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, licenses, mixing, rules, simhash, toxicity, warc
+from . import ann, bpe, langid, licenses, mixing, quality, rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
+        "op3_quality": quality.op3_quality,
         "op4_ann": ann.op4_ann,
         "op5_licenses": licenses.op5_licenses,
         "op6_bpe": bpe.op6_bpe,
