@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+#: Modules with QUERIES: name -> (query, SQL or None).
+MODULES = ["search", "texts"]
+
+
+def _all() -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= importlib.import_module(f".{name}", __package__).QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
