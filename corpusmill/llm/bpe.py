@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import table
+from .common import release, table
 
 #: Characters of text whose words are laid out together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Words whose ids a task keeps.
-WORDS = 400_000
+WORDS = 300_000
 #: Matches of one text that are held at once.
 STRETCH = 1_000_000
 NONE = np.int32(2**31 - 1)
@@ -234,55 +234,69 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def _encoded(batches, encoder: Encoder, at: int, names: list[str]):
+    """Batches with the ids of the text in column `at`, in slices of about BLOCK bytes."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy()
+        for lo, hi in slices(sizes, BLOCK):
+            b = whole.slice(lo, hi - lo)
+            ids, counts = encoder.encode([x or "" for x in b.column(at).to_pylist()])
+            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
+    release()
+
+
+def _decoded(batches, v: Vocabulary, at: int, names: list[str]):
+    """Batches with the bytes of the ids in column `at`, in slices of about BLOCK / 4 ids."""
+    for whole in batches:
+        each = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for lo, hi in slices(each, BLOCK // 4):
+            b = whole.slice(lo, hi - lo)
+            col, parts = b.column(at), []
+            flat = col.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(v.known) or not v.known[flat].all()):
+                raise ValueError("an id is outside the vocabulary")
+            lengths = (v.starts[flat + 1] - v.starts[flat]).astype(np.int32)
+            for i in range(0, len(flat), BLOCK // 4):  # a long row is one slice, but isn't decoded at once
+                some = flat[i : i + BLOCK // 4]
+                parts.append(v.bytes[spread(v.starts[some], lengths[i : i + BLOCK // 4])])
+            ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.r_[0, np.cumsum(each[lo:hi])]]
+            data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+            done = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            if col.null_count:
+                done = pc.if_else(col.is_valid(), done, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, done], names=names)
+
+
+IDS, DECODED = StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """docs with ids: the token ids of text. ranks: what a .tiktoken file holds (a vocabulary, about 1 MB)."""
     docs = docs.drop("ids")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = [*docs.columns, "ids"]
-    at = docs.columns.index(text)
-
-    def run(batches):
-        encoder = _encoder(shared.value, pattern)
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy()
-            for lo, hi in slices(sizes, BLOCK):
-                part = b.slice(lo, hi - lo)
-                ids, counts = encoder.encode([x or "" for x in part.column(at).to_pylist()])
-                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=names)
-
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("ids", ArrayType(IntegerType()))]))
+    shared, at, names = docs.sparkSession.sparkContext.broadcast(ranks), docs.columns.index(text), [*docs.columns, "ids"]
+    return docs.mapInArrow(lambda batches: _encoded(batches, _encoder(shared.value, pattern), at, names), StructType([*docs.schema, IDS]))
 
 
 def decode(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
     """rows with decoded: the bytes of the token ids (null ids: null)."""
     rows = rows.drop("decoded")
-    shared = rows.sparkSession.sparkContext.broadcast(ranks)
-    names = [*rows.columns, "decoded"]
-    at = rows.columns.index(ids)
+    shared, at, names = rows.sparkSession.sparkContext.broadcast(ranks), rows.columns.index(ids), [*rows.columns, "decoded"]
+    return rows.mapInArrow(lambda batches: _decoded(batches, _encoder(shared.value, pattern).v, at, names), StructType([*rows.schema, DECODED]))
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """docs without text, with ids and decoded: encode and decode in one pass, so that a task has one Python worker."""
+    docs = docs.drop("ids", "decoded")
+    at, keep = docs.columns.index(text), [c for c in docs.columns if c != text]
+    shared, names = docs.sparkSession.sparkContext.broadcast(ranks), [*docs.columns, "ids"]
 
     def run(batches):
-        v = _encoder(shared.value, pattern).v
-        for whole in batches:
-            each = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(each, BLOCK // 4):
-                b = whole.slice(lo, hi - lo)
-                col, parts = b.column(at), []
-                flat = col.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(v.known) or not v.known[flat].all()):
-                    raise ValueError("an id is outside the vocabulary")
-                lengths = (v.starts[flat + 1] - v.starts[flat]).astype(np.int32)
-                for i in range(0, len(flat), BLOCK // 4):  # a long row is one slice, but isn't decoded at once
-                    some = flat[i : i + BLOCK // 4]
-                    parts.append(v.bytes[spread(v.starts[some], lengths[i : i + BLOCK // 4])])
-                ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.r_[0, np.cumsum(each[lo:hi])]]
-                data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-                done = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                if col.null_count:
-                    done = pc.if_else(col.is_valid(), done, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*b.columns, done], names=names)
-
-    return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", BinaryType())]))
+        encoder = _encoder(shared.value, pattern)
+        ids = (b.select([*keep, "ids"]) for b in _encoded(batches, encoder, at, names))
+        return _decoded(ids, encoder.v, len(keep), [*keep, "ids", "decoded"])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), IDS, DECODED]))
 
 
 def op6_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -290,7 +304,7 @@ def op6_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
     ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks, public_tokenizers.PATTERN)
+    done = round_trip(docs, ranks, public_tokenizers.PATTERN)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -102,3 +102,18 @@ def sigmoid(z):
     import numpy as np
 
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def release() -> None:
+    """Gives a Python worker's unused memory back to the machine; workers are reused by later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded, fold_of, labelled_sample, logistic, sigmoid, stash, table
+from .common import bounded, fold_of, labelled_sample, logistic, release, sigmoid, stash, table
 
 PER_CLASS, POOL, ROUNDS, SURE = 1_500, 2_000, 3, 100
 #: Sizes of the text view and of the hashed languages and sources.
@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: Model | None, keys: list[str], text: str = "te
                 meta = list(zip(*(b.column(k + 1 + i).to_pylist() for i in range(len(META)))))
                 out = shared.value.score(*views([x or b"" for x in b.column(k).to_pylist()], meta))
                 yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(np.asarray(o, float)) for o in out)], names=names)
+        release()
 
     schema = StructType([*(docs.schema[c] for c in keys), *(StructField(c, DoubleType()) for c in names[k:])])
     out = docs.select(*keys, F.col(text).cast("binary").alias("_bytes"), *(F.col(m).alias(f"_{m}") for m in META)).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, labelled_sample, logistic, sigmoid, stash, table
+from .common import bounded, fold_of, labelled_sample, logistic, release, sigmoid, stash, table
 
 PER_CLASS, SIZE, WORDS = 1_500, 8_192, 12
 #: Bytes of the ordinary dictionary put before each window: a window that saves too little is stored as it is, and these
@@ -174,6 +174,7 @@ def score(docs: DataFrame, scorer: Scorer | None, key: str = "doc_id", text: str
         for b in batches:
             out = shared.value.score([x or b"" for x in b.column(len(keys)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(out)], names=[*keys, "score"])
+        release()
 
     out = docs.select(*keys, F.col(text).cast("binary")).mapInArrow(run, StructType([*(docs.schema[k] for k in keys), StructField("score", DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
