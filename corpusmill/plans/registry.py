@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = ["search", "texts"]
+MODULES = ["search", "texts", "ordered", "linking"]
 
 
 def _all() -> dict:
