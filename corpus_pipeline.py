@@ -6,6 +6,8 @@ whose fold isn't held out (see corpusmill.llm.quality and corpusmill.llm.toxicit
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,26 +17,46 @@ from corpusmill.llm.common import stash, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _zstd(stage):
+    """The stage, with zstd as the session's Parquet codec for what it returns.
+
+    Pages of long texts are large. Snappy (de)compresses them in direct buffers that stay until the JVM collects its
+    garbage, which a stage that works in Python seldom makes it do; zstd's buffers are freed with the page.
+    """
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_zstd
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the co-trained classifier rejects go."""
     return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
+@_zstd
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents predicted toxic go."""
     return toxicity.drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
+@_zstd
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each near-duplicate component stays, the one of the least id."""
     return simhash.near_dedup(docs.select(*COLUMNS))
 
 
+@_zstd
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: each document as often as its source's rate and its draw say (a row a copy)."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+@_zstd
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the token ids of each copy, and digests that tie them to the text they decode to."""
     import public_tokenizers
