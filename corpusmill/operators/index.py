@@ -47,8 +47,8 @@ def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
     return terms.where(~F.col("term").isin(V.QUERY_STOPWORDS)).groupBy("query_id", "term").agg(F.least(F.count("*"), F.lit(2)).alias("qw"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qkey: str = "item_id", qtext: str = "text", k1: float = V.K1, b: float = V.B) -> DataFrame:
-    """query_id, doc_id, bm25 of every pair that shares a term.
+def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qkey: str = "item_id", qtext: str = "text", k1: float = V.K1, b: float = V.B, among: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, bm25 of every pair that shares a term; among: the only documents (doc_id) to score.
 
     Only the questions' terms are exploded from the documents, so postings of other terms are never shuffled; the corpus
     statistics (count, mean length) are one row.
@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str =
     tf = tf.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(bounded(df), "term").crossJoin(F.broadcast(corpus))
-    hits = tf.join(bounded(weighed), "term")
+    hits = (tf if among is None else tf.join(among, "doc_id", "left_semi")).join(bounded(weighed), "term")
     size = k1 * (1 - b + b * F.col("dl") / F.col("mean"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + size) * F.col("qw")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))

@@ -1,7 +1,7 @@
 """Hybrid search of many questions at once: fuse, boost, cohere, cut, rerank.
 
 candidates: query_id, doc_id and the chunk's attributes (sites, content_type, is_current, canonical, page,
-recommendation_id) with bm25 (null where no term is shared) and cosine, and the question's text as question.
+recommendation_id) with bm25 (null where no term is shared) and cosine, and the columns of read_questions.
 Every allowed chunk is a candidate, one without a shared term too.
 """
 
@@ -35,21 +35,33 @@ def fuse(candidates: DataFrame, mode: str = "hybrid") -> DataFrame:
     return out.withColumn("base", base[mode])
 
 
+def read_questions(questions: DataFrame, text: str = "question") -> DataFrame:
+    """Adds what a question asks for: asked_evidence, asked_method, asked_sites, asked_ids, asked_types.
+
+    Patterns are matched here, a time a question, and not on each of its candidates.
+    """
+    q = F.col(text)
+    return questions.withColumns({
+        "asked_evidence": q.rlike(V.EVIDENCE_TERMS),
+        "asked_method": q.rlike(V.METHODOLOGY_TERMS),
+        "asked_sites": guards.selected_sites(text),
+        "asked_ids": F.array_distinct(F.regexp_extract_all(q, F.lit(V.RECOMMENDATION_ID), F.lit(0))),
+        "asked_types": guards.intent_types(T.tokens(text)),
+    })
+
+
 def boost(fused: DataFrame) -> DataFrame:
-    """Adds asked_evidence, asked_sites, adjustment and score: authority by intent, id, currency and site."""
-    q = F.col("question")
-    named = F.array_distinct(F.regexp_extract_all(q, F.lit(V.RECOMMENDATION_ID), F.lit(0)))
-    out = fused.withColumn("asked_evidence", q.rlike(V.EVIDENCE_TERMS)).withColumn("asked_sites", guards.selected_sites("question"))
+    """Adds adjustment and score: authority by intent, id, currency and site. Needs the columns of read_questions."""
     authority = (
         F.when(F.col("asked_evidence"), F.when(F.col("content_type").isin(V.EVIDENCE_TYPES), V.EVIDENCE_BOOST).otherwise(0.0))
         .when(F.col("canonical"), V.CANONICAL_BOOST)
         .when(F.col("is_current"), V.CURRENT_BOOST)
         .otherwise(0.0)
     )
-    exact = F.when(F.array_contains(named, F.col("recommendation_id")), V.EXACT_ID_BOOST).otherwise(0.0)
-    method = F.when((F.col("content_type") == "methodology") & ~q.rlike(V.METHODOLOGY_TERMS), V.METHODOLOGY_PENALTY).otherwise(0.0)
+    exact = F.when(F.array_contains("asked_ids", F.col("recommendation_id")), V.EXACT_ID_BOOST).otherwise(0.0)
+    method = F.when((F.col("content_type") == "methodology") & ~F.col("asked_method"), V.METHODOLOGY_PENALTY).otherwise(0.0)
     site = F.when(F.arrays_overlap("asked_sites", "sites"), V.SITE_BOOST).otherwise(0.0)
-    out = out.withColumn("adjustment", exact + authority + method + site)
+    out = fused.withColumn("adjustment", exact + authority + method + site)
     return out.withColumn("score", F.greatest(F.lit(0.0), F.col("base") + F.col("adjustment")))
 
 
@@ -90,7 +102,7 @@ def rerank(candidates: DataFrame, covered: DataFrame, k: int = 10) -> DataFrame:
     """rank up to k by the second stage's score; ties keep the first stage's order."""
     out = candidates.join(covered, ["query_id", "doc_id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     top = F.max("score").over(Window.partitionBy("query_id"))
-    intent = F.when(F.array_contains(guards.intent_types(T.tokens("question")), F.col("content_type")), V.INTENT_BOOST).otherwise(0.0)
+    intent = F.when(F.array_contains("asked_types", F.col("content_type")), V.INTENT_BOOST).otherwise(0.0)
     asked = F.size("asked_sites") > 0
     site = F.when(asked & F.arrays_overlap("asked_sites", "sites"), V.RERANK_SITE_BOOST).when(asked & (F.size("sites") > 0), V.RERANK_SITE_PENALTY).otherwise(0.0)
     score = V.RERANK_SCORE_WEIGHT * F.col("score") / F.when(top > 0, top).otherwise(1.0) + V.RERANK_COVERAGE_WEIGHT * F.col("coverage") + intent + site

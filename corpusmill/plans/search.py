@@ -77,9 +77,11 @@ def manifest_check(spark, sf):
 def _candidates(spark, sf):
     docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings").select("vec_id", "embedding")
     questions = table(spark, sf, "benchmark").join(emb, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("qv"))
+    questions = search.read_questions(questions).drop("question")
     chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id")).drop("vec_id")
     pairs = chunks.crossJoin(index.bounded(questions, 20_000)).withColumn("cosine", vectors.dot("embedding", "qv")).drop("embedding", "qv")
-    return pairs.join(index.bm25(docs, table(spark, sf, "benchmark")), ["query_id", "doc_id"], "left")
+    hits = index.bm25(docs, table(spark, sf, "benchmark"), among=emb.select(F.col("vec_id").alias("doc_id")))
+    return pairs.join(hits, ["query_id", "doc_id"], "left")
 
 
 def _boosted(spark, sf):
