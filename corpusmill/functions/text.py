@@ -121,16 +121,19 @@ def pack(units, sizes, target: int = 550, most: int = 700) -> Column:
             F.when(full, 0).otherwise(n).alias("n"),
         )
 
-    end = F.aggregate(pairs, start, step)
-    return F.transform(F.when(F.size(end["held"]) > 0, F.concat(end["done"], F.array(end["held"]))).otherwise(end["done"]), lambda c: F.array_join(c, "\n"))
+    last = lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"])
+    return F.aggregate(pairs, start, step, lambda a: F.transform(last(a), lambda c: F.array_join(c, "\n")))
 
 
-def cut_long(units, target: int = 550, most: int = 700, count=None) -> Column:
+def cut_long(units, target: int = 550, most: int = 700) -> Column:
     """Units of over `most` tokens cut in slices of `target` tokens (joined by spaces), others as they are."""
-    count = count or (lambda u: F.size(tokens(u)))
-    words = lambda u: tokens(u)
-    slices = lambda u: F.transform(F.sequence(F.lit(0), F.greatest(count(u) - 1, F.lit(0)), F.lit(target)), lambda i: F.array_join(F.slice(words(u), i + 1, target), " "))
-    return F.flatten(F.transform(_c(units), lambda u: F.when(count(u) > most, slices(u)).otherwise(F.array(u))))
+
+    def cut(u, t):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)), F.lit(target))
+        return F.when(F.size(t) > most, F.transform(starts, lambda i: F.array_join(F.slice(t, i, target), " "))).otherwise(F.array(u))
+
+    # the inner transform names the unit's tokens, so that they are made once
+    return F.flatten(F.flatten(F.transform(_c(units), lambda u: F.transform(F.array(tokens(u)), lambda t: cut(u, t)))))
 
 
 def join_wrapped(text) -> Column:
@@ -144,8 +147,8 @@ def join_wrapped(text) -> Column:
         more = F.when(a["cur"] == "", x).when(a["cur"].endswith("-"), F.concat(a["cur"], x)).otherwise(F.concat(a["cur"], F.lit(" "), x))
         return F.struct(F.when((x == "") | bullet, closed).otherwise(a["done"]).alias("done"), F.when(x == "", "").when(bullet, x).otherwise(more).alias("cur"))
 
-    end = F.aggregate(lines, start, step)
-    return F.array_join(F.when(end["cur"] != "", F.concat(end["done"], F.array(end["cur"]))).otherwise(end["done"]), "\n")
+    last = lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
+    return F.aggregate(lines, start, step, lambda a: F.array_join(last(a), "\n"))
 
 
 def clean_page(text, page, header: str, footer: str, footer_inside: str) -> Column:

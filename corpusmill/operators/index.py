@@ -54,14 +54,16 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str =
     statistics (count, mean length) are one row.
     """
     terms = question_terms(questions, qkey, qtext)
-    asked = bounded(terms.select("term").distinct())
+    # one check for all: the other small sides have a row a term, or a row a term and question, at most
+    small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
     docs = tokenized(docs, key, text)
     corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    tf = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
-    tf = tf.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    held = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    # dealt by document once: counting its terms and summing its scores need no further shuffle
+    tf = held.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(bounded(df), "term").crossJoin(F.broadcast(corpus))
-    hits = (tf if among is None else tf.join(among, "doc_id", "left_semi")).join(bounded(weighed), "term")
+    weighed = terms.join(small(df), "term").crossJoin(F.broadcast(corpus))
+    hits = (tf if among is None else tf.join(among, "doc_id", "left_semi")).join(small(weighed), "term")
     size = k1 * (1 - b + b * F.col("dl") / F.col("mean"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + size) * F.col("qw")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))

@@ -17,6 +17,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt out anew where it is so small that its files keep less than the session's cores busy.
+
+    A table of at least as many splits as cores is read as it is, so nothing large is ever shuffled for this.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_attributes(docs: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 5 + 1).cast("int"))
     out = docs.withColumn("sites", F.array("lang")).withColumn("content_type", kind).withColumn("is_current", F.col("doc_id") % 2 == 0)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import reconcile
-from .common import ATTRIBUTES, literal, table, values, with_attributes
+from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 
 def _pairs(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
     return reconcile.shared_terms(items, docs)
 
 
@@ -34,7 +34,7 @@ def unmatched(spark, sf):
 def _matched_texts(spark, sf, k):
     best = reconcile.best_match(_pairs(spark, sf), k=k).select("left_id", "right_id", "rank", "jaccard")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("current"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("earlier"))
+    docs = texts(spark, sf).select(F.col("doc_id").alias("right_id"), F.col("text").alias("earlier"))
     return best.join(items, "left_id").join(docs, "right_id")
 
 
@@ -51,7 +51,7 @@ def version_diff(spark, sf):
 
 
 def match_terms(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.match_terms("text")), " ").alias("terms"), F.length(T.match_form("text")).alias("form_chars"))
+    return texts(spark, sf).select("doc_id", F.array_join(F.array_sort(T.match_terms("text")), " ").alias("terms"), F.length(T.match_form("text")).alias("form_chars"))
 
 
 ROWS = [("r1", "Lung cancer", 2), ("r2", "Lung cancer", 4), ("r3", "Renal cancer", 1), ("r4", "Elsewhere", 1), ("r5", "Non-site-specific symptoms", 3), ("r6", "Stomach cancer", None)]
@@ -67,14 +67,14 @@ def structural_match(spark, sf):
 def prefix_join(spark, sf):
     """Documents whose recommendation id begins with the prefix of each section."""
     prefixes = literal(spark, [*V.SECTION_PREFIX.items()], "section string, prefix string")
-    d = with_attributes(table(spark, sf, "documents")).select("doc_id", "recommendation_id")
+    d = with_attributes(texts(spark, sf)).select("doc_id", "recommendation_id")
     out = d.join(F.broadcast(prefixes), F.col("recommendation_id").startswith(F.col("prefix")))
     return out.groupBy("section").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 def support_links(spark, sf):
     """Toxic-labelled documents linked to canonical ones of their source: how many links each has."""
-    d = with_attributes(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
+    d = with_attributes(texts(spark, sf)).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
     marked = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     links = reconcile.links(d.join(marked, "id", "left_semi"), d.where("canonical"))
     return links.groupBy("support_id").agg(F.count("*").alias("n"), F.min("current_id").alias("first"))
@@ -82,7 +82,7 @@ def support_links(spark, sf):
 
 def reciprocal_links(spark, sf):
     """The same links from the canonical side, ids in order."""
-    d = with_attributes(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
+    d = with_attributes(texts(spark, sf)).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
     marked = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     links = reconcile.links(d.join(marked, "id", "left_semi"), d.where("canonical"))
     return links.groupBy("current_id").agg(F.array_join(F.array_sort(F.collect_list("support_id")), ",").alias("support_ids"))

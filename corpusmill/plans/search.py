@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
 from ..operators import index, search
-from .common import ATTRIBUTES, table, with_attributes
+from .common import ATTRIBUTES, table, texts, with_attributes
 
 P = V.TOKEN
 #: Token and BM25 relations shared by the SQL below.
@@ -24,15 +24,15 @@ bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 
 
 def tokenize_counts(spark, sf):
-    return index.postings(table(spark, sf, "documents")).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"), F.max("tf").alias("top_tf"))
+    return index.postings(texts(spark, sf)).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"), F.max("tf").alias("top_tf"))
 
 
 def term_stats(spark, sf):
-    return index.term_stats(table(spark, sf, "documents")).withColumn("idf", F.round("idf", 8))
+    return index.term_stats(texts(spark, sf)).withColumn("idf", F.round("idf", 8))
 
 
 def doc_lengths(spark, sf):
-    docs = index.tokenized(table(spark, sf, "documents"))
+    docs = index.tokenized(texts(spark, sf))
     return docs.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("mean"), F.count_if(F.col("dl") == 0).alias("empty"))
 
 
@@ -44,12 +44,12 @@ def _ranked(scored, k=10):
 
 
 def bm25_topk(spark, sf):
-    hits = index.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    hits = index.bm25(texts(spark, sf), table(spark, sf, "benchmark"))
     return _ranked(hits.select("query_id", "doc_id", F.round("bm25", 6).alias("score")))
 
 
 def bm25_filtered(spark, sf):
-    docs, questions = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, questions = texts(spark, sf), table(spark, sf, "benchmark")
     may = search.allowed(with_attributes(docs), ["fr", "en"], ["recommendation", "rationale"]).select("doc_id")
     return _ranked(index.bm25(docs, questions).join(may, "doc_id", "left_semi").select("query_id", "doc_id", F.round("bm25", 6).alias("score")), 5)
 
@@ -75,7 +75,7 @@ def manifest_check(spark, sf):
 
 
 def _candidates(spark, sf):
-    docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings").select("vec_id", "embedding")
+    docs, emb = texts(spark, sf), table(spark, sf, "embeddings").select("vec_id", "embedding")
     questions = table(spark, sf, "benchmark").join(emb, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("qv"))
     questions = search.read_questions(questions).drop("question")
     chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id")).drop("vec_id")
@@ -104,7 +104,7 @@ def anchor_coherence(spark, sf):
 
 
 def _reranked(spark, sf, k=10):
-    docs, questions = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, questions = texts(spark, sf), table(spark, sf, "benchmark")
     top = search.first_stage(_boosted(spark, sf))
     terms = search.salient_terms(questions, "item_id", "text")
     asked = index.bounded(terms.select("term").distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import guards
 from ..functions import text as T
 from ..functions import vocabulary as V
-from .common import ATTRIBUTES, literal, table, values, with_attributes
+from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 #: Questions of each kind, for the guards.
 BATTERY = [
@@ -105,18 +105,18 @@ BULLETED = "regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) ||
 
 
 def sentence_list(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select("doc_id", F.posexplode(T.sentences("text")).alias("ord", "sentence"))
 
 
 def logical_units(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.logical_units("text").alias("u"))
+    docs = texts(spark, sf).select("doc_id", T.logical_units("text").alias("u"))
     return docs.select("doc_id", F.size("u").alias("units"), F.sha2(F.array_join("u", "\n"), 256).alias("digest"))
 
 
 def chunk_pack(spark, sf):
     """Chunks of every document: whole up to 700 tokens, else its units packed towards 550."""
-    docs = table(spark, sf, "documents").withColumn("n", F.size(T.tokens("text")))
+    docs = texts(spark, sf).withColumn("n", F.size(T.tokens("text")))
     units = F.when(F.col("n") <= 700, F.array("text")).otherwise(T.cut_long(T.logical_units("text")))
     docs = docs.select("doc_id", "n", units.alias("units")).withColumn("sizes", F.transform("units", lambda u: F.size(T.tokens(u))))
     parts = F.when(F.col("n") <= 700, F.col("units")).otherwise(T.pack("units", "sizes"))
@@ -127,19 +127,19 @@ def chunk_pack(spark, sf):
 
 def chunk_stats(spark, sf):
     """The distribution of documents' token counts, by nearest rank."""
-    n = table(spark, sf, "documents").select(F.size(T.tokens("text")).alias("n"))
+    n = texts(spark, sf).select(F.size(T.tokens("text")).alias("n"))
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n)")
     return n.agg(F.count("*").alias("count"), F.min("n").alias("min"), at(0.5).cast("long").alias("p50"), at(0.9).cast("long").alias("p90"), at(0.95).cast("long").alias("p95"), F.max("n").alias("max"), F.round(F.avg("n"), 2).alias("mean"))
 
 
 def join_wrapped(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select("doc_id", F.sha2(T.join_wrapped("text"), 256).alias("digest"))
 
 
 def clean_lines(spark, sf):
     """Pages without header lines, footers and doubled blank lines; the header is the driver's shared line."""
-    docs = table(spark, sf, "documents").select("doc_id", T.clean_page("text", F.lit(2), HEADER, FOOTER, INSIDE).alias("c"))
+    docs = texts(spark, sf).select("doc_id", T.clean_page("text", F.lit(2), HEADER, FOOTER, INSIDE).alias("c"))
     return docs.select("doc_id", F.sha2("c.text", 256).alias("digest"), "c.headers_removed", "c.footer_lines_removed")
 
 
@@ -152,7 +152,7 @@ def html_furniture(spark, sf):
     for p in FURNITURE:
         out = F.regexp_replace(out, p, " ")
     out = F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), "[ \t\r\n]+", " "))
-    return table(spark, sf, "pages").select("page_id", F.length(out).alias("chars"), F.sha2(out, 256).alias("digest"))
+    return texts(spark, sf, "pages").select("page_id", F.length(out).alias("chars"), F.sha2(out, 256).alias("digest"))
 
 
 FURNITURE = [r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"(?is)<nav.*?</nav>"]
@@ -167,18 +167,18 @@ def slugs(spark, sf):
 
 
 def previews(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     return d.select("doc_id", F.sha2(T.preview("text", 900), 256).alias("long"), F.length(T.preview("text", 220)).alias("short_chars"))
 
 
 def record_ids(spark, sf):
-    d = with_attributes(table(spark, sf, "documents"))
+    d = with_attributes(texts(spark, sf))
     n = F.row_number().over(Window.partitionBy("lang", "page").orderBy("doc_id"))
     return d.select("doc_id", F.format_string("p%03d_r%02d", "page", n).alias("record_id"))
 
 
 def retrieval_texts(spark, sf):
-    d = with_attributes(table(spark, sf, "documents"))
+    d = with_attributes(texts(spark, sf))
     return d.select("doc_id", F.sha2(T.retrieval_text("source", F.lit(""), "recommendation_id", "sites", "content_type", "text"), 256).alias("digest"))
 
 
@@ -200,7 +200,7 @@ def dotted_sort(spark, sf):
 
 
 def fingerprints(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     return d.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text"), 256).alias("fingerprint"))
 
 
