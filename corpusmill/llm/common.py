@@ -56,7 +56,12 @@ def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out anew where it is so small that its files keep less than the session's cores busy.
+
+    A table of at least as many splits as cores is read as it is, so nothing large is ever shuffled for this.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fold_of(key: str = "doc_id", folds: int = 5):
@@ -68,16 +73,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """A pandas frame of about `per_class` documents of each label, chosen by their ids' hash, with their columns and _label.
 
     Documents of more than `most` bytes, null texts and null ids or labels aren't chosen; of several labels of an id the
-    largest counts. Also the number of labelled ids of each label, to weigh the classes by.
+    largest counts. Internal columns are named __key and _label. Also the number of labelled ids of each label, to weigh the classes by.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = stash(known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label")), "labels")
+    known = stash(known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("_label")), "labels")
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     part = F.lit(0.0)
     for value, n in counts.items():
         part = F.when(F.col("_label") == value, min(1.0, per_class / n)).otherwise(part)
-    chosen = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < part * (1 << 20)).limit(2 * per_class * max(len(counts), 1))
-    some = docs.where(F.octet_length(text) <= most).join(F.broadcast(chosen), F.col(key) == F.col("_key")).drop("_key")
+    chosen = known.where(F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < part * (1 << 20)).limit(2 * per_class * max(len(counts), 1))
+    some = docs.where(F.octet_length(text) <= most).join(F.broadcast(chosen), F.col(key) == F.col("__key")).drop("__key")
     got = some.limit(4 * per_class * max(len(counts), 1)).toPandas()
     return got.sort_values([key, text], kind="stable").reset_index(drop=True), counts
 

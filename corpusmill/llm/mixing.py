@@ -68,14 +68,14 @@ def draw(key: str = "doc_id", text: str | None = None, seed: str = "mix"):
 
 def mix_sized(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text: str | None = None, seed: str = "mix") -> DataFrame:
     """sized with source_size, target, rate, copies and taken."""
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    t = targets.select(F.col("source").alias("__source"), "source_size", "target")
     out = sized.drop("source_size", "target", "rate", "copies", "taken").join(
-        bounded(t), F.col("source").eqNullSafe(F.col("_source")), "left"
+        bounded(t), F.col("source").eqNullSafe(F.col("__source")), "left"
     )
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     extra = (draw(key, text, seed) < F.col("rate") - F.floor("rate")).cast("long")
     out = out.withColumn("copies", F.floor("rate") + extra)
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("_source")
+    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("__source")
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:

@@ -252,7 +252,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     lost = bounded(stash(lost.distinct(), "simhash-lost"), 1_000_000)
     kept = docs.join(lost, F.col(key).eqNullSafe(lost["_id"]) & (F.xxhash64(text) == lost["_hash"]), "left_anti")
     if prints.groupBy("_id", "_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        kept = kept.withColumn("_hash", F.xxhash64(text)).dropDuplicates([key, "_hash"]).drop("_hash")
+        kept = kept.withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash")
     return kept
 
 
