@@ -25,12 +25,19 @@ def allowed(chunks: DataFrame, sites=(), types=()) -> DataFrame:
     return chunks.where(F.arrays_overlap("sites", F.array(*map(F.lit, sites)))) if sites else chunks
 
 
+def with_best(rows: DataFrame, best) -> DataFrame:
+    """rows with an aggregate over each question's rows: partial sums by task, then a row a question, sent to all tasks.
+
+    A window would bring all candidates of a question to one task.
+    """
+    return rows.join(F.broadcast(rows.groupBy("query_id").agg(best)), "query_id")
+
+
 def fuse(candidates: DataFrame, mode: str = "hybrid") -> DataFrame:
     """Adds bm25_norm (by the question's best), dense and base."""
-    per = Window.partitionBy("query_id")
-    top = F.max(F.coalesce("bm25", F.lit(0.0))).over(per)
-    out = candidates.withColumn("bm25_norm", F.when(top > 0, F.coalesce("bm25", F.lit(0.0)) / top).otherwise(0.0))
-    out = out.withColumn("dense", vectors.rescaled("cosine"))
+    out = with_best(candidates, F.max(F.coalesce("bm25", F.lit(0.0))).alias("_top"))
+    out = out.withColumn("bm25_norm", F.when(F.col("_top") > 0, F.coalesce("bm25", F.lit(0.0)) / F.col("_top")).otherwise(0.0))
+    out = out.withColumn("dense", vectors.rescaled("cosine")).drop("_top")
     base = {"bm25": F.col("bm25_norm"), "dense": F.col("dense"), "hybrid": V.BM25_WEIGHT * F.col("bm25_norm") + V.DENSE_WEIGHT * F.col("dense")}
     return out.withColumn("base", base[mode])
 
@@ -66,12 +73,15 @@ def boost(fused: DataFrame) -> DataFrame:
 
 
 def cohere(boosted: DataFrame) -> DataFrame:
-    """Where a question names no site and asks for no evidence, its best canonical chunk's sites pull the others."""
-    per = Window.partitionBy("query_id")
+    """Where a question names no site and asks for no evidence, its best canonical chunk's sites pull the others.
+
+    Only canonical chunks are scored a second time, for the anchor: the filter reaches their scan.
+    """
     open_ = ~F.col("asked_evidence") & (F.size("asked_sites") == 0)
-    key = F.struct(F.round("score", R).alias("s"), (-F.col("doc_id")).alias("k"), F.col("score").alias("score"), F.col("sites").alias("sites"))
-    anchor = F.max(F.when(F.col("canonical") & (F.size("sites") > 0), key)).over(per)
-    out = boosted.withColumn("anchor_sites", F.when(open_ & (anchor["s"] >= V.ANCHOR_LEAST), anchor["sites"]))
+    key = F.struct(F.round("score", R).alias("s"), (-F.col("doc_id")).alias("k"), F.col("sites").alias("sites"))
+    anchors = boosted.where(F.col("canonical") & (F.size("sites") > 0)).groupBy("query_id").agg(F.max(key).alias("_anchor"))
+    out = boosted.join(F.broadcast(anchors), "query_id", "left")  # a row a question
+    out = out.withColumn("anchor_sites", F.when(open_ & (F.col("_anchor.s") >= V.ANCHOR_LEAST), F.col("_anchor.sites"))).drop("_anchor")
     pull = F.when(F.col("anchor_sites").isNull(), 0.0).when(F.arrays_overlap("sites", "anchor_sites"), V.ANCHOR_BOOST).when(F.size("sites") > 0, V.ANCHOR_PENALTY).otherwise(0.0)
     return out.withColumn("adjustment", F.col("adjustment") + pull).withColumn("score", F.greatest(F.lit(0.0), F.col("score") + pull))
 

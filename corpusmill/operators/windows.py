@@ -32,11 +32,16 @@ def latest(rows: DataFrame, partition: list[str], order: list[Column], k: int) -
     return rows.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= k)
 
 
-def seen_before(rows: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
-    """Adds seen: the unit stood in an earlier row. Units are told apart by digest, so long ones aren't shuffled."""
+def seen_before(rows: DataFrame, unit: list[str], order: str) -> DataFrame:
+    """Adds seen: the unit stood in a row of smaller `order` (a unique key).
+
+    The first row of each unit comes from a partial aggregate and is joined back, so a unit that many rows repeat is a
+    hot key of a join, which AQE splits, rather than one task's window. Units are told apart by digest.
+    """
     digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in unit])), 256)
-    w = Window.partitionBy("_unit").orderBy(*order)
-    return rows.withColumn("_unit", digest).withColumn("seen", F.row_number().over(w) > 1).drop("_unit")
+    rows = rows.withColumn("_unit", digest)
+    first = rows.groupBy("_unit").agg(F.min(order).alias("_first"))
+    return rows.join(first, "_unit").withColumn("seen", F.col(order) > F.col("_first")).drop("_unit", "_first")
 
 
 def parents(toc: DataFrame, document: str = "document", order: str = "ord") -> DataFrame:

@@ -55,7 +55,7 @@ def telemetry_snapshot(spark, sf):
 
 
 def seen_before(spark, sf):
-    rows = windows.seen_before(table(spark, sf, "documents"), ["lang", "text"], ["doc_id"])
+    rows = windows.seen_before(table(spark, sf, "documents"), ["lang", "text"], "doc_id")
     return rows.select("doc_id", "seen")
 
 
