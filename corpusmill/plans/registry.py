@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = ["search", "texts", "ordered", "linking", "evaluating", "judged"]
+MODULES = ["search", "texts", "ordered", "linking", "laid_out", "evaluating", "judged"]
 
 
 def _all() -> dict:
