@@ -23,9 +23,17 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).alias("doc_id"), T.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
 
 
+def exploded(rows: DataFrame, keys: list[str], array, name: str = "term") -> DataFrame:
+    """keys and each element of an array, none for empty ones.
+
+    A plain explode makes Catalyst test the array's size first, which tokenizes every text twice, and below any exchange.
+    """
+    return rows.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, term, tf."""
-    return tokenized(docs, key, text).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return exploded(tokenized(docs, key, text), ["doc_id"], "tokens").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def idf(n, df):
@@ -34,8 +42,7 @@ def idf(n, df):
 
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """term, df, cf, idf over all documents. A document sends a term once: df and cf are partial sums by term alone."""
-    per = tokenized(docs, key, text).select("doc_id", F.explode("tokens").alias("term"))
-    per = per.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    per = postings(docs, key, text)
     n = docs.agg(F.count("*").alias("n"))
     stats = per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     return stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
@@ -43,7 +50,7 @@ def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
     """query_id, term, qw: a question's terms without its stopwords, counted up to two."""
-    terms = questions.select(F.col(key).alias("query_id"), F.explode(T.tokens(text)).alias("term"))
+    terms = exploded(questions.withColumn("query_id", F.col(key)), ["query_id"], T.tokens(text))
     return terms.where(~F.col("term").isin(V.QUERY_STOPWORDS)).groupBy("query_id", "term").agg(F.least(F.count("*"), F.lit(2)).alias("qw"))
 
 
@@ -58,7 +65,7 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str =
     small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
     docs = tokenized(docs, key, text)
     corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    held = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    held = exploded(docs, ["doc_id", "dl"], "tokens").join(small(terms.select("term").distinct()), "term", "left_semi")
     # dealt by document once: counting its terms and summing its scores need no further shuffle
     tf = held.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from .index import bounded
+from .index import bounded, exploded
 
 
 def shared_terms(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def shared_terms(left: DataFrame, right: DataFrame) -> DataFrame:
     Pairs come from an equi-join on terms (the smaller side's terms are broadcast up to a bound), never from a cross join.
     """
     terms = lambda df, k: df.select(F.col("id").alias(f"{k}_id"), T.match_terms("text").alias("terms")).withColumn(f"{k}_n", F.size("terms"))
-    a = terms(left, "left").select("left_id", "left_n", F.explode("terms").alias("term"))
-    b = terms(right, "right").select("right_id", "right_n", F.explode("terms").alias("term"))
+    a = exploded(terms(left, "left"), ["left_id", "left_n"], "terms")
+    b = exploded(terms(right, "right"), ["right_id", "right_n"], "terms")
     # dealt by the exploded side's row once: the pairs' counts need no further shuffle
     both = b.repartition("right_id").join(bounded(a), "term").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("shared"))
     return both.select("left_id", "right_id", (F.col("shared") / (F.col("left_n") + F.col("right_n") - F.col("shared"))).alias("jaccard"))

@@ -106,7 +106,7 @@ BULLETED = "regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) ||
 
 def sentence_list(spark, sf):
     docs = texts(spark, sf)
-    return docs.select("doc_id", F.posexplode(T.sentences("text")).alias("ord", "sentence"))
+    return docs.select("doc_id", F.posexplode_outer(T.sentences("text")).alias("ord", "sentence")).where("ord is not null")
 
 
 def logical_units(spark, sf):
