@@ -68,6 +68,8 @@ class Index:
             for i, w in enumerate(words):
                 self.postings[w].append((t, i))
         self.words = frozenset(self.postings) | {w for _, _, keys in self.templates for k in keys for w in k}
+        #: Every label needs one of these phrases whole: without all words of any of them a text has no label and no place.
+        self.needed = {frozenset(k) for _, _, keys in self.templates for k in keys}
 
     def places(self, words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
         """Every start of phrase: the places of its rarest word here, each verified."""
@@ -82,8 +84,7 @@ class Index:
         words = text.translate(WORDS).split()
         here = self.words.intersection(words)
         none = (len(words), 0, None, None, "", "", 0.0)
-        # no phrase or aligned part can do without a word that the corpus rarely has
-        if len(here) < 2:
+        if not any(map(here.issuperset, self.needed)):
             return none
         at: dict[bytes, list[int]] = {w: [] for w in here}
         for i, w in enumerate(words):
