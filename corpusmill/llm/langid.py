@@ -6,8 +6,8 @@ where it wasn't, the escape -log2(d / (t + d)) is paid and the next shorter cont
 context never seen costs nothing to leave). The statistics are frozen, so these code lengths are exact sums of table
 entries; a text's language is the one with the shortest code, and the score its share of 2^-bits over all languages.
 
-Learning: at most about PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, of MOST bytes at most
-each, chosen by their id's hash among those whose fold isn't held out. Their counts are made by the tasks and summed; the
+Learning: at most about PER_LANGUAGE documents of each of the LANGUAGES most frequent languages (TOTAL in all, of MOST
+bytes at most each), chosen by their id's hash among those whose fold isn't held out. Their counts are made by the tasks and summed; the
 trees are their only output.
 
 Defined cases: null texts and those without a letter are `und` with score 0, and so is every text where no language was
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, release, table
 
-#: Languages, documents of each, and bytes of a document, that are learned from at most.
-LANGUAGES, PER_LANGUAGE, MOST = 64, 600, 1 << 18
+#: Languages, documents of each, documents in all, and bytes of a document, that are learned from at most (about).
+LANGUAGES, PER_LANGUAGE, TOTAL, MOST = 64, 600, 12_000, 1 << 16
 #: Known byte pairs up to which four bytes are looked up by a square table of pairs.
 PAIRS = 4096
 #: Costs (positions times languages) that a task holds at once.
-HELD = 1 << 23
+HELD = 1 << 21
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -156,9 +156,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = able.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
     if not counts:
         return None
-    part = F.lit(0.0)
+    part, each = F.lit(0.0), min(PER_LANGUAGE, TOTAL / len(counts))
     for r in counts:
-        part = F.when(F.col(lang) == r[0], min(1.0, PER_LANGUAGE / r[1])).otherwise(part)
+        part = F.when(F.col(lang) == r[0], min(1.0, each / r[1])).otherwise(part)
     chosen = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part * (1 << 20)
     some = able.where(chosen & (F.octet_length(text) <= MOST))
     got = count_grams(some, lang, text).toPandas().sort_values(["lang", "gram"])
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, trees: Trees | None, key: str = "doc_id", text: st
             known = b.column(2).to_pylist()
             pred = [trees.langs[i] if k else "und" for i, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0) if len(bits) else share)], names=[key, "lang_pred", "score"])
+        release()
 
     return docs.select(key, F.col(text).cast("binary"), letter.alias("letter")).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
