@@ -174,6 +174,16 @@ _conf = ", ".join(
 _conf += ", confs AS (" + " UNION ALL ".join(f"SELECT '{n}' AS configuration, {_M} FROM per{d}" for n, d in (("full", 64), ("half", 32), ("quarter", 16))) + ")"
 _answers, _battery = values(ANSWERS, "id", "answer", "available"), values(BATTERY, "qid", "text")
 
+_strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_units = f"""ua AS (SELECT id, answer FROM {_answers} UNION ALL SELECT conv_id || '.' || turn, text FROM conversations WHERE role = 'assistant'),
+ul AS (SELECT id, list_filter(list_transform(regexp_split_to_array(answer, '\\r\\n|\\r|\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM ua),
+ui AS (SELECT id, list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(coalesce(l[i + 1], ''), '{citations.SEPARATOR}') AND NOT regexp_matches(l[i], '{citations.SEPARATOR}') AND NOT regexp_matches(l[i], '{citations.HEADING}')), lambda i: l[i]) AS k FROM ul),
+us AS (SELECT id, flatten(list_transform(k, lambda x: CASE WHEN prefix(x, '|') AND suffix(x, '|') THEN [x] ELSE
+  list_transform(string_split(regexp_replace({_strip("regexp_replace(x, '^(?:[-*+]\\s+|\\d+[.)]\\s+)', '')")}, '([.!?])\\s+([A-Z0-9*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {_strip('s')}) END)) AS u FROM ui),
+uf AS (SELECT id, list_filter(u, lambda s: len(regexp_extract_all(regexp_replace(s, '\\[E(\\d+)\\]', '', 'g'), '{citations.WORD}')) >= 4) AS u FROM us)"""
+_checked = [("x1", "1,2", "", 2, 2, 1.0, True, "grounded_answer"), ("x2", "", "4", 2, 1, 0.5, False, "generation_rejected"), ("x3", "1", "", 3, 2, 0.6667, False, "generation_rejected"), ("x4", "1", "", 0, 0, 0.0, False, "generation_rejected"), ("x5", "", "", 0, 0, 0.0, False, "generation_rejected"), ("x6", "1,2", "", 1, 1, 1.0, True, "grounded_answer")]
+_canonical = [("v1", "Refer now [E2] and later [E3]."), ("v2", "[E3] – supports it"), ("v3", "Both [E5] [E6] and [E1] [E2]."), ("v4", "Keep [E1] as is"), ("v5", "Nothing here (see 5)"), ("v6", "[E2]: first")]
+
 QUERIES = {
     "recall_precision_mrr": (recall_precision_mrr, f"WITH {_full} SELECT count(*) AS queries, {_M} FROM per"),
     "metrics_by_group": (metrics_by_group, f"WITH {_full} SELECT grp, count(*) AS queries, {_M} FROM per GROUP BY grp"),
@@ -187,10 +197,10 @@ QUERIES = {
           WHEN len(gt) > 0 AND NOT list_contains(gt, content_type) THEN 'wrong_content_type' WHEN content_type IN ('recommendation', 'symptom_table') THEN 'same_site_alternative_unit' ELSE 'same_site_context' END AS reason FROM n"""),
     "canonical_top1": (canonical_top1, f"WITH {_full} SELECT round(avg(CASE WHEN relevant AND vec_id % 2 = 0 THEN 1 ELSE 0 END), 4) AS accuracy, count(*) AS checked FROM res WHERE rank = 1"),
     "refusal_metrics": (refusal_metrics, f"WITH questions AS (SELECT * FROM {_battery}), qa AS (SELECT qid, {ASCII} AS a FROM questions), {_scope}, {_emerg}, x AS (SELECT s.qid, expected, emergency, NOT emergency AND excluded <> '' AND selected = '' AS refused FROM scoped s JOIN emer USING (qid) JOIN {values(EXPECTED, 'qid', 'expected')} USING (qid)) SELECT round(avg(CASE WHEN refused THEN 1 ELSE 0 END) FILTER (WHERE expected = 'refuse'), 4) AS correct_refusal, round(avg(CASE WHEN refused THEN 1 ELSE 0 END) FILTER (WHERE expected <> 'refuse'), 4) AS false_refusal, count(*) FILTER (WHERE emergency) AS redirects FROM x"),
-    "citation_labels": (citation_labels, None),
-    "claim_units": (claim_units, None),
-    "citation_validation": (citation_validation, None),
-    "citation_metrics": (citation_metrics, None),
+    "citation_labels": (citation_labels, f"SELECT * FROM {values(_canonical, 'id', 'answer')}"),
+    "claim_units": (claim_units, f"WITH {_units} SELECT id, CAST(len(u) AS INTEGER) AS units, sha256(array_to_string(u, chr(10))) AS digest FROM uf"),
+    "citation_validation": (citation_validation, f"SELECT id, valid, invalid, units, cited, CAST(coverage AS DOUBLE) AS coverage, passed, outcome FROM {values(_checked, 'id', 'valid', 'invalid', 'units', 'cited', 'coverage', 'passed', 'outcome')}"),
+    "citation_metrics": (citation_metrics, f"SELECT round(avg(CASE WHEN valid <> '' AND invalid = '' THEN 1 ELSE 0 END), 4) AS label_validity, round(avg(coverage), 4) AS coverage, round(avg(CASE WHEN passed THEN 1 ELSE 0 END), 4) AS release, count(*) FILTER (WHERE valid <> '' AND invalid = '' AND NOT passed) AS to_repair FROM {values(_checked, 'id', 'valid', 'invalid', 'units', 'cited', 'coverage', 'passed', 'outcome')}"),
     "claim_split": (claim_split, f"WITH s AS (SELECT id, string_split(regexp_replace(answer, '([.!?])\\s+([A-Z0-9*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM {_answers}), u AS (SELECT id, unnest(range(1, len(s) + 1)) AS i, trim(unnest(s), ' ' || chr(10)) AS s FROM s) SELECT id, 'C' || i AS claim_id, trim(regexp_replace(s, '\\[E(\\d+)\\]', '', 'g'), ' ' || chr(10)) AS text, array_to_string(regexp_extract_all(s, '\\[E(\\d+)\\]', 1), ',') AS ranks FROM u WHERE s <> ''"),
     "evidence_blocks": (evidence_blocks, f"WITH {_full} SELECT query_id, string_agg('[E' || rank || '] vector ' || vec_id, chr(10) ORDER BY rank) AS evidence FROM res GROUP BY query_id"),
 }

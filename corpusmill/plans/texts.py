@@ -219,6 +219,19 @@ _lines = "list_filter(list_transform(string_split(text, chr(10)), lambda x: rege
 _sent = lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 _units = f"units AS (SELECT doc_id, text, flatten(list_transform({_lines}, lambda x: CASE WHEN x LIKE '•%' OR x LIKE '-%' THEN [x] ELSE {_sent('x')} END)) AS u0 FROM documents), u AS (SELECT doc_id, CASE WHEN len(u0) > 0 THEN u0 ELSE [text] END AS u FROM units)"
 
+_strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_clean = f"""cl AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda x: regexp_replace({_strip('x')}, '[ \\t]+', ' ', 'g')) AS l FROM documents),
+cb AS (SELECT doc_id, l, list_filter(l, lambda x: x <> '{HEADER}') AS b FROM cl),
+cf AS (SELECT *, coalesce(list_position(list_transform(b, lambda x: regexp_matches(x, '{FOOTER}')), true), 0) AS f FROM cb),
+ck AS (SELECT *, CASE WHEN f > 0 THEN b[1:f - 1] ELSE b END AS k, CASE WHEN f > 0 THEN b[f:] ELSE [] END AS t FROM cf)"""
+# a fold over lines: what is open is after the last line break; chr(1) at the end says that nothing is open
+_wrap = """wl AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS l FROM documents),
+wf AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE
+  WHEN x = '' THEN CASE WHEN suffix(a, chr(1)) THEN a ELSE a || chr(1) END
+  WHEN suffix(a, chr(1)) THEN CASE WHEN a = chr(1) THEN x ELSE substr(a, 1, length(a) - 1) || chr(10) || x END
+  WHEN prefix(x, '•') OR prefix(x, '-') THEN a || chr(10) || x
+  WHEN suffix(a, '-') THEN a || x ELSE a || ' ' || x END, chr(1)) AS t FROM wl)"""
+
 QUERIES = {
     "guard_scope": (guard_scope, f"WITH {QUESTIONS}, {_scope} SELECT qid, excluded, selected, excluded <> '' AND selected = '' AS out_of_scope FROM scoped"),
     "guard_emergency": (guard_emergency, f"WITH {QUESTIONS}, {_emerg} SELECT qid, reasons, emergency FROM emer"),
@@ -231,8 +244,8 @@ QUERIES = {
     "logical_units": (logical_units, f"WITH {_units} SELECT doc_id, CAST(len(u) AS INTEGER) AS units, sha256(array_to_string(u, chr(10))) AS digest FROM u"),
     "chunk_pack": (chunk_pack, None),
     "chunk_stats": (chunk_stats, f"WITH n AS (SELECT CAST(len(regexp_extract_all(lower(text), '{V.TOKEN}')) AS INTEGER) AS n FROM documents) SELECT count(*) AS count, min(n) AS min, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, max(n) AS max, round(avg(n), 2) AS mean FROM n"),
-    "join_wrapped": (join_wrapped, None),
-    "clean_lines": (clean_lines, None),
+    "join_wrapped": (join_wrapped, f"WITH {_wrap} SELECT doc_id, sha256(rtrim(t, chr(1))) AS digest FROM wf"),
+    "clean_lines": (clean_lines, f"WITH {_clean} SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(k, lambda x: NOT regexp_matches(x, '{INSIDE}')), lambda x: regexp_replace(x, '^－', '-')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest, CAST(len(l) - len(b) AS INTEGER) AS headers_removed, CAST(len(list_filter(t, lambda x: x <> '')) + len(list_filter(k, lambda x: regexp_matches(x, '{INSIDE}'))) AS INTEGER) AS footer_lines_removed FROM ck"),
     "html_furniture": (html_furniture, f"WITH t AS (SELECT page_id, {_furn} AS t FROM pages) SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS digest FROM t"),
     "slugs": (slugs, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS type_slug FROM part"),
     "previews": (previews, "SELECT doc_id, sha256(CASE WHEN length(text) > 900 THEN substr(text, 1, 897) || '...' ELSE text END) AS long, CAST(CASE WHEN length(text) > 220 THEN 220 ELSE length(text) END AS INTEGER) AS short_chars FROM documents"),
