@@ -232,6 +232,21 @@ wf AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE
   WHEN prefix(x, '•') OR prefix(x, '-') THEN a || chr(10) || x
   WHEN suffix(a, '-') THEN a || x ELSE a || ' ' || x END, chr(1)) AS t FROM wl)"""
 
+_tok = lambda x: f"regexp_extract_all(lower({x}), '{V.TOKEN}')"
+# packing as a recursion over a document's units: the chunk, what it holds, and whether it is still empty
+_pack = f"""{_units},
+pl AS (SELECT doc_id, len({_tok('text')}) AS n, text FROM documents),
+pe AS (SELECT doc_id, flatten(list_transform(u, lambda x: CASE WHEN len({_tok('x')}) > 700 THEN list_transform(range(1, len({_tok('x')}) + 1, 550), lambda i: array_to_string({_tok('x')}[i:i + 549], ' ')) ELSE [x] END)) AS u FROM u JOIN pl USING (doc_id) WHERE n > 700),
+pu AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x FROM pe),
+ps AS (SELECT doc_id, i, x, len({_tok('x')}) AS s FROM pu),
+st AS (
+  SELECT doc_id, i, 1 AS c, s AS n FROM ps WHERE i = 1
+  UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN t.n >= 550 OR t.n + 1 + p.s > 700 THEN t.c + 1 ELSE t.c END, CASE WHEN t.n >= 550 OR t.n + 1 + p.s > 700 THEN p.s ELSE t.n + 1 + p.s END
+  FROM st t JOIN ps p ON p.doc_id = t.doc_id AND p.i = t.i + 1
+),
+pc AS (SELECT doc_id, c, string_agg(x, chr(10) ORDER BY i) AS text FROM st JOIN ps USING (doc_id, i) GROUP BY doc_id, c UNION ALL SELECT doc_id, 1, text FROM pl WHERE n <= 700)"""
+
 QUERIES = {
     "guard_scope": (guard_scope, f"WITH {QUESTIONS}, {_scope} SELECT qid, excluded, selected, excluded <> '' AND selected = '' AS out_of_scope FROM scoped"),
     "guard_emergency": (guard_emergency, f"WITH {QUESTIONS}, {_emerg} SELECT qid, reasons, emergency FROM emer"),
@@ -242,7 +257,7 @@ QUERIES = {
     "question_form": (question_form, f"WITH {QUESTIONS} SELECT qid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS form FROM questions"),
     "sentences": (sentence_list, f"WITH s AS (SELECT doc_id, {_sent('text')} AS s FROM documents) SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS ord, unnest(s) AS sentence FROM s"),
     "logical_units": (logical_units, f"WITH {_units} SELECT doc_id, CAST(len(u) AS INTEGER) AS units, sha256(array_to_string(u, chr(10))) AS digest FROM u"),
-    "chunk_pack": (chunk_pack, None),
+    "chunk_pack": (chunk_pack, f"WITH RECURSIVE {_pack} SELECT 'd' || doc_id || '_c' || CASE WHEN c < 10 THEN '0' ELSE '' END || c AS chunk_id, doc_id, CAST(c AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, CAST(len({_tok('text')}) AS INTEGER) AS token_count, sha256(text) AS digest FROM pc"),
     "chunk_stats": (chunk_stats, f"WITH n AS (SELECT CAST(len(regexp_extract_all(lower(text), '{V.TOKEN}')) AS INTEGER) AS n FROM documents) SELECT count(*) AS count, min(n) AS min, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, max(n) AS max, round(avg(n), 2) AS mean FROM n"),
     "join_wrapped": (join_wrapped, f"WITH {_wrap} SELECT doc_id, sha256(rtrim(t, chr(1))) AS digest FROM wf"),
     "clean_lines": (clean_lines, f"WITH {_clean} SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(k, lambda x: NOT regexp_matches(x, '{INSIDE}')), lambda x: regexp_replace(x, '^－', '-')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest, CAST(len(l) - len(b) AS INTEGER) AS headers_removed, CAST(len(list_filter(t, lambda x: x <> '')) + len(list_filter(k, lambda x: regexp_matches(x, '{INSIDE}'))) AS INTEGER) AS footer_lines_removed FROM ck"),
