@@ -232,6 +232,13 @@ wf AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE
   WHEN prefix(x, '•') OR prefix(x, '-') THEN a || chr(10) || x
   WHEN suffix(a, '-') THEN a || x ELSE a || ' ' || x END, chr(1)) AS t FROM wl)"""
 
+# the compatibility forms that the literal questions hold: full-width letters and space, a zero-width space
+_wide = "".join(map(chr, [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0x3000]))
+_narrow = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), 0x20]))
+_controls = f"""cq AS (SELECT * FROM questions UNION ALL SELECT * FROM {values(CONTROLS, 'qid', 'text')}),
+cn AS (SELECT qid, trim(regexp_replace(replace(lower(translate(replace(text, chr(8203), ''), '{_wide}', '{_narrow}')), 'ß', 'ss'), '\\s+', ' ', 'g')) AS form FROM cq),
+ca AS (SELECT qid, {ASCII.replace('text', 'form')} AS a, regexp_replace(form, '[^a-z0-9]+', '', 'g') AS compact FROM cn),
+cr AS (SELECT qid, list_filter([{', '.join([f"CASE WHEN regexp_matches(a, '(?is){_q(p)}') THEN '{r}' END" for r, p in V.CONTROL_PATTERNS] + [f"CASE WHEN contains(compact, '{x}') THEN '{r}' END" for r, x in V.COMPACT_SIGNATURES])}], lambda x: x IS NOT NULL) AS r FROM ca)"""
 _tok = lambda x: f"regexp_extract_all(lower({x}), '{V.TOKEN}')"
 # packing as a recursion over a document's units: the chunk, what it holds, and whether it is still empty
 _pack = f"""{_units},
@@ -251,7 +258,7 @@ QUERIES = {
     "guard_scope": (guard_scope, f"WITH {QUESTIONS}, {_scope} SELECT qid, excluded, selected, excluded <> '' AND selected = '' AS out_of_scope FROM scoped"),
     "guard_emergency": (guard_emergency, f"WITH {QUESTIONS}, {_emerg} SELECT qid, reasons, emergency FROM emer"),
     "guard_answerability": (guard_answerability, f"WITH {QUESTIONS}, {_ans} SELECT * FROM answer"),
-    "guard_safety": (guard_safety, None),
+    "guard_safety": (guard_safety, f"WITH {QUESTIONS}, {_controls} SELECT qid, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS reasons FROM cr"),
     "outcome_counts": (outcome_counts, f"WITH {QUESTIONS}, {_scope}, {_emerg}, {_ans} SELECT CASE WHEN emergency THEN 'emergency_redirect' WHEN excluded <> '' AND selected = '' THEN 'scope_refusal' WHEN insufficient THEN 'insufficient_information' ELSE 'retrieval_results' END AS outcome, count(*) AS n FROM scoped JOIN emer USING (qid) JOIN answer USING (qid) GROUP BY 1"),
     "intent_flags": (intent_flags, f"WITH {QUESTIONS} SELECT qid, regexp_matches({ASCII}, '{V.EVIDENCE_TERMS}') AS evidence, regexp_matches({ASCII}, '{V.METHODOLOGY_TERMS}') AS methodology, CASE WHEN list_has_any(regexp_extract_all(lower(text), '{V.TOKEN}'), {V.RATIONALE_INTENT}) THEN 'rationale' WHEN list_has_any(regexp_extract_all(lower(text), '{V.TOKEN}'), {V.EVIDENCE_INTENT}) THEN 'evidence,evidence_table' ELSE '' END AS types FROM questions"),
     "question_form": (question_form, f"WITH {QUESTIONS} SELECT qid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS form FROM questions"),
