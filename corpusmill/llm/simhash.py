@@ -10,6 +10,8 @@
    queries rather than broadcast whole: all trees together grow with the corpus, so no bound for a broadcast exists.
 4. A shard of more than `most` members isn't held: its members go on to finer shards, over the bits that they don't
    share yet. Members share all bits of their key, so with f free bits a shard has 2^f at most: this ends, and is exact.
+   Shards that a sample of the fingerprints shows to be crowded are cut so before they are shuffled, in all tasks; one
+   that the sample misses passes through its task without being held, and is cut in the next round.
 5. A shard yields a spanning forest of its links (fewer rows than members), never all pairs; components follow from
    the forests by large-star/small-star rounds, and documents get theirs by their fingerprint.
 
@@ -39,6 +41,8 @@ MOST = 20_000
 #: Blocks that the 64 bits are cut into: 15 shards a fingerprint for a radius of 4, each over 21 bits or more.
 BLOCKS = 6
 STEP = 1 << 16
+#: One fingerprint in so many is looked at to find crowded shards, of which so many are named to all tasks at most.
+LOOK, CROWDED = 64, 200_000
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -159,14 +163,23 @@ def _level(rows: DataFrame, blocks: int, radius: int, most: int) -> DataFrame:
             return [mask]
         return [mask | sum(c) for c in itertools.combinations(parts, take)]
 
-    def deal(batches):
+    def able(key: int) -> bool:
+        """Whether a shard could hold more than `most` members at all."""
+        return 2 ** (64 - key.bit_count()) > most
+
+    def deal(batches, crowded: dict[int, np.ndarray], want: bool):
+        """mask, value, fp of the shards that are crowded (want) or aren't."""
         for b in batches:
             fp, mask = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             for m in np.unique(mask):
                 own = fp[mask == m]
                 for key in keys(int(m)):
-                    u = np.full(len(own), key, np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, own & u, own)], names=["mask", "value", "fp"])
+                    values = own & np.uint64(key)
+                    some = crowded.get(key)
+                    hit = np.isin(values, some) if some is not None else np.zeros(len(own), bool)
+                    if (take := hit == want).any():
+                        u = np.full(int(take.sum()), key, np.uint64)
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, values[take], own[take])], names=["mask", "value", "fp"])
 
     def shards(batches):
         """Rows come sorted by mask and value; a shard is held up to `most` members, and passed on beyond."""
@@ -210,9 +223,23 @@ def _level(rows: DataFrame, blocks: int, radius: int, most: int) -> DataFrame:
                     yield out(fp=own, mask=np.full(len(own), now[0], np.uint64))
         yield from close()
 
-    dealt = rows.select("fp", "mask").mapInArrow(deal, "mask long, value long, fp long")
+    schema, rows = "mask long, value long, fp long", rows.select("fp", "mask")
+    crowded: dict[int, np.ndarray] = {}
+    if rows.count() > most:
+        some = rows.where(F.pmod(F.xxhash64("fp", "mask"), F.lit(LOOK)) == 0).mapInArrow(lambda b: deal(b, {}, False), schema)
+        some = some.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") >= max(most / LOOK / 2, 2))
+        for r in some.limit(CROWDED).collect():
+            if able(r.mask % 2**64):
+                crowded.setdefault(r.mask % 2**64, []).append(r.value % 2**64)
+        crowded = {k: np.array(sorted(v), np.uint64) for k, v in crowded.items()}
+    dealt = rows.mapInArrow(lambda b: deal(b, crowded, False), schema)
     dealt = dealt.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.mapInArrow(shards, "a long, b long, fp long, mask long")
+    out = dealt.mapInArrow(shards, "a long, b long, fp long, mask long")
+    if not crowded:
+        return out
+    none = F.lit(None).cast("long")
+    passed = rows.mapInArrow(lambda b: deal(b, crowded, True), schema)
+    return out.unionAll(passed.select(none.alias("a"), none.alias("b"), "fp", "mask"))
 
 
 def links(fps: DataFrame, radius: int = 4, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:

@@ -141,13 +141,14 @@ def test_simhash(spark, edge, docs_rows):
     assert least[u.find(0)] == 1  # wordless texts link to each other
 
 
-def test_simhash_links_of_crowded_shards(spark):
+def test_simhash_links_of_crowded_shards(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = sorted({int(c) ^ sum(1 << b for b in {*rng.integers(0, 64, rng.integers(0, 7)).tolist()}) for c in centres for _ in range(40)})
     frame = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
     want = components(fps)
-    for most in (64, 20_000):  # the first passes shards on to finer ones
+    for most, look in ((64, 64), (64, 1), (20_000, 64)):  # shards passed on once read, cut before, and held
+        monkeypatch.setattr(simhash, "LOOK", look)
         u = Union()
         for f in fps:
             u.find(f)
