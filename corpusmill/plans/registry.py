@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from ..session import shipped
+
 #: Modules with QUERIES: name -> (query, SQL or None).
 MODULES = ["search", "texts", "ordered", "linking", "laid_out", "evaluating", "judged"]
 
@@ -16,7 +18,7 @@ def _all() -> dict:
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in _all().items()}
+    return {name: shipped(q) for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
