@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, mixing, quality, simhash, toxicity
 from corpusmill.llm.common import stash, table
+from corpusmill.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +27,7 @@ def _zstd(stage):
 
     @functools.wraps(stage)
     def run(spark, docs, sf_dir):
+        ship(spark)
         spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
         return stage(spark, docs, sf_dir)
 

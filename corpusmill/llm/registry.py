@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..session import shipped
 from . import ann, bpe, langid, licenses, mixing, quality, rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
-    return {
+    own = {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
         "op3_quality": quality.op3_quality,
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op9_rules": rules.op9_rules,
         "op10_toxicity": toxicity.op10_toxicity,
     }
+    return {name: shipped(q) for name, q in own.items()}
 
 
 def oracle_sql() -> dict:
