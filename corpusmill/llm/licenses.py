@@ -1,12 +1,13 @@
 """Licence scans over a positional rare-token index.
 
 The templates (short licence notices) are indexed once: word -> (template, position). First every document is counted
-for the words of the templates, which gives each word's inverse document frequency over the whole corpus. Then each
-document's licence words of highest IDF are looked up; each posting votes for the relative position (place in the text
-minus place in the template) at which the template would start, and a template's votes at one start are the words that
-line up there, weighted by IDF. The best start of a template counts if enough of its weight lines up and one of its
-mandatory key phrases stands in the text nearby. A base phrase is found by the same index: its rarest word gives the
-places, and the phrase's other words are verified around each.
+for the words of the templates, which gives each word's inverse document frequency over the whole corpus. Then a phrase
+is found by its rarest word in the text: that gives the places, and the phrase's other words are verified around each.
+Where a mandatory key phrase of a template stands, each of the template's words in the text votes for the relative
+position (place in the text minus place in the template) at which the template would start, weighted by IDF; its votes
+at one start are the words that line up there. The template counts if enough of its weight lines up at a start with a
+key phrase nearby. Every template is judged by its own words, so one notice never hides another. Base phrases are found
+in the same way.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case (A-Z only).
 
@@ -19,6 +20,7 @@ a row per template word, a bound that doesn't depend on the corpus.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import defaultdict
 
@@ -50,24 +52,19 @@ TEMPLATES = {
     "cc0": ("to the extent possible under law the author has waived all copyright under cc0 1 0", ["cc0 1 0"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 }
-#: A document's licence words that are looked up, by falling IDF.
+#: Share of the weight of a template's so many words of highest IDF that must line up (of all its words, each may).
 RAREST = 12
-#: Share of a template's weight that must line up.
 ENOUGH = 0.5
 
 
 class Index:
-    """word -> (template, position), and the phrases as words."""
+    """The templates and phrases as words."""
 
     def __init__(self, base=BASE, templates=TEMPLATES):
         self.base = [(p.split(), label) for p, label in base.items()]
         self.templates = [(label, notice.encode().split(), [k.encode().split() for k in keys]) for label, (notice, keys) in templates.items()]
         self.templates += [(label, words, [words]) for words, label in self.base]
-        self.postings = defaultdict(list)
-        for t, (_, words, _keys) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
-        self.words = frozenset(self.postings) | {w for _, _, keys in self.templates for k in keys for w in k}
+        self.words = frozenset(w for _, notice, keys in self.templates for part in (notice, *keys) for w in part)
         #: Every label needs one of these phrases whole: without all words of any of them a text has no label and no place.
         self.needed = {frozenset(k) for _, _, keys in self.templates for k in keys}
 
@@ -97,22 +94,26 @@ class Index:
                 labels.add(label)
         base = ",".join(sorted(labels))
         score = 1.0 if labels else 0.0
-        rare = sorted(here, key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rare:
-            for t, i in self.postings.get(w, ()):
-                for p in at[w]:
-                    votes[t, p - i] += idf.get(w, 0.0)
-        whole = {t: sum(idf.get(w, 0.0) for w in set(self.templates[t][1])) for t in {t for t, _ in votes}}
-        for (t, start), weight in votes.items():
-            if not whole[t] or weight < ENOUGH * min(whole[t], sum(sorted((idf.get(w, 0.0) for w in set(self.templates[t][1])), reverse=True)[:RAREST])):
+        for label, notice, keys in self.templates:
+            near = sorted((p, p + len(k)) for k in keys for p in self.places(words, at, k))
+            weights = sorted((idf.get(w, 0.0) for w in set(notice)), reverse=True)
+            whole, n = sum(weights), len(notice)
+            if not near or not whole:
                 continue
-            label, notice, keys = self.templates[t]
-            lo, hi = max(start - len(notice), 0), start + 2 * len(notice)
-            near = words[lo:hi]
-            if any(near[i : i + len(k)] == k for k in keys for i in range(len(near) - len(k) + 1)):
-                labels.add(label)
-                score = max(score, min(1.0, weight / whole[t]))
+            votes: dict[int, float] = defaultdict(float)
+            for i, w in enumerate(notice):
+                for p in at.get(w, ()):
+                    votes[p - i] += idf.get(w, 0.0)
+            enough = ENOUGH * sum(weights[:RAREST])
+            for start, weight in votes.items():
+                if weight < enough:
+                    continue
+                j = bisect.bisect_left(near, (start - n,))
+                while j < len(near) and near[j][0] < start + 2 * n and near[j][1] > start + 2 * n:
+                    j += 1
+                if j < len(near) and near[j][1] <= start + 2 * n:
+                    labels.add(label)
+                    score = max(score, min(1.0, weight / whole))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, base, ",".join(sorted(labels)), score
 

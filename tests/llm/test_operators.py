@@ -253,6 +253,19 @@ def test_license_needs_a_key_phrase():
     assert idx.scan(b"x " * 40 + b"Redistribution and use in source and binary forms, with or without modification, are permitted", idf)[5] == "bsd"
 
 
+def test_licenses_of_a_text_with_all_notices():
+    idx = licenses.Index()
+    common = set(b"the of to in and is this with or under any for a by 0 1 2 3 4".split())
+    idf = {w: 1.0 if w in common else 6.0 for w in idx.words}
+    notices = {label: notice.encode() for label, (notice, _) in licenses.TEMPLATES.items()}
+    several = ["mit", "bsd", "isc", "gpl-3"]
+    assert idx.scan(b" xyz ".join(notices[x] for x in several), idf)[5] == ",".join(sorted(several))
+    long = b" the software license version is used for any purpose under the terms of use " * 300
+    assert idx.scan(long + long.join(notices.values()) + long, idf)[5] == ",".join(sorted(notices))
+    for label, notice in notices.items():
+        assert label in idx.scan(notice, idf)[5].split(",")
+
+
 def tokenizer():
     import public_tokenizers as P
     import tiktoken
