@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are made from labelled text: the ordinary one holds the words that ordinary documents use
 most, the toxic one the same and before it the segments that mark toxic documents (runs of byte k-mers found in toxic
-documents far more often than in ordinary ones, by document frequency and G2). Each window of WORDS words of a text is
-compressed with either; a window that the toxic dictionary makes shorter holds what marks toxic text. A text's largest
+documents far more often than in ordinary ones, by document frequency and G2). Each window of WORDS words of a text (a
+window of over BYTES bytes, as in text without spaces, in overlapping parts) is compressed with either; a window that the toxic dictionary makes shorter holds what marks toxic text. A text's largest
 and mean gains and its numbers of windows by gain are weighed by a logistic calibration, fitted on labelled rows that
 the dictionaries were not made from. Of a few settings for the k-mers the one with the least loss there is taken.
 
@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import bounded, fold_of, labelled_sample, logistic, release, sigmoid, stash, table
 
 PER_CLASS, SIZE, WORDS = 1_500, 8_192, 12
+#: Bytes of a window at most, and bytes that the parts of a longer one share: beyond the compressors' window the
+#: dictionaries would be out of reach, and a gain in a long window would be lost among its other bytes.
+BYTES, SHARED = 256, 64
 #: Bytes of the ordinary dictionary put before each window: a window that saves too little is stored as it is, and these
 #: save enough in either dictionary for every further byte to show.
 LEAD = 40
@@ -40,6 +43,27 @@ SETTINGS = [((4,), 18.0, 8.0), ((4, 5), 18.0, 8.0), ((4, 6, 8), 25.0, 20.0)]
 GAINS = (1, 2, 3, 4, 5, 6, 8, 10)
 
 
+def windows(words: list[bytes]):
+    """Windows of WORDS words; one of over BYTES bytes in parts that overlap, cut between code points."""
+    for i in range(0, len(words), WORDS):
+        w = b" ".join(words[i : i + WORDS])
+        start, end = 0, BYTES
+        while end < len(w):
+            end = _code_point(w, end)
+            yield w[start:end]
+            start = _code_point(w, end - SHARED)
+            end = start + BYTES
+        yield w[start:]
+
+
+def _code_point(w: bytes, at: int) -> int:
+    """at, or where the code point that goes on there begins (at most three bytes before)."""
+    for back in range(4):
+        if w[at - back] & 0xC0 != 0x80:
+            return at - back
+    return at
+
+
 def kmers(word: bytes, lengths) -> set[bytes]:
     """The k-mers of a word of these lengths; the word itself for no lengths."""
     return {word[i : i + n] for n in lengths for i in range(len(word) - n + 1)} if lengths else {word}
@@ -104,10 +128,9 @@ class Scorer:
     def features(self, text: bytes) -> list[float]:
         words = text.lower().split()
         toxic, ordinary = (c.compress for c in self.compressors)
-        n = -(-len(words) // WORDS)
         lead = self.parts[1][-LEAD:] + b" "
-        windows = (lead + b" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS))
-        gain = np.sort(np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows), np.int64, n))
+        gain = np.sort(np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (lead + x for x in windows(words))), np.int64))
+        n = len(gain)
         if not n:
             return [0.0] * (4 + len(GAINS))
         over = n - np.searchsorted(gain, GAINS)

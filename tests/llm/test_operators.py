@@ -450,6 +450,25 @@ def test_toxicity(spark, edge):
     assert toxicity.drop_toxic(docs, labels.where("toxic = 0")).count() == docs.count()
 
 
+def test_toxicity_late_in_a_long_text_without_spaces():
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 33_000)))
+    bad = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 8)))
+    common = " ".join("".join(map(chr, rng.integers(0x4E00, 0x9F00, 3))) for _ in range(200)).encode()
+    scorer = toxicity.Scorer(bad.encode() + b"\0" + common, common)
+    clean = scorer.features(text.encode())[0]
+    for at in (100, 10_000, 15_000, 20_000, 30_000, 32_000):
+        assert scorer.features((text[:at] + bad + text[at:]).encode())[0] >= clean + 8
+    words = [text[:500].encode(), b"one", "é".encode() * 300, b"x" * 1000, *[b"word"] * 20]
+    parts = list(toxicity.windows(words))
+    assert max(map(len, parts)) <= toxicity.BYTES and parts[-1] == b" ".join([b"word"] * 12)
+    for p in parts:
+        p.decode()  # no code point is cut
+    whole = b" ".join(words[:12])
+    for i in range(len(whole) - toxicity.SHARED + 4):
+        assert any(whole[i : i + toxicity.SHARED - 4] in p for p in parts)  # what is short stands whole in one part
+
+
 def test_one_key_may_hold_most_rows(spark, tmp_path):
     """A source, a text and a payload that hold nearly all rows."""
     root = str(tmp_path)
