@@ -44,6 +44,32 @@ def similarity(left, right):
     return 0.6 * T.jaccard(T.match_terms(left), T.match_terms(right)) + 0.4 * sequence_ratio(T.match_form(left), T.match_form(right))
 
 
+def best_blend(current: DataFrame, earlier: DataFrame, k: int = 1) -> DataFrame:
+    """left_id, right_id, score, rank: each current text's k best of all earlier ones by `similarity`, exact. Both: id, text.
+
+    The blend of the k best by terms is a floor. A pair is compared if its Jaccard index and the largest ratio that its
+    lengths allow could reach the floor; pairs without a shared term too. Only ids and numbers of all pairs are made.
+    """
+    a = bounded(current.select(F.col("id").alias("left_id"), T.match_form("text").alias("_new")))
+    b = earlier.select(F.col("id").alias("right_id"), T.match_form("text").alias("_old"))
+    terms = shared_terms(current, earlier)
+    ratio = 0.4 * sequence_ratio("_old", "_new")
+
+    def scored(pairs):
+        return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", (0.6 * F.col("jaccard") + ratio).alias("score"))
+
+    seeds = scored(best_match(terms, k=k).select("left_id", "right_id", "jaccard"))
+    floor = F.broadcast(seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("_floor")))
+    sizes = lambda df, key, form, n: df.select(key, F.length(form).alias(n))
+    pairs = sizes(b, "right_id", "_old", "_m").crossJoin(F.broadcast(sizes(a, "left_id", "_new", "_n"))).join(terms, ["left_id", "right_id"], "left")
+    pairs = pairs.withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0))).join(floor, "left_id", "left")
+    reach = F.when(F.col("_n") + F.col("_m") > 0, 2 * F.least("_n", "_m") / (F.col("_n") + F.col("_m"))).otherwise(1.0)
+    able = pairs.where(0.6 * F.col("jaccard") + 0.4 * reach >= F.coalesce("_floor", F.lit(0.0)) - 1e-9)
+    # dealt anew: what is left to compare is uneven
+    able = able.select("left_id", "right_id", "jaccard").repartition("left_id", "right_id")
+    return best_match(scored(able), "score", k)
+
+
 def difference_reasons(old, new):
     """Which of numbers and actions differ between two versions."""
     a, b, x, y = T.clinical_numbers(old), T.clinical_numbers(new), T.actions(old), T.actions(new)

@@ -31,22 +31,23 @@ def unmatched(spark, sf):
     return items.join(best, "left_id", "left").where(F.coalesce("jaccard", F.lit(0.0)) < V.MATCH_LEAST).select("left_id")
 
 
-def _matched_texts(spark, sf, k):
-    best = reconcile.best_match(_pairs(spark, sf), k=k).select("left_id", "right_id", "rank", "jaccard")
+def _with_texts(spark, sf, best):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("current"))
     docs = texts(spark, sf).select(F.col("doc_id").alias("right_id"), F.col("text").alias("earlier"))
     return best.join(items, "left_id").join(docs, "right_id")
 
 
 def similarity_blend(spark, sf):
-    """The blended score of each item's three best by terms, and what it makes of them."""
-    out = _matched_texts(spark, sf, 3).withColumn("score", reconcile.similarity("earlier", "current")).withColumn("structural", F.lit(False))
+    """Each item's three best of all documents by the blended score, and what the score makes of them."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    out = _with_texts(spark, sf, reconcile.best_blend(items, docs, 3)).withColumn("structural", F.lit(False))
     out = reconcile.classify(out.withColumn("reasons", reconcile.difference_reasons("earlier", "current")))
     return out.select("left_id", "right_id", F.round("score", 6).alias("score"), "unmatched", "duplicate", "differs")
 
 
 def version_diff(spark, sf):
-    out = _matched_texts(spark, sf, 1)
+    out = _with_texts(spark, sf, reconcile.best_match(_pairs(spark, sf)).select("left_id", "right_id"))
     return out.select("left_id", "right_id", F.array_join(T.clinical_numbers("earlier"), " ").alias("numbers"), F.size(reconcile.difference_reasons("earlier", "current")).alias("reasons"))
 
 
