@@ -6,9 +6,10 @@ where it wasn't, the escape -log2(d / (t + d)) is paid and the next shorter cont
 context never seen costs nothing to leave). The statistics are frozen, so these code lengths are exact sums of table
 entries; a text's language is the one with the shortest code, and the score its share of 2^-bits over all languages.
 
-Learning: at most about PER_LANGUAGE documents of each of the LANGUAGES most frequent languages (TOTAL in all, of MOST
-bytes at most each), chosen by their id's hash among those whose fold isn't held out. Their counts are made by the tasks and summed; the
-trees are their only output.
+Learning: about PER_LANGUAGE documents of every language, fewer where there are so many languages that TOTAL in all would
+be passed, but LEAST each; chosen by their id's hash among those whose fold isn't held out (all documents of a language
+that has no more than LEAST). Of a chosen document of over MOST bytes a passage of at most that size is read, from a place
+that its id's hash names. Their counts are made by the tasks and summed; the trees are their only output.
 
 Defined cases: null texts and those without a letter are `und` with score 0, and so is every text where no language was
 learned; documents without an id or language are never learned from, and without an id never held out; ties go to the
@@ -16,7 +17,7 @@ first language by code point; repeated rows are each scored; an empty table give
 out. ASCII letters are taken in lower case; a text is coded as if three zero bytes stood before it.
 
 Scale: one narrow count of languages, one filtered scan, one scan of whole texts; only n-gram counts of the bounded
-sample are shuffled, and only the trees (bounded by the sample) go to all tasks.
+sample are shuffled, and only the trees (bounded by the sample, times the languages) go to all tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, release, table
 
-#: Languages, documents of each, documents in all, and bytes of a document, that are learned from at most (about).
-LANGUAGES, PER_LANGUAGE, TOTAL, MOST = 64, 600, 12_000, 1 << 16
+#: Documents of each language, documents in all, and bytes of a document, that are learned from at most (about).
+PER_LANGUAGE, TOTAL, MOST = 600, 12_000, 1 << 16
+#: Documents of a language that are learned from however many languages there are.
+LEAST = 24
 #: Known byte pairs up to which four bytes are looked up by a square table of pairs.
 PAIRS = 4096
 #: Costs (positions times languages) that a task holds at once.
@@ -153,14 +156,19 @@ class Trees:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Trees | None:
     """Trees of the documents' languages; docs: those that may be learned from."""
     able = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    counts = able.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    counts = able.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__n"))
+    n = counts.count()
+    if not n:
         return None
-    part, each = F.lit(0.0), min(PER_LANGUAGE, TOTAL / len(counts))
-    for r in counts:
-        part = F.when(F.col(lang) == r[0], min(1.0, each / r[1])).otherwise(part)
-    chosen = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part * (1 << 20)
-    some = able.where(chosen & (F.octet_length(text) <= MOST))
+    each = max(min(PER_LANGUAGE, TOTAL / n), LEAST)
+    # a document's place in its language's lot: below its share it is chosen
+    part = F.when(F.col("__n") <= LEAST, 1.0).otherwise(F.least(F.lit(1.0), each / F.col("__n")))
+    share = F.broadcast(counts.select("__lang", part.alias("__part")))  # a row a language
+    chosen = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("__part") * (1 << 20)
+    some = able.join(share, F.col(lang) == F.col("__lang")).where(chosen)
+    long, size = F.octet_length(text) > MOST, MOST // 4  # a code point has four bytes at most
+    start = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    some = some.select(F.col(lang), F.when(long, F.substr(text, start.cast("int"), F.lit(size))).otherwise(F.col(text)).alias(text))
     got = count_grams(some, lang, text).toPandas().sort_values(["lang", "gram"])
     if not len(got):
         return None

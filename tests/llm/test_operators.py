@@ -357,6 +357,20 @@ def test_langid(spark, edge, sf):
     assert n > 20 and share > 0.95
 
 
+def test_langid_learns_every_language_and_long_texts(spark):
+    def word(i, j):
+        return "".join(chr(0x4E00 + 40 * i + (j * 7 + k * 3) % 40) for k in range(3))
+
+    docs = [(100 * i + j, " ".join(word(i, j + k) for k in range(20)), f"x{i:03}") for i in range(90) for j in range(4 if i % 2 else 9)]
+    docs += [(50_000 + j, ("ñandú " + word(200, j) + " ") * 9000, "long") for j in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trees = langid.learn(frame)
+    assert trees.langs == sorted({d[2] for d in docs})
+    probe = spark.createDataFrame([(i, " ".join(word(i, k) for k in range(5, 15))) for i in range(90)] + [(90, "ñandú ñandú")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(probe, trees).collect()}
+    assert got == {**{i: f"x{i:03}" for i in range(90)}, 90: "long"}
+
+
 def test_warc_round_trip(spark, edge, tmp_path):
     path = str(tmp_path / "archive")
     pages = spark.read.parquet(f"{edge}/pages.parquet")
