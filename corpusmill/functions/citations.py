@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from .text import CLAIM_SENTENCE, _c
 
 # The shapes that a label may have. _S is white space with zero-width characters.
-_S = r"[\s​‌‍⁠﻿]*"
+_S = r"[\s\u200b\u200c\u200d\u2060\ufeff]*"
 _LABEL = rf"\*{{0,2}}{_S}E{_S}\d+{_S}\*{{0,2}}"
 _GROUP = re.compile(rf"[\[【(]{_S}(?:Evidence{_S})?{_LABEL}(?:{_S}[;,/]{_S}{_LABEL})*{_S}[\]】)]", re.I)
 _LINES = re.compile(rf"[【\[]{_S}E{_S}(\d+){_S}†{_S}L\d+(?:{_S}-{_S}L?\d+)?{_S}[】\]]", re.I)

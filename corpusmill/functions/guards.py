@@ -47,7 +47,7 @@ def out_of_scope(text) -> Column:
 
 def clinical_features(text, code: str = "") -> Column:
     """Sorted distinct tokens that may name a feature. code: the guideline's own code, which names none."""
-    plain = F.array(*map(F.lit, [*V.plain_words(), *V.SITE_WORDS, *([code] if code else [])]))
+    plain = F.array(*map(F.lit, [*V.PLAIN_WORDS, *V.SITE_WORDS, *([code] if code else [])]))
     found = F.regexp_extract_all(F.lower(_c(text)), F.lit(V.QUESTION_TOKEN), F.lit(0))
     kept = F.filter(found, lambda t: (F.length(t) > 1) & ~t.rlike(f"^(?:{V.AGE})$"))
     return F.array_sort(F.array_except(F.array_distinct(kept), plain))

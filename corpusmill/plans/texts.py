@@ -95,7 +95,7 @@ _sel = _named({s: f"(?i){p}" for s, p in V.SELECTED_SITES.items()}, "cut")
 _scope = f"scope AS (SELECT *, {_excl} AS excluded, {_cut} AS cut FROM qa), scoped AS (SELECT *, {_sel} AS selected FROM scope)"
 _reasons = _named(V.EMERGENCIES)
 _emerg = f"em AS (SELECT qid, a, {_reasons} AS reasons FROM qa), emer AS (SELECT *, reasons <> '' AND regexp_matches(a, '{_q(V.IMMEDIATE)}') AND (regexp_matches(a, '{_q(V.SEVERE)}') OR regexp_matches(reasons, 'breathing_emergency|loss_of_consciousness|acute_chest_pain')) AS emergency FROM em)"
-_plain = "[" + ", ".join(f"'{w}'" for w in [*V.plain_words(), *V.SITE_WORDS]) + "]"
+_plain = "[" + ", ".join(f"'{w}'" for w in [*V.PLAIN_WORDS, *V.SITE_WORDS]) + "]"
 _ans = f"""feats AS (SELECT q.qid, qa.a, list_sort(list_distinct(list_filter(regexp_extract_all(lower(q.text), '{_q(V.QUESTION_TOKEN)}'), lambda t: len(t) > 1 AND NOT regexp_full_match(t, '{V.AGE}') AND NOT list_contains({_plain}, t)))) AS f FROM questions q JOIN qa USING (qid)),
 answer AS (SELECT qid, array_to_string(f, ' ') AS features, len(f) = 0 AND (regexp_matches(a, '{_q(V.DECISION_INTENT)}') OR regexp_matches(a, '{_q(V.PATIENT_CONTEXT)}')) AS insufficient FROM feats)"""
 
