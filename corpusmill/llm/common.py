@@ -69,22 +69,96 @@ def fold_of(key: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(key).cast("string")) % F.lit(folds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text", most: int = 1 << 16):
-    """A pandas frame of about `per_class` documents of each label, chosen by their ids' hash, with their columns and _label.
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of the columns."""
+    while name in columns:
+        name = "_" + name
+    return name
 
-    Documents of more than `most` bytes, null texts and null ids or labels aren't chosen; of several labels of an id the
-    largest counts. Internal columns are named __key and _label. Also the number of labelled ids of each label, to weigh the classes by.
+
+#: Words of 64 bits that a sieve has: at most so many rows of two longs are sent to all tasks.
+SIEVE_WORDS = 1 << 20
+
+
+def sieved(rows: DataFrame, name, wanted: DataFrame, wanted_name, words: int = SIEVE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """rows parted into those whose name (a hash, a long) surely isn't among the wanted ones', and those where it may be.
+
+    For joins that concern few rows of a wide table: only the second part needs to be shuffled. A blocked Bloom filter of a
+    fixed size is sent to all tasks: a hash names a word and three bits of it. The more names are wanted, the more rows are
+    in the second part, at last all of them; what a join makes of the two parts is the same at every size.
+    """
+    def place(h):
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, at).bitwiseAND(63).cast("int"))
+        return h.bitwiseAND(words - 1), bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+    slot, bits, word = (fresh(rows.columns, x) for x in ("__slot", "__bits", "__word"))
+    at, mask = place(wanted_name)
+    table_ = wanted.select(at.alias(slot), mask.alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
+    table_ = stash(table_, "sieve")  # a row a word at most
+    at, mask = place(name)
+    held = rows.withColumns({word: at, fresh(rows.columns, "__mask"): mask})
+    mask = F.col(fresh(rows.columns, "__mask"))
+    held = held.join(F.broadcast(table_.withColumnRenamed(slot, word)), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+    return held.where(~hit).select(*rows.columns), held.where(hit).select(*rows.columns)
+
+
+def keep_rows(docs: DataFrame, text: str, others: list[str], judge, rows: int = 1024) -> DataFrame:
+    """The rows of docs that judge keeps, in one scan: judge gets lists of the texts (bytes) and others, gives booleans."""
+    schema, first, at = docs.schema, docs.columns.index(text), [docs.columns.index(c) for c in others]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for lo in range(0, len(whole), rows):
+                b = whole.slice(lo, rows)
+                texts = [x or b"" for x in b.column(first).cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array(judge(texts, *(b.column(i).to_pylist() for i in at)), pa.bool_()))
+        release()
+
+    return docs.mapInArrow(run, schema)
+
+
+def least_by_hash(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The n rows whose key's hash is least: a sample that is the same however the rows lie, n rows a task at most."""
+    order = fresh(rows.columns, "__hash")
+    return rows.withColumn(order, F.xxhash64(F.lit(seed), key)).orderBy(order, key).limit(n).drop(order)
+
+
+def share_by_hash(key, share: float, seed: int = 0):
+    """True for about that share of the keys, by all 64 bits of their hash."""
+    return F.xxhash64(F.lit(seed), key) < int(-(2**63) + share * 2**64) if share < 1 else F.lit(True)
+
+
+def one_each(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of each key, that of the least text by hash: partial by task, so a key with many rows is a row a task."""
+    whole = F.struct(F.xxhash64(text).alias("h"), F.struct(*rows.columns).alias("row"))
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole["row"], whole["h"]).alias("__row")).select("__row.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text"):
+    """At most `per_class` documents of each label, those of least id by hash, stored: docs' columns and __label.
+
+    Null texts, ids and labels aren't chosen, nor labels of other documents; of several labels of an id the largest
+    counts, and of several rows of an id the least text by hash. Also the number of labelled ids of each label, to weigh
+    the classes by.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = stash(known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("_label")), "labels")
-    counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
-    part = F.lit(0.0)
-    for value, n in counts.items():
-        part = F.when(F.col("_label") == value, min(1.0, per_class / n)).otherwise(part)
-    chosen = known.where(F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < part * (1 << 20)).limit(2 * per_class * max(len(counts), 1))
-    some = docs.where(F.octet_length(text) <= most).join(F.broadcast(chosen), F.col(key) == F.col("__key")).drop("__key")
-    got = some.limit(4 * per_class * max(len(counts), 1)).toPandas()
-    return got.sort_values([key, text], kind="stable").reset_index(drop=True), counts
+    known = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
+    able = docs.where(F.col(text).isNotNull())
+    known = able.select(F.col(key).alias("__key")).join(bounded(stash(known, "labels")), "__key").distinct()
+    known = stash(known, "labelled")
+    counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
+    chosen = None
+    for value in sorted(counts):
+        own = least_by_hash(known.where(F.col("__label") == value), "__key", per_class)
+        chosen = own if chosen is None else chosen.unionAll(own)
+    if chosen is None:
+        chosen = known
+    some = able.join(F.broadcast(stash(chosen, "chosen")), F.col(key) == F.col("__key")).drop("__key")  # per_class rows a label
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return stash(one_each(some, key, text).repartition(cores), "sample"), counts
 
 
 def logistic(x, y, weight=None, ridge: float = 1.0, rounds: int = 60):

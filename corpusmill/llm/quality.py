@@ -6,14 +6,16 @@ starts on the labelled sample; in every round each names the unlabelled document
 other view's training rows with that label. At the end each view is calibrated on labelled rows that it was not trained
 on, and a logistic combination of the two calibrated views scores all documents: the probability of label 1.
 
-Learning uses about PER_CLASS labelled documents of each label and about POOL unlabelled ones (of 64 KiB at most), chosen by
-their id's hash among those whose fold isn't held out. The labels, ids and folds are never features.
+Learning uses PER_CLASS labelled documents of each label and POOL unlabelled ones at most, of any length, chosen by their
+id's hash among those whose fold isn't held out; the driver gets their views, a fixed size a document. The labels, ids and
+folds are never features.
 
 Defined cases: null, empty and wordless texts have the features of an empty text; null languages and sources are values of
 their own, as are those that the sample doesn't have; without labelled rows of both kinds every score is 1 and nothing is
 rejected; repeated rows are each scored; an empty table gives an empty result; other columns are left out.
 
-Scale: the samples are bounded by parameters, the models by DIMS; each document is scored in place, in one scan.
+Scale: the samples are bounded by parameters, the models by DIMS; each document is scored, and for `keep_good` dropped, in
+one scan: nothing is shuffled but ids for the sample.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import bounded, fold_of, labelled_sample, logistic, release, sigmoid, stash, table
+from .common import fold_of, keep_rows, labelled_sample, least_by_hash, logistic, one_each, release, share_by_hash, sigmoid, stash, table
 
 PER_CLASS, POOL, ROUNDS, SURE = 1_500, 2_000, 3, 100
 #: Sizes of the text view and of the hashed languages and sources.
@@ -124,24 +126,46 @@ def co_train(x: tuple, y: np.ndarray, pool: tuple, weight: np.ndarray, rounds: i
     return models
 
 
+def viewed(rows: DataFrame, keys: list[str], text: str = "text"):
+    """A pandas frame of keys, __side (the text's hash) and both views of each row, ordered; made by the tasks.
+
+    A row has a fixed size, whatever its text's; call it on a bounded number of rows.
+    """
+    k, names = len(keys), [*keys, "__side", "__text", "__meta"]
+
+    def run(batches):
+        for b in batches:
+            texts = [x or b"" for x in b.column(k).to_pylist()]
+            t, m = views(texts, list(zip(*(b.column(k + 1 + i).to_pylist() for i in range(len(META))))))
+            side = pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], side, *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (t, m))], names=names)
+
+    made = [StructField("__side", LongType()), StructField("__text", BinaryType()), StructField("__meta", BinaryType())]
+    out = rows.select(*keys, F.col(text).cast("binary").alias("__bytes"), *META).mapInArrow(run, StructType([*(rows.schema[c] for c in keys), *made]))
+    got = out.toPandas().sort_values([keys[0], "__side"], kind="stable").reset_index(drop=True)
+    flat = lambda c, n: np.frombuffer(b"".join(map(bytes, got[c])), np.float32).reshape(len(got), n)
+    return got, (flat("__text", DIMS + 3), flat("__meta", 2 * KINDS + 6))
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, pool: int = POOL):
     """A model of the labelled documents; docs and labels must hold only what may be learned from."""
     docs = docs.select(key, text, *META)
     sample, counts = labelled_sample(docs, labels, label, per_class, key, text)
-    y = sample["_label"].to_numpy(int)
+    got, x = viewed(sample, [key, "__label"], text)
+    y = got["__label"].to_numpy(int)
     if min((y == 1).sum(), (y == 0).sum()) < 4:
         return None
-    n = max(docs.count(), 1)
-    spare = docs.where(F.pmod(F.xxhash64(F.lit("pool"), key), F.lit(1 << 20)) < min(1.0, 1.5 * pool / n) * (1 << 20))
-    spare = spare.where((F.octet_length(text) <= 1 << 16) & F.col(key).isNotNull()).limit(2 * pool).toPandas().sort_values([key, text], kind="stable")
-    spare = spare[~spare[key].isin(sample[key])]
-    values = lambda f: [tuple(None if v != v else v for v in row) for row in f[list(META)].itertuples(index=False)]
-    x = views([t.encode() for t in sample[text]], values(sample))
-    u = views([t.encode() for t in spare[text]], values(spare))
+    able = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    near = share_by_hash(key, 4 * pool / max(able.count(), 1), 1)
+    spare = least_by_hash(able.where(near).select(F.col(key).alias("__key")).distinct(), "__key", pool, 1)
+    spare = able.join(F.broadcast(stash(spare, "quality-pool")), F.col(key) == F.col("__key")).drop("__key")  # pool rows
+    others, u = viewed(one_each(spare, key, text), [key], text)
+    new = ~others[key].isin(got[key]).to_numpy(bool)
+    u = tuple(v[new] for v in u)
     share = np.array([counts.get(v, 0) / max((y == v).sum(), 1) for v in (0, 1)])
     weight = share[y] / share[y].mean()
     # a third of the labelled rows calibrates; copies of a text stay on one side
-    held = np.array([xxhash.xxh64_intdigest(t) % 3 == 0 for t in sample[text]])
+    held = got["__side"].to_numpy() % 3 == 0
     if min((y[held] == 1).sum(), (y[held] == 0).sum(), (y[~held] == 1).sum(), (y[~held] == 0).sum()) < 2:
         held = np.arange(len(y)) % 3 == 0
     models = co_train(tuple(v[~held] for v in x), y[~held], u, weight[~held])
@@ -174,13 +198,13 @@ def score(docs: DataFrame, model: Model | None, keys: list[str], text: str = "te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those predicted poor (by id and text, so that rows of one id are judged apart)."""
+    """docs without those predicted poor. Every row is judged by its own text and metadata, in the scan that returns it."""
     may = fold_of(key) != 0
     model = learn(docs.where(may), labels.where(may), key, text)
-    named = docs.withColumns({"_id": F.col(key), "_hash": F.xxhash64(text)})
-    lost = score(named, model, ["_id", "_hash"], text).where("predicted = 0").select("_id", "_hash").distinct()
-    lost = bounded(stash(lost, "quality-lost"), 1_000_000)
-    return docs.join(lost, F.col(key).eqNullSafe(lost["_id"]) & (F.xxhash64(text) == lost["_hash"]), "left_anti")
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, list(META), lambda texts, *meta: shared.value.score(*views(texts, list(zip(*meta))))[0] >= 0.5)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@
    share yet. Members share all bits of their key, so with f free bits a shard has 2^f at most: this ends, and is exact.
    Shards that a sample of the fingerprints shows to be crowded are cut so before they are shuffled, in all tasks; one
    that the sample misses passes through its task without being held, and is cut in the next round.
-5. A shard yields a spanning forest of its links (fewer rows than members), never all pairs; components follow from
-   the forests by large-star/small-star rounds, and documents get theirs by their fingerprint.
+5. A shard's members go down its tree together, each along the edges within the radius of its distance to the node. The
+   shard yields a spanning forest of its links (fewer rows than members), never all pairs; components follow from the
+   forests by large-star/small-star rounds, and documents get theirs by their fingerprint.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a text of fewer words than
 a shingle is one shingle; documents of a null id get the least id of their component, or null if it has none; rows
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stash, table
+from .common import bounded, fresh, sieved, stash, table
 from .components import connected_components
 
 #: Shard members that a task holds at once.
@@ -79,63 +80,64 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, seed:
 
 
 class BKTree:
-    """A BK-tree of distinct fingerprints; leaves hold up to `leaf` of them, scanned at once."""
+    """A BK-tree of distinct fingerprints: a node is (member, its children by their integer distance to it).
 
-    def __init__(self, fps: np.ndarray, leaf: int = 48):
-        self.fps, self.leaf = fps, leaf
-        self.root = self._build(np.arange(len(fps)))
+    A subtree's node is its least member.
+    """
 
-    def _build(self, members: np.ndarray):
+    def __init__(self, fps: np.ndarray):
+        self.fps = fps
         top: dict = {}
-        todo = [(top, 0, members)]
+        todo = [(top, 0, np.arange(len(fps)))] if len(fps) else []
         while todo:
             at, edge, m = todo.pop()
-            if len(m) <= self.leaf:
-                at[edge] = m
-                continue
-            pivot, others = m[0], m[1:]
-            d = np.bitwise_count(self.fps[others] ^ self.fps[pivot])
-            order = np.argsort(d, kind="stable")
-            cuts = np.flatnonzero(np.diff(d[order])) + 1
+            pivot, others = int(m[0]), m[1:]
             children: dict = {}
             at[edge] = (pivot, children)
-            todo += [(children, int(d[part[0]]), others[part]) for part in np.split(order, cuts)]
-        return top[0]
-
-    def near(self, i: int, radius: int, open_: np.ndarray) -> np.ndarray:
-        """Members within radius of member i that are still open."""
-        q, found, todo = self.fps[i], [], [self.root]
+            if len(others):
+                d = np.bitwise_count(fps[others] ^ fps[pivot])
+                order = np.argsort(d, kind="stable")
+                cuts = np.flatnonzero(np.diff(d[order])) + 1
+                todo += [(children, int(d[part[0]]), others[part]) for part in np.split(order, cuts)]
+        self.root = top.get(0)
+
+    def links(self, radius: int):
+        """Every member with all later ones within the radius, found by sending all members down from the root together.
+
+        An edge is followed only by those whose distance to the node is within the radius of the edge's.
+        """
+        todo = [(self.root, np.arange(len(self.fps)))] if self.root else []
         while todo:
-            node = todo.pop()
-            if isinstance(node, tuple):
-                pivot, children = node
-                d = int(np.bitwise_count(self.fps[pivot] ^ q))
-                if d <= radius and open_[pivot]:
-                    found.append(np.array([pivot]))
-                todo += [c for edge, c in children.items() if d - radius <= edge <= d + radius]
-            else:
-                node = node[open_[node]]
-                if len(node):
-                    found.append(node[np.bitwise_count(self.fps[node] ^ q) <= radius])
-        return np.concatenate(found) if found else np.empty(0, np.int64)
+            (pivot, children), q = todo.pop()
+            q = q[q > pivot]  # those before a node are before all of its subtree
+            if not len(q):
+                continue
+            d = np.bitwise_count(self.fps[q] ^ self.fps[pivot]).astype(np.int16)
+            near = q[d <= radius]
+            if len(near):
+                yield pivot, near
+            for edge, child in children.items():
+                todo.append((child, q[np.abs(d - edge) <= radius]))
 
 
 def forest(fps: np.ndarray, radius: int):
-    """Edges (i, j) that connect what links within the radius connect: each member is taken off when it is reached."""
-    tree, open_ = BKTree(fps), np.ones(len(fps), bool)
+    """Edges (i, j) that connect what links within the radius connect: one fewer than a component has members."""
+    up = np.arange(len(fps))
+
+    def find(x):
+        r = up[x]
+        while (up[r] != r).any():
+            r = up[r]
+        return r
+
     a, b = [], []
-    for start in range(len(fps)):
-        if not open_[start]:
-            continue
-        open_[start] = False
-        todo = [start]
-        while todo:
-            i = todo.pop()
-            got = tree.near(i, radius, open_)
-            open_[got] = False
-            todo += got.tolist()
-            a += [i] * len(got)
-            b += got.tolist()
+    for i, near in BKTree(fps).links(radius):
+        own = int(find(np.array([i]))[0])
+        roots, first = np.unique(find(near), return_index=True)
+        new = roots != own
+        a += [i] * int(new.sum())
+        b += near[first[new]].tolist()
+        up[roots], up[near], up[i] = own, own, own
     return a, b
 
 
@@ -269,18 +271,25 @@ def components(prints: DataFrame, key: str = "doc_id", radius: int = 4, blocks:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one document of each component: its least id (nulls last), of equal ids the text of least hash."""
+    """docs with one document of each component: its least id (nulls last), of equal ids the text of least hash.
+
+    Documents alone in their component, and those kept that aren't repeated, pass in a scan; others, and what a filter of a
+    fixed size takes for them, are joined to the verdicts.
+    """
     hashed = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
     prints = stash(with_fingerprint(hashed, "text", words), "simhash-prints")
     rooted = prints.join(components(prints, "_id", radius).select("fp", "root"), "fp")
     name = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
-    best = stash(rooted.groupBy("root").agg(F.min(name).alias("best")), "simhash-best")
-    lost = rooted.join(best, "root").where(name != F.col("best")).select("_id", "_hash")
-    lost = bounded(stash(lost.distinct(), "simhash-lost"), 1_000_000)
-    kept = docs.join(lost, F.col(key).eqNullSafe(lost["_id"]) & (F.xxhash64(text) == lost["_hash"]), "left_anti")
-    if prints.groupBy("_id", "_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        kept = kept.withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash")
-    return kept
+    best = stash(rooted.groupBy("root").agg(F.min(name).alias("best"), F.count("*").alias("n")).where("n > 1"), "simhash-best")
+    each = rooted.join(best, "root").groupBy("_id", "_hash").agg(F.max(name != F.col("best")).alias("lost"), F.count("*").alias("n"))
+    named = stash(each.where("lost or n > 1").select("_id", "_hash", "lost"), "simhash-named")
+    alone, rest = sieved(docs, F.xxhash64(key, F.xxhash64(text)), named, F.xxhash64("_id", "_hash"))
+    hash_ = fresh(docs.columns, "__hash")
+    rest, lost = rest.withColumn(hash_, F.xxhash64(text)), bounded(named.where("lost"))
+    rest = rest.join(lost, F.col(key).eqNullSafe(lost["_id"]) & (F.col(hash_) == lost["_hash"]), "left_anti")
+    if named.where("not lost").limit(1).count():
+        rest = rest.dropDuplicates([key, hash_])
+    return alone.unionAll(rest.drop(hash_))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

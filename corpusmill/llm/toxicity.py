@@ -7,19 +7,22 @@ window of over BYTES bytes, as in text without spaces, in overlapping parts) is
 and mean gains and its numbers of windows by gain are weighed by a logistic calibration, fitted on labelled rows that
 the dictionaries were not made from. Of a few settings for the k-mers the one with the least loss there is taken.
 
-Learning uses about PER_CLASS labelled documents of each label (of 64 KiB at most), chosen by their id's hash among
-those whose fold isn't held out; the calibration weighs the classes back to their shares.
+Learning uses PER_CLASS labelled documents of each label at most, of any length, chosen by their id's hash among those whose
+fold isn't held out; the calibration weighs the classes back to their shares. The driver gets their distinct words
+(DISTINCT of a document at most) and their features, which the tasks make of whole texts.
 
 Defined cases: null, empty and wordless texts have no windows and get the score of no gain; without labelled rows of both
 kinds every score is 0; repeated rows are each scored; texts are windowed whole, of any length; an empty table gives an
 empty result; other columns are left out.
 
-Scale: the sample is bounded by the parameter, the dictionaries by SIZE; each document is scored in place, in one scan.
+Scale: the sample is bounded by the parameters, the dictionaries by SIZE; each document is scored, and for `drop_toxic`
+dropped, in one scan: nothing is shuffled but ids for the sample.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import math
 from collections import Counter
 
@@ -29,9 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, labelled_sample, logistic, release, sigmoid, stash, table
+from .common import fold_of, keep_rows, labelled_sample, logistic, release, sigmoid, table
 
 PER_CLASS, SIZE, WORDS = 1_500, 8_192, 12
+#: Distinct words of a document that the dictionaries are made from, at most.
+DISTINCT = 2_000
 #: Bytes of a window at most, and bytes that the parts of a longer one share: beyond the compressors' window the
 #: dictionaries would be out of reach, and a gain in a long window would be lost among its other bytes.
 BYTES, SHARED = 256, 64
@@ -78,15 +83,11 @@ def g2(a: int, b: int, na: int, nb: int) -> float:
     return out
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], lengths, least: float, ratio: float) -> tuple[bytes, bytes]:
-    """What the toxic and the ordinary dictionary hold."""
-    words = [Counter(w for t in texts for w in set(t.split())) for texts in (toxic, ordinary)]
-    seen = []
-    for texts in (toxic, ordinary):
-        c = Counter()
-        for t in texts:
-            c.update(set().union(*(kmers(b" " + w + b" ", lengths) for w in set(t.split()))))
-        seen.append(c)
+def dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]], lengths, least: float, ratio: float) -> tuple[bytes, bytes]:
+    """What the toxic and the ordinary dictionary hold, made from documents' distinct words."""
+    words = [Counter(w for t in texts for w in t) for texts in (toxic, ordinary)]
+    parts = {w: kmers(b" " + w + b" ", lengths) for w in {*words[0], *words[1]}}
+    seen = [Counter(k for t in texts for k in set().union(*map(parts.__getitem__, t))) for texts in (toxic, ordinary)]
     na, nb = len(toxic), len(ordinary)
     marks = {k for k, a in seen[0].items() if a >= 4 and a / na > ratio * (seen[1][k] + 0.5) / nb and g2(a, seen[1][k], na, nb) > least}
     segments = Counter()
@@ -149,24 +150,51 @@ class Scorer:
         return self.probability(np.array([self.features(t) for t in texts]).reshape(len(texts), 4 + len(GAINS)))
 
 
+def distinct_words(text: bytes, most: int = DISTINCT) -> list[bytes]:
+    """The distinct words of a text (parts of a word of over BYTES bytes), at most so many, those of least hash."""
+    words = {part for w in set(text.split()) for part in windows([w])}
+    return sorted(words) if len(words) <= most else sorted(heapq.nsmallest(most, words, key=lambda w: (hash_of(w), w)))
+
+
+def _collected(rows: DataFrame, key: str, text: str, schema: str, make):
+    """A pandas frame of key, __label, __side (the text's hash) and what make(text) gives, ordered; made by the tasks."""
+    def run(batches):
+        for b in batches:
+            texts = [(x or b"").lower() for x in b.column(2).to_pylist()]
+            side = pa.array([hash_of(t) >> 1 for t in texts], pa.int64())
+            own = pa.array([make(t) for t in texts], pa.list_(pa.binary() if "binary" in schema else pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), side, own], names=["key", "label", "side", "made"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = rows.select(key, "__label", F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, label int, side long, made {schema}")
+    return out.toPandas().sort_values(["key", "side"], kind="stable").reset_index(drop=True)
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Scorer | None:
     """A scorer of the labelled documents in docs; both must hold only what may be learned from."""
     sample, counts = labelled_sample(docs.select(key, text), labels, label, per_class, key, text)
-    texts, y = [t.encode().lower() for t in sample[text]], sample["_label"].to_numpy(int)
+    got = _collected(sample, key, text, "array<binary>", distinct_words)
+    y = got["label"].to_numpy(int)
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return None
     share = np.array([counts.get(v, 0) / max((y == v).sum(), 1) for v in (0, 1)])
     weight = share[y] / share[y].mean()
     # three of five documents make the dictionaries, the others the calibration; copies of a text stay on one side
-    side = np.array([hash_of(t) % 5 < 3 for t in texts])
+    side = got["side"].to_numpy() % 5 < 3
     if min((y[side] == 1).sum(), (y[~side] == 1).sum(), (y[side] == 0).sum(), (y[~side] == 0).sum()) < 1:
         side = np.arange(len(y)) % 2 == 0
-    best, loss = None, math.inf
+    words = [[{bytes(w) for w in t} for t in got["made"][side & (y == v)]] for v in (1, 0)]
+    scorers = [Scorer(*dictionaries(*words, *setting)) for setting in SETTINGS]
+    del words
+    shared, n = docs.sparkSession.sparkContext.broadcast(scorers), 4 + len(GAINS)
     rest = np.flatnonzero(~side)
-    for lengths, least, ratio in SETTINGS:
-        scorer = Scorer(*dictionaries([t for t, s, v in zip(texts, side, y) if s and v], [t for t, s, v in zip(texts, side, y) if s and not v], lengths, least, ratio))
-        x = np.array([scorer.features(texts[i]) for i in rest])
-        own, w = y[rest], weight[rest]
+    # the tasks make the features, of whole texts
+    each = _collected(sample, key, text, "array<double>", lambda t: [x for s in shared.value for x in s.features(t)])
+    every = np.array(each["made"].tolist()).reshape(len(got), len(scorers), n)[rest]
+    best, loss = None, math.inf
+    own, w = y[rest], weight[rest]
+    for i, scorer in enumerate(scorers):
+        x = every[:, i]
         held = np.zeros(len(rest))
         for f in range(4):
             at = np.arange(len(rest)) % 4 == f
@@ -204,13 +232,13 @@ def score(docs: DataFrame, scorer: Scorer | None, key: str = "doc_id", text: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those predicted toxic (by id and text, so that rows of one id are judged apart)."""
+    """docs without those predicted toxic. Every row is judged by its own text, in the scan that returns it."""
     may = fold_of(key) != 0
     scorer = learn(docs.where(may), labels.where(may), key, text)
-    named = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    lost = score(named, scorer, ["_id", "_hash"], "_text").where("predicted = 1").select("_id", "_hash").distinct()
-    lost = bounded(stash(lost, "toxic-lost"), 1_000_000)
-    return docs.join(lost, F.col(key).eqNullSafe(lost["_id"]) & (F.xxhash64(text) == lost["_hash"]), "left_anti")
+    if scorer is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    return keep_rows(docs, text, [], lambda texts: shared.value.score(texts) < 0.5)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
