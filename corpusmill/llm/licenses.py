@@ -1,21 +1,22 @@
 """Licence scans over a positional rare-token index.
 
-The templates (short licence notices) are indexed once: word -> (template, position). First every document is counted
-for the words of the templates, which gives each word's inverse document frequency over the whole corpus. Then a phrase
-is found by its rarest word in the text: that gives the places, and the phrase's other words are verified around each.
-Where a mandatory key phrase of a template stands, each of the template's words in the text votes for the relative
-position (place in the text minus place in the template) at which the template would start, weighted by IDF; its votes
-at one start are the words that line up there. The template counts if enough of its weight lines up at a start with a
-key phrase nearby. Every template is judged by its own words, so one notice never hides another. Base phrases are found
-in the same way.
+The templates (licence notices) are indexed once: word -> positions in each. First every document is counted for the words
+of the templates, which gives each word's inverse document frequency over the whole corpus. A mandatory key phrase is found
+by its rarest word in the text: that gives the places, and the phrase's other words are verified around each. Around such
+a place, the template's words of highest IDF are looked up in the text; each names the relative position (place in the
+text minus place in the template) at which the template would start. Words are taken by falling IDF until those left
+couldn't reach the share asked for, so no start is missed; at each start the words that line up are summed by IDF. The
+template counts if enough of its weight lines up with a key phrase nearby. Every template is judged by its own words, so
+one notice never hides another. Base phrases are found in the same way.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case (A-Z only).
 
 Defined cases: a null or wordless text has no words, places or labels (empty strings, score 0); all places count,
-overlapping ones too; repeated rows are each scanned; an empty table gives an empty result; other columns are left out.
+overlapping ones too; texts of any length are read whole, in pieces of about PIECE bytes that share words enough for any
+notice; repeated rows are each scanned; an empty table gives an empty result; other columns are left out.
 
 Scale: two scans and no shuffle but the word counts (a row a template word and task). The index and the IDF table have
-a row per template word, a bound that doesn't depend on the corpus.
+a row per template word, a bound that doesn't depend on the corpus. Work beyond the scan is only around key phrases.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import bisect
 import math
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ WORDS = bytes(
 )
 #: Phrases whose places are all counted.
 BASE = {b"under the mit license": "mit", b"apache license version 2": "apache-2", b"cc by nc": "cc-by-nc"}
-#: label -> notice, mandatory key phrases (one of them must stand in the aligned part).
+#: label -> notice, mandatory key phrases (one of them must stand by the aligned part). The wording of the
+#: public notices.
 TEMPLATES = {
     "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
@@ -47,26 +48,67 @@ TEMPLATES = {
     "agpl-3": ("this work is licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
     "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2", "mozilla public license version 2"]),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
-    "cc-by-nc": ("this work is licensed under cc by nc 4 0", ["cc by nc 4 0", "creative commons attribution noncommercial"]),
-    "cc-by-sa": ("this work is licensed under cc by sa 4 0", ["cc by sa 4 0", "creative commons attribution sharealike"]),
+    "cc-by-nc": ("this work is licensed under cc by nc 4 0", ["cc by nc 4 0"]),
+    "cc-by-sa": ("this work is licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     "cc0": ("to the extent possible under law the author has waived all copyright under cc0 1 0", ["cc0 1 0"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 }
-#: Share of the weight of a template's so many words of highest IDF that must line up (of all its words, each may).
-RAREST = 12
+#: Further wordings: label, notice, mandatory key phrases. Fixed values too.
+HEADERS = [
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0"]),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published by the free software foundation either version 3", "gnu general public license as published by the free software foundation version 3"]),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by the free software foundation either version 2", "gnu general public license as published by the free software foundation version 2"]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license as published"]),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license as published"]),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+]
+#: Share of a notice's weight that must line up.
 ENOUGH = 0.5
+#: Bytes of a text whose words are held at once (about).
+PIECE = 1 << 20
+
+
+def pieces(text: bytes, size: int | None = None):
+    """The words of a text, piece by piece."""
+    data, lo, size = text.translate(WORDS), 0, size or PIECE
+    while lo < len(data):
+        cut = len(data) if len(data) - lo <= size else data.find(b" ", lo + size)
+        cut = len(data) if cut < 0 else cut
+        yield data[lo:cut].split()
+        lo = cut
 
 
 class Index:
     """The templates and phrases as words."""
 
-    def __init__(self, base=BASE, templates=TEMPLATES):
+    def __init__(self, base=BASE, templates=TEMPLATES, headers=HEADERS):
         self.base = [(p.split(), label) for p, label in base.items()]
-        self.templates = [(label, notice.encode().split(), [k.encode().split() for k in keys]) for label, (notice, keys) in templates.items()]
+        every = [(label, *own) for label, own in templates.items()] + headers
+        self.templates = [(label, notice.encode().split(), [k.encode().split() for k in keys]) for label, notice, keys in every]
         self.templates += [(label, words, [words]) for words, label in self.base]
         self.words = frozenset(w for _, notice, keys in self.templates for part in (notice, *keys) for w in part)
         #: Every label needs one of these phrases whole: without all words of any of them a text has no label and no place.
         self.needed = {frozenset(k) for _, _, keys in self.templates for k in keys}
+        #: Words that a piece shares with the one before: the reach of any notice around a key phrase.
+        self.shared = 4 * max(len(notice) for _, notice, _ in self.templates)
+        self.idf, self.weighed = None, []
+
+    def weigh(self, idf: dict[bytes, float]):
+        """For each template: the weights of its places, their sum, and its rarest places, without which it can't have enough."""
+        if idf is not self.idf:
+            self.weighed = []
+            for _, notice, _ in self.templates:
+                weights = [idf.get(w, 0.0) for w in notice]
+                whole, left, rarest = sum(weights), sum(weights), []
+                for i in sorted(range(len(notice)), key=lambda i: -weights[i]):
+                    if left < ENOUGH * whole * (1 - 1e-9):
+                        break
+                    rarest.append(i)
+                    left -= weights[i]
+                self.weighed.append((weights, whole, rarest))
+            self.idf = idf
+        return self.weighed
 
     def places(self, words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
         """Every start of phrase: the places of its rarest word here, each verified."""
@@ -76,46 +118,59 @@ class Index:
         n = len(phrase)
         return [s for p in at[phrase[i]] if (s := p - i) >= 0 and words[s : s + n] == phrase]
 
-    def scan(self, text: bytes, idf: dict[bytes, float]) -> tuple:
+    def aligned(self, words: list[bytes], at: dict[bytes, list[int]], notice: list[bytes], near: list[tuple[int, int]], weighed: tuple) -> float:
+        """The largest share of a notice's weight that lines up at a start with a key phrase (near: their places) by it."""
+        weights, whole, rarest = weighed
+        n, best = len(notice), 0.0
+        if not whole:
+            return 0.0
+        done, top = set(), 0
+        for k0, k1 in near:
+            lo, hi = k1 - 2 * n, k0 + n  # starts for which the phrase is nearby
+            if top < lo:
+                done.clear()
+            top = hi
+            for i in rarest:
+                own = at.get(notice[i], ())
+                for p in own[bisect.bisect_left(own, lo + i) : bisect.bisect_right(own, hi + i)]:
+                    if (start := p - i) in done:
+                        continue
+                    done.add(start)
+                    share = sum(weights[j] for j in range(max(0, -start), min(n, len(words) - start)) if words[start + j] == notice[j]) / whole
+                    best = max(best, share)
+        return best if best >= ENOUGH * (1 - 1e-9) else 0.0
+
+    def scan(self, text: bytes, idf: dict[bytes, float], size: int | None = None) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
-        words = text.translate(WORDS).split()
-        here = self.words.intersection(words)
-        none = (len(words), 0, None, None, "", "", 0.0)
-        if not any(map(here.issuperset, self.needed)):
-            return none
-        at: dict[bytes, list[int]] = {w: [] for w in here}
-        for i, w in enumerate(words):
-            if w in at:
-                at[w].append(i)
-        starts, labels = [], set()
-        for phrase, label in self.base:
-            if got := self.places(words, at, phrase):
-                starts += got
-                labels.add(label)
-        base = ",".join(sorted(labels))
-        score = 1.0 if labels else 0.0
-        for label, notice, keys in self.templates:
-            near = sorted((p, p + len(k)) for k in keys for p in self.places(words, at, k))
-            weights = sorted((idf.get(w, 0.0) for w in set(notice)), reverse=True)
-            whole, n = sum(weights), len(notice)
-            if not near or not whole:
+        weighed = self.weigh(idf)
+        total = count = 0
+        first = last = None
+        based, labels, score, held = set(), set(), 0.0, []
+        for new in pieces(text, size):
+            words, own, offset = held + new, len(held), total - len(held)
+            total += len(new)
+            held = words[-self.shared :]
+            here = self.words.intersection(words)
+            if not any(map(here.issuperset, self.needed)):
                 continue
-            votes: dict[int, float] = defaultdict(float)
-            for i, w in enumerate(notice):
-                for p in at.get(w, ()):
-                    votes[p - i] += idf.get(w, 0.0)
-            enough = ENOUGH * sum(weights[:RAREST])
-            for start, weight in votes.items():
-                if weight < enough:
-                    continue
-                j = bisect.bisect_left(near, (start - n,))
-                while j < len(near) and near[j][0] < start + 2 * n and near[j][1] > start + 2 * n:
-                    j += 1
-                if j < len(near) and near[j][1] <= start + 2 * n:
-                    labels.add(label)
-                    score = max(score, min(1.0, weight / whole))
-        first, last = (min(starts), max(starts)) if starts else (None, None)
-        return len(words), len(starts), first, last, base, ",".join(sorted(labels)), score
+            at: dict[bytes, list[int]] = {w: [] for w in here}
+            for i, w in enumerate(words):
+                if w in at:
+                    at[w].append(i)
+            for phrase, label in self.base:
+                got = [offset + s for s in self.places(words, at, phrase) if s + len(phrase) > own]  # others were counted before
+                if got:
+                    based.add(label)
+                    count += len(got)
+                    first = min(got) if first is None else min(first, *got)
+                    last = max(got) if last is None else max(last, *got)
+            for (label, notice, keys), own_weights in zip(self.templates, weighed):
+                if near := sorted((p, p + len(k)) for k in keys for p in self.places(words, at, k)):
+                    if share := self.aligned(words, at, notice, near, own_weights):
+                        labels.add(label)
+                        score = max(score, min(1.0, share))
+        labels |= based
+        return total, count, first, last, ",".join(sorted(based)), ",".join(sorted(labels)), 1.0 if based else score
 
 
 def document_frequency(docs: DataFrame, idx: Index, text: str = "text") -> DataFrame:
@@ -125,7 +180,7 @@ def document_frequency(docs: DataFrame, idx: Index, text: str = "text") -> DataF
         counts: dict[bytes, int] = defaultdict(int)
         for b in batches:
             for x in b.column(0).to_pylist():
-                for w in idx.words.intersection((x or b"").translate(WORDS).split()):
+                for w in set().union(*(idx.words.intersection(words) for words in pieces(x or b""))):
                     counts[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "df"])
 

@@ -266,6 +266,70 @@ def test_licenses_of_a_text_with_all_notices():
         assert label in idx.scan(notice, idf)[5].split(",")
 
 
+def brute_labels(text, idf):
+    """Every template at every start: the share of its weight that lines up, where a key phrase stands whole by it."""
+    w, out = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set()
+    for label, notice, keys in licenses.Index().templates:
+        n, weights = len(notice), [idf.get(x, 0.0) for x in notice]
+        for k in keys:
+            for p in range(len(w) - len(k) + 1):
+                if w[p : p + len(k)] == k:
+                    for start in range(p + len(k) - 2 * n, p + n + 1):
+                        got = sum(x for j, x in enumerate(weights) if 0 <= start + j < len(w) and w[start + j] == notice[j])
+                        if sum(weights) and got >= 0.5 * sum(weights) - 1e-9:
+                            out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_labels_are_those_of_every_alignment():
+    rng = np.random.default_rng(11)
+    idx = licenses.Index()
+    vocabulary = [w.decode() for w in sorted(idx.words)] + ["lorem", "ipsum", "dolor"]
+    parts = [n.decode() if isinstance(n, bytes) else " ".join(x.decode() for x in n) for _, n, _ in idx.templates]
+    for trial in range(40):
+        idf = {w: float(rng.choice([0.0, 0.5, 1.0, 3.0, 7.0])) for w in idx.words}
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            own = rng.choice(parts).split()
+            own = [rng.choice(vocabulary) if rng.random() < 0.15 else x for x in own]
+            out += own[rng.integers(0, 3) :] + list(rng.choice(vocabulary, rng.integers(0, 30)))
+        text = " ".join(out).encode()
+        want = brute_labels(text, idf)
+        for size in (None, 40, 300):  # whole, and in pieces
+            got = idx.scan(text, idf, size)
+            assert (got[5], got[0]) == (want, len(out)), (trial, size)
+            assert got[:5] == idx.scan(text, idf)[:5]
+
+
+def test_license_pairs_and_usual_headers():
+    idx = licenses.Index()
+    idf = {w: 1.0 if len(w) < 4 else 5.0 for w in idx.words}
+    notices = {label: notice for label, (notice, _) in licenses.TEMPLATES.items()}
+    for a in notices:
+        for b in notices:
+            assert set(idx.scan(f"{notices[a]} . {notices[b]}".encode(), idf)[5].split(",")) >= {a, b}
+    gpl = (
+        b"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        b"published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )
+    assert idx.scan(gpl, idf)[5] == "gpl-3"
+    assert idx.scan(gpl.replace(b"version 3", b"version 2"), idf)[5] == "gpl-2"
+    assert idx.scan(gpl.replace(b"General", b"Lesser General"), idf)[5] == "lgpl"
+    assert idx.scan(b"Shared as Creative Commons Attribution-ShareAlike 4.0 by its author", idf)[5] == "cc-by-sa"
+    assert idx.scan(b'Licensed under the Apache License, Version 2.0 (the "License");', idf)[4:6] == ("apache-2", "apache-2")
+
+
+def test_license_phrase_in_a_very_long_text():
+    import time
+
+    idx = licenses.Index()
+    idf = {w: 1.0 for w in idx.words}
+    filler = b"the software license version is used for any purpose under the terms of use " * 70_000  # 5 MB
+    began = time.time()
+    got = idx.scan(filler + licenses.TEMPLATES["isc"][0].encode() + b" " + filler, idf)
+    assert got[5] == "isc" and got[0] == 2 * 70_000 * 14 + 20 and time.time() - began < 10
+
+
 def tokenizer():
     import public_tokenizers as P
     import tiktoken
