@@ -9,7 +9,8 @@ entries; a text's language is the one with the shortest code, and the score its
 Learning: about PER_LANGUAGE documents of every language, fewer where there are so many languages that TOTAL in all would
 be passed, but LEAST each; chosen by their id's hash among those whose fold isn't held out (all documents of a language
 that has no more than LEAST). Of a chosen document of over MOST bytes a passage of at most that size is read, from a place
-that its id's hash names. Their counts are made by the tasks and summed; the trees are their only output.
+that its id's hash names. Their counts are made and summed by the tasks; the driver gets those of grams that some language
+has often enough for the trees to keep to CELLS (all of them, but where there are very many languages).
 
 Defined cases: null texts and those without a letter are `und` with score 0, and so is every text where no language was
 learned; documents without an id or language are never learned from, and without an id never held out; ties go to the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, release, table
+from .common import bounded, fold_of, release, stash, table
 
 #: Documents of each language, documents in all, and bytes of a document, that are learned from at most (about).
 PER_LANGUAGE, TOTAL, MOST = 600, 12_000, 1 << 16
@@ -40,6 +41,8 @@ LEAST = 24
 PAIRS = 4096
 #: Costs (positions times languages) that a task holds at once.
 HELD = 1 << 21
+#: Cells (four-byte grams times languages) that the trees have at most; grams seen seldom go first.
+CELLS = 1 << 25
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -82,11 +85,11 @@ class Trees:
             np.add.at(total, own, counts)
             np.add.at(kinds, own, counts > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                seen = -np.log2(counts / (total + kinds)[own])
+                seen = -np.log2(counts / (total + kinds)[own], dtype=np.float32)
                 escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            self.contexts[order], self.escapes[order] = contexts, escape
+            self.contexts[order], self.escapes[order] = contexts, escape.astype(np.float32)
             less = escape[own] + self._cost(codes & ((1 << 8 * order) - 1), order - 1)
-            self.codes[order], self.costs[order] = codes, np.where(counts > 0, seen, less)
+            self.codes[order], self.costs[order] = codes, np.where(counts > 0, seen, less).astype(np.float32)
         pairs = np.unique(np.r_[self.codes[3] >> 16, self.codes[3] & 0xFFFF])
         self.side = len(pairs) + 1 if len(pairs) < PAIRS else 0
         if self.side:
@@ -110,7 +113,7 @@ class Trees:
     def _cost(self, code: np.ndarray, order: int) -> np.ndarray:
         """Code lengths (positions, languages) of bytes after order bytes of context, codes of order + 1 bytes."""
         if order < 0:
-            return np.full((len(code), len(self.langs)), 8.0)
+            return np.full((len(code), len(self.langs)), 8.0, np.float32)
         row = self._find(self.codes[order], code)
         return self._filled(row, code, order)
 
@@ -148,8 +151,8 @@ class Trees:
             if len(own):
                 a, b = np.maximum(starts[own], lo) - lo, np.minimum(owner_ends[own], hi) - lo
                 cuts = np.column_stack([a, b]).ravel()
-                pad = np.vstack([cost, np.zeros((1, cost.shape[1]))])
-                out[own] += np.add.reduceat(pad, np.minimum(cuts, len(cost)), axis=0)[::2]
+                pad = np.vstack([cost, np.zeros((1, cost.shape[1]), np.float32)])
+                out[own] += np.add.reduceat(pad, np.minimum(cuts, len(cost)), axis=0, dtype=np.float64)[::2]
         return out
 
 
@@ -161,15 +164,21 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not n:
         return None
     each = max(min(PER_LANGUAGE, TOTAL / n), LEAST)
-    # a document's place in its language's lot: below its share it is chosen
+    # a document is chosen if its hash is below its language's share, by all 64 bits
     part = F.when(F.col("__n") <= LEAST, 1.0).otherwise(F.least(F.lit(1.0), each / F.col("__n")))
-    share = F.broadcast(counts.select("__lang", part.alias("__part")))  # a row a language
-    chosen = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("__part") * (1 << 20)
+    share = bounded(counts.select("__lang", part.alias("__part")))  # a row a language
+    chosen = (F.col("__part") >= 1) | (F.xxhash64(key) < (F.col("__part") * 2.0**64 - 2.0**63).cast("long"))
     some = able.join(share, F.col(lang) == F.col("__lang")).where(chosen)
     long, size = F.octet_length(text) > MOST, MOST // 4  # a code point has four bytes at most
     start = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.length(text) - size + 1, F.lit(1)))
     some = some.select(F.col(lang), F.when(long, F.substr(text, start.cast("int"), F.lit(size))).otherwise(F.col(text)).alias(text))
-    got = count_grams(some, lang, text).toPandas().sort_values(["lang", "gram"])
+    grams_ = stash(count_grams(some, lang, text), "langid-grams")
+    # the tasks leave out grams that no language has often enough, so that the trees keep to CELLS
+    tops = grams_.groupBy("gram").agg(F.max("n").alias("top")).groupBy(F.least("top", F.lit(1000)).alias("top")).agg(F.count("*").alias("kinds"))
+    kinds, least = dict(map(tuple, tops.collect())), 1
+    while n * sum(k for top, k in kinds.items() if top >= least) > CELLS and least < 1000:
+        least += 1
+    got = grams_.where(F.col("n") >= least).toPandas().sort_values(["lang", "gram"])
     if not len(got):
         return None
     langs = sorted(got["lang"].unique(), key=lambda x: x.encode())
