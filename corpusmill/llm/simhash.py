@@ -80,64 +80,71 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, seed:
 
 
 class BKTree:
-    """A BK-tree of distinct fingerprints: a node is (member, its children by their integer distance to it).
+    """A BK-tree of distinct fingerprints: each member is a node, its children keyed by their integer distance to it.
 
-    A subtree's node is its least member.
+    A subtree's node is its least member. `order` lists the members so that a subtree's stand together.
     """
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps
-        top: dict = {}
-        todo = [(top, 0, np.arange(len(fps)))] if len(fps) else []
+        n = len(fps)
+        self.fps, self.kids = fps, [()] * n
+        self.order, self.at, self.size = (np.empty(n, np.int32) for _ in range(3))
+        todo, place = [np.arange(n, dtype=np.int32)] if n else [], 0
         while todo:
-            at, edge, m = todo.pop()
-            pivot, others = int(m[0]), m[1:]
-            children: dict = {}
-            at[edge] = (pivot, children)
+            m = todo.pop()
+            node, others = int(m[0]), m[1:]
+            self.order[place], self.at[node], self.size[node], place = node, place, len(m), place + 1
             if len(others):
-                d = np.bitwise_count(fps[others] ^ fps[pivot])
-                order = np.argsort(d, kind="stable")
-                cuts = np.flatnonzero(np.diff(d[order])) + 1
-                todo += [(children, int(d[part[0]]), others[part]) for part in np.split(order, cuts)]
-        self.root = top.get(0)
-
-    def links(self, radius: int):
-        """Every member with all later ones within the radius, found by sending all members down from the root together.
-
-        An edge is followed only by those whose distance to the node is within the radius of the edge's.
-        """
-        todo = [(self.root, np.arange(len(self.fps)))] if self.root else []
+                d = np.bitwise_count(fps[others] ^ fps[node])
+                by = np.argsort(d, kind="stable")
+                parts = np.split(by, np.flatnonzero(np.diff(d[by])) + 1)
+                self.kids[node] = [(int(d[part[0]]), int(others[part[0]])) for part in parts]
+                todo += [others[part] for part in parts]
+
+    def below(self, node: int) -> np.ndarray:
+        """The members of a subtree."""
+        return self.order[self.at[node] : self.at[node] + self.size[node]]
+
+
+def forest(fps: np.ndarray, radius: int, block: int = 512):
+    """Edges (i, j) that connect what links within the radius connect: one fewer than a component has members.
+
+    Blocks of members go down from the tree's root together; an edge is followed only by those whose distance to its node is
+    within the radius of the edge's, and by none where they and the whole subtree are one component already. What waits
+    refers to its parent's block, so a deep tree holds one block a level.
+    """
+    n = len(fps)
+    tree, root, groups, a, b = BKTree(fps), np.arange(n, dtype=np.int32), {}, [], []
+
+    def join(i: int, near: np.ndarray):
+        found, first = np.unique(root[near], return_index=True)
+        for r, j in zip(found.tolist(), near[first].tolist()):
+            own = int(root[i])
+            a.append(i)
+            b.append(j)
+            x, y = groups.pop(own, [own]), groups.pop(r, [r])
+            if len(x) < len(y):
+                x, y, own = y, x, r
+            root[y] = own
+            x += y
+            groups[own] = x
+
+    for lo in range(1, n, block):
+        q = np.arange(lo, min(lo + block, n), dtype=np.int32)
+        todo = [(0, q, np.zeros(len(q), np.int16), 0)]
         while todo:
-            (pivot, children), q = todo.pop()
-            q = q[q > pivot]  # those before a node are before all of its subtree
+            node, q, d, edge = todo.pop()
+            q = q[(np.abs(d - edge) <= radius) & (q > node)]  # members before a node are before all of its subtree
             if not len(q):
                 continue
-            d = np.bitwise_count(self.fps[q] ^ self.fps[pivot]).astype(np.int16)
-            near = q[d <= radius]
+            apart = root[q] != root[node]
+            if not apart.any() and (root[tree.below(node)] == root[node]).all():
+                continue
+            d = np.bitwise_count(fps[q] ^ fps[node]).astype(np.int16)
+            near = q[(d <= radius) & apart]
             if len(near):
-                yield pivot, near
-            for edge, child in children.items():
-                todo.append((child, q[np.abs(d - edge) <= radius]))
-
-
-def forest(fps: np.ndarray, radius: int):
-    """Edges (i, j) that connect what links within the radius connect: one fewer than a component has members."""
-    up = np.arange(len(fps))
-
-    def find(x):
-        r = up[x]
-        while (up[r] != r).any():
-            r = up[r]
-        return r
-
-    a, b = [], []
-    for i, near in BKTree(fps).links(radius):
-        own = int(find(np.array([i]))[0])
-        roots, first = np.unique(find(near), return_index=True)
-        new = roots != own
-        a += [i] * int(new.sum())
-        b += near[first[new]].tolist()
-        up[roots], up[near], up[i] = own, own, own
+                join(node, near)
+            todo += [(child, q, d, edge) for edge, child in tree.kids[node]]
     return a, b
 
 
