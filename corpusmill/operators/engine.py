@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import guards, vectors
+from ..functions import guards
 from . import index
 from . import search as S
 
-#: Questions that one call sends to all tasks at most; deal larger sets to several calls.
-QUESTIONS = 20_000
-
 
 def assess(questions: DataFrame, text: str = "text", code: str = "") -> DataFrame:
     """questions in canonical form, with outcome: the guard that stops a question, or null."""
@@ -25,12 +22,13 @@ def search(
     questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", top_k: int = 10, sites=(), types=(), rerank: bool = True,
     code: str = "", key: str = "qid", text: str = "text",
 ) -> DataFrame:
-    """key, outcome, mode_used, rank, doc_id, score and its parts; a row without a rank for a question that has no results.
+    """key, outcome, mode_used, warning, rank, doc_id, score and its parts; a row without a rank for a question that has no results.
 
     questions: key, text and, for dense search, vector (of unit length). chunks: doc_id, text, sites, content_type,
     is_current, canonical, page, recommendation_id and, for dense search, embedding. Without vectors every mode falls back
-    to bm25. Statistics are over all chunks, candidates the allowed ones; every candidate is scored, without a shared term
-    too. Refused questions never reach the join.
+    to bm25 (mode_used, and warning says so). Statistics are over all chunks, candidates the allowed ones; every candidate
+    is scored, without a shared term or vector too. Refused questions never reach the join. Questions go to the chunks'
+    tasks in blocks of index.BLOCK; the lexical hits and the candidates are stored.
     """
     if mode not in ("bm25", "dense", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -41,22 +39,17 @@ def search(
     open_ = asked.where("outcome is null").select(F.col(key).alias("query_id"), F.col(text).alias("question"), *(["vector"] if dense else []))
     may = S.allowed(chunks, sites, types)
     may = may.select("doc_id", "sites", "content_type", "is_current", "canonical", "page", "recommendation_id", *(["embedding"] if dense else []))
-    read = S.read_questions(open_)
-    pairs = may.crossJoin(index.bounded(read, QUESTIONS))  # the stated questions, sent to the chunks' tasks
-    pairs = pairs.withColumn("cosine", vectors.dot("embedding", "vector") if dense else F.lit(-1.0)).drop("embedding", "vector", "question")
     hits = index.bm25(chunks, open_, qkey="query_id", qtext="question", among=may.select("doc_id"))
-    scored = S.cohere(S.boost(S.fuse(pairs.join(hits, ["query_id", "doc_id"], "left"), used)))
-    top = S.first_stage(scored)
+    top = S.search(may, open_, hits, used)
     if rerank:
         terms = S.salient_terms(open_, "query_id", "question", code)
-        post = index.postings(chunks).join(index.bounded(terms.select("term").distinct()), "term", "left_semi")
-        n = chunks.agg(F.count("*").alias("n"))
-        idf = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", index.idf(F.col("n"), F.col("df")).alias("idf"))
-        top = S.rerank(top, S.coverage(top, idf, terms, post), top_k).withColumn("final", F.col("rerank_score"))
+        top = S.rerank(top, S.coverage(top, chunks, terms), top_k).withColumn("final", F.col("rerank_score"))
     else:
         top = top.withColumn("coverage", F.lit(None).cast("double")).withColumn("rank", F.col("first_rank")).where(F.col("rank") <= top_k).withColumn("final", F.col("score"))
     detail = [F.round("final", 6).alias("score"), F.round("base", 6).alias("base"), F.round("bm25", 6).alias("bm25"), F.round("adjustment", 6).alias("adjustment"), F.round("coverage", 6).alias("coverage"), "first_rank"]
     results = top.select(F.col("query_id").alias("_q"), "rank", "doc_id", *detail)
     out = asked.select(key, "outcome").join(results, F.col(key) == F.col("_q"), "left").drop("_q")
     named = F.coalesce("outcome", F.when(F.col("rank").isNull(), "no_results").otherwise("retrieval_results"))
-    return out.withColumn("outcome", named).withColumn("mode_used", F.when(named == "retrieval_results", used))
+    fell = F.lit(None if used == mode else f"{mode} search has no vectors: ranked by bm25").cast("string")
+    shown = named == "retrieval_results"
+    return out.withColumns({"outcome": named, "mode_used": F.when(shown, used), "warning": F.when(shown, fell)})

@@ -18,12 +18,31 @@ def bounded(small: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+#: Questions that are sent to all tasks at once, with their vectors.
+BLOCK = 2_000
+
+
+def in_blocks(questions: DataFrame, key: str, run, size: int = BLOCK) -> DataFrame:
+    """run(block) for blocks of at most about `size` questions, joined: each block is sent to all tasks (run may broadcast it).
+
+    So a question set of any size is answered with memory of a stated bound; more questions take more scans.
+    """
+    n = questions.count()
+    if n <= size:
+        return run(questions)
+    blocks, out = -(-2 * n // size), None
+    for i in range(blocks):
+        got = run(questions.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens, dl of every document."""
     return docs.select(F.col(key).alias("doc_id"), T.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
 
 
-def exploded(rows: DataFrame, keys: list[str], array, name: str = "term") -> DataFrame:
+def exploded(rows: DataFrame, keys: list, array, name: str = "term") -> DataFrame:
     """keys and each element of an array, none for empty ones.
 
     A plain explode makes Catalyst test the array's size first, which tokenizes every text twice, and below any exchange.

@@ -1,8 +1,12 @@
 """Hybrid search of many questions at once: fuse, boost, cohere, cut, rerank.
 
-candidates: query_id, doc_id and the chunk's attributes (sites, content_type, is_current, canonical, page,
-recommendation_id) with bm25 (null where no term is shared) and cosine, and the columns of read_questions.
-Every allowed chunk is a candidate, one without a shared term too.
+Pairs have query_id, doc_id and the chunk's attributes (sites, content_type, is_current, canonical, page,
+recommendation_id) with bm25 (null where no term is shared) and cosine (null without a vector), and the columns of
+read_questions. Every allowed chunk is a candidate, one without a shared term or without a vector too.
+
+No pair is shuffled before the best are cut. The questions go to the chunks' tasks, where each pair is scored as if it
+shared no term; the pairs that do (hits, a row each) are joined to their chunks and scored in full beside them. The lexical
+part never lowers a score, so a pair's full row ranks before its other one, and the 2k best rows hold the k best pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from ..functions import guards
 from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
+from ..store import stash
+from .index import bounded, exploded, idf, in_blocks
 
 R = 10  # digits that scores are rounded to before they rank: sums may differ in the last ones by order
 
@@ -25,23 +31,36 @@ def allowed(chunks: DataFrame, sites=(), types=()) -> DataFrame:
     return chunks.where(F.arrays_overlap("sites", F.array(*map(F.lit, sites)))) if sites else chunks
 
 
-def with_best(rows: DataFrame, best) -> DataFrame:
-    """rows with an aggregate over each question's rows: partial sums by task, then a row a question, sent to all tasks.
+def pairs(chunks: DataFrame, questions: DataFrame, hits: DataFrame, embedding: str = "embedding", vector: str = "vector") -> DataFrame:
+    """Every question with every chunk, and those of hits (query_id, doc_id, bm25) once more with bm25.
 
-    A window would bring all candidates of a question to one task.
+    questions: a block (index.in_blocks), with the columns of read_questions. Without vectors on both sides cosine is null.
     """
-    return rows.join(F.broadcast(rows.groupBy("query_id").agg(best)), "query_id")
+    tops = hits.groupBy("query_id").agg(F.max("bm25").alias("top_bm25"))  # a row a question
+    asked = F.broadcast(questions.join(F.broadcast(tops), "query_id", "left"))
+    plain = chunks.crossJoin(asked).withColumn("bm25", F.lit(None).cast("double"))
+    out = plain.unionByName(hits.join(chunks, "doc_id").join(asked, "query_id"))
+    dense = embedding in chunks.columns and vector in questions.columns
+    return out.withColumn("cosine", vectors.dot(embedding, vector) if dense else F.lit(None).cast("double")).drop(embedding, vector)
 
 
 def fuse(candidates: DataFrame, mode: str = "hybrid") -> DataFrame:
     """Adds bm25_norm (by the question's best), dense and base."""
-    out = with_best(candidates, F.max(F.coalesce("bm25", F.lit(0.0))).alias("_top"))
-    out = out.withColumn("bm25_norm", F.when(F.col("_top") > 0, F.coalesce("bm25", F.lit(0.0)) / F.col("_top")).otherwise(0.0))
-    out = out.withColumn("dense", vectors.rescaled("cosine")).drop("_top")
+    out = candidates.withColumn("bm25_norm", F.when(F.col("top_bm25") > 0, F.coalesce("bm25", F.lit(0.0)) / F.col("top_bm25")).otherwise(0.0))
+    out = out.withColumn("dense", F.when(F.col("cosine").isNotNull(), vectors.rescaled("cosine")).otherwise(0.0)).drop("top_bm25")
     base = {"bm25": F.col("bm25_norm"), "dense": F.col("dense"), "hybrid": V.BM25_WEIGHT * F.col("bm25_norm") + V.DENSE_WEIGHT * F.col("dense")}
     return out.withColumn("base", base[mode])
 
 
+def best_pairs(rows: DataFrame, k: int, *order) -> DataFrame:
+    """The k best pairs of each question in this order, each once, with their rank. Every task keeps 2k rows a question."""
+    full = F.col("bm25").desc_nulls_last()
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, full))
+    out = rows.withColumn("rank", near).where(F.col("rank") <= 2 * k)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(full))).where(F.col("rank") == 1)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def read_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Adds what a question asks for: asked_evidence, asked_method, asked_sites, asked_ids, asked_types.
 
@@ -80,7 +99,7 @@ def cohere(boosted: DataFrame) -> DataFrame:
     open_ = ~F.col("asked_evidence") & (F.size("asked_sites") == 0)
     key = F.struct(F.round("score", R).alias("s"), (-F.col("doc_id")).alias("k"), F.col("sites").alias("sites"))
     anchors = boosted.where(F.col("canonical") & (F.size("sites") > 0)).groupBy("query_id").agg(F.max(key).alias("_anchor"))
-    out = boosted.join(F.broadcast(anchors), "query_id", "left")  # a row a question
+    out = boosted.join(F.broadcast(anchors), "query_id", "left")  # a row a question of the block
     out = out.withColumn("anchor_sites", F.when(open_ & (F.col("_anchor.s") >= V.ANCHOR_LEAST), F.col("_anchor.sites"))).drop("_anchor")
     pull = F.when(F.col("anchor_sites").isNull(), 0.0).when(F.arrays_overlap("sites", "anchor_sites"), V.ANCHOR_BOOST).when(F.size("sites") > 0, V.ANCHOR_PENALTY).otherwise(0.0)
     return out.withColumn("adjustment", F.col("adjustment") + pull).withColumn("score", F.greatest(F.lit(0.0), F.col("score") + pull))
@@ -88,19 +107,43 @@ def cohere(boosted: DataFrame) -> DataFrame:
 
 def first_stage(scored: DataFrame, k: int = V.CANDIDATES) -> DataFrame:
     """first_rank up to k: by score, current before others, by page, then by id."""
-    order = Window.partitionBy("query_id").orderBy(F.round("score", R).desc(), F.col("is_current").desc(), "page", "doc_id")
-    return scored.withColumn("first_rank", F.row_number().over(order)).where(F.col("first_rank") <= k)
+    best = best_pairs(scored, k, F.round("score", R).desc(), F.col("is_current").desc(), F.col("page"), F.col("doc_id"))
+    return best.withColumnRenamed("rank", "first_rank")
+
+
+def search(chunks: DataFrame, questions: DataFrame, hits: DataFrame, mode: str = "hybrid", k: int = V.CANDIDATES, coherent: bool = True, vector: str = "vector") -> DataFrame:
+    """The first stage whole, stored: the k best pairs of each question (query_id, question, vector) with first_rank.
+
+    hits are stored first: they are read for the questions' best, for the anchors and for the ranks.
+    """
+    hits = stash(hits, "hits")
+
+    def run(block):
+        read = read_questions(block).drop("question")
+        scored = boost(fuse(pairs(chunks, read, hits.join(F.broadcast(block.select("query_id")), "query_id", "left_semi"), vector=vector), mode))
+        return stash(first_stage(cohere(scored) if coherent else scored, k), "candidates")
+
+    return in_blocks(questions, "query_id", run)
 
 
-def coverage(candidates: DataFrame, idf: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+def coverage(candidates: DataFrame, chunks: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """query_id, doc_id, coverage: the share of a question's salient terms, weighed by IDF, that a candidate holds.
 
-    terms: query_id, term; idf: term, idf; postings: doc_id, term.
+    terms: query_id, term. IDFs are over all chunks, by partial counts of a row a term and task; only the candidates' own
+    terms are shuffled (candidates: a stored table of a few rows a question).
     """
-    weighed = terms.join(idf, "term")
+    asked = bounded(terms.select("term").distinct())
+    words = F.array_distinct(T.tokens(text))
+    df = exploded(chunks, [], words).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n = chunks.agg(F.count("*").alias("n"))
+    weighed = terms.join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"))
+    weighed = stash(weighed, "salient")
     whole = weighed.groupBy("query_id").agg(F.sum("idf").alias("whole"))
-    held = candidates.select("query_id", "doc_id").join(weighed, "query_id").join(postings.select("doc_id", "term"), ["doc_id", "term"])
-    return held.groupBy("query_id", "doc_id").agg(F.sum("idf").alias("held")).join(whole, "query_id").select("query_id", "doc_id", (F.col("held") / F.col("whole")).alias("coverage"))
+    found = candidates.select("query_id", "doc_id")
+    some = chunks.select("doc_id", text).join(bounded(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    own = exploded(some, ["doc_id"], words).join(asked, "term", "left_semi")
+    held = found.join(own, "doc_id").join(weighed, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("idf").alias("held"))
+    return held.join(whole, "query_id").select("query_id", "doc_id", (F.col("held") / F.col("whole")).alias("coverage"))
 
 
 def salient_terms(questions: DataFrame, key: str, text: str, code: str = "") -> DataFrame:
@@ -124,13 +167,15 @@ def rerank(candidates: DataFrame, covered: DataFrame, k: int = 10) -> DataFrame:
 def dense_topk(rows: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, vec_id, cosine, rank: the k rows of largest inner product for each question (exact, all rows).
 
-    questions (key, vector) is a stated set; it is sent to every task if `index.bounded` allows, so rows aren't shuffled,
-    and each task keeps k rows a question before the ranks are shuffled.
+    questions (key, vector) go to every task in blocks, so rows aren't shuffled, and each task keeps k rows a question
+    before the ranks are shuffled.
     """
-    from .index import bounded
-
     q = questions.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
-    pairs = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).crossJoin(bounded(q, 20_000))
-    scored = pairs.select("query_id", "vec_id", F.round(vectors.dot("v", "query_vector"), 6).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def run(block):
+        every = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).crossJoin(F.broadcast(block))
+        scored = every.select("query_id", "vec_id", F.round(vectors.dot("v", "query_vector"), 6).alias("cosine"))
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return in_blocks(q, "query_id", run)

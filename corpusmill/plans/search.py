@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
 from ..operators import index, search
+from ..store import stash
 from .common import ATTRIBUTES, table, texts, with_attributes
 
 P = V.TOKEN
@@ -62,8 +63,12 @@ def dense_topk(spark, sf):
 def dense_rescaled(spark, sf):
     rows = table(spark, sf, "embeddings")
     q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    pairs = rows.crossJoin(index.bounded(q, 20_000)).select("query_id", vectors.rescaled(vectors.dot("embedding", "qv")).alias("score"))
-    return pairs.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"), F.count("*").alias("rows"))
+
+    def run(block):
+        pairs = rows.crossJoin(F.broadcast(block)).select("query_id", vectors.rescaled(vectors.dot("embedding", "qv")).alias("score"))
+        return pairs.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"), F.count("*").alias("rows"))
+
+    return index.in_blocks(q, "query_id", run)
 
 
 def vector_units(spark, sf):
@@ -74,44 +79,43 @@ def manifest_check(spark, sf):
     return index.manifest(table(spark, sf, "embeddings"))
 
 
-def _candidates(spark, sf):
+def _sides(spark, sf):
+    """Chunks and questions with their vectors, where there are any, and the lexical hits."""
     docs, emb = texts(spark, sf), table(spark, sf, "embeddings").select("vec_id", "embedding")
-    questions = table(spark, sf, "benchmark").join(emb, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("qv"))
-    questions = search.read_questions(questions).drop("question")
-    chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id")).drop("vec_id")
-    pairs = chunks.crossJoin(index.bounded(questions, 20_000)).withColumn("cosine", vectors.dot("embedding", "qv")).drop("embedding", "qv")
-    hits = index.bm25(docs, table(spark, sf, "benchmark"), among=emb.select(F.col("vec_id").alias("doc_id")))
-    return pairs.join(hits, ["query_id", "doc_id"], "left")
+    asked = table(spark, sf, "benchmark")
+    questions = asked.join(emb, F.col("item_id") == F.col("vec_id"), "left")
+    questions = stash(questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("vector")), "questions")
+    chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+    return stash(chunks, "chunks"), questions, index.bm25(docs, asked)
 
 
-def _boosted(spark, sf):
-    return search.cohere(search.boost(search.fuse(_candidates(spark, sf))))
+def hybrid_topk(spark, sf):
+    chunks, questions, hits = _sides(spark, sf)
+    hits = stash(hits, "hits")
 
+    def run(block):
+        read = search.read_questions(block).drop("question")
+        rows = search.fuse(search.pairs(chunks, read, hits.join(F.broadcast(block.select("query_id")), "query_id", "left_semi")))
+        rows = rows.select("query_id", "doc_id", "bm25", F.round("base", 6).alias("score"), F.round("bm25_norm", 6).alias("bm25_norm"), F.round("dense", 6).alias("dense"))
+        return search.best_pairs(rows, 10, F.desc("score"), F.col("doc_id")).drop("bm25")
 
-def hybrid_topk(spark, sf):
-    fused = search.fuse(_candidates(spark, sf))
-    return _ranked(fused.select("query_id", "doc_id", F.round("base", 6).alias("score"), F.round("bm25_norm", 6).alias("bm25_norm"), F.round("dense", 6).alias("dense")))
+    return index.in_blocks(questions, "query_id", run)
 
 
 def hybrid_boosted(spark, sf):
-    top = search.first_stage(search.boost(search.fuse(_candidates(spark, sf))))
+    top = search.search(*_sides(spark, sf), coherent=False)
     return top.select("query_id", "doc_id", "first_rank", F.round("score", 6).alias("score"), F.round("adjustment", 6).alias("adjustment"))
 
 
 def anchor_coherence(spark, sf):
-    top = search.first_stage(_boosted(spark, sf))
+    top = search.search(*_sides(spark, sf))
     return top.select("query_id", "doc_id", "first_rank", F.round("score", 6).alias("score"), F.array_join("anchor_sites", ",").alias("anchor_sites"))
 
 
 def _reranked(spark, sf, k=10):
-    docs, questions = texts(spark, sf), table(spark, sf, "benchmark")
-    top = search.first_stage(_boosted(spark, sf))
-    terms = search.salient_terms(questions, "item_id", "text")
-    asked = index.bounded(terms.select("term").distinct())
-    post = index.postings(docs).join(asked, "term", "left_semi")
-    n = docs.agg(F.count("*").alias("n"))
-    idf = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", index.idf(F.col("n"), F.col("df")).alias("idf"))
-    return search.rerank(top, search.coverage(top, idf, terms, post), k)
+    top = search.search(*_sides(spark, sf))
+    terms = search.salient_terms(table(spark, sf, "benchmark"), "item_id", "text")
+    return search.rerank(top, search.coverage(top, texts(spark, sf), terms), k)
 
 
 def rerank_topk(spark, sf):
@@ -135,12 +139,12 @@ def search_results(spark, sf):
 
 
 CAND = f"""{BM25}, {ATTRIBUTES},
-qs AS (SELECT item_id AS query_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark b JOIN embeddings e ON item_id = vec_id),
+qs AS (SELECT item_id AS query_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark b LEFT JOIN embeddings e ON item_id = vec_id),
 cand AS (
   SELECT query_id, question, a.*, coalesce(bm25, 0) AS bm, list_dot_product(CAST(embedding AS DOUBLE[]), qv) AS cosine
-  FROM attrs a JOIN embeddings e ON a.doc_id = e.vec_id CROSS JOIN qs LEFT JOIN bm USING (query_id, doc_id)
+  FROM attrs a LEFT JOIN embeddings e ON a.doc_id = e.vec_id CROSS JOIN qs LEFT JOIN bm USING (query_id, doc_id)
 ), fused AS (
-  SELECT *, CASE WHEN max(bm) OVER w > 0 THEN bm / max(bm) OVER w ELSE 0 END AS bm25_norm, greatest(0, least(1, (cosine + 1) / 2)) AS dense
+  SELECT *, CASE WHEN max(bm) OVER w > 0 THEN bm / max(bm) OVER w ELSE 0 END AS bm25_norm, CASE WHEN cosine IS NULL THEN 0 ELSE greatest(0, least(1, (cosine + 1) / 2)) END AS dense
   FROM cand WINDOW w AS (PARTITION BY query_id)
 ), based AS (SELECT *, 0.55::DOUBLE * bm25_norm + 0.45::DOUBLE * dense AS base FROM fused)"""
 BOOSTED = f"""{CAND}, flags AS (
