@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..store import stash
 from .index import bounded, exploded
 
 
@@ -33,6 +34,47 @@ def best_match(scored: DataFrame, score: str = "jaccard", k: int = 1) -> DataFra
     return scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rarest terms of a text by which its first candidates are found.
+SEEDS = 3
+
+
+def _verified(prefix: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """left_id, right_id, jaccard of the pairs that share a term of prefix (left_id, term, n, floor) and may reach its floor."""
+    sizes = (F.col("right_n") >= F.col("floor") * F.col("n")) & (F.col("n") >= F.col("floor") * F.col("right_n"))
+    found = exploded(b, ["right_id", "right_n"], "right_terms").join(bounded(prefix.select("term", "left_id", "n", "floor")), "term").where(sizes)
+    found = found.select("left_id", "right_id").repartition("right_id").distinct()  # dealt as the texts that they are joined to
+    out = found.join(b, "right_id").join(bounded(a), "left_id")
+    shared = F.size(F.array_intersect("left_terms", "right_terms"))
+    return out.select("left_id", "right_id", (shared / (F.col("left_n") + F.col("right_n") - shared)).alias("jaccard"))
+
+
+def best_by_terms(left: DataFrame, right: DataFrame, k: int = 1, least: float = 0.0) -> DataFrame:
+    """left_id, right_id, jaccard, rank: each left text's k best of all right ones, of `least` at least and above zero; exact.
+
+    A pair of a Jaccard index of t shares t of the left's n terms at least, so it shares one of all but the t n - 1 most
+    frequent of them. The floor t is `least`, or what the k best reach that share one of the SEEDS rarest terms; the
+    candidates share a term of that prefix. Frequent terms, by which every text would meet every other, are left out
+    wherever a floor allows it. left is the smaller side: its terms are broadcast up to a bound.
+    """
+    terms = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), T.match_terms("text").alias(f"{s}_terms")).withColumn(f"{s}_n", F.size(f"{s}_terms"))
+    a, b = stash(terms(left, "left"), "left-terms"), stash(terms(right, "right"), "right-terms")
+    own = exploded(a, ["left_id", F.col("left_n").alias("n")], "left_terms")
+    df = exploded(b, [], "right_terms").join(bounded(own.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("left_id").orderBy("df", "term")
+    ranked = own.join(bounded(stash(df, "term-counts")), "term").withColumn("at", F.row_number().over(rare))
+    ranked = stash(ranked.withColumn("held", F.count("*").over(Window.partitionBy("left_id"))), "ranked-terms")
+    if least > 0:
+        floored = ranked.withColumn("floor", F.lit(float(least)))
+    else:
+        seeds = best_match(_verified(ranked.where(F.col("at") <= SEEDS).withColumn("floor", F.lit(0.0)), a, b), k=k)
+        floor = seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("jaccard")).otherwise(0.0).alias("floor"))
+        floored = ranked.join(bounded(stash(floor, "floors")), "left_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    floored = floored.withColumn("floor", F.greatest(F.col("floor") - 1e-9, F.lit(0.0)))
+    needed = F.greatest(F.ceil(F.col("floor") * F.col("n")), F.lit(1))
+    out = _verified(floored.where(F.col("at") <= F.col("held") - needed + 1), a, b)
+    return best_match(out.where(F.col("jaccard") >= least - 1e-9), k=k)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """difflib's ratio with its defaults; the order of its arguments matters (no built-in computes it)."""

@@ -10,25 +10,25 @@ from ..operators import reconcile
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 
-def _pairs(spark, sf):
+def _both(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return reconcile.shared_terms(items, docs)
+    return items, texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
 def jaccard_match(spark, sf):
-    return _pairs(spark, sf).groupBy("left_id").agg(F.count("*").alias("candidates"), F.round(F.max("jaccard"), 6).alias("best"))
+    """How many documents share a term with each item: by its meaning, every such pair counts."""
+    pairs = reconcile.shared_terms(*_both(spark, sf))
+    return pairs.groupBy("left_id").agg(F.count("*").alias("candidates"), F.round(F.max("jaccard"), 6).alias("best"))
 
 
 def best_match(spark, sf):
-    return reconcile.best_match(_pairs(spark, sf), k=3).select("left_id", "right_id", "rank", F.round("jaccard", 6).alias("jaccard"))
+    return reconcile.best_by_terms(*_both(spark, sf), k=3).select("left_id", "right_id", "rank", F.round("jaccard", 6).alias("jaccard"))
 
 
 def unmatched(spark, sf):
-    """Items whose best match is below the least score."""
-    best = reconcile.best_match(_pairs(spark, sf))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id"))
-    return items.join(best, "left_id", "left").where(F.coalesce("jaccard", F.lit(0.0)) < V.MATCH_LEAST).select("left_id")
+    """Items that no document matches with the least score."""
+    matched = reconcile.best_by_terms(*_both(spark, sf), least=V.MATCH_LEAST).select("left_id")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id")).join(matched, "left_id", "left_anti")
 
 
 def _with_texts(spark, sf, best):
@@ -39,15 +39,13 @@ def _with_texts(spark, sf, best):
 
 def similarity_blend(spark, sf):
     """Each item's three best of all documents by the blended score, and what the score makes of them."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    out = _with_texts(spark, sf, reconcile.best_blend(items, docs, 3)).withColumn("structural", F.lit(False))
+    out = _with_texts(spark, sf, reconcile.best_blend(*_both(spark, sf), 3)).withColumn("structural", F.lit(False))
     out = reconcile.classify(out.withColumn("reasons", reconcile.difference_reasons("earlier", "current")))
     return out.select("left_id", "right_id", F.round("score", 6).alias("score"), "unmatched", "duplicate", "differs")
 
 
 def version_diff(spark, sf):
-    out = _with_texts(spark, sf, reconcile.best_match(_pairs(spark, sf)).select("left_id", "right_id"))
+    out = _with_texts(spark, sf, reconcile.best_by_terms(*_both(spark, sf)).select("left_id", "right_id"))
     return out.select("left_id", "right_id", F.array_join(T.clinical_numbers("earlier"), " ").alias("numbers"), F.size(reconcile.difference_reasons("earlier", "current")).alias("reasons"))
 
 
@@ -55,14 +53,16 @@ def match_terms(spark, sf):
     return texts(spark, sf).select("doc_id", F.array_join(F.array_sort(T.match_terms("text")), " ").alias("terms"), F.length(T.match_form("text")).alias("form_chars"))
 
 
-ROWS = [("r1", "Lung cancer", 2), ("r2", "Lung cancer", 4), ("r3", "Renal cancer", 1), ("r4", "Elsewhere", 1), ("r5", "Non-site-specific symptoms", 3), ("r6", "Stomach cancer", None)]
-SECTIONS = [("s1", "Safety netting"), ("s2", "The diagnostic process"), ("s3", "Lung cancer")]
+SECTIONS = [*V.STRUCTURE, "Elsewhere"]
 _ids = values([(s, i + 1, x) for s, xs in V.STRUCTURE.items() for i, x in enumerate(xs)], "section", "ordinal", "matched_id")
 
 
 def structural_match(spark, sf):
-    rows = literal(spark, ROWS, "id string, section string, ordinal int")
-    return reconcile.structural_match(spark, rows).select("id", "matched_id")
+    """Documents stand for the rows of sections, their numbers for places."""
+    k = F.col("doc_id")
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), (k % len(SECTIONS) + 1).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", section.alias("section"), F.when(k % 13 != 0, k % 5 + 1).cast("int").alias("ordinal"))
+    return reconcile.structural_match(spark, rows).select("doc_id", "matched_id")
 
 
 def prefix_join(spark, sf):
@@ -89,12 +89,12 @@ def reciprocal_links(spark, sf):
     return links.groupBy("current_id").agg(F.array_join(F.array_sort(F.collect_list("support_id")), ",").alias("support_ids"))
 
 
-CLASSES = [("a", 0.2, True, 1), ("b", 0.32, False, 1), ("c", 0.42, False, 1), ("d", 0.62, False, 0), ("e", 0.35, True, 2), ("f", 0.7, True, 1), ("g", None, False, 0)]
-
-
 def version_classes(spark, sf):
-    rows = literal(spark, CLASSES, "id string, score double, structural boolean, n int").withColumn("reasons", F.array_repeat(F.lit("x"), F.col("n")))
-    return reconcile.classify(rows).select("id", "unmatched", "duplicate", "differs")
+    """Line items stand for matched pairs: the discount is the score."""
+    score = F.when(F.col("l_linenumber") != 7, F.col("l_discount") * 8)
+    reasons = F.array_repeat(F.lit("x"), (F.col("l_orderkey") % 3).cast("int"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"), (F.col("l_linenumber") % 2 == 0).alias("structural"), reasons.alias("reasons"))
+    return reconcile.classify(rows).select("l_orderkey", "l_linenumber", "unmatched", "duplicate", "differs")
 
 
 _form = "lower(replace(replace(text, '–', '-'), '‑', '-'))"
@@ -117,9 +117,9 @@ QUERIES = {
     "similarity_blend": (similarity_blend, None),
     "version_diff": (version_diff, f"WITH {_J}, t AS (SELECT left_id, right_id, d.text AS e, k.text AS c FROM b JOIN documents d ON doc_id = right_id JOIN benchmark k ON item_id = left_id WHERE rank = 1), x AS (SELECT *, {_nums('e')} AS en, {_nums('c')} AS cn, {_acts('e')} AS ea, {_acts('c')} AS ca FROM t) SELECT left_id, right_id, array_to_string(en, ' ') AS numbers, CASE WHEN en <> cn THEN 1 ELSE 0 END + CASE WHEN len(ea) > 0 AND len(ca) > 0 AND list_sort(ea) <> list_sort(ca) THEN 1 ELSE 0 END AS reasons FROM x"),
     "match_terms": (match_terms, f"SELECT doc_id, array_to_string(list_sort({_terms}), ' ') AS terms, CAST(length(array_to_string(regexp_extract_all({_form}, '{V.MATCH_TOKEN}'), ' ')) AS INTEGER) AS form_chars FROM documents"),
-    "structural_match": (structural_match, f"SELECT r.id, matched_id FROM {values(ROWS, 'id', 'section', 'ordinal').replace(' AS t(', ' AS r(')} LEFT JOIN {_ids.replace(' AS t(', ' AS s(')} USING (section, ordinal)"),
+    "structural_match": (structural_match, f"WITH d AS (SELECT doc_id, {SECTIONS}[CAST(doc_id % {len(SECTIONS)} + 1 AS BIGINT)] AS section, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 5 + 1 END AS ordinal FROM documents) SELECT doc_id, matched_id FROM d LEFT JOIN {_ids.replace(' AS t(', ' AS s(')} USING (section, ordinal)"),
     "prefix_join": (prefix_join, f"WITH {ATTRIBUTES} SELECT section, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM attrs JOIN {values([*V.SECTION_PREFIX.items()], 'section', 'prefix')} ON starts_with(recommendation_id, prefix) GROUP BY section"),
     "support_links": (support_links, f"WITH {_links} SELECT support_id, count(*) AS n, min(current_id) AS first FROM links GROUP BY support_id"),
     "reciprocal_links": (reciprocal_links, f"WITH {_links} SELECT current_id, string_agg(CAST(support_id AS VARCHAR), ',' ORDER BY support_id) AS support_ids FROM links GROUP BY current_id"),
-    "version_classes": (version_classes, f"SELECT id, coalesce(score < 0.32, true) AS unmatched, coalesce(score >= 0.62, false) AS duplicate, coalesce(score >= 0.32 AND n > 0 AND (structural OR score >= 0.42), false) AS differs FROM {values(CLASSES, 'id', 'score', 'structural', 'n')}"),
+    "version_classes": (version_classes, "WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_discount * 8 END AS score, l_linenumber % 2 = 0 AS structural, l_orderkey % 3 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(score < 0.32::DOUBLE, true) AS unmatched, coalesce(score >= 0.62::DOUBLE, false) AS duplicate, coalesce(score >= 0.32::DOUBLE AND n > 0 AND (structural OR score >= 0.42::DOUBLE), false) AS differs FROM c"),
 }
