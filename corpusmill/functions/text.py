@@ -27,6 +27,11 @@ def retrieval_text(section, subsection, recommendation_id, sites, content_type,
     return F.concat(joined(" ", section, subsection, recommendation_id, F.array_join(_c(sites), " "), content_type), F.lit("\n"), _c(text))
 
 
+def table_text(features, cancers, action) -> Column:
+    """The text of a row of a symptom table, in three lines."""
+    return F.concat(F.lit("Symptom and specific features: "), _c(features), F.lit("\nPossible cancer: "), _c(cancers), F.lit("\nActions: "), _c(action))
+
+
 def citation(title, section, recommendation_id, page, page_end, version) -> Column:
     page, end = _c(page), _c(page_end)
     pages = F.when(end.isNotNull() & (end != 0) & (end != page), F.concat(page.cast("string"), F.lit("–"), end.cast("string"))).otherwise(page.cast("string"))
@@ -100,29 +105,35 @@ def logical_units(text, table=None) -> Column:
     return F.when(F.size(units) > 0, units).otherwise(F.array(_c(text)))
 
 
-def pack(units, sizes, target: int = 550, most: int = 700) -> Column:
-    """Units packed in order: a chunk is closed before it would pass `most`, or once it has `target`; a separator counts 1.
+def packed(sizes, target: int = 550, most: int = 700) -> Column:
+    """array of struct(start, n): units packed in order to chunks. A chunk is closed before it would pass `most`, or once it
+    has `target`; a separator counts 1.
 
-    sizes: the units' token counts. Units above `most` are to be cut by `cut_long` before.
+    sizes: the units' token counts. The fold holds numbers only, and grows its array by one where a chunk ends.
     """
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
-    pairs = F.arrays_zip(_c(units).alias("u"), _c(sizes).alias("s"))
-
-    def step(a, p):
-        size, empty = p["s"].cast("int"), F.size(a["held"]) == 0
-        over = ~empty & (a["n"] + 1 + size > most)
-        done = F.when(over, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"])
-        held = F.when(over, F.array(p["u"])).otherwise(F.concat(a["held"], F.array(p["u"])))
-        n = F.when(over | empty, size).otherwise(a["n"] + 1 + size)
-        full = n >= target
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("n"), F.lit(0).alias("held"), F.lit(0).alias("at"))
+
+    def step(a, s):
+        over = (a["held"] > 0) & (a["n"] + 1 + s > most)
+        n = F.when(over | (a["held"] == 0), s).otherwise(a["n"] + 1 + s)
+        closed = F.when(over, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"])
         return F.struct(
-            F.when(full, F.concat(done, F.array(held))).otherwise(done).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(held).alias("held"),
-            F.when(full, 0).otherwise(n).alias("n"),
+            F.when(n >= target, F.concat(closed, F.array(a["at"] + 1))).otherwise(closed).alias("ends"),
+            F.when(n >= target, 0).otherwise(n).alias("n"),
+            F.when(n >= target, 0).when(over, 1).otherwise(a["held"] + 1).alias("held"),
+            (a["at"] + 1).alias("at"),
         )
 
-    last = lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"])
-    return F.aggregate(pairs, start, step, lambda a: F.transform(last(a), lambda c: F.array_join(c, "\n")))
+    last = lambda a: F.when(a["held"] > 0, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"])
+    ends = F.aggregate(F.transform(_c(sizes), lambda s: s.cast("int")), start, step, last)
+    pairs = lambda e: F.arrays_zip(F.concat(F.array(F.lit(0)), e).alias("start"), e.alias("stop"))
+    whole = F.transform(F.array(ends), lambda e: F.filter(pairs(e), lambda p: p["stop"].isNotNull()))  # names ends, made once
+    return F.transform(F.element_at(whole, 1), lambda p: F.struct(p["start"].alias("start"), (p["stop"] - p["start"]).alias("n")))
+
+
+def pack(units, sizes, target: int = 550, most: int = 700) -> Column:
+    """The chunks' texts, units joined by line breaks. Units above `most` are to be cut by `cut_long` before."""
+    return F.transform(packed(sizes, target, most), lambda p: F.array_join(F.slice(_c(units), p["start"] + 1, p["n"]), "\n"))
 
 
 def cut_long(units, target: int = 550, most: int = 700) -> Column:
@@ -137,18 +148,20 @@ def cut_long(units, target: int = 550, most: int = 700) -> Column:
 
 
 def join_wrapped(text) -> Column:
-    """Wrapped lines joined to paragraphs: a blank line ends one, a bullet starts one, a final hyphen joins without a space."""
+    """Wrapped lines joined to paragraphs: a blank line ends one, a bullet starts one, a final hyphen joins without a space.
+
+    What goes before a line follows from it and the line before, so lines are joined in one pass.
+    """
     lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
-    def step(a, x):
-        closed = F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-        bullet = x.startswith("•") | x.startswith("-")
-        more = F.when(a["cur"] == "", x).when(a["cur"].endswith("-"), F.concat(a["cur"], x)).otherwise(F.concat(a["cur"], F.lit(" "), x))
-        return F.struct(F.when((x == "") | bullet, closed).otherwise(a["done"]).alias("done"), F.when(x == "", "").when(bullet, x).otherwise(more).alias("cur"))
+    def joined_(own):
+        before = F.concat(F.array(F.lit("")), F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))))
+        rows = F.filter(F.arrays_zip(own.alias("x"), before.alias("b")), lambda z: z["x"] != "")
+        new = lambda z: (z["b"] == "") | z["x"].startswith("•") | z["x"].startswith("-")
+        lead = lambda z: F.when(new(z), "\n").when(z["b"].endswith("-"), "").otherwise(" ")
+        return F.array_join(F.transform(rows, lambda z: F.concat(lead(z), z["x"])), "")
 
-    last = lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-    return F.aggregate(lines, start, step, lambda a: F.array_join(last(a), "\n"))
+    return F.regexp_replace(F.element_at(F.transform(F.array(lines), joined_), 1), "^\n", "")  # names lines, made once
 
 
 def clean_page(text, page, header: str, footer: str, footer_inside: str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..store import fresh
+from .windows import numbered
 
 
 def majority(judgments: DataFrame) -> DataFrame:
@@ -73,6 +75,8 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def shuffled(rows: DataFrame, key: str) -> DataFrame:
-    """A reproducible shuffle: rows by their key's hash (a range-partitioned sort)."""
-    return rows.orderBy(F.xxhash64(key), key)
+def shuffled(rows: DataFrame, key: str, seed: str = "") -> DataFrame:
+    """rows with place, from 1, in a reproducible random order: that of the md5 of the seed and their key (a unique one)."""
+    hash_ = fresh(rows.columns, "_hash")
+    out = rows.withColumn(hash_, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return numbered(out, [], [hash_, key], "place").drop(hash_)

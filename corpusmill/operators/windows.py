@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import fresh, stash
+from .index import bounded
+
 
 def segments(rows: DataFrame, partition: list[str], order: list[str], starts: Column) -> DataFrame:
     """Adds segment: how many rows of the partition have started one, up to this row."""
@@ -21,8 +24,6 @@ def carried(rows: DataFrame, partition: list[str], order: list[str], value: Colu
 
 def within(rows: DataFrame, value: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
     """Rows with each interval that holds their value; the intervals are a small table, checked before it is broadcast."""
-    from .index import bounded
-
     return rows.join(bounded(intervals, 10_000), F.col(value).between(F.col(low), F.col(high)))
 
 
@@ -32,6 +33,37 @@ def latest(rows: DataFrame, partition: list[str], order: list[Column], k: int) -
     return rows.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= k)
 
 
+def numbered(rows: DataFrame, partition: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Adds `name`: the row's number in its partition, in order. No partition needs to fit a task, as in a window.
+
+    Rows are dealt by ranges of (partition, order), so that a large partition spans many tasks; a task numbers its own rows,
+    and a table with a row a partition and task says how many come before. order: columns; null is first.
+    """
+    keys = [fresh(rows.columns, x) for x in ("_id", "_task", "_least", "_most", "_before")]
+    id_, task, least, most, before = keys
+    dealt = rows.repartitionByRange(*partition, *order).sortWithinPartitions(*partition, *order).withColumn(id_, F.monotonically_increasing_id())
+    dealt = stash(dealt.withColumn(task, F.shiftright(id_, 33)), "numbered")
+    per = dealt.groupBy(*partition, task).agg(F.min(id_).alias(least), F.max(id_).alias(most))
+    earlier = Window.partitionBy(*partition).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn(before, F.coalesce(F.sum(F.col(most) - F.col(least) + 1).over(earlier), F.lit(0))).drop(most)
+    own = per.withColumnsRenamed({c: f"_of_{c}" for c in [*partition, task]})
+    on = F.col(task) == F.col(f"_of_{task}")
+    for c in partition:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = dealt.join(bounded(own), on).withColumn(name, F.col(id_) - F.col(least) + 1 + F.col(before))
+    return out.select(*rows.columns, name)
+
+
+def at_ranks(rows: DataFrame, partition: list[str], value: str, ranks: dict) -> DataFrame:
+    """partition and, for each name of ranks, the value at the rank that it gives for n (a column: the rows with a value)."""
+    some = rows.where(F.col(value).isNotNull()).select(*partition, value)
+    ordered = numbered(some, partition, [value], "_number")
+    n = some.groupBy(*partition).agg(F.count("*").alias("_n"))  # a row a partition
+    ordered = ordered.join(bounded(n), partition)
+    picked = [F.max(F.when(F.col("_number") == rank(F.col("_n")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return ordered.groupBy(*partition).agg(*picked)
+
+
 def seen_before(rows: DataFrame, unit: list[str], order: str) -> DataFrame:
     """Adds seen: the unit stood in a row of smaller `order` (a unique key).
 

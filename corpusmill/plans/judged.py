@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import citations
 from ..functions import text as T
 from ..operators import judging
-from .common import literal, table, values
+from .common import table
 
 CRITERIA = ["claim_support", "citation_entailment", "overreach", "completeness", "refusal_quality"]
 
@@ -63,15 +63,18 @@ def escalation_report(spark, sf):
     return e.agg(F.count("*").alias("tasks"), F.count_if("escalated").alias("escalated"), F.round(F.avg(F.col("agree").cast("double")), 4).alias("agreement"), F.round(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"))
 
 
-RAW = [
-    ("t1", "claim_support", "SUPPORTED", "r", None), ("t2", "claim_support", "YES", "r", None), ("t3", "overreach", "NO", "r", ["C1"]), ("t4", "overreach", "NO", "r", None),
-    ("t5", "completeness", "YES", None, None), ("t6", "completeness", "MAYBE", "r", None), ("t7", "refusal_quality", "NO", "r", None), ("t8", "completeness", None, "r", None),
-]
+RAW_LABELS = ["SUPPORTED", "YES", "NO", "MAYBE", "UNSUPPORTED", None]
 
 
 def judgment_validation(spark, sf):
-    rows = literal(spark, RAW, "task_id string, criterion string, label string, reason string, claim_ids array<string>")
-    return judging.valid(rows).select("task_id")
+    """Raw judgments by rule, many of them invalid; line items stand for answers."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", k, n).alias("task_id"), pick(CRITERIA, k % 5).alias("criterion"), pick(RAW_LABELS, n % 6).alias("label"),
+        F.when(F.col("l_returnflag") != "R", "r").alias("reason"), F.when(F.col("l_linestatus") == "O", F.array(F.lit("C1"))).alias("claim_ids"),
+    )
+    return judging.valid(rows).groupBy("criterion", "label").agg(F.count("*").alias("n"), F.min("task_id").alias("first"))
 
 
 def task_expand(spark, sf):
@@ -91,11 +94,11 @@ def human_rates(spark, sf):
     return said.agg(F.round(F.avg(F.col("ok").cast("double")), 4).alias("ok_rate"), F.round(F.avg(F.col("current").cast("double")), 4).alias("current_rate"), F.count("current").alias("applicable"))
 
 
-FAILURES = [("a", "Wrong site; missing Age"), ("b", "missing age|wrong site , "), ("c", None), ("d", "other")]
-
-
 def failure_types(spark, sf):
-    rows = literal(spark, FAILURES, "id string, types string").select(F.explode(F.split("types", "[,;|]")).alias("t"))
+    """Failures that reviewers wrote, in any case and with any separator; events stand for reviews."""
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, "Wrong site; missing Age").when(k == 1, F.concat(F.lit("missing age|"), "event_type", F.lit(" , "))).when(k == 3, F.upper("event_type"))
+    rows = table(spark, sf, "events").select(F.explode(F.split(said, "[,;|]")).alias("t"))
     rows = rows.select(F.replace(F.lower(F.trim("t")), F.lit(" "), F.lit("_")).alias("failure")).where("failure != ''")
     return rows.groupBy("failure").agg(F.count("*").alias("n"))
 
@@ -120,7 +123,7 @@ _E = f"""{_J}, one AS (SELECT task_id, judge, (min(struct_pack(p := pass, l := l
 e0 AS (SELECT t.*, p.label AS la, s.label AS lb, CASE criterion WHEN 'claim_support' THEN 'SUPPORTED' WHEN 'overreach' THEN 'NO' ELSE 'YES' END AS want FROM tasks t JOIN (FROM one WHERE judge = 'a') p USING (task_id) LEFT JOIN (FROM one WHERE judge = 'b') s USING (task_id)),
 e1 AS (SELECT *, la <> want AS escalated, CASE WHEN la = want THEN la WHEN la IS NOT DISTINCT FROM lb THEN la ELSE 'UNCERTAIN' END AS label FROM e0),
 esc AS (SELECT task_id, criterion, escalated, label, CASE WHEN escalated THEN label <> 'UNCERTAIN' END AS agree, label = want AS passed FROM e1)"""
-_valid = values([(t, c, x, r, i is not None) for t, c, x, r, i in RAW], "task_id", "criterion", "label", "reason", "ids")
+_raw = "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in RAW_LABELS) + "]"
 
 QUERIES = {
     "judge_majority": (judge_majority, f"WITH {_J} SELECT task_id, judge, label FROM m"),
@@ -130,11 +133,11 @@ QUERIES = {
     "judge_labels": (judge_labels, f"WITH {_J} SELECT criterion, label, count(*) AS n FROM z GROUP BY ALL"),
     "judge_escalation": (judge_escalation, f"WITH {_E} SELECT * FROM esc"),
     "escalation_report": (escalation_report, f"WITH {_E} SELECT count(*) AS tasks, count(*) FILTER (WHERE escalated) AS escalated, round(avg(CASE WHEN agree THEN 1 WHEN NOT agree THEN 0 END), 4) AS agreement, round(avg(CASE WHEN passed THEN 1 ELSE 0 END), 4) AS pass_rate FROM esc"),
-    "judgment_validation": (judgment_validation, f"SELECT task_id FROM {_valid} WHERE coalesce(CASE WHEN criterion = 'claim_support' THEN label IN ('SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'CONTRADICTED') ELSE label IN ('YES', 'NO') END, false) AND reason IS NOT NULL AND (criterion <> 'overreach' OR ids)"),
+    "judgment_validation": (judgment_validation, f"WITH v AS (SELECT l_orderkey || '-' || l_linenumber AS task_id, {CRITERIA}[CAST(l_orderkey % 5 + 1 AS BIGINT)] AS criterion, {_raw}[l_linenumber % 6 + 1] AS label, CASE WHEN l_returnflag <> 'R' THEN 'r' END AS reason, l_linestatus = 'O' AS ids FROM lineitem) SELECT criterion, label, count(*) AS n, min(task_id) AS first FROM v WHERE coalesce(CASE WHEN criterion = 'claim_support' THEN label IN ('SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'CONTRADICTED') ELSE label IN ('YES', 'NO') END, false) AND reason IS NOT NULL AND (criterion <> 'overreach' OR ids) GROUP BY criterion, label"),
     "task_expand": (task_expand, """WITH s AS (SELECT conv_id || '.' || turn AS case_id, conv_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM conversations WHERE role = 'assistant')
         SELECT case_id, 'claim_support' AS criterion, n, 0 AS settled FROM s WHERE n > 0 UNION ALL SELECT case_id, 'citation_entailment', n, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE n END FROM s WHERE n > 0
         UNION ALL SELECT case_id, 'overreach', 1, 0 FROM s UNION ALL SELECT case_id, 'completeness', 1, 0 FROM s UNION ALL SELECT case_id, 'refusal_quality', 1, 0 FROM s WHERE conv_id % 3 = 0"""),
     "human_rates": (human_rates, "SELECT round(avg(quality), 4) AS ok_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN 1 - toxic END), 4) AS current_rate, count(*) FILTER (WHERE doc_id % 4 <> 0) AS applicable FROM labels"),
-    "failure_types": (failure_types, f"WITH t AS (SELECT replace(lower(trim(unnest(regexp_split_to_array(types, '[,;|]')))), ' ', '_') AS failure FROM {values(FAILURES, 'id', 'types')}) SELECT failure, count(*) AS n FROM t WHERE failure <> '' GROUP BY failure"),
+    "failure_types": (failure_types, "WITH e AS (SELECT CASE event_id % 4 WHEN 0 THEN 'Wrong site; missing Age' WHEN 1 THEN 'missing age|' || event_type || ' , ' WHEN 3 THEN upper(event_type) END AS types FROM events), t AS (SELECT replace(lower(trim(unnest(regexp_split_to_array(types, '[,;|]')))), ' ', '_') AS failure FROM e) SELECT failure, count(*) AS n FROM t WHERE failure <> '' GROUP BY failure"),
     "review_queue": (review_queue, "WITH s AS (SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 400 AND NOT regexp_matches(x, '\\[E(\\d+)\\]'))) AS n FROM documents) SELECT doc_id, quality, toxic FROM labels JOIN s USING (doc_id) WHERE quality = 0 OR toxic = 1 OR n > 0"),
 }

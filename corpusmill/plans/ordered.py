@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import evaluation, windows
+from ..operators import evaluation, judging, windows
 from .common import ATTRIBUTES, literal, table, values, with_attributes
 
 
@@ -39,11 +39,10 @@ def recent_500(spark, sf):
 def latency_summary(spark, sf):
     """Two percentiles by nearest rank and the median of all values; the floor-rank percentile of the 500 latest."""
     ev = table(spark, sf, "events")
-    per = ev.groupBy("event_type").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"),
-        F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"),
-    )
+    nearest = lambda p: lambda n: F.greatest(F.ceil(n * p), F.lit(1))
+    ranks = {"p50": nearest(0.5), "p95": nearest(0.95), "_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1}
+    per = windows.at_ranks(ev, ["event_type"], "value", ranks)
+    per = per.select("event_type", "p50", "p95", F.round((F.col("_low") + F.col("_high")) / 2, 6).alias("median"))
     recent = windows.latest(ev, ["event_type"], [F.desc("ts"), F.desc("event_id")], 500)
     return per.join(recent.groupBy("event_type").agg(evaluation.floor_rank("value", 0.95).alias("recent_p95"), F.count("*").alias("recent")), "event_type")
 
@@ -59,35 +58,41 @@ def seen_before(spark, sf):
     return rows.select("doc_id", "seen")
 
 
-TOC = [
-    ("d", 1, 1, "Guideline", 1), ("d", 2, 2, "Lung", 3), ("d", 3, 3, "1.1.1", 4), ("d", 4, 3, "1.1.2", 5), ("d", 5, 2, "Upper", 9),
-    ("d", 6, 4, "1.2.1", 10), ("d", 7, 3, "Stomach", 11), ("d", 8, 4, "1.2.6", 11), ("d", 9, 1, "Terms", 20), ("e", 1, 2, "Alone", 2),
-]
-_toc = values(TOC, "document", "ord", "level", "title", "page")
+#: A table of contents by rule: documents are its entries, twenty to a work.
+_toc = "(SELECT 'g' || (doc_id // 20) AS document, doc_id AS ord, CAST(doc_id * 7 % 4 + 1 AS INTEGER) AS level, lang || ' ' || doc_id AS title, CAST(doc_id % 20 + 1 AS INTEGER) AS page FROM documents)"
 
 
-def _toc_rows(spark):
-    return literal(spark, TOC, "document string, ord bigint, level int, title string, page int")
+def _toc_rows(spark, sf):
+    k = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("g"), F.floor(k / 20)).alias("document"), k.alias("ord"), (k * 7 % 4 + 1).cast("int").alias("level"),
+        F.concat("lang", F.lit(" "), k).alias("title"), (k % 20 + 1).cast("int").alias("page"),
+    )
 
 
 def toc_parents(spark, sf):
-    out = windows.parents(_toc_rows(spark))
+    out = windows.parents(_toc_rows(spark, sf))
     return out.select("document", "ord", F.array_join("parents", " > ").alias("parents"))
 
 
 def section_ends(spark, sf):
-    return windows.section_ends(_toc_rows(spark), 30)
-
-
-WORDS = [("a", 10.0, 5.0, "one"), ("a", 11.5, 1.0, "zero"), ("a", 12.5, 0.0, "next"), ("a", 14.0, 3.0, "line"), ("b", 1.0, 1.0, "x")]
+    return windows.section_ends(_toc_rows(spark, sf), 30)
 
 
 def word_lines(spark, sf):
-    rows = literal(spark, WORDS, "page string, top double, x0 double, text string")
-    per = rows.groupBy("page").agg(F.collect_list(F.struct("top", "x0", "text")).alias("w"))
+    """Words set by rule (line items stand for words, their parts' numbers for pages) grouped to lines."""
+    rows = table(spark, sf, "lineitem").where("l_partkey < 400").select(
+        F.col("l_partkey").cast("string").alias("page"), (F.col("l_quantity") * 1.5).alias("top"), F.col("l_extendedprice").alias("x0"), F.concat("l_returnflag", "l_linenumber").alias("text")
+    )
+    per = rows.groupBy("page").agg(F.collect_list(F.struct("top", "x0", "text")).alias("w"))  # one page's words
     return per.select("page", F.posexplode(windows.word_lines(F.col("w"))).alias("line", "text"))
 
 
+def seeded_order(spark, sf):
+    """Labels in a reproducible random order: their places in it."""
+    return judging.shuffled(table(spark, sf, "labels").select("doc_id"), "doc_id", "12").select("doc_id", "place")
+
+
 def reference_cutoff(spark, sf):
     """Lines of each document before its first licence line."""
     lines = F.split("text", "\n")
@@ -148,8 +153,6 @@ def example_rows(spark, sf):
 
 
 def pending_work(spark, sf):
-    from ..operators import judging
-
     passes = literal(spark, [("a", 1), ("a", 2), ("b", 1)], "judge string, pass int")
     work = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task")).crossJoin(F.broadcast(passes))
     done = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("judge"), F.least("l_linenumber", F.lit(2)).cast("int").alias("pass"))
@@ -186,9 +189,13 @@ QUERIES = {
     "latency_summary": (latency_summary, f"WITH a AS (SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1), r AS (SELECT event_type, value FROM events QUALIFY row_number() OVER ({_win}) <= 500), l AS (SELECT event_type, list_sort(list(value)) AS v FROM r GROUP BY 1) SELECT a.*, v[greatest(1, CAST(floor(len(v) * 0.95) AS BIGINT))] AS recent_p95, len(v) AS recent FROM a JOIN l USING (event_type)"),
     "telemetry_snapshot": (telemetry_snapshot, "SELECT count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) FILTER (WHERE event_type = 'error') AS n_error, count(*) FILTER (WHERE event_type = 'view') AS n_view, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate FROM events"),
     "seen_before": (seen_before, "SELECT doc_id, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) > 1 AS seen FROM documents"),
-    "toc_parents": (toc_parents, f"WITH t AS (SELECT * FROM {_toc}), a AS (SELECT x.document, x.ord, p.ord AS po, p.title FROM t x LEFT JOIN t p ON p.document = x.document AND p.ord < x.ord AND p.level < x.level AND NOT EXISTS (SELECT 1 FROM t m WHERE m.document = x.document AND m.ord > p.ord AND m.ord < x.ord AND m.level <= p.level)) SELECT document, CAST(ord AS BIGINT) AS ord, coalesce(string_agg(title, ' > ' ORDER BY po), '') AS parents FROM a GROUP BY document, ord"),
-    "section_ends": (section_ends, f"WITH t AS (SELECT * FROM {_toc}) SELECT document, CAST(ord AS BIGINT) AS ord, level, title, page, coalesce((SELECT n.page - 1 FROM t n WHERE n.document = t.document AND n.ord > t.ord AND n.level <= t.level ORDER BY n.ord LIMIT 1), 30) AS page_end FROM t"),
-    "word_lines": (word_lines, f"SELECT * FROM {values([('a', 0, 'zero one'), ('a', 1, 'next line'), ('b', 0, 'x')], 'page', 'line', 'text')}"),
+    "toc_parents": (toc_parents, f"WITH t AS (SELECT * FROM {_toc} AS x), a AS (SELECT x.document, x.ord, p.ord AS po, p.title FROM t x LEFT JOIN t p ON p.document = x.document AND p.ord < x.ord AND p.level < x.level AND NOT EXISTS (SELECT 1 FROM t m WHERE m.document = x.document AND m.ord > p.ord AND m.ord < x.ord AND m.level <= p.level)) SELECT document, CAST(ord AS BIGINT) AS ord, coalesce(string_agg(title, ' > ' ORDER BY po), '') AS parents FROM a GROUP BY document, ord"),
+    "section_ends": (section_ends, f"WITH t AS (SELECT * FROM {_toc} AS x) SELECT document, CAST(ord AS BIGINT) AS ord, level, title, page, coalesce((SELECT n.page - 1 FROM t n WHERE n.document = t.document AND n.ord > t.ord AND n.level <= t.level ORDER BY n.ord LIMIT 1), 30) AS page_end FROM t"),
+    "word_lines": (word_lines, """WITH RECURSIVE w AS (SELECT CAST(l_partkey AS VARCHAR) AS page, l_quantity * 1.5 AS top, l_extendedprice AS x0, l_returnflag || l_linenumber AS text,
+        row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_extendedprice, l_returnflag || l_linenumber) AS i FROM lineitem WHERE l_partkey < 400),
+        r AS (SELECT page, i, 0 AS line, top AS head, x0, text FROM w WHERE i = 1
+          UNION ALL SELECT w.page, w.i, CASE WHEN abs(r.head - w.top) <= 2 THEN r.line ELSE r.line + 1 END, CASE WHEN abs(r.head - w.top) <= 2 THEN r.head ELSE w.top END, w.x0, w.text FROM r JOIN w ON w.page = r.page AND w.i = r.i + 1)
+        SELECT page, line, string_agg(text, ' ' ORDER BY x0, text) AS text FROM r GROUP BY page, line"""),
     "reference_cutoff": (reference_cutoff, "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, len(l) AS n, list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)licen[sc]e')), true) AS p FROM l) SELECT doc_id, CAST(n AS INTEGER) AS lines, CAST(CASE WHEN p > 0 THEN p - 1 ELSE n END AS INTEGER) AS kept FROM p"),
     "anchored_interval": (anchored_interval, "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), a AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '[|!]')), true) AS a FROM l), r AS (SELECT doc_id, CASE WHEN a > 0 THEN l[a:] END AS r FROM a), b AS (SELECT doc_id, list_position(list_transform(r, lambda x: NOT regexp_matches(x, '[|!]')), true) AS b FROM r) SELECT doc_id, CAST(CASE WHEN b > 0 THEN b - 1 END AS INTEGER) AS n FROM b"),
     "page_stats": (page_stats, "SELECT count(*) AS pages, CAST(min(length(html)) AS INTEGER) AS least, CAST(max(length(html)) AS INTEGER) AS most, CAST(sum(length(html)) AS BIGINT) AS chars, count(*) FILTER (WHERE html = '') AS blank FROM pages"),
@@ -203,4 +210,5 @@ QUERIES = {
     "orphan_check": (orphan_check, "SELECT count(*) AS orphans FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
     "set_operations": (set_operations, "WITH g AS (SELECT doc_id FROM labels WHERE quality = 1), t AS (SELECT doc_id FROM labels WHERE toxic = 1), n AS (SELECT (SELECT count(*) FROM g) + (SELECT count(*) FROM t) AS bag, (SELECT count(*) FROM (FROM g INTERSECT FROM t)) AS common, (SELECT count(*) FROM (FROM g EXCEPT ALL FROM t)) AS only_good, (SELECT count(*) FROM (FROM g UNION FROM t)) AS either) SELECT *, common = either AS equal FROM n"),
     "missing_ids": (missing_ids, "SELECT lang, CAST(count(DISTINCT doc_id) - count(DISTINCT CASE WHEN quality = 1 THEN doc_id END) AS INTEGER) AS missing FROM labels JOIN documents USING (doc_id) GROUP BY lang"),
+    "seeded_order": (seeded_order, "SELECT doc_id, row_number() OVER (ORDER BY md5('12:' || doc_id), doc_id) AS place FROM labels"),
 }

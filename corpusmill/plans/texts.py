@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..operators import chunking, windows
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 #: Questions of each kind, for the guards.
@@ -116,13 +116,19 @@ def logical_units(spark, sf):
 
 def chunk_pack(spark, sf):
     """Chunks of every document: whole up to 700 tokens, else its units packed towards 550."""
-    docs = texts(spark, sf).withColumn("n", F.size(T.tokens("text")))
-    units = F.when(F.col("n") <= 700, F.array("text")).otherwise(T.cut_long(T.logical_units("text")))
-    docs = docs.select("doc_id", "n", units.alias("units")).withColumn("sizes", F.transform("units", lambda u: F.size(T.tokens(u))))
-    parts = F.when(F.col("n") <= 700, F.col("units")).otherwise(T.pack("units", "sizes"))
-    out = docs.select("doc_id", parts.alias("parts")).withColumn("chunk_count", F.size("parts"))
-    out = out.select("doc_id", "chunk_count", F.posexplode("parts").alias("at", "text"))
-    return out.select(F.format_string("d%d_c%02d", "doc_id", F.col("at") + 1).alias("chunk_id"), "doc_id", (F.col("at") + 1).alias("chunk_index"), "chunk_count", F.size(T.tokens("text")).alias("token_count"), F.sha2("text", 256).alias("digest"))
+    out = chunking.chunks(texts(spark, sf).select(F.format_string("d%d", "doc_id").alias("record_id"), "doc_id", "text"))
+    return out.select("chunk_id", "doc_id", "chunk_index", "chunk_count", "token_count", F.sha2("text", 256).alias("digest"))
+
+
+def chunk_rules(spark, sf):
+    """Chunks by the builder's rules: one in seven isn't eligible, canonical ones stay whole, tables are cut by line."""
+    d = with_attributes(texts(spark, sf))
+    rows = d.select(
+        F.concat(F.lit("r"), "doc_id").alias("record_id"), "doc_id", "text", "content_type", (F.col("doc_id") % 7 != 0).alias("retrieval_eligible"),
+        F.when(F.col("canonical"), "current_guideline").otherwise("full_guideline").alias("source_type"),
+    )
+    out = chunking.chunks(rows)
+    return out.groupBy("doc_id").agg(F.max("chunk_count").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("largest"), F.min("chunk_id").alias("first"))
 
 
 def chunk_stats(spark, sf):
@@ -172,9 +178,8 @@ def previews(spark, sf):
 
 
 def record_ids(spark, sf):
-    d = with_attributes(texts(spark, sf))
-    n = F.row_number().over(Window.partitionBy("lang", "page").orderBy("doc_id"))
-    return d.select("doc_id", F.format_string("p%03d_r%02d", "page", n).alias("record_id"))
+    d = windows.numbered(with_attributes(table(spark, sf, "documents").select("doc_id", "lang")).select("doc_id", "lang", "page"), ["lang", "page"], ["doc_id"])
+    return d.select("doc_id", F.format_string("p%03d_r%02d", "page", "number").alias("record_id"))
 
 
 def retrieval_texts(spark, sf):
@@ -182,21 +187,24 @@ def retrieval_texts(spark, sf):
     return d.select("doc_id", F.sha2(T.retrieval_text("source", F.lit(""), "recommendation_id", "sites", "content_type", "text"), 256).alias("digest"))
 
 
+#: Phrases that documents begin with, by number.
 SITE_TEXTS = [
-    ("Lung cancer and gastro-oesophageal reflux",), ("Gall bladder only",), ("Gall bladder and bladder",), ("Renal, stomach – pancreatic",),
-    ("Upper gastro‑oesophageal  junction",), ("nothing",), ("Rectalmass or signsconsistent with colorectal  cancer",),
+    "Lung cancer and gastro-oesophageal reflux", "Gall bladder only", "Gall bladder and bladder", "Renal, stomach – pancreatic",
+    "Upper gastro‑oesophageal  junction", "nothing", "Rectalmass or signsconsistent with colorectal  cancer",
 ]
-DOTTED = [("1.10.2",), ("1.2.10",), ("1.2.9",), ("1.1.1",), ("1.16.1",), ("1.2",)]
 
 
 def site_mentions(spark, sf):
-    d = literal(spark, SITE_TEXTS, "text string")
-    return d.select("text", F.array_join(T.sites("text"), ",").alias("sites"), T.heading("text").alias("heading"), T.repair_glue("text").alias("repaired"))
+    phrase = F.element_at(F.array(*map(F.lit, SITE_TEXTS)), (F.col("doc_id") % len(SITE_TEXTS) + 1).cast("int"))
+    d = texts(spark, sf).select("doc_id", F.concat(phrase, F.lit(" "), "source", F.lit(" "), F.substring("text", 1, 60)).alias("text"))
+    return d.select("doc_id", F.array_join(T.sites("text"), ",").alias("sites"), F.sha2(T.heading("text"), 256).alias("heading"), F.sha2(T.repair_glue("text"), 256).alias("repaired"))
 
 
 def dotted_sort(spark, sf):
-    d = literal(spark, DOTTED, "id string")
-    return d.select("id", F.array_join(T.dotted_key("id"), "-").alias("key"), F.row_number().over(Window.orderBy(T.dotted_key("id"))).alias("rank"))
+    """The distinct recommendation ids (a bounded set) in the order of their numbers."""
+    d = with_attributes(table(spark, sf, "documents").select("doc_id", "lang")).select("recommendation_id").distinct()
+    d = d.withColumn("key", T.dotted_key("recommendation_id"))
+    return windows.numbered(d, [], ["key"], "rank").select("recommendation_id", F.array_join("key", "-").alias("key"), "rank")
 
 
 def fingerprints(spark, sf):
@@ -205,9 +213,10 @@ def fingerprints(spark, sf):
 
 
 def content_types(spark, sf):
-    kinds = [("symptom_table", None, None), (None, "FIT", None), (None, None, "1.15.2"), (None, "", "1.14.1"), (None, None, "1.16.9"), (None, None, "1.1.4"), (None, None, None)]
-    d = literal(spark, kinds, "section_type string, term string, rid string")
-    return d.select("section_type", "term", "rid", T.content_type("section_type", "term", "rid").alias("content_type"))
+    k = F.col("doc_id")
+    d = with_attributes(table(spark, sf, "documents").select("doc_id", "lang", "source"))
+    term, rid = F.when(k % 11 == 0, F.col("source")).when(k % 11 == 1, F.lit("")), F.when(k % 13 == 0, F.lit(None)).when(k % 13 == 1, F.lit("")).otherwise(F.col("recommendation_id"))
+    return d.select("doc_id", T.content_type(F.when(F.col("page") == 0, "symptom_table"), term, rid).alias("content_type"))
 
 
 _sites = ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{s}' END" for s, p in V.SITE_MENTIONS.items())
@@ -253,6 +262,13 @@ st AS (
   FROM st t JOIN ps p ON p.doc_id = t.doc_id AND p.i = t.i + 1
 ),
 pc AS (SELECT doc_id, c, string_agg(x, chr(10) ORDER BY i) AS text FROM st JOIN ps USING (doc_id, i) GROUP BY doc_id, c UNION ALL SELECT doc_id, 1, text FROM pl WHERE n <= 700)"""
+# the builder's rules: who is cut, and to what units; packing is the same recursion
+_rules = f"""{ATTRIBUTES},
+pl AS (SELECT doc_id, text, content_type = 'evidence_table' AS tab, canonical OR len({_tok('text')}) <= 700 AS whole FROM attrs WHERE doc_id % 7 <> 0),
+pz AS (SELECT doc_id, text, CASE WHEN tab THEN {_lines} ELSE flatten(list_transform({_lines}, lambda x: CASE WHEN x LIKE '•%' OR x LIKE '-%' THEN [x] ELSE {_sent('x')} END)) END AS u0 FROM pl WHERE NOT whole),
+pe AS (SELECT doc_id, flatten(list_transform(CASE WHEN len(u0) > 0 THEN u0 ELSE [text] END, lambda x: CASE WHEN len({_tok('x')}) > 700 THEN list_transform(range(1, len({_tok('x')}) + 1, 550), lambda i: array_to_string({_tok('x')}[i:i + 549], ' ')) ELSE [x] END)) AS u FROM pz),
+pu AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x FROM pe),
+{_pack[_pack.index('ps AS ('):_pack.index('pc AS (')].rstrip().rstrip(',')}"""
 
 QUERIES = {
     "guard_scope": (guard_scope, f"WITH {QUESTIONS}, {_scope} SELECT qid, excluded, selected, excluded <> '' AND selected = '' AS out_of_scope FROM scoped"),
@@ -265,6 +281,9 @@ QUERIES = {
     "sentences": (sentence_list, f"WITH s AS (SELECT doc_id, {_sent('text')} AS s FROM documents) SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS ord, unnest(s) AS sentence FROM s"),
     "logical_units": (logical_units, f"WITH {_units} SELECT doc_id, CAST(len(u) AS INTEGER) AS units, sha256(array_to_string(u, chr(10))) AS digest FROM u"),
     "chunk_pack": (chunk_pack, f"WITH RECURSIVE {_pack} SELECT 'd' || doc_id || '_c' || CASE WHEN c < 10 THEN '0' ELSE '' END || c AS chunk_id, doc_id, CAST(c AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, CAST(len({_tok('text')}) AS INTEGER) AS token_count, sha256(text) AS digest FROM pc"),
+    "chunk_rules": (chunk_rules, f"""WITH RECURSIVE {_rules}, pc AS (
+        SELECT doc_id, c, string_agg(x, chr(10) ORDER BY i) AS text FROM st JOIN ps USING (doc_id, i) GROUP BY doc_id, c UNION ALL SELECT doc_id, 1, text FROM pl WHERE whole)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS chunks, CAST(sum(len({_tok('text')})) AS BIGINT) AS tokens, CAST(max(len({_tok('text')})) AS INTEGER) AS largest, 'r' || doc_id || '_c01' AS first FROM pc GROUP BY doc_id"""),
     "chunk_stats": (chunk_stats, f"WITH n AS (SELECT CAST(len(regexp_extract_all(lower(text), '{V.TOKEN}')) AS INTEGER) AS n FROM documents) SELECT count(*) AS count, min(n) AS min, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, max(n) AS max, round(avg(n), 2) AS mean FROM n"),
     "join_wrapped": (join_wrapped, f"WITH {_wrap} SELECT doc_id, sha256(rtrim(t, chr(1))) AS digest FROM wf"),
     "clean_lines": (clean_lines, f"WITH {_clean} SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(k, lambda x: NOT regexp_matches(x, '{INSIDE}')), lambda x: regexp_replace(x, '^－', '-')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest, CAST(len(l) - len(b) AS INTEGER) AS headers_removed, CAST(len(list_filter(t, lambda x: x <> '')) + len(list_filter(k, lambda x: regexp_matches(x, '{INSIDE}'))) AS INTEGER) AS footer_lines_removed FROM ck"),
@@ -273,8 +292,8 @@ QUERIES = {
     "previews": (previews, "SELECT doc_id, sha256(CASE WHEN length(text) > 900 THEN substr(text, 1, 897) || '...' ELSE text END) AS long, CAST(CASE WHEN length(text) > 220 THEN 220 ELSE length(text) END AS INTEGER) AS short_chars FROM documents"),
     "record_ids": (record_ids, f"WITH {ATTRIBUTES} SELECT doc_id, 'p' || lpad(CAST(page AS VARCHAR), 3, '0') || '_r' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS record_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, page ORDER BY doc_id) AS n FROM attrs)"),
     "retrieval_texts": (retrieval_texts, f"WITH {ATTRIBUTES} SELECT doc_id, sha256(source || ' ' || recommendation_id || ' ' || lang || ' ' || content_type || chr(10) || text) AS digest FROM attrs"),
-    "site_mentions": (site_mentions, f"WITH h AS (SELECT text, {_head} AS heading, trim(regexp_replace({_glue}, '[ \\t]+', ' ', 'g')) AS repaired FROM {values(SITE_TEXTS, 'text')}), l AS (SELECT *, replace(lower(heading), 'gall bladder', '') AS low FROM h) SELECT text, heading, repaired, array_to_string(list_filter([{_sites}], lambda x: x IS NOT NULL), ',') AS sites FROM l"),
-    "dotted_sort": (dotted_sort, f"WITH k AS (SELECT id, list_transform(string_split(id, '.'), lambda x: CAST(x AS INTEGER)) AS k FROM {values(DOTTED, 'id')}) SELECT id, array_to_string(k, '-') AS key, row_number() OVER (ORDER BY k) AS rank FROM k"),
+    "site_mentions": (site_mentions, f"WITH s AS (SELECT doc_id, {SITE_TEXTS}[CAST(doc_id % {len(SITE_TEXTS)} + 1 AS BIGINT)] || ' ' || source || ' ' || substr(text, 1, 60) AS text FROM documents), h AS (SELECT doc_id, {_head} AS heading, trim(regexp_replace({_glue}, '[ \\t]+', ' ', 'g')) AS repaired FROM s), l AS (SELECT *, replace(lower(heading), 'gall bladder', '') AS low FROM h) SELECT doc_id, sha256(heading) AS heading, sha256(repaired) AS repaired, array_to_string(list_filter([{_sites}], lambda x: x IS NOT NULL), ',') AS sites FROM l"),
+    "dotted_sort": (dotted_sort, f"WITH {ATTRIBUTES}, i AS (SELECT DISTINCT recommendation_id FROM attrs), k AS (SELECT *, list_transform(string_split(recommendation_id, '.'), lambda x: CAST(x AS INTEGER)) AS k FROM i) SELECT recommendation_id, array_to_string(k, '-') AS key, row_number() OVER (ORDER BY k) AS rank FROM k"),
     "fingerprints": (fingerprints, "SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, source, text)) AS fingerprint FROM documents"),
-    "content_types": (content_types, f"SELECT *, CASE WHEN section_type = 'symptom_table' THEN 'symptom_table' WHEN term <> '' THEN 'definition' WHEN rid LIKE '1.15.%' THEN 'safety_netting' WHEN rid LIKE '1.14.%' THEN 'patient_support' WHEN rid LIKE '1.16.%' THEN 'diagnostic_process' WHEN rid <> '' THEN 'recommendation' ELSE 'guidance' END AS content_type FROM {values([('symptom_table', None, None), (None, 'FIT', None), (None, None, '1.15.2'), (None, '', '1.14.1'), (None, None, '1.16.9'), (None, None, '1.1.4'), (None, None, None)], 'section_type', 'term', 'rid')}"),
+    "content_types": (content_types, f"WITH {ATTRIBUTES}, r AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN source WHEN doc_id % 11 = 1 THEN '' END AS term, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN '' ELSE recommendation_id END AS rid FROM attrs) SELECT doc_id, CASE WHEN page = 0 THEN 'symptom_table' WHEN term <> '' THEN 'definition' WHEN rid LIKE '1.15.%' THEN 'safety_netting' WHEN rid LIKE '1.14.%' THEN 'patient_support' WHEN rid LIKE '1.16.%' THEN 'diagnostic_process' WHEN rid <> '' THEN 'recommendation' ELSE 'guidance' END AS content_type FROM r"),
 }
