@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import in_blocks
 
-def relevant(gold_ids="gold_ids", gold_types="gold_types", gold_sites="gold_sites", result="recommendation_id"):
-    """A result is relevant by its id, or by its type and a shared site where gold names both."""
+
+def relevant(gold_ids="gold_ids", gold_types="gold_types", gold_sites="gold_sites", result="recommendation_id", gold_records=None, record="doc_id"):
+    """A result is relevant by its id, or by its type and a shared site where gold names both; by its record too, if asked."""
     by_id = F.coalesce(F.array_contains(gold_ids, F.col(result)), F.lit(False))
+    if gold_records is not None:
+        by_id = by_id | F.coalesce(F.array_contains(gold_records, F.col(record)), F.lit(False))
     return by_id | (F.coalesce(F.array_contains(gold_types, F.col("content_type")), F.lit(False)) & F.coalesce(F.arrays_overlap("sites", gold_sites), F.lit(False)))
 
 
+def gold_in_corpus(chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, gold: how many chunks are relevant to each question (gold: query_id and the columns that relevant names).
+
+    Chunks are counted by the attributes that relevance looks at; only those few rows meet the questions, and the chunks that
+    a question names as records.
+    """
+    kinds = chunks.groupBy("recommendation_id", "content_type", "sites").agg(F.count("*").alias("n"))
+    by_kind = in_blocks(gold, "query_id", lambda own: kinds.crossJoin(F.broadcast(own)).where(relevant()).groupBy("query_id").agg(F.sum("n").alias("n")))
+    named = gold.select("*", F.explode(F.array_distinct("gold_records")).alias("doc_id")).join(chunks, "doc_id").where(~relevant())
+    by_record = named.groupBy("query_id").agg(F.count("*").alias("n"))
+    both = by_kind.unionByName(by_record).groupBy("query_id").agg(F.sum("n").alias("gold"))
+    return gold.select("query_id").join(both, "query_id", "left").select("query_id", F.coalesce("gold", F.lit(0)).alias("gold"))
+
+
 def per_query(results: DataFrame, queries: DataFrame, cuts=(3, 5)) -> DataFrame:
     """query_id, first_rank (null: a miss), p_at_k: hits in the first k over k, also of shorter lists. results: query_id, rank, relevant."""
     hits = [F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"hits_{k}") for k in cuts]

@@ -90,6 +90,53 @@ def open_index(spark: SparkSession, path: str, chunks: DataFrame, model: str) ->
     return spark.read.parquet(f"{path}/vectors")
 
 
+def chained_digest(files: DataFrame, order: str = "ord", name: str = "path", content: str = "digest") -> DataFrame:
+    """One row: the digest of files' names and digests, joined in their listed order (a list of files, not of their rows)."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(name), F.col(content)).alias("x"))))
+    return files.agg(F.sha2(F.array_join(F.transform(listed, lambda f: f["x"]), ""), 256).alias("digest"))
+
+
+def write_snapshot(rows: DataFrame, path: str, at: int) -> None:
+    """What a run has so far, as a numbered snapshot beside the earlier ones; the commit protocol makes each whole or absent."""
+    rows.write.mode("overwrite").parquet(f"{path}/snapshot={at:06d}")
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the latest snapshot, none before the first."""
+    found = read_checkpoint(spark, path, f"{schema}, snapshot int")
+    last = found.agg(F.max("snapshot")).first()[0]
+    return found.where(F.col("snapshot") == F.lit(last)).drop("snapshot")
+
+
+def drop_snapshots(spark: SparkSession, path: str) -> None:
+    """Deletes the snapshots, once the run's result is written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Copies a file to a stable name, on any file system; nothing is done if they are one. Returns whether it was copied."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    a, b = path(source), path(target)
+    fa, fb = a.getFileSystem(conf), b.getFileSystem(conf)
+    if fa.makeQualified(a).equals(fb.makeQualified(b)):
+        return False
+    return spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fa, a, fb, b, False, True, conf)
+
+
+def read_reports(spark: SparkSession, required: str, optional: dict[str, str]) -> DataFrame:
+    """One row: a report, and beside it others by name, each a struct; null where its file is missing. A missing first fails."""
+    out = spark.read.options(multiLine=True, mode="FAILFAST").json(required).select(F.struct("*").alias("report"))
+    for name, path in optional.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            one = spark.read.options(multiLine=True, mode="FAILFAST").json(path).limit(1).select(F.struct("*").alias(name))
+            out = out.crossJoin(F.broadcast(one))  # one row
+        else:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+    return out
+
+
 def append_checkpoint(done: DataFrame, path: str) -> None:
     """Finished work, added to what earlier runs have finished."""
     done.write.mode("append").parquet(path)

@@ -6,12 +6,14 @@ is repeated with growing waits, then fails its task, which Spark runs again.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 
@@ -59,3 +61,35 @@ def repaired(rows: DataFrame, model: Callable[[], Callable], needs, prompt: str
     again = generate(rows.where(needs), model, prompt, "_new")
     fixed = again.drop(out).withColumnRenamed("_new", out)
     return rows.where(~needs).unionByName(fixed.select(*rows.columns))
+
+
+def judge(tasks: DataFrame, model: Callable[[], Callable], prompt: str = "prompt", schema: str = "schema", batch: int = 8) -> DataFrame:
+    """tasks with label, reason and claim_ids of a judge's answers; what isn't a JSON object fails that task alone.
+
+    A judge is a factory of a function from a list of (prompt, schema) to a list of answers, code fences and all. The
+    rows that fail have a null label; `judging.valid` drops them, and `judging.pending` asks for them again.
+    """
+    pairs = tasks.withColumn("_asked", F.to_json(F.struct(F.col(prompt).alias("prompt"), F.col(schema).alias("schema"))))
+    asked = lambda: (lambda f: lambda rows: f([tuple(json.loads(r).values()) for r in rows]))(model())
+    out = _mapped(pairs, "_asked", "_answer", StringType(), asked, batch, list)
+    answer = F.from_json(unfenced("_answer"), "label string, reason string, claim_ids array<string>")
+    return out.withColumn("_read", answer).select(*tasks.columns, "_read.*")
+
+
+def unfenced(answer):
+    """An answer without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
+def healthy(spark: SparkSession, model: Callable[[], Callable], probe: str = "ping") -> bool:
+    """Whether a model answers from an executor; its failure is an answer too, not an error."""
+
+    def run(frames):
+        for frame in frames:
+            try:
+                ok = len(model()(frame["probe"].tolist())) == len(frame)
+            except Exception:
+                ok = False
+            yield pd.DataFrame({"ok": [ok]})
+
+    return spark.createDataFrame([(probe,)], "probe string").mapInPandas(run, "ok boolean").first().ok
