@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import heapq
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -83,16 +84,32 @@ def g2(a: int, b: int, na: int, nb: int) -> float:
     return out
 
 
-def dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]], lengths, least: float, ratio: float) -> tuple[bytes, bytes]:
-    """What the toxic and the ordinary dictionary hold, made from documents' distinct words."""
-    words = [Counter(w for t in texts for w in t) for texts in (toxic, ordinary)]
-    parts = {w: kmers(b" " + w + b" ", lengths) for w in {*words[0], *words[1]}}
-    seen = [Counter(k for t in texts for k in set().union(*map(parts.__getitem__, t))) for texts in (toxic, ordinary)]
-    na, nb = len(toxic), len(ordinary)
-    marks = {k for k, a in seen[0].items() if a >= 4 and a / na > ratio * (seen[1][k] + 0.5) / nb and g2(a, seen[1][k], na, nb) > least}
+def counts_by_class(rows: list[np.ndarray], toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic and other rows each of n numbers stands; a row has a number once."""
+    out = np.zeros((2, n), np.int64)
+    for row, bad in zip(rows, toxic):
+        out[0 if bad else 1][row] += 1
+    return out[0], out[1]
+
+
+def dictionaries(words: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, lengths, least: float, ratio: float) -> tuple[bytes, bytes]:
+    """What the toxic and the ordinary dictionary hold, made from documents' distinct words (rows: numbers of words)."""
+    ids, flat, starts = {}, array("i"), array("q", [0])
+    for w in words:
+        flat.extend(ids.setdefault(k, len(ids)) for k in kmers(b" " + w + b" ", lengths))
+        starts.append(len(flat))
+    flat, starts = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.frombuffer(starts, np.int64)
+    parts = [np.unique(np.concatenate([np.empty(0, np.int32), *(flat[starts[i] : starts[i + 1]] for i in row)])) for row in rows]
+    seen, heard = counts_by_class(parts, toxic, len(ids))
+    na, nb = int(toxic.sum()), int((~toxic).sum())
+    able = np.flatnonzero((seen >= 4) & (seen / na > ratio * (heard + 0.5) / nb))
+    names = list(ids)
+    marks = {names[i] for i in able.tolist() if g2(int(seen[i]), int(heard[i]), na, nb) > least}
+    del ids, names, parts
+    in_toxic, in_other = counts_by_class(rows, toxic, len(words))
     segments = Counter()
-    for word, n in words[0].items():
-        w = b" " + word + b" "
+    for at in np.flatnonzero(in_toxic).tolist():
+        w = b" " + words[at] + b" "
         covered = bytearray(len(w))
         for k in lengths or (len(w),):
             for i in range(len(w) - k + 1):
@@ -103,11 +120,12 @@ def dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]], lengths, l
             if c and start is None:
                 start = i
             elif not c and start is not None:
-                segments[w[start:i]] += n
+                segments[w[start:i]] += int(in_toxic[at])
                 start = None
-    by = lambda c: [x for x, _ in sorted(c.items(), key=lambda e: (-e[1], e[0]))]
-    common = b" ".join(reversed(by(words[1])[:2000]))[-SIZE:] or b"\0" * 8
-    return b"\0".join(reversed(by(segments)[:800]))[-SIZE:] + b"\0" + common, common
+    by = lambda c: [x for x, _ in sorted(c, key=lambda e: (-e[1], e[0]))]
+    usual = by((words[i], int(in_other[i])) for i in np.flatnonzero(in_other).tolist())
+    common = b" ".join(reversed(usual[:2000]))[-SIZE:] or b"\0" * 8
+    return b"\0".join(reversed(by(segments.items())[:800]))[-SIZE:] + b"\0" + common, common
 
 
 class Scorer:
@@ -156,8 +174,8 @@ def distinct_words(text: bytes, most: int = DISTINCT) -> list[bytes]:
     return sorted(words) if len(words) <= most else sorted(heapq.nsmallest(most, words, key=lambda w: (hash_of(w), w)))
 
 
-def _collected(rows: DataFrame, key: str, text: str, schema: str, make):
-    """A pandas frame of key, __label, __side (the text's hash) and what make(text) gives, ordered; made by the tasks."""
+def _collected(rows: DataFrame, key: str, text: str, schema: str, make) -> pa.Table:
+    """An Arrow table of key, label, side (the text's hash) and what make(text) gives, ordered; made by the tasks."""
     def run(batches):
         for b in batches:
             texts = [(x or b"").lower() for x in b.column(2).to_pylist()]
@@ -167,14 +185,14 @@ def _collected(rows: DataFrame, key: str, text: str, schema: str, make):
 
     kind = rows.schema[key].dataType.simpleString()
     out = rows.select(key, "__label", F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, label int, side long, made {schema}")
-    return out.toPandas().sort_values(["key", "side"], kind="stable").reset_index(drop=True)
+    return out.toArrow().sort_by([("key", "ascending"), ("side", "ascending")]).combine_chunks()
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Scorer | None:
     """A scorer of the labelled documents in docs; both must hold only what may be learned from."""
     sample, counts = labelled_sample(docs.select(key, text), labels, label, per_class, key, text)
     got = _collected(sample, key, text, "array<binary>", distinct_words)
-    y = got["label"].to_numpy(int)
+    y = got["label"].to_numpy().astype(int)
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return None
     share = np.array([counts.get(v, 0) / max((y == v).sum(), 1) for v in (0, 1)])
@@ -183,14 +201,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     side = got["side"].to_numpy() % 5 < 3
     if min((y[side] == 1).sum(), (y[~side] == 1).sum(), (y[side] == 0).sum(), (y[~side] == 0).sum()) < 1:
         side = np.arange(len(y)) % 2 == 0
-    words = [[{bytes(w) for w in t} for t in got["made"][side & (y == v)]] for v in (1, 0)]
-    scorers = [Scorer(*dictionaries(*words, *setting)) for setting in SETTINGS]
-    del words
+    made = got.filter(pa.array(side))["made"].combine_chunks()
+    numbered = made.flatten().dictionary_encode()
+    words, rows = numbered.dictionary.to_pylist(), np.split(numbered.indices.to_numpy(), np.cumsum(made.value_lengths().to_numpy())[:-1])
+    del made, numbered
+    scorers = [Scorer(*dictionaries(words, rows, y[side] == 1, *setting)) for setting in SETTINGS]
     shared, n = docs.sparkSession.sparkContext.broadcast(scorers), 4 + len(GAINS)
     rest = np.flatnonzero(~side)
     # the tasks make the features, of whole texts
     each = _collected(sample, key, text, "array<double>", lambda t: [x for s in shared.value for x in s.features(t)])
-    every = np.array(each["made"].tolist()).reshape(len(got), len(scorers), n)[rest]
+    every = np.array(each["made"].to_pylist()).reshape(len(y), len(scorers), n)[rest]
     best, loss = None, math.inf
     own, w = y[rest], weight[rest]
     for i, scorer in enumerate(scorers):
