@@ -22,12 +22,12 @@ def bounded(small: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
 BLOCK = 2_000
 
 
-def in_blocks(questions: DataFrame, key: str, run, size: int = BLOCK) -> DataFrame:
+def in_blocks(questions: DataFrame, key: str, run, size: int | None = None) -> DataFrame:
     """run(block) for blocks of at most about `size` questions, joined: each block is sent to all tasks (run may broadcast it).
 
     So a question set of any size is answered with memory of a stated bound; more questions take more scans.
     """
-    n = questions.count()
+    n, size = questions.count(), size or BLOCK
     if n <= size:
         return run(questions)
     blocks, out = -(-2 * n // size), None

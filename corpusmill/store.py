@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+_scope: ContextVar[tuple[str, ...]] = ContextVar("corpusmill_scope", default=())
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = stash_path(df.sparkSession, name)
+def stash_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    scope = _scope.get()[: -1 if outer else None]
+    return "/".join([shared_dir(spark), "corpusmill", spark.sparkContext.applicationId, *scope, f"{name}-{uuid.uuid4().hex}"])
+
+
+def stash(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    outer: beside the scratch that is open, so that it outlives it.
+    """
+    path = stash_path(df.sparkSession, name, outer)
     df.write.option("compression", CODEC).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._corpusmill_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables that are stored within are deleted at its end, but for those stored with `outer`."""
+    token = _scope.set((*_scope.get(), f"{name}-{uuid.uuid4().hex}"))
+    try:
+        yield
+    finally:
+        path = "/".join([shared_dir(spark), "corpusmill", spark.sparkContext.applicationId, *_scope.get()])
+        _scope.reset(token)
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
