@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import CODEC, clear_stash, discard, fresh, scratch, shared_dir, stash, stash_path  # noqa: F401
+
 #: Rows up to which a narrow table (a few numbers or short strings a row) is broadcast.
 BROADCAST_ROWS = 200_000
 
-#: zstd compresses in buffers that are freed with the writer; snappy's direct buffers wait for the collector.
-CODEC = "zstd"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, since
-    a folder of one machine would be missing on the others.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = getattr(spark.sparkContext, "_corpusmill_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext._corpusmill_dir = made
-    return made
-
-
-def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = stash_path(df.sparkSession, name)
-    df.write.option("compression", CODEC).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_stash(spark: SparkSession) -> None:
-    """Deletes what this application stored; call it once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint if it has at most so many rows, else as it is (a shuffled join, which AQE splits)."""
@@ -64,18 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def in_scratch(learn):
+    """A function of a first frame that gives no frame: what it stores is deleted once it has returned."""
+
+    @functools.wraps(learn)
+    def run(df, *rest, **named):
+        with scratch(df.sparkSession, learn.__name__):
+            return learn(df, *rest, **named)
+
+    return run
+
+
 def fold_of(key: str = "doc_id", folds: int = 5):
     """crc32 of the key's text, modulo folds; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % F.lit(folds)
 
 
-def fresh(columns: list[str], name: str) -> str:
-    """name, with as many underscores before it as it takes to be none of the columns."""
-    while name in columns:
-        name = "_" + name
-    return name
-
-
 #: Words of 64 bits that a sieve has: at most so many rows of two longs are sent to all tasks.
 SIEVE_WORDS = 1 << 20
 
@@ -144,21 +111,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     counts, and of several rows of an id the least text by hash. Also the number of labelled ids of each label, to weigh
     the classes by.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
-    able = docs.where(F.col(text).isNotNull())
-    known = able.select(F.col(key).alias("__key")).join(bounded(stash(known, "labels")), "__key").distinct()
-    known = stash(known, "labelled")
-    counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
-    chosen = None
-    for value in sorted(counts):
-        own = least_by_hash(known.where(F.col("__label") == value), "__key", per_class)
-        chosen = own if chosen is None else chosen.unionAll(own)
-    if chosen is None:
-        chosen = known
-    some = able.join(F.broadcast(stash(chosen, "chosen")), F.col(key) == F.col("__key")).drop("__key")  # per_class rows a label
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return stash(one_each(some, key, text).repartition(cores), "sample"), counts
+    spark = docs.sparkSession
+    with scratch(spark, "sampling"):
+        known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        known = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
+        able = docs.where(F.col(text).isNotNull())
+        known = able.select(F.col(key).alias("__key")).join(bounded(stash(known, "labels")), "__key").distinct()
+        known = stash(known, "labelled")
+        counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
+        chosen = None
+        for value in sorted(counts):
+            own = least_by_hash(known.where(F.col("__label") == value), "__key", per_class)
+            chosen = own if chosen is None else chosen.unionAll(own)
+        if chosen is None:
+            chosen = known
+        some = able.join(F.broadcast(stash(chosen, "chosen")), F.col(key) == F.col("__key")).drop("__key")  # per_class rows a label
+        return stash(one_each(some, key, text).repartition(spark.sparkContext.defaultParallelism), "sample", outer=True), counts
 
 
 def logistic(x, y, weight=None, ridge: float = 1.0, rounds: int = 60):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, release, stash, table
+from .common import bounded, fold_of, in_scratch, release, stash, table
 
 #: Documents of each language, documents in all, and bytes of a document, that are learned from at most (about).
 PER_LANGUAGE, TOTAL, MOST = 600, 12_000, 1 << 16
@@ -156,6 +156,7 @@ class Trees:
         return out
 
 
+@in_scratch
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Trees | None:
     """Trees of the documents' languages; docs: those that may be learned from."""
     able = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())

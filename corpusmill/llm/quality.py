@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import fold_of, keep_rows, labelled_sample, least_by_hash, logistic, one_each, release, share_by_hash, sigmoid, stash, table
+from .common import fold_of, in_scratch, keep_rows, labelled_sample, least_by_hash, logistic, one_each, release, share_by_hash, sigmoid, stash, table
 
 PER_CLASS, POOL, ROUNDS, SURE = 1_500, 2_000, 3, 100
 #: Sizes of the text view and of the hashed languages and sources.
@@ -147,6 +147,7 @@ def viewed(rows: DataFrame, keys: list[str], text: str = "text"):
     return got, (flat("__text", DIMS + 3), flat("__meta", 2 * KINDS + 6))
 
 
+@in_scratch
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, pool: int = POOL):
     """A model of the labelled documents; docs and labels must hold only what may be learned from."""
     docs = docs.select(key, text, *META)

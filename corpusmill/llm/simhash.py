@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, sieved, stash, table
+from .common import bounded, fresh, scratch, sieved, stash, table
 from .components import connected_components
 
 #: Shard members that a task holds at once.
@@ -270,7 +270,8 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = BLOCKS, most: int = MOS
 def components(prints: DataFrame, key: str = "doc_id", radius: int = 4, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """fp, root, component_id for every distinct fp of prints (key, fp); root names the component by a fingerprint."""
     distinct = stash(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
-    member = stash(connected_components(links(distinct, radius, blocks, most)), "simhash-members").withColumnRenamed("node", "fp")
+    with scratch(prints.sparkSession, "simhash"):
+        member = stash(connected_components(links(distinct, radius, blocks, most)), "simhash-members", outer=True).withColumnRenamed("node", "fp")
     named = member.join(distinct, "fp")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     alone = distinct.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))

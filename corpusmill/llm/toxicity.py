@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, keep_rows, labelled_sample, logistic, release, sigmoid, table
+from .common import fold_of, in_scratch, keep_rows, labelled_sample, logistic, release, sigmoid, table
 
 PER_CLASS, SIZE, WORDS = 1_500, 8_192, 12
 #: Distinct words of a document that the dictionaries are made from, at most.
@@ -188,6 +188,7 @@ def _collected(rows: DataFrame, key: str, text: str, schema: str, make) -> pa.Ta
     return out.toArrow().sort_by([("key", "ascending"), ("side", "ascending")]).combine_chunks()
 
 
+@in_scratch
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Scorer | None:
     """A scorer of the labelled documents in docs; both must hold only what may be learned from."""
     sample, counts = labelled_sample(docs.select(key, text), labels, label, per_class, key, text)
