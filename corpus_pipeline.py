@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, mixing, quality, simhash, toxicity
-from corpusmill.llm.common import stash, table
+from corpusmill.llm.common import discard, scratch, stash, table
 from corpusmill.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,7 +81,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage stored on its way goes with it, and its result once the next one has read it."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        with scratch(spark, f"stage-{i}"):
+            done = stash(stage(spark, docs, sf_dir), f"pipeline-{i}", outer=True)
+        discard(docs)
+        docs = done
     return docs
