@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
-from ..operators import index, search
+from ..operators import engine, index, search
 from ..store import stash
-from .common import ATTRIBUTES, table, texts, with_attributes
+from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 P = V.TOKEN
 #: Token and BM25 relations shared by the SQL below.
@@ -135,7 +135,20 @@ def search_results(spark, sf):
         )
     )
     cite = T.citation("Guideline", F.col("source"), F.col("recommendation_id"), F.col("page"), F.col("page"), F.when(F.col("is_current"), "current").otherwise("earlier"))
-    return out.select("query_id", "rank", F.concat(F.lit("E"), F.col("rank")).alias("label"), "doc_id", F.array_join(why, "; ").alias("explanations"), cite.alias("citation"))
+    return out.select("query_id", "rank", F.concat(F.lit("E"), F.col("rank")).alias("label"), "doc_id", F.round("dense", 6).alias("dense"), F.round("bm25_norm", 6).alias("bm25_norm"), F.array_join(why, "; ").alias("explanations"), cite.alias("citation"))
+
+
+#: Questions that guards stop, with the guard.
+STOPPED = [("s1", "Should a patient with prostate cancer symptoms be referred?", "scope_refusal"), ("a1", "Should this patient be referred?", "insufficient_information")]
+
+
+def engine_search(spark, sf):
+    """The public search from question to results: guards, fallback for want of vectors, boosts and coherence, without the reranker."""
+    chunks = with_attributes(texts(spark, sf)).select("doc_id", "text", "sites", "content_type", "is_current", "canonical", "page", "recommendation_id")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
+    asked = asked.unionByName(literal(spark, [x[:2] for x in STOPPED], "qid string, text string"))
+    out = engine.search(asked, chunks, top_k=5, rerank=False)
+    return out.select("qid", "outcome", "mode_used", "warning", "rank", "doc_id", "score")
 
 
 CAND = f"""{BM25}, {ATTRIBUTES},
@@ -197,7 +210,10 @@ QUERIES = {
     "hybrid_boosted": (hybrid_boosted, f"WITH {BOOSTED} SELECT query_id, doc_id, {FIRST} AS first_rank, round(score, 6) AS score, round(adjustment, 6) AS adjustment FROM boosted QUALIFY first_rank <= 20"),
     "anchor_coherence": (anchor_coherence, f"WITH {ANCHORED} SELECT query_id, doc_id, first_rank, round(score, 6) AS score, array_to_string(anchor_sites, ',') AS anchor_sites FROM firsts"),
     "rerank_topk": (rerank_topk, f"WITH {RERANKED} SELECT query_id, doc_id, rank, first_rank, round(rerank_score, 6) AS rerank_score, round(coverage, 6) AS coverage FROM ranked WHERE rank <= 10"),
-    "search_results": (search_results, f"""WITH {RERANKED} SELECT query_id, rank, 'E' || rank AS label, doc_id,
+    "engine_search": (engine_search, f"""WITH {ANCHORED.replace('0.55::DOUBLE * bm25_norm + 0.45::DOUBLE * dense AS base', '1.0::DOUBLE * bm25_norm AS base')}
+        SELECT CAST(query_id AS VARCHAR) AS qid, 'retrieval_results' AS outcome, 'bm25' AS mode_used, 'hybrid search has no vectors: ranked by bm25' AS warning, CAST(first_rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
+        FROM firsts WHERE first_rank <= 5 UNION ALL SELECT qid, outcome, NULL, NULL, NULL, NULL, NULL FROM {values([(q, o) for q, _, o in STOPPED], 'qid', 'outcome')}"""),
+    "search_results": (search_results, f"""WITH {RERANKED} SELECT query_id, rank, 'E' || rank AS label, doc_id, round(dense, 6) AS dense, round(bm25_norm, 6) AS bm25_norm,
         array_to_string(list_filter([CASE WHEN asked_evidence AND content_type IN ('evidence', 'evidence_table', 'rationale') THEN 'evidence-intent match' END,
           CASE WHEN NOT asked_evidence AND canonical THEN 'canonical current recommendation' END,
           CASE WHEN NOT asked_evidence AND NOT canonical AND is_current THEN 'current authoritative source' END,
