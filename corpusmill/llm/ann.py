@@ -6,9 +6,9 @@ on a bounded sample for the anisotropic loss: residual error parallel to the vec
 across it, since it is what moves the large inner products. Codes are chosen by coordinate descent on that loss, and the
 codebooks are solved for by least squares under it.
 
-Search: queries go in blocks of BLOCK, each block's vectors to all tasks (a stated bound). A task scans its rows' codes
-by table look-ups (two codes a byte, one table of 256 sums for each), takes each query's RERANK best of every batch, and
-scores those exactly in double precision; the best k of each task are ranked per query.
+Search: queries go in blocks of BLOCK (fewer of long vectors), each block's vectors to all tasks (a stated bound). A task
+scans its rows' codes by table look-ups (two codes a byte, one table of 256 sums for each), takes each query's RERANK best
+of every ROWS rows, and scores those exactly in double precision; the best k of each task are ranked per query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows without
 an id, nor vectors of another length than most have; of rows with the same id the nearest one counts, and a query that
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import CODEC, least_by_hash, share_by_hash, stash, stash_path, table
 
 #: Vectors that the codebooks are fitted on, at most (about).
 SAMPLE = 8_000
-#: Queries whose vectors are sent to all tasks at once (about).
-BLOCK = 2_048
+#: Queries whose vectors are sent to all tasks at once (about), and bytes of their vectors at most.
+BLOCK, BLOCK_BYTES = 8_192, 1 << 26
+#: Bytes of look-up tables that a task holds at once: a block's queries take turns in each batch.
+TABLE_BYTES = 1 << 24
 #: Rows of a batch that are scored exactly for each query.
 RERANK = 64
 #: Rows scanned at once.
@@ -120,10 +122,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     n = rows.count()
     if not n:
         return None
-    some = rows
-    if n > sample:
-        some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(sample / n * 1_000_000) + 1).limit(2 * sample)
-    x = np.array([r.embedding for r in some.orderBy("vec_id").collect()])
+    some = rows.where(share_by_hash("vec_id", 4 * sample / n)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    x = np.array([r.embedding for r in least_by_hash(some, "vec_id", sample).orderBy("vec_id").collect()])
     if not len(x):
         x = np.array([r.embedding for r in rows.limit(sample).collect()])
     d = x.shape[1]
@@ -134,11 +134,13 @@ def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
     """rows with code (two four-bit codes a byte) and half (half the squared norm)."""
 
     def run(batches):
-        for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(len(b), -1) if len(b) else np.empty((0, quantiser.d))
-            packed = pack(quantiser.encode(x))
-            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(b), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole, pa.array((x * x).sum(1) / 2)], names=["vec_id", "embedding", "code", "half"])
+        for batch in batches:
+            for at in range(0, len(batch), ROWS // 4):
+                b = batch.slice(at, ROWS // 4)
+                x = b.column(1).flatten().to_numpy().reshape(len(b), -1)
+                packed = pack(quantiser.encode(x))
+                whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(b), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole, pa.array((x * x).sum(1) / 2)], names=["vec_id", "embedding", "code", "half"])
 
     return rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, half double")
 
@@ -149,7 +151,7 @@ def _scan(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, quantiser: Quantis
 
     def run(batches):
         ids, q, quantiser = shared.value
-        tables = quantiser.tables(q)
+        turn = max(1, min(256, TABLE_BYTES // (quantiser.m // 2 * 256 * 4)))
         best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
         for b in batches:
             for at in range(0, len(b), ROWS):
@@ -159,24 +161,26 @@ def _scan(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, quantiser: Quantis
                 key = key[order]
                 x = part.column(1).flatten().to_numpy().reshape(len(part), -1)[order]
                 code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)[order]
-                score = np.repeat(-part.column(3).to_numpy()[order].astype(np.float32)[:, None], len(ids), 1)
-                for j in range(code.shape[1]):
-                    score += tables[j][code[:, j]]
-                score = np.ascontiguousarray(score.T)
-                for i in range(len(ids)):
-                    s, own = score[i], key != ids[i]
-                    take = min(RERANK, len(s))
-                    edge = np.partition(s, len(s) - take)[len(s) - take]
-                    above = np.flatnonzero(s > edge)
-                    # of rows with the same score (equal vectors have), those of least id come first
-                    near = np.r_[above, np.flatnonzero(s == edge)[: take - len(above) + 1]]
-                    near = near[own[near]]
-                    away = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                    away, to = np.r_[best[i][0], away], np.r_[best[i][1], key[near]]
-                    by = np.lexsort((to, away))
-                    _, first = np.unique(to[by], return_index=True)
-                    by = by[np.sort(first)][:k]
-                    best[i] = away[by], to[by]
+                half = part.column(3).to_numpy()[order].astype(np.float32)[:, None]
+                for lo in range(0, len(ids), turn):
+                    tables = quantiser.tables(q[lo : lo + turn])
+                    score = np.repeat(-half, tables.shape[2], 1)
+                    for j in range(code.shape[1]):
+                        score += tables[j][code[:, j]]
+                    score = np.ascontiguousarray(score.T)
+                    for i, s in enumerate(score, start=lo):
+                        take = min(RERANK, len(s))
+                        edge = np.partition(s, len(s) - take)[len(s) - take]
+                        above = np.flatnonzero(s > edge)
+                        # of rows with the same score (equal vectors have), those of least id come first
+                        near = np.r_[above, np.flatnonzero(s == edge)[: take - len(above) + 1]]
+                        near = near[key[near] != ids[i]]
+                        away = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                        away, to = np.r_[best[i][0], away], np.r_[best[i][1], key[near]]
+                        by = np.lexsort((to, away))
+                        _, first = np.unique(to[by], return_index=True)
+                        by = by[np.sort(first)][:k]
+                        best[i] = away[by], to[by]
         if any(len(x[0]) for x in best):
             counts = [len(x[0]) for x in best]
             yield pa.RecordBatch.from_arrays(
@@ -201,15 +205,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
     if not n:
         return empty
     indexed = stash(index(rows, quantiser), "ann-index")
-    blocks = -(-n // BLOCK)
-    found = None
+    blocks = -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * quantiser.d))))
+    path = stash_path(spark, "ann-found")
     for i in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()
-        if not own:
-            continue
-        got = _scan(indexed, np.array([r.vec_id for r in own]), np.array([r.embedding for r in own]), quantiser, k)
-        got = stash(got, "ann-found")
-        found = got if found is None else found.unionAll(got)
+        if own:
+            got = _scan(indexed, np.array([r.vec_id for r in own]), np.array([r.embedding for r in own]), quantiser, k)
+            got.write.mode("append").option("compression", CODEC).parquet(path)
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = best.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
