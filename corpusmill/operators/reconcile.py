@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..store import stash
-from .index import bounded, exploded
+from .index import bounded, exploded, in_blocks
 
 
 def shared_terms(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -90,26 +90,33 @@ def best_blend(current: DataFrame, earlier: DataFrame, k: int = 1) -> DataFrame:
     """left_id, right_id, score, rank: each current text's k best of all earlier ones by `similarity`, exact. Both: id, text.
 
     The blend of the k best by terms is a floor. A pair is compared if its Jaccard index and the largest ratio that its
-    lengths allow could reach the floor; pairs without a shared term too. Only ids and numbers of all pairs are made.
+    lengths allow could reach the floor; one that shares no term, if its lengths alone could. The lengths of all pairs are
+    looked at in the earlier texts' tasks, for a block of current ones at a time; only pairs that pass are shuffled.
     """
-    a = bounded(current.select(F.col("id").alias("left_id"), T.match_form("text").alias("_new")))
-    b = earlier.select(F.col("id").alias("right_id"), T.match_form("text").alias("_old"))
-    terms = shared_terms(current, earlier)
+    return in_blocks(current, "id", lambda block: _best_blend(stash(block, "current"), earlier, k))
+
+
+def _best_blend(current: DataFrame, earlier: DataFrame, k: int) -> DataFrame:
+    a = F.broadcast(stash(current.select(F.col("id").alias("left_id"), T.match_form("text").alias("_new")), "current-forms"))  # a block
+    b = stash(earlier.select(F.col("id").alias("right_id"), T.match_form("text").alias("_old")), "earlier-forms")
+    terms = stash(shared_terms(current, earlier), "shared-terms")
     ratio = 0.4 * sequence_ratio("_old", "_new")
 
     def scored(pairs):
         return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", (0.6 * F.col("jaccard") + ratio).alias("score"))
 
-    seeds = scored(best_match(terms, k=k).select("left_id", "right_id", "jaccard"))
-    floor = F.broadcast(seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("_floor")))
-    sizes = lambda df, key, form, n: df.select(key, F.length(form).alias(n))
-    pairs = sizes(b, "right_id", "_old", "_m").crossJoin(F.broadcast(sizes(a, "left_id", "_new", "_n"))).join(terms, ["left_id", "right_id"], "left")
-    pairs = pairs.withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0))).join(floor, "left_id", "left")
+    seeds = scored(best_match(terms, k=k).select("left_id", "right_id", "jaccard").repartition("left_id", "right_id"))
+    floor = stash(seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("_floor")), "floors")
+    asked = a.select("left_id", F.length("_new").alias("_n")).join(F.broadcast(floor), "left_id", "left")
+    asked = F.broadcast(asked.select("left_id", "_n", F.coalesce("_floor", F.lit(0.0)).alias("_floor")))
+    sizes = b.select("right_id", F.length("_old").alias("_m"))
     reach = F.when(F.col("_n") + F.col("_m") > 0, 2 * F.least("_n", "_m") / (F.col("_n") + F.col("_m"))).otherwise(1.0)
-    able = pairs.where(0.6 * F.col("jaccard") + 0.4 * reach >= F.coalesce("_floor", F.lit(0.0)) - 1e-9)
-    # dealt anew: what is left to compare is uneven
-    able = able.select("left_id", "right_id", "jaccard").repartition("left_id", "right_id")
-    return best_match(scored(able), "score", k)
+    able = 0.6 * F.col("jaccard") + 0.4 * reach >= F.col("_floor") - 1e-9
+    plain = sizes.crossJoin(asked).withColumn("jaccard", F.lit(0.0)).where(able)
+    shared = terms.join(sizes, "right_id").join(asked, "left_id").where(able)
+    # a pair with a shared term may stand in both; dealt anew, since what is left to compare is uneven
+    pairs = shared.unionByName(plain).groupBy("left_id", "right_id").agg(F.max("jaccard").alias("jaccard"))
+    return best_match(scored(pairs.repartition("left_id", "right_id")), "score", k)
 
 
 def difference_reasons(old, new):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, guards
 from ..operators import evaluation as E
-from ..operators import search
+from ..operators import index, search
 from .common import ATTRIBUTES, table, with_attributes
 from .search import BM25
 from .texts import ASCII, BATTERY, _emerg, _scope
@@ -53,7 +53,7 @@ def precision_ceiling(spark, sf):
     """What precision at 3 could be with the gold that the corpus has, and the share of it that was reached."""
     q = _queries(spark, sf)
     gold = table(spark, sf, "embeddings").groupBy(F.col("label").alias("grp")).agg((F.count("*") - 1).alias("gold"))
-    per = E.per_query(_results(spark, sf), q).join(q, "query_id").join(F.broadcast(gold), "grp")
+    per = E.per_query(_results(spark, sf), q).join(q, "query_id").join(index.bounded(gold), "grp")
     ceiling = F.avg(F.least(F.col("gold"), F.lit(3)) / 3)
     return per.agg(F.round(ceiling, 4).alias("ceiling"), F.round(F.avg("p_at_3") / ceiling, 4).alias("adjusted"))
 

@@ -61,6 +61,31 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(pages, "document string, page int, text string")
 
 
+def read_npy(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+    """row, embedding of a file of vectors in NumPy's format (two dimensions, numbers only); read in pieces of so many rows.
+
+    A file is one array, so a task reads a file; many files are read side by side, and row counts from 0 in each (file).
+    """
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                if x.ndim != 2:
+                    raise ValueError(f"{name} holds no rows of vectors")
+                for lo in range(0, len(x), rows):
+                    part = x[lo : lo + rows].astype(float)
+                    yield pd.DataFrame({"file": name, "row": np.arange(lo, lo + len(part)), "embedding": list(part)})
+
+    return found.mapInPandas(run, "file string, row long, embedding array<double>")
+
+
 def corpus_digest(chunks: DataFrame, key: str = "chunk_id", text: str = "text"):
     """One row: a digest of a corpus that doesn't depend on the order of its rows (the sums of its rows' hash halves, hashed)."""
     h = F.sha2(F.concat_ws("\n", F.col(key).cast("string"), F.col(text)), 256)
