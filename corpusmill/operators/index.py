@@ -22,7 +22,7 @@ def bounded(small: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
 BLOCK = 2_000
 
 
-def in_blocks(questions: DataFrame, key: str, run, size: int | None = None) -> DataFrame:
+def in_blocks(questions: DataFrame, key: str | list[str], run, size: int | None = None) -> DataFrame:
     """run(block) for blocks of at most about `size` questions, joined: each block is sent to all tasks (run may broadcast it).
 
     So a question set of any size is answered with memory of a stated bound; more questions take more scans.
@@ -32,7 +32,7 @@ def in_blocks(questions: DataFrame, key: str, run, size: int | None = None) -> D
         return run(questions)
     blocks, out = -(-2 * n // size), None
     for i in range(blocks):
-        got = run(questions.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i))
+        got = run(questions.where(F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(blocks)) == i))
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Words that begin a recommendation, marks that end it, and lines that set a mode.
 ACTION_START = (
     r"(?i)^(?:Refer|Offer|Consider|For people|Discuss|Explain|Give|The information|Provide|Reassure|When referring|If the person|"
@@ -116,3 +118,18 @@ def page_sections(lines: DataFrame, default: str = "Untitled") -> DataFrame:
 def nearest_parent(parents) -> Column:
     """The innermost numbered title among the parents."""
     return F.try_element_at(F.filter(parents, lambda p: p.rlike(r"^1\.\d+\s")), F.lit(-1))
+
+
+def table_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
+    """Rows of symptom tables that are whole (three cells, none missing) and whose second cell names a site in scope.
+
+    Adds sites and text, the row's three lines; rows that don't fit are left out (`row_problem` says why).
+    """
+    out = rows.where(row_problem(cells).isNull()).withColumn("sites", T.sites(T.repair_glue(F.col(cells)[1])))
+    part = lambda i: T.repair_glue(F.col(cells)[i])
+    return out.where(F.size("sites") > 0).withColumn("text", T.table_text(part(0), part(1), part(2)))
+
+
+def row_problem(cells="cells") -> Column:
+    """malformed for a row that hasn't three cells or misses one; else null."""
+    return F.when(F.coalesce((F.size(cells) != 3) | F.exists(cells, lambda c: c.isNull()), F.lit(True)), "malformed")

@@ -38,14 +38,24 @@ def best_match(scored: DataFrame, score: str = "jaccard", k: int = 1) -> DataFra
 SEEDS = 3
 
 
-def _verified(prefix: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """left_id, right_id, jaccard of the pairs that share a term of prefix (left_id, term, n, floor) and may reach its floor."""
-    sizes = (F.col("right_n") >= F.col("floor") * F.col("n")) & (F.col("n") >= F.col("floor") * F.col("right_n"))
-    found = exploded(b, ["right_id", "right_n"], "right_terms").join(bounded(prefix.select("term", "left_id", "n", "floor")), "term").where(sizes)
-    found = found.select("left_id", "right_id").repartition("right_id").distinct()  # dealt as the texts that they are joined to
-    out = found.join(b, "right_id").join(bounded(a), "left_id")
-    shared = F.size(F.array_intersect("left_terms", "right_terms"))
-    return out.select("left_id", "right_id", (shared / (F.col("left_n") + F.col("right_n") - shared)).alias("jaccard"))
+def _verified(ranked: DataFrame, b: DataFrame) -> DataFrame:
+    """left_id, right_id, jaccard of the pairs that share a term of the prefix and may reach the floor.
+
+    ranked: left_id, term, n, at, floor and prefix, how many terms (by at) are in it. Pairs are counted by the prefix's
+    terms; only for those that would reach the floor if they shared all the others too are the others looked up.
+    """
+    ranked = stash(ranked, "prefixes")
+    others = ranked.groupBy("left_id").agg(F.collect_list(F.when(F.col("at") > F.col("prefix"), F.col("term"))).alias("others"))
+    left = bounded(ranked.where("at <= prefix").select("term", "left_id", "n", "floor", (F.col("held") - F.col("prefix")).alias("rest")))
+    # dealt by text once: the pairs' counts need no further shuffle
+    found = exploded(b.repartition("right_id"), ["right_id", "right_n"], "right_terms").join(left, "term")
+    found = found.groupBy("left_id", "right_id", "right_n", "n", "floor", "rest").agg(F.count("*").alias("counted"))
+    needed = F.col("floor") / (1 + F.col("floor")) * (F.col("n") + F.col("right_n"))
+    found = found.where(F.col("counted") + F.col("rest") >= needed - 1e-9).drop("right_n", "floor", "rest")
+    out = found.join(b, "right_id").join(bounded(others), "left_id")
+    shared = F.col("counted") + F.size(F.filter("others", lambda t: F.array_contains("right_terms", t)))
+    out = out.select("left_id", "right_id", "n", "right_n", shared.alias("shared"))
+    return out.select("left_id", "right_id", (F.col("shared") / (F.col("n") + F.col("right_n") - F.col("shared"))).alias("jaccard"))
 
 
 def best_by_terms(left: DataFrame, right: DataFrame, k: int = 1, least: float = 0.0) -> DataFrame:
@@ -66,12 +76,13 @@ def best_by_terms(left: DataFrame, right: DataFrame, k: int = 1, least: float =
     if least > 0:
         floored = ranked.withColumn("floor", F.lit(float(least)))
     else:
-        seeds = best_match(_verified(ranked.where(F.col("at") <= SEEDS).withColumn("floor", F.lit(0.0)), a, b), k=k)
+        first = ranked.withColumn("floor", F.lit(0.0)).withColumn("prefix", F.least(F.lit(SEEDS), "held"))
+        seeds = best_match(_verified(first, b), k=k)
         floor = seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("jaccard")).otherwise(0.0).alias("floor"))
         floored = ranked.join(bounded(stash(floor, "floors")), "left_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     floored = floored.withColumn("floor", F.greatest(F.col("floor") - 1e-9, F.lit(0.0)))
     needed = F.greatest(F.ceil(F.col("floor") * F.col("n")), F.lit(1))
-    out = _verified(floored.where(F.col("at") <= F.col("held") - needed + 1), a, b)
+    out = _verified(floored.withColumn("prefix", F.greatest(F.col("held") - needed + 1, F.lit(0))), b)
     return best_match(out.where(F.col("jaccard") >= least - 1e-9), k=k)
 
 

@@ -91,16 +91,25 @@ def boost(fused: DataFrame) -> DataFrame:
     return out.withColumn("score", F.greatest(F.lit(0.0), F.col("base") + F.col("adjustment")))
 
 
-def cohere(boosted: DataFrame) -> DataFrame:
+def anchors(boosted: DataFrame) -> DataFrame:
+    """query_id, anchor: each question's best canonical chunk with sites, as struct(s, k, sites); its filter reaches the scan."""
+    key = F.struct(F.round("score", R).alias("s"), (-F.col("doc_id")).alias("k"), F.col("sites").alias("sites"))
+    return boosted.where(F.col("canonical") & (F.size("sites") > 0)).groupBy("query_id").agg(F.max(key).alias("anchor"))
+
+
+def with_anchor_sites(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds anchor_sites: the anchor's sites where a question names no site, asks for no evidence and its anchor is good enough."""
+    open_ = ~F.col("asked_evidence") & (F.size("asked_sites") == 0)
+    out = rows.join(F.broadcast(found), "query_id", "left")  # a row a question of the block
+    return out.withColumn("anchor_sites", F.when(open_ & (F.col("anchor.s") >= V.ANCHOR_LEAST), F.col("anchor.sites"))).drop("anchor")
+
+
+def cohere(boosted: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Where a question names no site and asks for no evidence, its best canonical chunk's sites pull the others.
 
-    Only canonical chunks are scored a second time, for the anchor: the filter reaches their scan.
+    found: the anchors, if they are stored; else canonical chunks are scored a second time for them.
     """
-    open_ = ~F.col("asked_evidence") & (F.size("asked_sites") == 0)
-    key = F.struct(F.round("score", R).alias("s"), (-F.col("doc_id")).alias("k"), F.col("sites").alias("sites"))
-    anchors = boosted.where(F.col("canonical") & (F.size("sites") > 0)).groupBy("query_id").agg(F.max(key).alias("_anchor"))
-    out = boosted.join(F.broadcast(anchors), "query_id", "left")  # a row a question of the block
-    out = out.withColumn("anchor_sites", F.when(open_ & (F.col("_anchor.s") >= V.ANCHOR_LEAST), F.col("_anchor.sites"))).drop("_anchor")
+    out = with_anchor_sites(boosted, anchors(boosted) if found is None else found)
     pull = F.when(F.col("anchor_sites").isNull(), 0.0).when(F.arrays_overlap("sites", "anchor_sites"), V.ANCHOR_BOOST).when(F.size("sites") > 0, V.ANCHOR_PENALTY).otherwise(0.0)
     return out.withColumn("adjustment", F.col("adjustment") + pull).withColumn("score", F.greatest(F.lit(0.0), F.col("score") + pull))
 
@@ -119,9 +128,17 @@ def search(chunks: DataFrame, questions: DataFrame, hits: DataFrame, mode: str =
     hits = stash(hits, "hits")
 
     def run(block):
-        read = read_questions(block).drop("question")
-        scored = boost(fuse(pairs(chunks, read, hits.join(F.broadcast(block.select("query_id")), "query_id", "left_semi"), vector=vector), mode))
-        return stash(first_stage(cohere(scored) if coherent else scored, k), "candidates")
+        read = stash(read_questions(block).drop("question"), "questions-read")
+        own = hits.join(F.broadcast(block.select("query_id")), "query_id", "left_semi")
+        scored = boost(fuse(pairs(chunks, read, own, vector=vector), mode))
+        found = stash(anchors(scored), "anchors") if coherent else None
+        if coherent:
+            scored = cohere(scored, found)
+        # only numbers are ranked; what else a pair has comes back to the few that are left
+        narrow = scored.select("query_id", "doc_id", "bm25", "bm25_norm", "dense", "base", "adjustment", "score", "is_current", "page")
+        top = stash(first_stage(narrow, k), "ranked").join(F.broadcast(read.drop(vector)), "query_id")
+        whole = chunks.drop("embedding", "is_current", "page").join(F.broadcast(top), "doc_id")
+        return stash(with_anchor_sites(whole, found) if coherent else whole, "candidates")
 
     return in_blocks(questions, "query_id", run)
 

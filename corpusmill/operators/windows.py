@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import fresh, stash
-from .index import bounded
+from .index import bounded, in_blocks
 
 
 def segments(rows: DataFrame, partition: list[str], order: list[str], starts: Column) -> DataFrame:
@@ -22,9 +22,10 @@ def carried(rows: DataFrame, partition: list[str], order: list[str], value: Colu
     return rows.withColumn(name, out if default is None else F.coalesce(out, F.lit(default)))
 
 
-def within(rows: DataFrame, value: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
-    """Rows with each interval that holds their value; the intervals are a small table, checked before it is broadcast."""
-    return rows.join(bounded(intervals, 10_000), F.col(value).between(F.col(low), F.col(high)))
+def within(rows: DataFrame, value: str, intervals: DataFrame, low: str, high: str, block: int = 10_000) -> DataFrame:
+    """Rows with each interval that holds their value. Intervals go to all tasks, a block at a time; rows aren't shuffled."""
+    on = F.col(value).between(F.col(low), F.col(high))
+    return in_blocks(intervals, intervals.columns, lambda own: rows.join(F.broadcast(own), on), block)
 
 
 def latest(rows: DataFrame, partition: list[str], order: list[Column], k: int) -> DataFrame:

@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import layout
 from ..sources import files, images, models
-from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
+from .common import ATTRIBUTES, literal, table, texts, with_attributes
+from .texts import SITE_TEXTS, _glue, _head, _sites
 
 #: What laid-out lines say; orders stand for lines, and their numbers give place, font and text by rule.
 SAID = [
@@ -213,6 +214,15 @@ def table_texts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.table_text("p_name", "p_type", "p_brand").alias("text"))
 
 
+def table_rows(spark, sf):
+    """Whole table rows that name a site; parts stand for rows, some of them cut or with a cell missing."""
+    k = F.col("p_partkey")
+    cancers = F.element_at(F.array(*map(F.lit, SITE_TEXTS)), (k % len(SITE_TEXTS) + 1).cast("int"))
+    cells = F.when(k % 13 == 0, F.array("p_name", cancers)).otherwise(F.array(F.col("p_name"), F.when(k % 11 != 0, cancers), F.col("p_brand")))
+    out = layout.table_rows(table(spark, sf, "part").select("p_partkey", cells.alias("cells")))
+    return out.select("p_partkey", F.array_join("sites", ",").alias("sites"), F.sha2("text", 256).alias("digest"))
+
+
 def freeze_chain(spark, sf):
     """One digest over listed files' names and digests, in the order of the list; nations stand for files."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("path"), F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name"), 256).alias("digest"))
@@ -275,6 +285,7 @@ _prompts = " UNION ALL ".join(
     f"SELECT item_id, '{c}' AS criterion, {_sq(P.RULES + chr(10) * 2 + 'Criterion ' + c + ': ' + P.CRITERIA[c])}" + "".join(f" || {_sq(chr(10) * 2 + t + ':' + chr(10))} || {x}" for t, x in parts) + " AS p FROM z"
     for c, parts in _parts.items()
 )
+_fixed = lambda x: f"trim(regexp_replace({_glue.replace('text', x)}, '[ \\t]+', ' ', 'g'))"
 _cells = "list_transform(string_split(x, '|'), lambda c: trim(c))"
 _xl = "x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)"
 QUERIES = {
@@ -302,6 +313,9 @@ QUERIES = {
     "prompts": (prompts, f"WITH {_pq}, p AS ({_prompts}) SELECT item_id, criterion, CAST(length(p) AS INTEGER) AS chars, sha256(p) AS digest FROM p"),
     "semibold_words": (semibold_words, "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda w, i: i % 2 = 1), ' ') AS words FROM part"),
     "table_texts": (table_texts, "SELECT p_partkey, 'Symptom and specific features: ' || p_name || chr(10) || 'Possible cancer: ' || p_type || chr(10) || 'Actions: ' || p_brand AS text FROM part"),
+    "table_rows": (table_rows, f"""WITH c AS (SELECT p_partkey, p_name, p_brand, {_fixed(f"{SITE_TEXTS}[CAST(p_partkey % {len(SITE_TEXTS)} + 1 AS BIGINT)]")} AS cancers FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0),
+        l AS (SELECT *, replace(lower({_head.replace('text', 'cancers')}), 'gall bladder', '') AS low FROM c), x AS (SELECT *, array_to_string(list_filter([{_sites}], lambda x: x IS NOT NULL), ',') AS sites FROM l)
+        SELECT p_partkey, sites, sha256('Symptom and specific features: ' || {_fixed('p_name')} || chr(10) || 'Possible cancer: ' || cancers || chr(10) || 'Actions: ' || {_fixed('p_brand')}) AS digest FROM x WHERE sites <> ''"""),
     "freeze_chain": (freeze_chain, "SELECT sha256(string_agg(n_name || sha256(n_nationkey || '|' || n_name), '' ORDER BY n_nationkey)) AS digest FROM nation"),
     "image_problems": (image_problems, "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'unsupported_type' WHEN page_id % 6 = 2 THEN 'invalid_base64' WHEN page_id % 6 IN (3, 5) THEN 'empty' WHEN page_id % 6 = 4 AND strlen(url) * 30 + 8 > 500 THEN 'too_large' WHEN page_id % 6 = 1 THEN 'wrong_content' END AS problem FROM pages"),
     "configuration": (configuration, "SELECT * FROM (VALUES ('mode', 'bm25'), ('mode', 'dense'), ('mode', 'hybrid'), ('site', 'lung'), ('site', 'colorectal'), ('site', 'oesophageal'), ('site', 'stomach'), ('site', 'pancreatic'), ('site', 'bladder'), ('site', 'renal'), ('candidates', '20')) AS t(name, value)"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vocabulary as V
 from ..operators import evaluation, judging, windows
 from .common import ATTRIBUTES, literal, table, values, with_attributes
 

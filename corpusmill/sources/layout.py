@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LINES = "document string, page int, ord int, x double, y double, x1 double, text string, size double, font string"
 TABLES = "document string, page int, table int, row int, top double, cells array<string>"
@@ -18,12 +19,22 @@ CONTENTS = "document string, ord bigint, level int, title string, page int"
 
 
 def pdf_reader() -> Callable:
-    """Pages of a PDF file by pdfplumber, which the executors must have."""
+    """Pages of a PDF file by pdfplumber, and its contents by pypdf; the executors must have both."""
     import io
 
     import pdfplumber
+    import pypdf
+
+    def entries(pdf, items, level=1):
+        for x in items:
+            if isinstance(x, list):
+                yield from entries(pdf, x, level + 1)
+            else:
+                yield level, x.title, pdf.get_destination_page_number(x) + 1
 
     def read(content: bytes):
+        outline = pypdf.PdfReader(io.BytesIO(content))
+        contents = list(entries(outline, outline.outline))
         with pdfplumber.open(io.BytesIO(content)) as pdf:
             for page in pdf.pages:
                 lines = []
@@ -31,7 +42,7 @@ def pdf_reader() -> Callable:
                     first = x["chars"][0]
                     lines.append({"x0": x["x0"], "top": x["top"], "x1": x["x1"], "text": x["text"], "size": first["size"], "font": first["fontname"]})
                 tables = [{"top": t.bbox[1], "rows": t.extract()} for t in page.find_tables()]
-                yield {"lines": lines, "tables": tables, "contents": []}
+                yield {"lines": lines, "tables": tables, "contents": contents}
 
     return read
 
@@ -80,3 +91,12 @@ def read_contents(spark: SparkSession, path: str, reader: Callable = pdf_reader)
             yield i, int(level), title, int(at)
 
     return _pages(spark, path, reader, rows, CONTENTS)
+
+
+def inspection(lines: DataFrame, contents: DataFrame) -> DataFrame:
+    """A row a document: pages with text, characters, the least and most of such a page, bookmarks, and whether sections can follow them."""
+    pages = lines.groupBy("document", "page").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
+    per = pages.groupBy("document").agg(F.count("*").alias("pages_with_text"), F.sum("n").alias("characters"), F.min("n").alias("least"), F.max("n").alias("most"))
+    marks = contents.groupBy("document").agg(F.count("*").alias("bookmarks"))
+    out = per.join(marks, "document", "full").fillna(0, ["pages_with_text", "characters", "bookmarks"])
+    return out.withColumn("sections_follow", F.col("bookmarks") > 0)

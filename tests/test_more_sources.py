@@ -49,6 +49,11 @@ def test_tables_and_contents(spark, documents):
     assert [(r.level, r.title, r.page) for r in toc] == [(1, "Guide", 1), (2, "Lung", 2)]
 
 
+def test_inspection(spark, documents):
+    row = paged.inspection(paged.read_lines(spark, documents, reader), paged.read_contents(spark, documents, reader)).collect()
+    assert len(row) == 1 and (row[0].pages_with_text, row[0].bookmarks, row[0].sections_follow, row[0].most) == (2, 2, True, 45)
+
+
 PNG = b"\x89PNG\r\n\x1a\n"
 
 

@@ -75,6 +75,14 @@ def test_numbers_over_ranges_are_those_of_a_window(spark):
     assert windows.numbered(frame.where("false"), ["k"], ["v"]).count() == 0
 
 
+def test_ranges_in_blocks_of_intervals(spark):
+    rng = random.Random(9)
+    intervals = [(i, lo := rng.randint(0, 90), lo + rng.randint(0, 20)) for i in range(30)]
+    values = spark.range(100).withColumn("v", F.col("id"))
+    got = {(r.id, r.i) for r in windows.within(values, "v", spark.createDataFrame(intervals, "i int, lo int, hi int"), "lo", "hi", block=7).collect()}
+    assert got == {(v, i) for v in range(100) for i, lo, hi in intervals if lo <= v <= hi}
+
+
 def test_best_matches_by_prefix_are_those_of_all_pairs(spark):
     rng = random.Random(7)
     vocabulary = [f"w{chr(97 + i)}" for i in range(12)]
