@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import shipped
-from . import ann, bpe, langid, licenses, mixing, quality, rules, simhash, toxicity, warc
+from . import ann, bpe, langid, licenses, mixing, phrases, quality, rules, runs, simhash, toxicity, warc, word_bpe
 
 
 def queries() -> dict:
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_rules": rules.op9_rules,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_runs": runs.op11_runs,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_word_bpe": word_bpe.op13_word_bpe,
     }
     return {name: shipped(q) for name, q in own.items()}
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_phrases": phrases.ORACLE}
