@@ -32,7 +32,7 @@ from .common import release, scratch, stash, table
 #: Words of the longest phrases.
 LONGEST = 4
 #: Bytes of text in a shard.
-SHARD = 12_000_000
+SHARD = 6_000_000
 #: Bits of a filter of frequent phrases, as words of 64 bits (8 MB).
 BITS = 1 << 26
 #: Rows of counts in a batch.
@@ -126,7 +126,7 @@ def suffix_ranks(ids: np.ndarray, words: int) -> tuple[np.ndarray, list[np.ndarr
         rank = ranks[-1]
         after = np.zeros_like(rank)
         after[: len(rank) - width] = rank[width:]
-        code = rank * (int(rank.max(initial=0)) + 1) + after
+        code = rank * np.int64(int(rank.max(initial=0)) + 1) + after
         order = np.argsort(code)
         grows = np.r_[False, code[order[1:]] != code[order[:-1]]]
         new = np.empty_like(rank)
@@ -152,7 +152,7 @@ def grams(ids: np.ndarray, fresh: np.ndarray, orders: list[int]):
     fresh: the place of the last word of an m-gram must be one of these, else it was counted with the stretch before.
     """
     width = 1 << (max(orders) - 1).bit_length()
-    ids, fresh = np.r_[ids, np.zeros(width, np.int64)], np.r_[fresh, np.zeros(width, bool)]  # nothing runs over the end
+    ids, fresh = np.r_[ids, np.zeros(width, ids.dtype)], np.r_[fresh, np.zeros(width, bool)]  # nothing runs over the end
     order, ranks = suffix_ranks(ids, width)
     shared = lcp(order, ranks)
     whole = ids > 0
@@ -205,25 +205,7 @@ class Shards:
 
     def run(self, batches):
         for block in self.blocks(batches):
-            langs: dict[str, int] = {}
-            lang = np.array([langs.setdefault(a, len(langs)) for a, _, _ in block], np.int64)
-            leads = np.array([len(lead) for _, lead, _ in block], np.int64)
-            texts = pa.array([b" ".join([*lead, part, b"\n"]) for _, lead, part in block], pa.binary()).cast(pa.string())
-            words = pc.split_pattern(texts, " ")
-            counts, first = words.value_lengths().to_numpy().astype(np.int64), words.offsets.to_numpy()[:-1]
-            words = words.values.dictionary_encode()
-            word, known = words.indices.to_numpy(), words.dictionary
-            fresh = np.ones(len(word), bool)
-            fresh[spread(first, leads)] = False
-            lang = np.repeat(lang, counts)
-            none, break_ = pc.index(known, "").as_py(), pc.index(known, "\n").as_py()
-            there = word != none
-            word, lang, fresh = word[there].astype(np.int64), lang[there], fresh[there]
-            # a number from 1 on for each pair of a language and a word; 0 is a break
-            pairs, ids = numbered(np.where(word == break_, 0, lang * len(known) + word + 1), len(langs) * len(known) + 1)
-            pairs -= 1
-            totals = np.bincount(lang[(ids > 0) & fresh], minlength=len(langs))
-            yield from self.counted(ids, fresh, list(langs), known, pairs // len(known), pairs % len(known), totals)
+            yield from self.counted(*_numbers(block))
         release()
 
     def counted(self, ids, fresh, langs, known, lang, word, totals):
@@ -242,9 +224,9 @@ class Shards:
             inside = on.copy()
             inside[1:] |= on[:-1]
             kept = np.flatnonzero(inside)
-            gap = (~on[kept]).astype(np.int64)
+            gap = (~on[kept]).astype(np.int32)
             slot = np.arange(len(kept)) + np.cumsum(gap) - gap
-            new = np.zeros(len(kept) + int(gap.sum()), np.int64)
+            new = np.zeros(len(kept) + int(gap.sum()), ids.dtype)
             mark = np.zeros(len(new), bool)
             new[slot], mark[slot] = ids[kept], fresh[kept]
             ids, fresh = new, mark
@@ -264,6 +246,28 @@ def _rows(lang, phrase, m: int, count: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "m", "f"])
 
 
+def _numbers(block: list) -> tuple:
+    """A block's words as numbers: what `Shards.counted` takes."""
+    langs: dict[str, int] = {}
+    lang = np.array([langs.setdefault(a, len(langs)) for a, _, _ in block], np.int32)
+    leads = np.array([len(lead) for _, lead, _ in block], np.int64)
+    texts = pa.array([b" ".join([*lead, part, b"\n"]) for _, lead, part in block], pa.binary()).cast(pa.string())
+    words = pc.split_pattern(texts, " ")
+    counts, first = words.value_lengths().to_numpy(), words.offsets.to_numpy()[:-1]
+    words = words.values.dictionary_encode()
+    word, known = words.indices.to_numpy(), words.dictionary
+    fresh = np.ones(len(word), bool)
+    fresh[spread(first, leads)] = False
+    there = word != pc.index(known, "").as_py()
+    word, lang, fresh = word[there], np.repeat(lang, counts)[there], fresh[there]
+    # a number from 1 on for each pair of a language and a word; 0 is a break
+    codes = np.where(word == pc.index(known, "\n").as_py(), 0, lang * np.int64(len(known)) + word + 1)
+    pairs, ids = numbered(codes, len(langs) * len(known) + 1)
+    totals = np.bincount(lang[(ids > 0) & fresh], minlength=len(langs))
+    pairs -= 1
+    return ids.astype(np.int32), fresh, list(langs), known, pairs // len(known), pairs % len(known), totals
+
+
 COUNTED = "lang string, phrase string, m int, f long"
 
 
