@@ -98,6 +98,11 @@ def share_by_hash(key, share: float, seed: int = 0):
     return F.xxhash64(F.lit(seed), key) < int(-(2**63) + share * 2**64) if share < 1 else F.lit(True)
 
 
+def share_of(hash_):
+    """A number in [0, 1) from a hash (a long)."""
+    return F.shiftrightunsigned(hash_, 11) / F.lit(float(2**53))
+
+
 def one_each(rows: DataFrame, key: str, text: str) -> DataFrame:
     """One row of each key, that of the least text by hash: partial by task, so a key with many rows is a row a task."""
     whole = F.struct(F.xxhash64(text).alias("h"), F.struct(*rows.columns).alias("row"))
@@ -107,13 +112,13 @@ def one_each(rows: DataFrame, key: str, text: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text"):
     """At most `per_class` documents of each label, those of least id by hash, stored: docs' columns and __label.
 
-    Null texts, ids and labels aren't chosen, nor labels of other documents; of several labels of an id the largest
-    counts, and of several rows of an id the least text by hash. Also the number of labelled ids of each label, to weigh
+    Labels are 0 and 1: others and null ones don't count. Null texts and ids aren't chosen, nor labels of other documents;
+    of several labels of an id the largest counts, and of several rows of an id the least text by hash. Also the number of labelled ids of each label, to weigh
     the classes by.
     """
     spark = docs.sparkSession
     with scratch(spark, "sampling"):
-        known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
         known = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
         able = docs.where(F.col(text).isNotNull())
         known = able.select(F.col(key).alias("__key")).join(bounded(stash(known, "labels")), "__key").distinct()

@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered
 from .common import bounded, fresh, sieved, stash, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one id and text that are numbered together (about).
-RUN = 100_000
 OWN = ("size", "source_size", "target", "rate", "copies", "taken", "copy_no")
 
 
@@ -72,12 +71,12 @@ def text_hash(text: str = "text"):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def with_draw(rows: DataFrame, hash_: str, key: str = "doc_id", seed: str = "mix", run: int = RUN) -> DataFrame:
+def with_draw(rows: DataFrame, hash_: str, key: str = "doc_id", seed: str = "mix") -> DataFrame:
     """rows (key, source and hash_, their texts' hash) with __draw, a number in [0, 1) for each.
 
     A row draws by its id. Of rows that share an id (null is one too) the first by text hash and number draws so, each
-    other by id, text hash and its number among the rows of that id and text. Numbers run within `run` rows or so: more
-    of one id and text are dealt to several runs by their place in the input.
+    other by id, text hash and its number among the rows of that id and text, by source. The numbers come from ranges and
+    a table of offsets, so a crowd of any size spans many tasks; rows that tie are alike, so draws don't follow the layout.
     """
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     many = rows.groupBy(F.col(key).alias("__id")).agg(F.count("*").alias("__n"), F.min(hash_).alias("__first"))
@@ -86,15 +85,10 @@ def with_draw(rows: DataFrame, hash_: str, key: str = "doc_id", seed: str = "mix
         return rows.withColumn("__draw", draw(name, seed))
     alone, shared = sieved(rows, F.xxhash64(key), many, F.xxhash64("__id"))
     shared = shared.join(bounded(many), F.col(key).eqNullSafe(F.col("__id")), "left").drop("__id")
-    crowds = shared.groupBy(F.col(key).alias("__id"), F.col(hash_).alias("__text")).agg(F.count("*").alias("__n"))
-    crowds = stash(crowds.where(F.col("__n") > run), "mix-crowds")
-    shared = shared.join(bounded(crowds), F.col(key).eqNullSafe(F.col("__id")) & (F.col(hash_) == F.col("__text")), "left").drop("__id", "__text")
-    runs = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(run))
-    shared = shared.withColumn("__run", F.pmod(F.xxhash64(F.monotonically_increasing_id()), runs)).drop("__n")
-    shared = shared.withColumn("__nth", F.row_number().over(Window.partitionBy(key, hash_, "__run").orderBy(F.col("source").asc_nulls_last())))
-    first = F.col("__first").isNull() | ((F.col("__first") == F.col(hash_)) & (F.col("__nth") == 1) & (F.col("__run") == 0))
-    later = F.concat_ws(":", name, F.col(hash_).cast("string"), F.col("__nth").cast("string"), F.when(F.col("__run") > 0, F.col("__run").cast("string")))
-    shared = shared.withColumn("__draw", draw(F.when(first, name).otherwise(later), seed)).drop("__first", "__run", "__nth")
+    shared = numbered(shared, [key, hash_], [F.col("source").asc_nulls_last()], "__nth")
+    first = F.col("__first").isNull() | ((F.col("__first") == F.col(hash_)) & (F.col("__nth") == 1))
+    later = F.concat_ws(":", name, F.col(hash_).cast("string"), F.col("__nth").cast("string"))
+    shared = shared.withColumn("__draw", draw(F.when(first, name).otherwise(later), seed)).drop("__first", "__nth")
     return alone.withColumn("__draw", draw(name, seed)).unionAll(shared)
 
 

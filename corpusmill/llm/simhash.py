@@ -38,7 +38,7 @@ from .common import bounded, fresh, scratch, sieved, stash, table
 from .components import connected_components
 
 #: Shard members that a task holds at once.
-MOST = 20_000
+MOST = 2_000
 #: Blocks that the 64 bits are cut into: 15 shards a fingerprint for a radius of 4, each over 21 bits or more.
 BLOCKS = 6
 STEP = 1 << 16

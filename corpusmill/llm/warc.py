@@ -5,8 +5,8 @@ headers (a row per record: the exact bytes of its WARC header block, and the nam
 joining the two: header, payload (none for a revisit), CRLF CRLF. The name of a payload is verified whenever it is read.
 
 Defined cases: a null payload is an empty one; rows without a page id come last when a group's response is chosen,
-and if no row of a group has one, all its records are responses; rows that share the largest page id of their group
-are all responses; CR and LF in an address are percent-encoded; an id of no characters reads back as null; an empty
+and if no row of a group has one, all its records are responses; of rows that share the largest page id of their group
+the first by address is the response; CR and LF in an address are percent-encoded; an id of no characters reads back as null; an empty
 table gives an empty archive; other columns are left out.
 
 Scale: payloads are compressed before anything is shuffled, and aggregated by digest in each task, so that each task sends
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CODEC, release, stash, stash_path, table
+from ..operators.windows import numbered
+from .common import CODEC, bounded, release, stash, stash_path, table
 
 CRLF = "\r\n"
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -49,8 +50,22 @@ def _named(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
     )
 
 
-def _record_id(page_id, digest):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")), F.lit(":"), digest, F.lit(">"))
+def _record_id(page_id, digest, number=None):
+    """A page's name; of rows with one page id and payload the second and further ones have their number in it."""
+    more = F.lit("") if number is None else F.when(number > 1, F.concat(F.lit(":"), number.cast("string"))).otherwise("")
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")), F.lit(":"), digest, more, F.lit(">"))
+
+
+def _with_number(facts: DataFrame) -> DataFrame:
+    """facts with nth: a row's number among those of its page id and payload. Only rows that repeat are shuffled for it."""
+    many = facts.groupBy(F.col("page_id").alias("_id"), F.col("sha256").alias("_sha")).agg(F.count("*").alias("_n"))
+    many = stash(many.where("_n > 1").select("_id", "_sha"), "warc-repeated")
+    if not many.limit(1).count():
+        return facts.withColumn("nth", F.lit(1).cast("long"))
+    on = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha256") == F.col("_sha"))
+    marked = facts.join(bounded(many), on, "left").drop("_id")
+    alone = marked.where(F.col("_sha").isNull()).drop("_sha").withColumn("nth", F.lit(1).cast("long"))
+    return alone.unionByName(numbered(marked.where(F.col("_sha").isNotNull()).drop("_sha"), ["sha256", "page_id"], ["url"], "nth"))
 
 
 def _framed(batches):
@@ -101,14 +116,15 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, page_id="page_id"
     frames = named.select("sha256", "payload").mapInArrow(_framed, "sha256 string, payload binary")
     frames.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", CODEC).parquet(f"{path}/payloads")
     groups = stash(facts.groupBy("sha256").agg(F.max("page_id").alias("response_id")), "warc-groups")
-    rows = facts.join(groups, "sha256", "left")
-    revisit = (F.col("bytes") >= least) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
+    rows = _with_number(facts).join(groups, "sha256", "left")
+    response = F.col("page_id").eqNullSafe(F.col("response_id")) & (F.col("nth") == 1)
+    revisit = (F.col("bytes") >= least) & F.col("response_id").isNotNull() & ~response
     rows = rows.withColumn("revisit", revisit)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("sha1"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("sha1"), F.col("nth"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
@@ -147,7 +163,7 @@ def read_headers(spark, path: str, kind: str = "long") -> DataFrame:
     stored = spark.read.schema("sha256 string, header binary").parquet(f"{path}/headers")
     text = F.decode("header", "UTF-8")
     field = lambda name, rest="([^\\r\\n]*)": F.regexp_extract(text, f"\\r\\n{name}: {rest}\\r\\n", 1)
-    page = lambda name: F.url_decode(F.nullif(field(name, "<urn:page:([^:]*):[A-Z2-7]+>"), F.lit(""))).cast(kind)
+    page = lambda name: F.url_decode(F.nullif(field(name, "<urn:page:([^:]*):[A-Z2-7]+(?::[0-9]+)?>"), F.lit(""))).cast(kind)
     return stored.select(
         "sha256",
         "header",
@@ -232,11 +248,12 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h,
+         row_number() OVER (PARTITION BY encode(coalesce(html, '')), page_id ORDER BY url) AS nth FROM pages
 ), g AS (SELECT body, max(page_id) AS response_id FROM p GROUP BY body),
 b AS (
   SELECT p.page_id, octet_length(p.body) AS n, p.h, g.response_id,
-         coalesce(g.response_id IS NOT NULL AND p.page_id IS DISTINCT FROM g.response_id, false) AS revisit
+         coalesce(g.response_id IS NOT NULL AND (p.page_id IS DISTINCT FROM g.response_id OR p.nth > 1), false) AS revisit
   FROM p JOIN g ON p.body = g.body
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
