@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards
-from . import index
+from . import index, lexical
 from . import search as S
 
 
@@ -20,7 +20,7 @@ def assess(questions: DataFrame, text: str = "text", code: str = "") -> DataFram
 
 def search(
     questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", top_k: int = 10, sites=(), types=(), rerank: bool = True,
-    code: str = "", key: str = "qid", text: str = "text",
+    code: str = "", key: str = "qid", text: str = "text", lexicon: lexical.Index | None = None,
 ) -> DataFrame:
     """key, outcome, mode_used, warning, rank, doc_id, score and its parts; a row without a rank for a question that has no results.
 
@@ -39,11 +39,16 @@ def search(
     open_ = asked.where("outcome is null").select(F.col(key).alias("query_id"), F.col(text).alias("question"), *(["vector"] if dense else []))
     may = S.allowed(chunks, sites, types)
     may = may.select("doc_id", "sites", "content_type", "is_current", "canonical", "page", "recommendation_id", *(["embedding"] if dense else []))
-    hits = index.bm25(chunks, open_, qkey="query_id", qtext="question", among=may.select("doc_id"))
+    ids = may.select("doc_id")
+    if lexicon is None:
+        hits = index.bm25(chunks, open_, qkey="query_id", qtext="question", among=ids)
+    else:
+        hits = lexical.hits(lexicon, open_, "query_id", "question", among=ids)
     top = S.search(may, open_, hits, used)
     if rerank:
         terms = S.salient_terms(open_, "query_id", "question", code)
-        top = S.rerank(top, S.coverage(top, chunks, terms), top_k).withColumn("final", F.col("rerank_score"))
+        covered = S.coverage(top, chunks, terms) if lexicon is None else lexical.coverage(lexicon, top, terms)
+        top = S.rerank(top, covered, top_k).withColumn("final", F.col("rerank_score"))
     else:
         top = top.withColumn("coverage", F.lit(None).cast("double")).withColumn("rank", F.col("first_rank")).where(F.col("rank") <= top_k).withColumn("final", F.col("score"))
     detail = [F.round("final", 6).alias("score"), F.round("base", 6).alias("base"), F.round("bm25", 6).alias("bm25"), F.round("adjustment", 6).alias("adjustment"), F.round("coverage", 6).alias("coverage"), "first_rank"]

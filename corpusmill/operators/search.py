@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import guards
+from ..functions import dense, guards
 from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
@@ -40,8 +40,8 @@ def pairs(chunks: DataFrame, questions: DataFrame, hits: DataFrame, embedding: s
     asked = F.broadcast(questions.join(F.broadcast(tops), "query_id", "left"))
     plain = chunks.crossJoin(asked).withColumn("bm25", F.lit(None).cast("double"))
     out = plain.unionByName(hits.join(chunks, "doc_id").join(asked, "query_id"))
-    dense = embedding in chunks.columns and vector in questions.columns
-    return out.withColumn("cosine", vectors.dot(embedding, vector) if dense else F.lit(None).cast("double")).drop(embedding, vector)
+    both = embedding in chunks.columns and vector in questions.columns
+    return out.withColumn("cosine", vectors.dot(embedding, vector) if both else F.lit(None).cast("double")).drop(embedding, vector)
 
 
 def fuse(candidates: DataFrame, mode: str = "hybrid") -> DataFrame:
@@ -184,15 +184,29 @@ def rerank(candidates: DataFrame, covered: DataFrame, k: int = 10) -> DataFrame:
 def dense_topk(rows: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, vec_id, cosine, rank: the k rows of largest inner product for each question (exact, all rows).
 
-    questions (key, vector) go to every task in blocks, so rows aren't shuffled, and each task keeps k rows a question
-    before the ranks are shuffled.
+    Questions (key, vector) go to every task in blocks, so rows aren't shuffled. A task takes batches of rows as matrices
+    (functions.dense), one product a batch, and keeps k rows a question; only these meet for the ranks. Products are
+    rounded to 6 digits before they rank, ties go to the smaller id. Null vectors and keys take no part; a vector of another
+    length than the questions' fails.
     """
-    q = questions.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
+    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
 
     def run(block):
-        every = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).crossJoin(F.broadcast(block))
-        scored = every.select("query_id", "vec_id", F.round(vectors.dot("v", "query_vector"), 6).alias("cosine"))
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        asked = dense.Questions.of(block)
+        best = own.mapInArrow(asked.best(k), f"query_id {asked.kind}, vec_id long, cosine double")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    return in_blocks(q, "query_id", run)
+    return in_blocks(questions.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("query_vector")), "query_id", run)
+
+
+def dense_range(rows: DataFrame, questions: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, best, worst, rows: the largest and smallest inner product of each question with all rows, and their number."""
+    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(block):
+        asked = dense.Questions.of(block)
+        each = own.mapInArrow(asked.extent(), f"query_id {asked.kind}, best double, worst double, rows long")
+        return each.groupBy("query_id").agg(F.max("best").alias("best"), F.min("worst").alias("worst"), F.sum("rows").alias("rows"))
+
+    return in_blocks(questions.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("query_vector")), "query_id", run)

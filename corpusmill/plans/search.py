@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
-from ..operators import engine, index, search
+from ..operators import engine, index, lexical, search
 from ..store import stash
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
@@ -28,12 +28,17 @@ def tokenize_counts(spark, sf):
     return index.postings(texts(spark, sf)).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"), F.max("tf").alias("top_tf"))
 
 
+def lexicon(spark, sf) -> lexical.Index:
+    """The stored index of documents, built by the first query that asks for it."""
+    return lexical.opened(spark, f"{sf}/documents.parquet", lambda: texts(spark, sf))
+
+
 def term_stats(spark, sf):
-    return index.term_stats(texts(spark, sf)).withColumn("idf", F.round("idf", 8))
+    return lexicon(spark, sf).stats().withColumn("idf", F.round("idf", 8))
 
 
 def doc_lengths(spark, sf):
-    docs = index.tokenized(texts(spark, sf))
+    docs = lexicon(spark, sf).documents
     return docs.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("mean"), F.count_if(F.col("dl") == 0).alias("empty"))
 
 
@@ -45,14 +50,14 @@ def _ranked(scored, k=10):
 
 
 def bm25_topk(spark, sf):
-    hits = index.bm25(texts(spark, sf), table(spark, sf, "benchmark"))
+    hits = lexical.topk(lexicon(spark, sf), table(spark, sf, "benchmark"), 10)
     return _ranked(hits.select("query_id", "doc_id", F.round("bm25", 6).alias("score")))
 
 
 def bm25_filtered(spark, sf):
     docs, questions = texts(spark, sf), table(spark, sf, "benchmark")
     may = search.allowed(with_attributes(docs), ["fr", "en"], ["recommendation", "rationale"]).select("doc_id")
-    return _ranked(index.bm25(docs, questions).join(may, "doc_id", "left_semi").select("query_id", "doc_id", F.round("bm25", 6).alias("score")), 5)
+    return _ranked(lexical.topk(lexicon(spark, sf), questions, 5, among=may).select("query_id", "doc_id", F.round("bm25", 6).alias("score")), 5)
 
 
 def dense_topk(spark, sf):
@@ -62,13 +67,8 @@ def dense_topk(spark, sf):
 
 def dense_rescaled(spark, sf):
     rows = table(spark, sf, "embeddings")
-    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-
-    def run(block):
-        pairs = rows.crossJoin(F.broadcast(block)).select("query_id", vectors.rescaled(vectors.dot("embedding", "qv")).alias("score"))
-        return pairs.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"), F.count("*").alias("rows"))
-
-    return index.in_blocks(q, "query_id", run)
+    each = search.dense_range(rows, rows.where("vec_id % 100 = 0"))
+    return each.select("query_id", *(F.round(vectors.rescaled(c), 6).alias(c) for c in ("best", "worst")), "rows")
 
 
 def vector_units(spark, sf):
@@ -86,7 +86,7 @@ def _sides(spark, sf):
     questions = asked.join(emb, F.col("item_id") == F.col("vec_id"), "left")
     questions = stash(questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("vector")), "questions")
     chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
-    return stash(chunks, "chunks"), questions, index.bm25(docs, asked)
+    return stash(chunks, "chunks"), questions, lexical.hits(lexicon(spark, sf), asked)
 
 
 def hybrid_topk(spark, sf):
@@ -115,7 +115,7 @@ def anchor_coherence(spark, sf):
 def _reranked(spark, sf, k=10):
     top = search.search(*_sides(spark, sf))
     terms = search.salient_terms(table(spark, sf, "benchmark"), "item_id", "text")
-    return search.rerank(top, search.coverage(top, texts(spark, sf), terms), k)
+    return search.rerank(top, lexical.coverage(lexicon(spark, sf), top, terms), k)
 
 
 def rerank_topk(spark, sf):
@@ -147,7 +147,7 @@ def engine_search(spark, sf):
     chunks = with_attributes(texts(spark, sf)).select("doc_id", "text", "sites", "content_type", "is_current", "canonical", "page", "recommendation_id")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
     asked = asked.unionByName(literal(spark, [x[:2] for x in STOPPED], "qid string, text string"))
-    out = engine.search(asked, chunks, top_k=5, rerank=False)
+    out = engine.search(asked, chunks, top_k=5, rerank=False, lexicon=lexicon(spark, sf))
     return out.select("qid", "outcome", "mode_used", "warning", "rank", "doc_id", "score")
 
 
