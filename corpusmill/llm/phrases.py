@@ -32,7 +32,7 @@ from .common import release, scratch, stash, table
 #: Words of the longest phrases.
 LONGEST = 4
 #: Bytes of text in a shard.
-SHARD = 6_000_000
+SHARD = 4_000_000
 #: Bits of a filter of frequent phrases, as words of 64 bits (8 MB).
 BITS = 1 << 26
 #: Rows of counts in a batch.
@@ -206,7 +206,7 @@ class Shards:
     def run(self, batches):
         for block in self.blocks(batches):
             yield from self.counted(*_numbers(block))
-        release()
+            release()
 
     def counted(self, ids, fresh, langs, known, lang, word, totals):
         """Counts in a block: ids are places in lang and word, which are places in langs and known."""
