@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import reconcile
+from ..operators import reconcile, windows
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 
@@ -69,7 +69,7 @@ def prefix_join(spark, sf):
     """Documents whose recommendation id begins with the prefix of each section."""
     prefixes = literal(spark, [*V.SECTION_PREFIX.items()], "section string, prefix string")
     d = with_attributes(texts(spark, sf)).select("doc_id", "recommendation_id")
-    out = d.join(F.broadcast(prefixes), F.col("recommendation_id").startswith(F.col("prefix")))
+    out = windows.by_prefix(d, "recommendation_id", prefixes, "prefix")
     return out.groupBy("section").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
