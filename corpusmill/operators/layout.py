@@ -1,7 +1,7 @@
 """Laid-out lines to records: predicates on geometry and fonts, modes carried between lines, and records cut from them.
 
 lines: document, section, page, y, x, text, size, fonts (array), ord. Windows are per section, the unit that a record
-never leaves.
+never leaves; records are a fold.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import folds
 
 #: Words that begin a recommendation, marks that end it, and lines that set a mode.
 ACTION_START = (
@@ -17,6 +18,8 @@ ACTION_START = (
     r"Ensure|Take part|Discussion|Put in place|Include|Use local|Once the decision|Healthcare professionals|Advise)\b"
 )
 UPDATE_MARKER = r"(?i)\[(?:(?:new|amended)\s+)?(?:19|20)\d{2}\]"
+#: A mark's first and second half, where a line ends within it.
+MARKER_HALVES = r"(?i)\[(?:new|amended)\s*\z", r"^\s*(?:19|20)\d{2}\]"
 TABLE_TITLE = r"(?i)^Table\s+\d+[:.)]"
 RATIONALE = ["Relative value placed on the", "Quality of the evidence", "Trade-off between clinical", "Trade-off between net health"]
 #: Least characters of a trailing record, and of any other.
@@ -79,30 +82,13 @@ def split_at_update(text) -> Column:
     return F.when((mark != "") & (rest != ""), F.array(F.trim(F.substring(t, F.lit(1), at)), rest)).otherwise(F.array(t))
 
 
-def recommendations(lines: Column) -> Column:
-    """Records of a section's boxed lines (array of struct page, text, in order): array of struct page, page_end, text.
+def recommendations(lines: DataFrame, section: list[str], order: list[str]) -> DataFrame:
+    """section, ordinal, page, page_end, text: records of a section's boxed lines, split at update marks (`folds.records`).
 
     A record starts with an action and ends with an update mark; a gap of a page drops what is open; an open one at the end
-    stays if it is long enough. A fold over one section's lines.
+    stays if it is long enough.
     """
-    rec = "array<struct<page:int,page_end:int,text:string>>"
-    start = F.struct(F.array().cast(rec).alias("done"), F.lit("").alias("text"), F.lit(0).alias("page"), F.lit(0).alias("last"))
-
-    def step(a, line):
-        page, text = line["page"].cast("int"), line["text"]
-        open_ = (a["text"] != "") & (page <= a["last"] + 1)
-        begins = ~open_ & text.rlike(ACTION_START)
-        now = F.when(open_, F.concat_ws(" ", a["text"], text)).when(begins, text).otherwise("")
-        first = F.when(open_, a["page"]).otherwise(page)
-        ends = now.rlike(UPDATE_MARKER)
-        row = F.array(F.struct(first.alias("page"), page.alias("page_end"), now.alias("text")))
-        return F.struct(F.when(ends, F.concat(a["done"], row)).otherwise(a["done"]).alias("done"), F.when(ends, "").otherwise(now).alias("text"), first.alias("page"), page.alias("last"))
-
-    def finish(a):
-        row = F.array(F.struct(a["page"].alias("page"), a["last"].alias("page_end"), a["text"].alias("text")))
-        return F.when(F.length(a["text"]) >= TRAILING, F.concat(a["done"], row)).otherwise(a["done"])
-
-    return F.aggregate(lines, start, step, finish)
+    return folds.records(lines, section, order, F.col("text").rlike(ACTION_START), UPDATE_MARKER, *MARKER_HALVES, TRAILING)
 
 
 def page_sections(lines: DataFrame, default: str = "Untitled") -> DataFrame:

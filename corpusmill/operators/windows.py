@@ -1,4 +1,4 @@
-"""Ordered operators: segments, carried markers, ranges, hierarchies and latest rows. All windows are partitioned."""
+"""Ordered operators: segments, carried markers, ranges, prefixes and latest rows. All windows are partitioned."""
 
 from __future__ import annotations
 
@@ -140,51 +140,6 @@ def seen_before(rows: DataFrame, unit: list[str], order: str) -> DataFrame:
     return rows.join(first, "_unit").withColumn("seen", F.col(order) > F.col("_first")).drop("_unit", "_first")
 
 
-def parents(toc: DataFrame, document: str = "document", order: str = "ord") -> DataFrame:
-    """Adds parents: the open titles of smaller level above each entry, outermost first.
-
-    One fold over a document's own entries (a table of contents, not its text).
-    """
-    entries = toc.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "level", "title"))).alias("e"))
-    open_ = "array<struct<level:int,title:string>>"
-    start = F.struct(F.array().cast(open_).alias("stack"), F.array().cast(f"array<struct<ord:bigint,level:int,title:string,parents:array<string>>>").alias("out"))
-
-    def step(a, x):
-        kept = F.filter(a["stack"], lambda s: s["level"] < x["level"])
-        row = F.struct(x["ord"].cast("bigint").alias("ord"), x["level"].cast("int").alias("level"), x["title"].alias("title"), F.transform(kept, lambda s: s["title"]).alias("parents"))
-        top = F.struct(x["level"].cast("int").alias("level"), x["title"].alias("title"))
-        return F.struct(F.concat(kept, F.array(top)).alias("stack"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    out = entries.select(document, F.explode(F.aggregate("e", start, step)["out"]).alias("r"))
-    return out.select(document, F.col("r.ord").alias(order), "r.level", "r.title", "r.parents")
-
-
-def section_ends(toc: DataFrame, last_page: int, document: str = "document", order: str = "ord") -> DataFrame:
-    """Adds page_end: the page before the next entry of the same or a smaller level, else the last page."""
-    later = toc.select(F.col(document).alias("_d"), F.col(order).alias("_o"), F.col("level").alias("_l"), F.col("page").alias("_p"))
-    on = (F.col(document) == F.col("_d")) & (F.col("_o") > F.col(order)) & (F.col("_l") <= F.col("level"))
-    keys = [document, order, "level", "title", "page"]
-    nxt = toc.join(later, on, "left").groupBy(*keys).agg(F.min_by("_p", "_o").alias("_next"))
-    return nxt.select(*keys, F.coalesce(F.col("_next") - 1, F.lit(last_page)).alias("page_end"))
-
-
-def word_lines(words: Column, tolerance: float = 2.0) -> Column:
-    """Words (array of struct top, x0, text) grouped to lines: a word within tolerance of the line's first word joins it."""
-    kind = "array<struct<top:double,words:array<struct<x0:double,text:string>>>>"
-    ordered = F.array_sort(F.transform(words, lambda w: F.struct(w["top"].cast("double").alias("top"), w["x0"].cast("double").alias("x0"), w["text"].alias("text"))))
-
-    def step(a, w):
-        one = F.array(F.struct(w["x0"].alias("x0"), w["text"].alias("text")))
-        last = F.try_element_at(a, F.lit(-1))
-        joins = (F.size(a) > 0) & (F.abs(last["top"] - w["top"]) <= tolerance)
-        grown = F.struct(last["top"].alias("top"), F.concat(last["words"], one).alias("words"))
-        fresh = F.struct(w["top"].alias("top"), one.alias("words"))
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(a, F.array(fresh)))
-
-    lines = F.aggregate(ordered, F.array().cast(kind), step)
-    return F.transform(lines, lambda x: F.array_join(F.transform(F.array_sort(x["words"]), lambda w: w["text"]), " "))
-
-
 def before_marker(lines: Column, pattern: str) -> Column:
     """The lines before the first that matches."""
     at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True)).cast("int")

@@ -53,8 +53,7 @@ def line_modes(spark, sf):
 def boxed_recommendations(spark, sf):
     """Lines are split at update marks, then folded to records."""
     rows = _lines(spark, sf).where(layout.boxed() & (F.col("page") > 1)).select("section", "ord", "page", F.posexplode(layout.split_at_update("text")).alias("part", "text"))
-    per = rows.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("ord", "part", "page", "text"))).alias("l"))
-    return per.select("section", F.posexplode(layout.recommendations(F.col("l"))).alias("n", "r")).select("section", (F.col("n") + 1).alias("ordinal"), "r.page", "r.page_end", "r.text")
+    return layout.recommendations(rows, ["section"], ["ord", "part"])
 
 
 def page_sections(spark, sf):
@@ -292,7 +291,7 @@ QUERIES = {
     "line_filters": (line_filters, f"WITH {_l} SELECT ord, y < 52 OR y > 748 OR x > 525 AS furniture, x >= 250 AND size BETWEEN 9 AND 10.6 AND font LIKE '%Bold%' AS boxed FROM l"),
     "line_dedup": (line_dedup, f"WITH {_l} SELECT document, min(ord) AS ord FROM l GROUP BY document, page, round_even(y, 0), round_even(x, 0), text"),
     "line_modes": (line_modes, f"WITH {_modes} SELECT section, CAST(record AS BIGINT) AS record, mode, min(ord) AS first, count(*) AS lines, min(page) AS page FROM rr GROUP BY section, record, mode"),
-    "boxed_recommendations": (boxed_recommendations, f"WITH RECURSIVE {_folded} SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY i) AS INTEGER) AS ordinal, page, page_end, text FROM cut"),
+    "boxed_recommendations": (boxed_recommendations, f"WITH RECURSIVE {_folded} SELECT section, row_number() OVER (PARTITION BY section ORDER BY i) AS ordinal, page, page_end, text FROM cut"),
     "page_sections": (page_sections, f"WITH {_l}, f AS (SELECT * FROM l WHERE NOT (y < 52 OR y > 748 OR x > 525)) SELECT page, coalesce(arg_min(text, ord) FILTER (WHERE font LIKE '%Bold%' AND size >= 11), 'Untitled') AS title, CAST(sum(length(text)) + count(*) - 1 AS INTEGER) AS chars FROM f GROUP BY page"),
     "bullet_prefixes": (bullet_prefixes, f"WITH {_xl} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(x, '^o |^•\\S')) AS changed, count(*) AS lines FROM x GROUP BY doc_id"),
     "nearest_parent": (nearest_parent, "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN '1.' || (doc_id % 7) || ' ' || source ELSE '1.' || (doc_id % 3) || ' ' || lang END AS parent FROM documents"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, judging, windows
+from ..operators import evaluation, folds, judging, windows
 from .common import ATTRIBUTES, literal, table, values, with_attributes
 
 
@@ -70,21 +70,20 @@ def _toc_rows(spark, sf):
 
 
 def toc_parents(spark, sf):
-    out = windows.parents(_toc_rows(spark, sf))
+    out = folds.parents(_toc_rows(spark, sf))
     return out.select("document", "ord", F.array_join("parents", " > ").alias("parents"))
 
 
 def section_ends(spark, sf):
-    return windows.section_ends(_toc_rows(spark, sf), 30)
+    return folds.section_ends(_toc_rows(spark, sf), 30)
 
 
 def word_lines(spark, sf):
     """Words set by rule (line items stand for words, their parts' numbers for pages) grouped to lines."""
-    rows = table(spark, sf, "lineitem").where("l_partkey < 400").select(
+    rows = table(spark, sf, "lineitem").select(
         F.col("l_partkey").cast("string").alias("page"), (F.col("l_quantity") * 1.5).alias("top"), F.col("l_extendedprice").alias("x0"), F.concat("l_returnflag", "l_linenumber").alias("text")
     )
-    per = rows.groupBy("page").agg(F.collect_list(F.struct("top", "x0", "text")).alias("w"))  # one page's words
-    return per.select("page", F.posexplode(windows.word_lines(F.col("w"))).alias("line", "text"))
+    return folds.word_lines(rows, ["page"])
 
 
 def seeded_order(spark, sf):
@@ -191,7 +190,7 @@ QUERIES = {
     "toc_parents": (toc_parents, f"WITH t AS (SELECT * FROM {_toc} AS x), a AS (SELECT x.document, x.ord, p.ord AS po, p.title FROM t x LEFT JOIN t p ON p.document = x.document AND p.ord < x.ord AND p.level < x.level AND NOT EXISTS (SELECT 1 FROM t m WHERE m.document = x.document AND m.ord > p.ord AND m.ord < x.ord AND m.level <= p.level)) SELECT document, CAST(ord AS BIGINT) AS ord, coalesce(string_agg(title, ' > ' ORDER BY po), '') AS parents FROM a GROUP BY document, ord"),
     "section_ends": (section_ends, f"WITH t AS (SELECT * FROM {_toc} AS x) SELECT document, CAST(ord AS BIGINT) AS ord, level, title, page, coalesce((SELECT n.page - 1 FROM t n WHERE n.document = t.document AND n.ord > t.ord AND n.level <= t.level ORDER BY n.ord LIMIT 1), 30) AS page_end FROM t"),
     "word_lines": (word_lines, """WITH RECURSIVE w AS (SELECT CAST(l_partkey AS VARCHAR) AS page, l_quantity * 1.5 AS top, l_extendedprice AS x0, l_returnflag || l_linenumber AS text,
-        row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_extendedprice, l_returnflag || l_linenumber) AS i FROM lineitem WHERE l_partkey < 400),
+        row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_extendedprice, l_returnflag || l_linenumber) AS i FROM lineitem),
         r AS (SELECT page, i, 0 AS line, top AS head, x0, text FROM w WHERE i = 1
           UNION ALL SELECT w.page, w.i, CASE WHEN abs(r.head - w.top) <= 2 THEN r.line ELSE r.line + 1 END, CASE WHEN abs(r.head - w.top) <= 2 THEN r.head ELSE w.top END, w.x0, w.text FROM r JOIN w ON w.page = r.page AND w.i = r.i + 1)
         SELECT page, line, string_agg(text, ' ' ORDER BY x0, text) AS text FROM r GROUP BY page, line"""),
