@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -149,8 +150,49 @@ def structural_match(spark, rows: DataFrame, section: str = "section", ordinal:
     return rows.join(F.broadcast(ids), (F.col(section) == F.col("_s")) & (F.col(ordinal) == F.col("_o")), "left").drop("_s", "_o")
 
 
-def links(support: DataFrame, current: DataFrame, on: str = "sites") -> DataFrame:
-    """support_id, current_id of rows that share a member of `on`; each pair once."""
-    a = support.select(F.col("id").alias("support_id"), F.explode(on).alias("k"))
-    b = current.select(F.col("id").alias("current_id"), F.explode(on).alias("k"))
-    return a.join(bounded(b), "k").select("support_id", "current_id").distinct()
+class Links(NamedTuple):
+    """Links of rows that share a member, by classes: rows with the same members are one class, and link to the same rows."""
+
+    #: id and class (the members, sorted) of each row, a row an id.
+    support: DataFrame
+    current: DataFrame
+    #: support_class and current_class that share a member, once, and n, first and last (smallest and largest id) of both.
+    classes: DataFrame
+
+
+def links(support: DataFrame, current: DataFrame, on: str = "sites") -> Links:
+    """Links between rows (id, and `on`, an array) that share a member. Memberships and class pairs, not pairs of rows.
+
+    An id that stands in several rows has all their members; null members and rows without any link to nothing. There are
+    as many classes as different sets of members, and pairs of classes come from an equi-join on members.
+    """
+
+    def member(rows, name):
+        each = rows.select("id", F.explode(on).alias("k")).where("k is not null and id is not null")
+        return stash(each.groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("class")), f"{name}-classes")
+
+    a, b = member(support, "support"), member(current, "current")
+
+    def classes(rows, name):
+        own = rows.groupBy("class").agg(F.count("*").alias(f"{name}_n"), F.min("id").alias(f"{name}_first"), F.max("id").alias(f"{name}_last"))
+        return own.withColumnRenamed("class", f"{name}_class").withColumn("k", F.explode(f"{name}_class"))
+
+    x, y = classes(a, "support"), classes(b, "current")
+    # a pair of classes stands under each member that both have; its smallest names it, so no distinct is needed
+    pairs = x.join(bounded(y), "k").where(F.col("k") == F.array_min(F.array_intersect("support_class", "current_class"))).drop("k")
+    return Links(a, b, stash(pairs, "class-links"))
+
+
+def linked(found: Links, side: str = "support") -> DataFrame:
+    """{side}_id with n, first and last of the rows that it is linked to; ids without a link are left out."""
+    other = "current" if side == "support" else "support"
+    own = found.classes.groupBy(F.col(f"{side}_class").alias("class")).agg(F.sum(f"{other}_n").alias("n"), F.min(f"{other}_first").alias("first"), F.max(f"{other}_last").alias("last"))
+    return getattr(found, side).join(bounded(own), "class").select(F.col("id").alias(f"{side}_id"), "n", "first", "last")
+
+
+def expanded(found: Links) -> DataFrame:
+    """support_id, current_id of every link, each once: as many rows as there are links, so for a few ids at a time."""
+    name = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("class").alias(f"{side}_class"))
+    pairs = found.classes.select("support_class", "current_class")
+    out = name(found.support, "support").join(bounded(pairs), "support_class").join(name(found.current, "current"), "current_class")
+    return out.select("support_id", "current_id")

@@ -73,20 +73,27 @@ def prefix_join(spark, sf):
     return out.groupBy("section").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-def support_links(spark, sf):
-    """Toxic-labelled documents linked to canonical ones of their source: how many links each has."""
+def _links(spark, sf):
+    """Toxic-labelled documents linked to canonical ones of their source."""
     d = with_attributes(texts(spark, sf)).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
     marked = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    links = reconcile.links(d.join(marked, "id", "left_semi"), d.where("canonical"))
-    return links.groupBy("support_id").agg(F.count("*").alias("n"), F.min("current_id").alias("first"))
+    return reconcile.links(d.join(marked, "id", "left_semi"), d.where("canonical"))
+
+
+def support_links(spark, sf):
+    """How many links each supporting document has, and the first."""
+    return reconcile.linked(_links(spark, sf)).select("support_id", "n", "first")
 
 
 def reciprocal_links(spark, sf):
-    """The same links from the canonical side, ids in order."""
-    d = with_attributes(texts(spark, sf)).select(F.col("doc_id").alias("id"), F.array("source").alias("sites"), "canonical")
-    marked = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    links = reconcile.links(d.join(marked, "id", "left_semi"), d.where("canonical"))
-    return links.groupBy("current_id").agg(F.array_join(F.array_sort(F.collect_list("support_id")), ",").alias("support_ids"))
+    """The same links from the canonical side: how many, the first and the last."""
+    return reconcile.linked(_links(spark, sf), "current").select("current_id", "n", "first", "last")
+
+
+def link_classes(spark, sf):
+    """The same links by classes: which class links to which, and how many documents each has."""
+    name = lambda c: F.array_join(c, ",").alias(c)
+    return _links(spark, sf).classes.select(name("support_class"), name("current_class"), "support_n", "current_n", (F.col("support_n") * F.col("current_n")).alias("links"))
 
 
 def version_classes(spark, sf):
@@ -108,7 +115,7 @@ j AS (SELECT left_id, right_id, count(*) / (ln + rn - count(*)) AS jaccard FROM
 b AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(jaccard, 10) DESC, right_id) AS rank FROM j)"""
 _nums = lambda c: f"list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({c}, '{V.TWO_WEEKS}', '', 'g'), '{V.YEAR}', '', 'g'), '{V.LONG_ID}', '', 'g'), '\\b\\d+(?:\\.\\d+)?\\b')))"
 _acts = lambda c: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, '{p}') THEN '{a}' END" for a, p in V.ACTIONS.items()) + "], lambda x: x IS NOT NULL)"
-_links = f"m AS (SELECT doc_id AS support_id, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), c AS (SELECT doc_id AS current_id, source FROM documents WHERE doc_id % 10 = 0), links AS (SELECT DISTINCT support_id, current_id FROM m JOIN c USING (source))"
+_links_sql = f"m AS (SELECT doc_id AS support_id, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), c AS (SELECT doc_id AS current_id, source FROM documents WHERE doc_id % 10 = 0), links AS (SELECT DISTINCT support_id, current_id FROM m JOIN c USING (source))"
 
 QUERIES = {
     "jaccard_match": (jaccard_match, f"WITH {_J} SELECT left_id, count(*) AS candidates, round(max(jaccard), 6) AS best FROM j GROUP BY left_id"),
@@ -119,7 +126,8 @@ QUERIES = {
     "match_terms": (match_terms, f"SELECT doc_id, array_to_string(list_sort({_terms}), ' ') AS terms, CAST(length(array_to_string(regexp_extract_all({_form}, '{V.MATCH_TOKEN}'), ' ')) AS INTEGER) AS form_chars FROM documents"),
     "structural_match": (structural_match, f"WITH d AS (SELECT doc_id, {SECTIONS}[CAST(doc_id % {len(SECTIONS)} + 1 AS BIGINT)] AS section, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 5 + 1 END AS ordinal FROM documents) SELECT doc_id, matched_id FROM d LEFT JOIN {_ids.replace(' AS t(', ' AS s(')} USING (section, ordinal)"),
     "prefix_join": (prefix_join, f"WITH {ATTRIBUTES} SELECT section, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM attrs JOIN {values([*V.SECTION_PREFIX.items()], 'section', 'prefix')} ON starts_with(recommendation_id, prefix) GROUP BY section"),
-    "support_links": (support_links, f"WITH {_links} SELECT support_id, count(*) AS n, min(current_id) AS first FROM links GROUP BY support_id"),
-    "reciprocal_links": (reciprocal_links, f"WITH {_links} SELECT current_id, string_agg(CAST(support_id AS VARCHAR), ',' ORDER BY support_id) AS support_ids FROM links GROUP BY current_id"),
+    "support_links": (support_links, f"WITH {_links_sql} SELECT support_id, count(*) AS n, min(current_id) AS first FROM links GROUP BY support_id"),
+    "reciprocal_links": (reciprocal_links, f"WITH {_links_sql} SELECT current_id, count(*) AS n, min(support_id) AS first, max(support_id) AS last FROM links GROUP BY current_id"),
+    "link_classes": (link_classes, f"WITH {_links_sql} SELECT source AS support_class, source AS current_class, count(DISTINCT support_id) AS support_n, count(DISTINCT current_id) AS current_n, count(*) AS links FROM links JOIN documents ON doc_id = current_id GROUP BY source"),
     "version_classes": (version_classes, "WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_discount * 8 END AS score, l_linenumber % 2 = 0 AS structural, l_orderkey % 3 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(score < 0.32::DOUBLE, true) AS unmatched, coalesce(score >= 0.62::DOUBLE, false) AS duplicate, coalesce(score >= 0.32::DOUBLE AND n > 0 AND (structural OR score >= 0.42::DOUBLE), false) AS differs FROM c"),
 }

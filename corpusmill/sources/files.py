@@ -6,6 +6,10 @@ so a failed job leaves no partial output.
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -173,3 +177,74 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
+
+
+def append_attempt(done: DataFrame, path: str, run: str) -> bool:
+    """Finished work of a run, which counts once: returns whether this attempt is the run's.
+
+    The rows go to a folder of the attempt's own, and a file named by the run then says which attempt counts; it is made only
+    where there is none. An attempt that fails before that is never read, and one that is tried again after it changes
+    nothing. run: letters, digits, `-`, `_` and `.`; runs are ordered by name.
+    """
+    spark, attempt = done.sparkSession, uuid.uuid4().hex
+    if not re.fullmatch(r"[\w-][\w.-]*", run, re.ASCII) or run.startswith("_"):
+        raise ValueError(f"not a name of a run: {run!r}")
+    if run in _commits(spark, path):
+        return False
+    done.write.parquet(f"{path}/attempts/attempt={attempt}")
+    fs, mark = _on_file_system(spark, f"{path}/commits/{run}")
+    try:
+        out = fs.create(mark, run in _marks(spark, path) and run not in _commits(spark, path))  # over a mark that was never filled
+        out.write(bytearray(f"{run} {attempt}\n", "ascii"))
+        out.close()
+    except Py4JJavaError as failed:
+        if "AlreadyExists" not in failed.java_exception.getClass().getName():
+            raise
+    if _commits(spark, path).get(run) == attempt:
+        return True
+    fs, folder = _on_file_system(spark, f"{path}/attempts/attempt={attempt}")
+    fs.delete(folder, True)
+    return False
+
+
+def read_attempts(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The rows of all runs' attempts that count, one of each key: the first run's, if several did the same work.
+
+    Of rows of one run with the same key the one of least digest stays. Empty before the first run.
+    """
+    commits = _commits(spark, path)  # a line a run
+    if not commits:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/attempts/attempt={a}" for a in commits.values()]
+    rows = spark.read.schema(f"{schema}, attempt string").option("basePath", f"{path}/attempts").parquet(*folders)
+    names = [c for c in rows.columns if c != "attempt"]
+    runs = spark.createDataFrame([(a, r) for r, a in commits.items()], "attempt string, _run string")
+    whole = F.struct(*names)
+    first = F.min_by(whole.alias("_row"), F.struct("_run", F.sha2(F.to_json(whole), 256)))
+    return rows.join(F.broadcast(runs), "attempt").groupBy(*keys).agg(first.alias("_row")).select("_row.*")
+
+
+def drop_uncommitted(spark: SparkSession, path: str) -> int:
+    """Deletes what failed attempts left, and returns how many; not while a run is being appended."""
+    kept, (fs, folder) = set(_commits(spark, path).values()), _on_file_system(spark, f"{path}/attempts")
+    found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    left = [p for p in found if p.getName().removeprefix("attempt=") not in kept]
+    return sum(fs.delete(p, True) for p in left)
+
+
+def _on_file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _marks(spark: SparkSession, path: str) -> set[str]:
+    fs, folder = _on_file_system(spark, f"{path}/commits")
+    return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+
+def _commits(spark: SparkSession, path: str) -> dict[str, str]:
+    """The attempt that counts of each run, by the runs' names in order."""
+    if not _marks(spark, path):
+        return {}
+    lines = spark.read.text(f"{path}/commits").where("value <> ''").collect()  # a line a run
+    return dict(sorted(line.value.split(" ") for line in lines))
