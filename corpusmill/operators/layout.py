@@ -1,15 +1,16 @@
 """Laid-out lines to records: predicates on geometry and fonts, modes carried between lines, and records cut from them.
 
-lines: document, section, page, y, x, text, size, fonts (array), ord. Windows are per section, the unit that a record
-never leaves; records are a fold.
+lines: document, section, page, y, x, text, size, fonts (array), ord. Modes and records are folds over a section's lines,
+the unit that a record never leaves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..store import fresh
 from . import folds
 
 #: Words that begin a recommendation, marks that end it, and lines that set a mode.
@@ -61,16 +62,30 @@ def mode_of(text="text") -> Column:
 def modes(lines: DataFrame, first: str = "clinical_context") -> DataFrame:
     """Adds mode (carried from the line that set it), and record: lines of a record share it.
 
-    A record ends where a mode is set, and, for tables and rationales, at the page's end. Lines from "References" on are left out.
+    A record ends where a mode is set, and, for tables and rationales, at the page's end. Lines from "References" on are left
+    out. One fold over a section's lines in order; lines of one order follow each other by page, then text.
     """
-    w = Window.partitionBy("document", "section").orderBy("ord")
-    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumn("_gone", F.max((F.col("text") == "References").cast("int")).over(to_here)).where("_gone = 0").drop("_gone")
-    out = out.withColumn("_set", mode_of())
-    out = out.withColumn("mode", F.coalesce(F.last("_set", ignorenulls=True).over(to_here), F.lit(first)))
-    turned = (F.col("page") != F.lag("page").over(w)) & F.lag("mode").over(w).isin("evidence_table", "rationale")
-    start = F.col("_set").isNotNull() | F.coalesce(turned, F.lit(False))
-    return out.withColumn("record", F.sum(start.cast("long")).over(to_here)).drop("_set")
+
+    def start():
+        gone, mode, record, last = False, first, 0, None
+
+        def step(ends, sets, page):
+            nonlocal gone, mode, record, last
+            gone = gone or bool(ends)
+            if gone:
+                return None, None
+            turned = last is not None and page is not None and page != last and mode in ("evidence_table", "rationale")
+            mode, record, last = sets or mode, record + (sets is not None or turned), page
+            return mode, record
+
+        return step
+
+    sets, ends = (fresh(lines.columns, x) for x in ("_sets", "_ends"))
+    marked = lines.withColumns({sets: mode_of(), ends: F.col("text") == "References"})
+    kept = [c for c in lines.columns if c not in ("mode", "record")]
+    marked = marked.select(*kept, sets, ends)
+    out = folds.folded(marked, ["document", "section"], ["ord", "page", "text"], [ends, sets, "page"], "mode string, record long", start)
+    return out.where("record is not null").drop(sets, ends)
 
 
 def split_at_update(text) -> Column:

@@ -94,7 +94,7 @@ def _model(before: str, cite):
 
 def generated_answers(spark, sf):
     """Answers of a model, with one bounded repair of those that cite nothing."""
-    q = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 80).alias("prompt"))
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("prompt"))
     out = models.generate(q, _model("Answer to: ", lambda p: len(p) % 2 == 1 or "7" in p))
     out = out.withColumn("repair_prompt", F.concat(F.lit("Cite: "), "prompt"))
     out = models.repaired(out, _model("", lambda p: True), ~F.col("answer").rlike(citations.CITATION))
@@ -152,7 +152,7 @@ QUERIES = {
     "task_expand": (task_expand, """WITH s AS (SELECT conv_id || '.' || turn AS case_id, conv_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM conversations WHERE role = 'assistant')
         SELECT case_id, 'claim_support' AS criterion, n, 0 AS settled FROM s WHERE n > 0 UNION ALL SELECT case_id, 'citation_entailment', n, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE n END FROM s WHERE n > 0
         UNION ALL SELECT case_id, 'overreach', 1, 0 FROM s UNION ALL SELECT case_id, 'completeness', 1, 0 FROM s UNION ALL SELECT case_id, 'refusal_quality', 1, 0 FROM s WHERE conv_id % 3 = 0"""),
-    "generated_answers": (generated_answers, "WITH p AS (SELECT item_id, substr(text, 1, 80) AS p FROM benchmark) SELECT item_id, CASE WHEN length(p) % 2 = 1 OR contains(p, '7') THEN 'Answer to: ' ELSE 'Cite: ' END || p || ' [E1]' AS answer FROM p"),
+    "generated_answers": (generated_answers, "WITH p AS (SELECT item_id, text AS p FROM benchmark) SELECT item_id, CASE WHEN length(p) % 2 = 1 OR contains(p, '7') THEN 'Answer to: ' ELSE 'Cite: ' END || p || ' [E1]' AS answer FROM p"),
     "human_rates": (human_rates, "SELECT round(avg(quality), 4) AS ok_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN 1 - toxic END), 4) AS current_rate, count(*) FILTER (WHERE doc_id % 4 <> 0) AS applicable FROM labels"),
     "failure_types": (failure_types, "WITH e AS (SELECT CASE event_id % 4 WHEN 0 THEN 'Wrong site; missing Age' WHEN 1 THEN 'missing age|' || event_type || ' , ' WHEN 3 THEN upper(event_type) END AS types FROM events), t AS (SELECT replace(lower(trim(unnest(regexp_split_to_array(types, '[,;|]')))), ' ', '_') AS failure FROM e) SELECT failure, count(*) AS n FROM t WHERE failure <> '' GROUP BY failure"),
     "review_queue": (review_queue, "WITH s AS (SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9•])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 400 AND NOT regexp_matches(x, '\\[E(\\d+)\\]'))) AS n FROM documents) SELECT doc_id, quality, toxic FROM labels JOIN s USING (doc_id) WHERE quality = 0 OR toxic = 1 OR n > 0"),

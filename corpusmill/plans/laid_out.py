@@ -196,8 +196,8 @@ def fenced_json(spark, sf):
 
 def prompts(spark, sf):
     """The five judges' prompts of each question: its text is the claim, two documents are its passages, its first word the answer."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
-    q = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 200).alias("question"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
     one = lambda i: d.select((F.col("doc_id") - i).alias("item_id"), F.struct(F.lit(f"[E{i + 1}]").alias("label"), F.concat(F.lit("Guide, document "), "doc_id").alias("citation"), "text").alias(f"e{i}"))
     q = q.join(one(0), "item_id", "left").join(one(1), "item_id", "left")
     q = q.withColumn("evidence", F.array_compact(F.array("e0", "e1"))).withColumn("cited", F.slice("evidence", 2, 1))
@@ -267,7 +267,7 @@ st AS (
 ),
 cut AS (SELECT section, i, first AS page, last AS page_end, done AS text FROM st WHERE done <> ''
   UNION ALL SELECT section, st.i + 1, first, last, t FROM st JOIN (SELECT section, max(i) AS n FROM b4 GROUP BY section) USING (section) WHERE length(t) >= {layout.TRAILING} AND st.i = n)"""
-_pq = f"""q AS (SELECT item_id, substr(text, 1, 200) AS question FROM benchmark), e AS (SELECT doc_id, 'Guide, document ' || doc_id || chr(10) || substr(text, 1, 300) AS x FROM documents),
+_pq = f"""q AS (SELECT item_id, text AS question FROM benchmark), e AS (SELECT doc_id, 'Guide, document ' || doc_id || chr(10) || text AS x FROM documents),
 w AS (SELECT q.*, string_split(question, ' ')[1] AS answer, CASE WHEN a.x IS NOT NULL THEN ['[E1] | ' || a.x] ELSE [] END || CASE WHEN b.x IS NOT NULL THEN ['[E2] | ' || b.x] ELSE [] END AS ev
   FROM q LEFT JOIN e a ON a.doc_id = item_id LEFT JOIN e b ON b.doc_id = item_id + 1),
 z AS (SELECT *, CASE WHEN len(ev) > 0 THEN array_to_string(ev, chr(10) || chr(10)) ELSE 'No passage was cited.' END AS evidence, coalesce(ev[2], 'No passage was cited.') AS cited,

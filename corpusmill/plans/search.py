@@ -151,6 +151,18 @@ def engine_search(spark, sf):
     return out.select("qid", "outcome", "mode_used", "warning", "rank", "doc_id", "score")
 
 
+#: What the filtered search may return.
+FILTERS = {"sites": ["fr", "en"], "types": ["recommendation", "evidence", "rationale"]}
+
+
+def engine_reranked(spark, sf):
+    """The public search in full: hybrid by vectors and terms, filtered by sites and types, with the reranker."""
+    chunks, questions, _ = _sides(spark, sf)
+    asked = questions.select(F.col("query_id").cast("string").alias("qid"), F.col("question").alias("text"), "vector")
+    out = engine.search(asked, chunks, mode="hybrid", top_k=5, **FILTERS, lexicon=lexicon(spark, sf))
+    return out.select("qid", "outcome", "mode_used", "rank", "first_rank", "doc_id", "score", "base", "coverage")
+
+
 CAND = f"""{BM25}, {ATTRIBUTES},
 qs AS (SELECT item_id AS query_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark b LEFT JOIN embeddings e ON item_id = vec_id),
 cand AS (
@@ -213,6 +225,9 @@ QUERIES = {
     "engine_search": (engine_search, f"""WITH {ANCHORED.replace('0.55::DOUBLE * bm25_norm + 0.45::DOUBLE * dense AS base', '1.0::DOUBLE * bm25_norm AS base')}
         SELECT CAST(query_id AS VARCHAR) AS qid, 'retrieval_results' AS outcome, 'bm25' AS mode_used, 'hybrid search has no vectors: ranked by bm25' AS warning, CAST(first_rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
         FROM firsts WHERE first_rank <= 5 UNION ALL SELECT qid, outcome, NULL, NULL, NULL, NULL, NULL FROM {values([(q, o) for q, _, o in STOPPED], 'qid', 'outcome')}"""),
+    "engine_reranked": (engine_reranked, f"""WITH {RERANKED.replace('FROM attrs a LEFT JOIN embeddings', f"FROM (FROM attrs WHERE lang IN {(*FILTERS['sites'],)} AND content_type IN {(*FILTERS['types'],)}) a LEFT JOIN embeddings")}
+        SELECT CAST(query_id AS VARCHAR) AS qid, 'retrieval_results' AS outcome, 'hybrid' AS mode_used, CAST(rank AS INTEGER) AS rank, CAST(first_rank AS INTEGER) AS first_rank, doc_id,
+          round(rerank_score, 6) AS score, round(base, 6) AS base, round(coverage, 6) AS coverage FROM ranked WHERE rank <= 5"""),
     "search_results": (search_results, f"""WITH {RERANKED} SELECT query_id, rank, 'E' || rank AS label, doc_id, round(dense, 6) AS dense, round(bm25_norm, 6) AS bm25_norm,
         array_to_string(list_filter([CASE WHEN asked_evidence AND content_type IN ('evidence', 'evidence_table', 'rationale') THEN 'evidence-intent match' END,
           CASE WHEN NOT asked_evidence AND canonical THEN 'canonical current recommendation' END,

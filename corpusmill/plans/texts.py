@@ -196,7 +196,7 @@ SITE_TEXTS = [
 
 def site_mentions(spark, sf):
     phrase = F.element_at(F.array(*map(F.lit, SITE_TEXTS)), (F.col("doc_id") % len(SITE_TEXTS) + 1).cast("int"))
-    d = texts(spark, sf).select("doc_id", F.concat(phrase, F.lit(" "), "source", F.lit(" "), F.substring("text", 1, 60)).alias("text"))
+    d = texts(spark, sf).select("doc_id", F.concat(phrase, F.lit(" "), "source", F.lit(" "), "text").alias("text"))
     return d.select("doc_id", F.array_join(T.sites("text"), ",").alias("sites"), F.sha2(T.heading("text"), 256).alias("heading"), F.sha2(T.repair_glue("text"), 256).alias("repaired"))
 
 
@@ -292,7 +292,7 @@ QUERIES = {
     "previews": (previews, "SELECT doc_id, sha256(CASE WHEN length(text) > 900 THEN substr(text, 1, 897) || '...' ELSE text END) AS long, CAST(CASE WHEN length(text) > 220 THEN 220 ELSE length(text) END AS INTEGER) AS short_chars FROM documents"),
     "record_ids": (record_ids, f"WITH {ATTRIBUTES} SELECT doc_id, 'p' || lpad(CAST(page AS VARCHAR), 3, '0') || '_r' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS record_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, page ORDER BY doc_id) AS n FROM attrs)"),
     "retrieval_texts": (retrieval_texts, f"WITH {ATTRIBUTES} SELECT doc_id, sha256(source || ' ' || recommendation_id || ' ' || lang || ' ' || content_type || chr(10) || text) AS digest FROM attrs"),
-    "site_mentions": (site_mentions, f"WITH s AS (SELECT doc_id, {SITE_TEXTS}[CAST(doc_id % {len(SITE_TEXTS)} + 1 AS BIGINT)] || ' ' || source || ' ' || substr(text, 1, 60) AS text FROM documents), h AS (SELECT doc_id, {_head} AS heading, trim(regexp_replace({_glue}, '[ \\t]+', ' ', 'g')) AS repaired FROM s), l AS (SELECT *, replace(lower(heading), 'gall bladder', '') AS low FROM h) SELECT doc_id, sha256(heading) AS heading, sha256(repaired) AS repaired, array_to_string(list_filter([{_sites}], lambda x: x IS NOT NULL), ',') AS sites FROM l"),
+    "site_mentions": (site_mentions, f"WITH s AS (SELECT doc_id, {SITE_TEXTS}[CAST(doc_id % {len(SITE_TEXTS)} + 1 AS BIGINT)] || ' ' || source || ' ' || text AS text FROM documents), h AS (SELECT doc_id, {_head} AS heading, trim(regexp_replace({_glue}, '[ \\t]+', ' ', 'g')) AS repaired FROM s), l AS (SELECT *, replace(lower(heading), 'gall bladder', '') AS low FROM h) SELECT doc_id, sha256(heading) AS heading, sha256(repaired) AS repaired, array_to_string(list_filter([{_sites}], lambda x: x IS NOT NULL), ',') AS sites FROM l"),
     "dotted_sort": (dotted_sort, f"WITH {ATTRIBUTES}, i AS (SELECT DISTINCT recommendation_id FROM attrs), k AS (SELECT *, list_transform(string_split(recommendation_id, '.'), lambda x: CAST(x AS INTEGER)) AS k FROM i) SELECT recommendation_id, array_to_string(k, '-') AS key, row_number() OVER (ORDER BY k) AS rank FROM k"),
     "fingerprints": (fingerprints, "SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, source, text)) AS fingerprint FROM documents"),
     "content_types": (content_types, f"WITH {ATTRIBUTES}, r AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN source WHEN doc_id % 11 = 1 THEN '' END AS term, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN '' ELSE recommendation_id END AS rid FROM attrs) SELECT doc_id, CASE WHEN page = 0 THEN 'symptom_table' WHEN term <> '' THEN 'definition' WHEN rid LIKE '1.15.%' THEN 'safety_netting' WHEN rid LIKE '1.14.%' THEN 'patient_support' WHEN rid LIKE '1.16.%' THEN 'diagnostic_process' WHEN rid <> '' THEN 'recommendation' ELSE 'guidance' END AS content_type FROM r"),

@@ -103,3 +103,28 @@ def test_a_million_rows_of_one_partition(spark, capsys):
     folds.section_ends(rows, n).explain("formatted")
     plan = capsys.readouterr().out
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_modes(spark):
+    said = ["Clinical question: x", "Clinical evidence", "Table 2: y", "Quality of the evidence", "plain", "plain too", "and more", None]
+    rng, data = random.Random(7), []
+    for section in ("a", "b", None):
+        page = 1
+        for i in range(200):
+            page += rng.random() < 0.2
+            data.append(("d", section, rng.choice([page] * 9 + [None]), i, "References" if (section, i) == ("b", 120) else rng.choice(said)))
+    set_by = dict(zip(said, ["clinical_question", "evidence", "evidence_table", "rationale"]))
+    want = []
+    for section in ("a", "b", None):
+        mode, record, last = "clinical_context", 0, None
+        for _, _, page, i, text in [r for r in data if r[1] == section]:
+            if text == "References":
+                break
+            turned = None not in (page, last) and page != last and mode in ("evidence_table", "rationale")
+            record += text in set_by or turned
+            mode, last = set_by.get(text, mode), page
+            want.append((section, i, mode, record))
+    df = spark.createDataFrame(data, "document string, section string, page int, ord int, text string").repartition(4)
+    out = layout.modes(df)
+    assert {(r.section, r.ord, r.mode, r.record) for r in out.collect()} == set(want)
+    assert out.columns == [*df.columns, "mode", "record"]
