@@ -1,13 +1,13 @@
 """Licence scans over a positional rare-token index.
 
-The templates (licence notices) are indexed once: word -> positions in each. First every document is counted for the words
-of the templates, which gives each word's inverse document frequency over the whole corpus. A mandatory key phrase is found
-by its rarest word in the text: that gives the places, and the phrase's other words are verified around each. Around such
-a place, the template's words of highest IDF are looked up in the text; each names the relative position (place in the
-text minus place in the template) at which the template would start. Words are taken by falling IDF until those left
-couldn't reach the share asked for, so no start is missed; at each start the words that line up are summed by IDF. The
-template counts if enough of its weight lines up with a key phrase nearby. Every template is judged by its own words, so
-one notice never hides another. Base phrases are found in the same way.
+The templates (licence notices and identifier lines) are indexed once: word -> positions in each. First every document is
+counted for the words of the templates, which gives each word's inverse document frequency over the whole corpus. Then a
+text's words get postings, and each template is looked up by its words of highest IDF: every posting of one names the
+relative position (place in the text minus place in the template) at which the template would start. Words are taken by
+falling IDF until those left couldn't reach the share asked for, so no start is missed; postings are intersected by
+relative position, where the words that line up are summed by IDF, first of the rare words, then, at starts that can still
+reach the share, of the others. Last, a mandatory key phrase is verified by a start that has enough. Every template is
+judged by its own words, so one notice never hides another. Base phrases are found by the postings of their rarest word.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case (A-Z only).
 
@@ -16,15 +16,16 @@ overlapping ones too; texts of any length are read whole, in pieces of about PIE
 notice; repeated rows are each scanned; an empty table gives an empty result; other columns are left out.
 
 Scale: two scans and no shuffle but the word counts (a row a template word and task). The index and the IDF table have
-a row per template word, a bound that doesn't depend on the corpus. Work beyond the scan is only around key phrases.
+a row per template word, a bound that doesn't depend on the corpus. Work beyond the scan is a posting of a rare word each, and the other words only where
+the rare ones line up.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ BASE = {b"under the mit license": "mit", b"apache license version 2": "apache-2"
 #: label -> notice, mandatory key phrases (one of them must stand by the aligned part). The wording of the
 #: public notices.
 TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["any person obtaining a copy of this software"]),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     "gpl-3": ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     "gpl-2": ("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
@@ -51,6 +52,15 @@ TEMPLATES = {
     "cc-by-nc": ("this work is licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     "cc-by-sa": ("this work is licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     "cc0": ("to the extent possible under law the author has waived all copyright under cc0 1 0", ["cc0 1 0"]),
+    "bsd-3": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    "boost": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy of the software and accompanying documentation"]),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable for any damages arising from the use of this software"]),
+    "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0"]),
+    "epl-1": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", ["eclipse public license v1 0"]),
+    "eupl": ("licensed under the eupl version 1 2", ["eupl version 1 2"]),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    "ofl": ("this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    "artistic-2": ("this program is licensed under the artistic license 2 0", ["artistic license 2 0"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 }
 #: Further wordings: label, notice, mandatory key phrases. Fixed values too.
@@ -62,7 +72,22 @@ HEADERS = [
     ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license as published"]),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by", "this work is licensed under cc by 4 0", ["cc by 4 0"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost software license version 1 0"]),
+    ("bsd-3", "licensed under the bsd 3 clause license", ["bsd 3 clause license"]),
+    ("bsd-2", "licensed under the bsd 2 clause license", ["bsd 2 clause license"]),
+    ("gpl-3", "gplv3", ["gplv3"]),
+    ("gpl-2", "gplv2", ["gplv2"]),
+    ("lgpl", "lgplv3", ["lgplv3"]),
+    ("agpl-3", "agplv3", ["agplv3"]),
 ]
+#: Short identifiers as they stand in identifier lines, by label. Fixed values too.
+IDENTIFIERS = {
+    "agpl-3": ["AGPL-3.0"], "apache-2": ["Apache-2.0"], "artistic-2": ["Artistic-2.0"], "boost": ["BSL-1.0"], "bsd-2": ["BSD-2-Clause"], "bsd-3": ["BSD-3-Clause"],
+    "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc0": ["CC0-1.0"], "epl-1": ["EPL-1.0"], "epl-2": ["EPL-2.0"], "eupl": ["EUPL-1.2"],
+    "gpl-2": ["GPL-2.0"], "gpl-3": ["GPL-3.0"], "isc": ["ISC"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "mit": ["MIT"], "mpl-2": ["MPL-2.0"], "ofl": ["OFL-1.1"],
+    "unlicense": ["Unlicense"], "zlib": ["Zlib"],
+}
 #: Share of a notice's weight that must line up.
 ENOUGH = 0.5
 #: Bytes of a text whose words are held at once (about).
@@ -80,17 +105,20 @@ def pieces(text: bytes, size: int | None = None):
 
 
 class Index:
-    """The templates and phrases as words."""
+    """The templates and phrases as numbers of words."""
 
-    def __init__(self, base=BASE, templates=TEMPLATES, headers=HEADERS):
-        self.base = [(p.split(), label) for p, label in base.items()]
+    def __init__(self, base=BASE, templates=TEMPLATES, headers=HEADERS, identifiers=IDENTIFIERS):
+        split = lambda x: x.encode().translate(WORDS).split()
         every = [(label, *own) for label, own in templates.items()] + headers
-        self.templates = [(label, notice.encode().split(), [k.encode().split() for k in keys]) for label, notice, keys in every]
+        lines = [(label, f"SPDX-License-Identifier: {x}") for label, xs in identifiers.items() for x in xs]
+        self.templates = [(label, split(notice), [split(k) for k in keys]) for label, notice, keys in every + [(label, x, [x]) for label, x in lines]]
+        self.base = [(p.split(), label) for p, label in base.items()]
         self.templates += [(label, words, [words]) for words, label in self.base]
         self.words = frozenset(w for _, notice, keys in self.templates for part in (notice, *keys) for w in part)
+        self.number = {w: i for i, w in enumerate(sorted(self.words))}
         #: Every label needs one of these phrases whole: without all words of any of them a text has no label and no place.
         self.needed = {frozenset(k) for _, _, keys in self.templates for k in keys}
-        #: Words that a piece shares with the one before: the reach of any notice around a key phrase.
+        #: Words that a piece shares with the one before: the reach of any notice and its key phrase.
         self.shared = 4 * max(len(notice) for _, notice, _ in self.templates)
         self.idf, self.weighed = None, []
 
@@ -110,35 +138,50 @@ class Index:
             self.idf = idf
         return self.weighed
 
-    def places(self, words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
+    def postings(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The numbers of the words (-1 for those of no template), and the places of each number."""
+        ids = np.fromiter((self.number.get(w, -1) for w in words), np.int32, len(words))
+        known = np.flatnonzero(ids >= 0)
+        known = known[np.argsort(ids[known], kind="stable")]
+        return ids, np.split(known, np.searchsorted(ids[known], np.arange(1, len(self.number))))
+
+    def places(self, ids: np.ndarray, at: list[np.ndarray], phrase: list[bytes]) -> np.ndarray:
         """Every start of phrase: the places of its rarest word here, each verified."""
-        if any(w not in at for w in phrase):
-            return []
-        i = min(range(len(phrase)), key=lambda j: len(at[phrase[j]]))
-        n = len(phrase)
-        return [s for p in at[phrase[i]] if (s := p - i) >= 0 and words[s : s + n] == phrase]
-
-    def aligned(self, words: list[bytes], at: dict[bytes, list[int]], notice: list[bytes], near: list[tuple[int, int]], weighed: tuple) -> float:
-        """The largest share of a notice's weight that lines up at a start with a key phrase (near: their places) by it."""
+        own = [self.number[w] for w in phrase]
+        i = min(range(len(own)), key=lambda j: len(at[own[j]]))
+        starts = at[own[i]] - i
+        starts = starts[(starts >= 0) & (starts <= len(ids) - len(own))]
+        for j, w in enumerate(own):
+            starts = starts[ids[starts + j] == w]
+        return starts
+
+    def aligned(self, ids: np.ndarray, at: list[np.ndarray], notice: list[bytes], keys: list[list[bytes]], weighed: tuple) -> float:
+        """The largest share of a notice's weight that lines up at a start with a key phrase by it; 0 below ENOUGH."""
         weights, whole, rarest = weighed
-        n, best = len(notice), 0.0
+        n, least = len(notice), ENOUGH * (1 - 1e-9)
         if not whole:
             return 0.0
-        done, top = set(), 0
-        for k0, k1 in near:
-            lo, hi = k1 - 2 * n, k0 + n  # starts for which the phrase is nearby
-            if top < lo:
-                done.clear()
-            top = hi
-            for i in rarest:
-                own = at.get(notice[i], ())
-                for p in own[bisect.bisect_left(own, lo + i) : bisect.bisect_right(own, hi + i)]:
-                    if (start := p - i) in done:
-                        continue
-                    done.add(start)
-                    share = sum(weights[j] for j in range(max(0, -start), min(n, len(words) - start)) if words[start + j] == notice[j]) / whole
-                    best = max(best, share)
-        return best if best >= ENOUGH * (1 - 1e-9) else 0.0
+        own = [self.number[w] for w in notice]
+        # postings intersected by relative position: how much of the rare words' weight each start has
+        found = [at[own[i]] - i for i in rarest]
+        starts, which = np.unique(np.concatenate(found), return_inverse=True)
+        share = np.bincount(which, np.repeat([weights[i] for i in rarest], [len(f) for f in found]), len(starts)).astype(float)
+        left = whole - sum(weights[i] for i in rarest)
+        for j in sorted(set(range(n)) - set(rarest), key=lambda j: -weights[j]):
+            able = share + left >= least * whole
+            starts, share = starts[able], share[able]
+            place = starts + j
+            here = (place >= 0) & (place < len(ids))
+            share[here] += weights[j] * (ids[place[here]] == own[j])
+            left -= weights[j]
+        able = share >= least * whole
+        starts, share = starts[able], share[able]
+        by = np.zeros(len(starts), bool)
+        for key in keys if len(starts) else ():
+            # a key phrase from k0 to k1 stands by a start from k1 - 2 n to k0 + n
+            k0 = self.places(ids, at, key)
+            by |= np.searchsorted(k0, starts - n) < np.searchsorted(k0, starts + 2 * n - len(key), "right")
+        return float(share[by].max() / whole) if by.any() else 0.0
 
     def scan(self, text: bytes, idf: dict[bytes, float], size: int | None = None) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
@@ -153,22 +196,19 @@ class Index:
             here = self.words.intersection(words)
             if not any(map(here.issuperset, self.needed)):
                 continue
-            at: dict[bytes, list[int]] = {w: [] for w in here}
-            for i, w in enumerate(words):
-                if w in at:
-                    at[w].append(i)
+            ids, at = self.postings(words)
             for phrase, label in self.base:
-                got = [offset + s for s in self.places(words, at, phrase) if s + len(phrase) > own]  # others were counted before
-                if got:
+                got = self.places(ids, at, phrase)
+                got = got[got + len(phrase) > own] + offset  # others were counted before
+                if len(got):
                     based.add(label)
                     count += len(got)
-                    first = min(got) if first is None else min(first, *got)
-                    last = max(got) if last is None else max(last, *got)
+                    first = int(got[0]) if first is None else min(first, int(got[0]))
+                    last = int(got[-1]) if last is None else max(last, int(got[-1]))
             for (label, notice, keys), own_weights in zip(self.templates, weighed):
-                if near := sorted((p, p + len(k)) for k in keys for p in self.places(words, at, k)):
-                    if share := self.aligned(words, at, notice, near, own_weights):
-                        labels.add(label)
-                        score = max(score, min(1.0, share))
+                if any(map(here.issuperset, keys)) and (share := self.aligned(ids, at, notice, keys, own_weights)):
+                    labels.add(label)
+                    score = max(score, min(1.0, share))
         labels |= based
         return total, count, first, last, ",".join(sorted(based)), ",".join(sorted(labels)), 1.0 if based else score
 
