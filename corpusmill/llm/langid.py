@@ -8,9 +8,9 @@ entries; a text's language is the one with the shortest code, and the score its
 
 Learning: about PER_LANGUAGE documents of every language, fewer where there are so many languages that TOTAL in all would
 be passed, but LEAST each; chosen by their id's hash among those whose fold isn't held out (all documents of a language
-that has no more than LEAST). Of a chosen document of over MOST bytes a passage of at most that size is read, from a place
-that its id's hash names. Their counts are made and summed by the tasks; the driver gets those of grams that some language
-has often enough for the trees to keep to CELLS (all of them, but where there are very many languages).
+that has no more than LEAST). Chosen documents are read whole, of any length. Their counts are made and summed by the tasks;
+the driver gets those of grams that some language has often enough for the trees to keep to CELLS (all of them, but where
+there are very many languages).
 
 Defined cases: null texts and those without a letter are `und` with score 0, and so is every text where no language was
 learned; documents without an id or language are never learned from, and without an id never held out; ties go to the
@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded, fold_of, in_scratch, release, stash, table
 
-#: Documents of each language, documents in all, and bytes of a document, that are learned from at most (about).
-PER_LANGUAGE, TOTAL, MOST = 600, 12_000, 1 << 16
+#: Documents of each language, and documents in all, that are learned from at most (about).
+PER_LANGUAGE, TOTAL = 600, 12_000
 #: Documents of a language that are learned from however many languages there are.
 LEAST = 24
 #: Known byte pairs up to which four bytes are looked up by a square table of pairs.
 PAIRS = 4096
 #: Costs (positions times languages) that a task holds at once.
 HELD = 1 << 21
-#: Cells (four-byte grams times languages) that the trees have at most; grams seen seldom go first.
-CELLS = 1 << 25
+#: Cells (four-byte grams times languages) that the trees have at most, 32 MB of code lengths; grams seen seldom go first.
+CELLS = 1 << 23
+#: Bytes of texts whose grams are counted at once (about).
+COUNTED = 1 << 22
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -51,6 +53,21 @@ def grams(buffer: np.ndarray) -> np.ndarray:
     return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
 
 
+def _runs(texts):
+    """Lists of about COUNTED bytes of texts, each with the three bytes that stand before it; longer texts in parts."""
+    held, size = [], 0
+    for t in texts:
+        data = np.frombuffer(b"\0\0\0" + t.lower(), np.uint8)
+        for lo in range(0, len(data) - 3, COUNTED):
+            held.append(data[lo : lo + COUNTED + 3])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """lang, gram, n over the texts."""
 
@@ -58,10 +75,10 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for one in sorted(set(langs)):
-                own = [t.lower() for t, k in zip(texts, langs) if k == one and t]
-                if own:
-                    g, n = np.unique(np.concatenate([grams(np.frombuffer(b"\0\0\0" + t, np.uint8)) for t in own]), return_counts=True)
+                for some in _runs(t for t, k in zip(texts, langs) if k == one and t):
+                    g, n = np.unique(np.concatenate([grams(x) for x in some]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        release()
 
     part = docs.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
     return part.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -170,21 +187,19 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     share = bounded(counts.select("__lang", part.alias("__part")))  # a row a language
     chosen = (F.col("__part") >= 1) | (F.xxhash64(key) < (F.col("__part") * 2.0**64 - 2.0**63).cast("long"))
     some = able.join(share, F.col(lang) == F.col("__lang")).where(chosen)
-    long, size = F.octet_length(text) > MOST, MOST // 4  # a code point has four bytes at most
-    start = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    some = some.select(F.col(lang), F.when(long, F.substr(text, start.cast("int"), F.lit(size))).otherwise(F.col(text)).alias(text))
-    grams_ = stash(count_grams(some, lang, text), "langid-grams")
+    grams_ = stash(count_grams(some.select(lang, text), lang, text), "langid-grams")
     # the tasks leave out grams that no language has often enough, so that the trees keep to CELLS
     tops = grams_.groupBy("gram").agg(F.max("n").alias("top")).groupBy(F.least("top", F.lit(1000)).alias("top")).agg(F.count("*").alias("kinds"))
     kinds, least = dict(map(tuple, tops.collect())), 1
     while n * sum(k for top, k in kinds.items() if top >= least) > CELLS and least < 1000:
         least += 1
-    got = grams_.where(F.col("n") >= least).toPandas().sort_values(["lang", "gram"])
+    names = sorted((r[0] for r in counts.select("__lang").collect()), key=lambda x: x.encode())  # a row a language
+    numbers = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, lang string"))
+    got = grams_.where(F.col("n") >= least).join(numbers, "lang").select("number", "gram", "n").toPandas()  # CELLS at most
     if not len(got):
         return None
-    langs = sorted(got["lang"].unique(), key=lambda x: x.encode())
-    number = {x: i for i, x in enumerate(langs)}
-    return Trees(langs, got["lang"].map(number).to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy(float))
+    seen, lang_ = np.unique(got["number"].to_numpy(), return_inverse=True)
+    return Trees([names[i] for i in seen], lang_, got["gram"].to_numpy(), got["n"].to_numpy(float))
 
 
 def identify(docs: DataFrame, trees: Trees | None, key: str = "doc_id", text: str = "text") -> DataFrame:
