@@ -41,8 +41,8 @@ LEAST = 24
 PAIRS = 4096
 #: Costs (positions times languages) that a task holds at once.
 HELD = 1 << 21
-#: Cells (four-byte grams times languages) that the trees have at most, 32 MB of code lengths; grams seen seldom go first.
-CELLS = 1 << 23
+#: Cells (four-byte grams times languages) that the trees have at most, 20 MB of code lengths an order; grams seen seldom go first.
+CELLS = 5 << 20
 #: Bytes of texts whose grams are counted at once (about).
 COUNTED = 1 << 22
 

@@ -18,7 +18,7 @@ def test_two_hundred_languages_at_the_cap():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     sent = len(pickle.dumps(trees))
-    assert peak < 1_000_000_000 and sent < 200_000_000, (peak, sent)
+    assert peak < 600_000_000 and sent < 100_000_000, (peak, sent)
 
 
 def test_counts_of_whole_texts_in_parts(monkeypatch):
