@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by score-aware anisotropic quantisation.
 
 Nearest by Euclidean distance is largest <q, x> - |x|^2 / 2, so each vector is quantised for its inner products, with
-its norm kept exactly beside the code. Pairs of dimensions share a codebook of 16 (four bits). The codebooks are fitted
+its norm kept exactly beside the code. Vectors are taken from the sample's mean and by its extent, which changes no order
+of distances: rows far from zero but close together keep their differences. Pairs of dimensions share a codebook of 16 (four bits). The codebooks are fitted
 on a bounded sample for the anisotropic loss: residual error parallel to the vector weighs `eta` times as much as error
 across it, since it is what moves the large inner products. Codes are chosen by coordinate descent on that loss, and the
 codebooks are solved for by least squares under it.
 
 Search: queries go in blocks of BLOCK (fewer of long vectors), each block's vectors to all tasks (a stated bound). A task
 scans its rows' codes by table look-ups (two codes a byte, one table of 256 sums for each), takes each query's RERANK best
-of every ROWS rows, and scores those exactly in double precision; the best k of each task are ranked per query.
+of every ROWS rows, and scores those exactly in double precision. Then it checks the codes: a row lies within the length
+of its residual (kept beside the code) of the point that its code stands for, so only rows whose coded distance less that
+length is at most the k-th best one can be nearer, and these are scored exactly too. Whatever the rows are like, none of
+the k nearest is missed; where codes tell rows badly apart (tight clusters, a few huge vectors), more rows are scored. The
+best k of each task are ranked per query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows without
 an id, nor vectors of another length than most have; of rows with the same id the nearest one counts, and a query that
@@ -37,6 +42,8 @@ TABLE_BYTES = 1 << 24
 RERANK = 64
 #: Rows scanned at once.
 ROWS = 8_192
+#: Coordinates beyond so many extents of the sample aren't coded as they are: their residual says so.
+WIDEST = 1e6
 #: Parallel error matters above this cosine of query and vector.
 THRESHOLD = 0.2
 
@@ -58,14 +65,24 @@ class Quantiser:
         self.m = -(-d // 2)
         self.m += self.m % 2  # two codes fill a byte
         self.books = np.zeros((self.m, 16, 2))
+        self.centre, self.extent = np.zeros(d), 1.0
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Vectors from the centre, by the extent: what is coded, and what queries are compared with."""
+        return (x - self.centre) / self.extent
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The points that codes stand for."""
+        return self.books[np.arange(self.m)[None], codes].reshape(len(codes), 2 * self.m)[:, : self.d]
 
     def _parts(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, 2 * self.m - self.d))).reshape(len(x), self.m, 2)
 
     def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes (rows, subspaces): nearest centroids, then coordinate descent on |r|^2 + (eta - 1) <r, u>^2."""
+        x = np.clip(x, -WIDEST, WIDEST)
         p = self._parts(x)
-        u = p / np.linalg.norm(x, axis=1)[:, None, None]
+        u = p / np.maximum(np.linalg.norm(x, axis=1), 1e-150)[:, None, None]
         codes = np.empty((len(x), self.m), np.uint8)
         cost, along = np.empty((self.m, len(x), 16), np.float32), np.empty((self.m, len(x), 16), np.float32)
         for j in range(self.m):
@@ -84,8 +101,11 @@ class Quantiser:
 
     def fit(self, x: np.ndarray, rounds: int = 6, seed: int = 0):
         rng = np.random.default_rng(seed)
+        self.centre = x.mean(0)
+        self.extent = float(np.abs(x - self.centre).max()) or 1.0
+        x = self.placed(x)
         p = self._parts(x)
-        u = p / np.linalg.norm(x, axis=1)[:, None, None]
+        u = p / np.maximum(np.linalg.norm(x, axis=1), 1e-150)[:, None, None]
         self.books = p[rng.choice(len(x), 16, replace=len(x) < 16)].transpose(1, 0, 2).copy()
         for _ in range(rounds):
             codes = self.encode(x)
@@ -130,19 +150,43 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     return Quantiser(d, max((d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2), 1.0)).fit(x)
 
 
+#: A coded row: its codes (two of four bits a byte), half its squared length, its point's squared length, its residual's length.
+CODED = "vec_id long, embedding array<double>, code binary, half double, point double, off double"
+
+
 def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """rows with code (two four-bit codes a byte) and half (half the squared norm)."""
+    """rows as CODED, lengths as quantiser.placed measures them."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), ROWS // 4):
                 b = batch.slice(at, ROWS // 4)
-                x = b.column(1).flatten().to_numpy().reshape(len(b), -1)
-                packed = pack(quantiser.encode(x))
+                x = quantiser.placed(b.column(1).flatten().to_numpy().reshape(len(b), -1))
+                codes = quantiser.encode(x)
+                points, packed = quantiser.decoded(codes), pack(codes)
                 whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(b), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole, pa.array((x * x).sum(1) / 2)], names=["vec_id", "embedding", "code", "half"])
+                lengths = [(x * x).sum(1) / 2, (points * points).sum(1), np.linalg.norm(x - points, axis=1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole, *map(pa.array, lengths)], names=["vec_id", "embedding", "code", "half", "point", "off"])
+
+    return rows.mapInArrow(run, CODED)
 
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, half double")
+
+def _nearer(est: np.ndarray, point: np.ndarray, off: np.ndarray, x: np.ndarray, half: np.ndarray, q: np.ndarray, kth: np.ndarray, subspaces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and a mask (rows, queries): all that may lie within kth of a query.
+
+    est: the codes' inner products with the queries. A row is at least as far as its point less its residual; of rows that
+    pass, those whose product in double precision shows that they are farther go too. Both leave room for rounding, and
+    what overflows passes.
+    """
+    q2 = (q * q).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        both = (point[:, None] + q2[None]).astype(np.float32)
+        lower = np.sqrt(np.maximum(both * np.float32(1 - 2.4e-7 * (subspaces + 8)) - 2 * est, 0))
+        lower -= (off * (1 + 1e-5))[:, None].astype(np.float32)
+        passed = ~(lower > (kth * (1 + 1e-5))[None].astype(np.float32)) | (np.abs(q).max(1) > WIDEST)[None]
+        at = np.flatnonzero(passed.any(1))
+        both = 2 * half[at, None] + q2[None]
+        return at, passed[at] & ~(both * (1 - 1e-12) - 2 * x[at] @ q.T > (kth * kth * (1 + 1e-9))[None])
 
 
 def _scan(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, quantiser: Quantiser, k: int) -> DataFrame:
@@ -151,8 +195,19 @@ def _scan(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, quantiser: Quantis
 
     def run(batches):
         ids, q, quantiser = shared.value
+        placed = quantiser.placed(q)
         turn = max(1, min(256, TABLE_BYTES // (quantiser.m // 2 * 256 * 4)))
         best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+
+        def scored(i, near, key, x):
+            near = near[key[near] != ids[i]]
+            away = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+            away, to = np.r_[best[i][0], away], np.r_[best[i][1], key[near]]
+            by = np.lexsort((to, away))
+            _, first = np.unique(to[by], return_index=True)
+            by = by[np.sort(first)][:k]
+            best[i] = away[by], to[by]
+
         for b in batches:
             for at in range(0, len(b), ROWS):
                 part = b.slice(at, ROWS)
@@ -160,27 +215,26 @@ def _scan(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, quantiser: Quantis
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 x = part.column(1).flatten().to_numpy().reshape(len(part), -1)[order]
+                own = quantiser.placed(x)
                 code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)[order]
-                half = part.column(3).to_numpy()[order].astype(np.float32)[:, None]
+                half, point, off = (part.column(c).to_numpy()[order] for c in (3, 4, 5))
                 for lo in range(0, len(ids), turn):
-                    tables = quantiser.tables(q[lo : lo + turn])
-                    score = np.repeat(-half, tables.shape[2], 1)
+                    asked = placed[lo : lo + turn]
+                    tables = quantiser.tables(np.clip(asked, -WIDEST, WIDEST))
+                    est = np.zeros((len(part), len(asked)), np.float32)
                     for j in range(code.shape[1]):
-                        score += tables[j][code[:, j]]
-                    score = np.ascontiguousarray(score.T)
+                        est += tables[j][code[:, j]]
+                    score = np.ascontiguousarray((est - np.minimum(half, 1e37).astype(np.float32)[:, None]).T)
                     for i, s in enumerate(score, start=lo):
                         take = min(RERANK, len(s))
                         edge = np.partition(s, len(s) - take)[len(s) - take]
                         above = np.flatnonzero(s > edge)
                         # of rows with the same score (equal vectors have), those of least id come first
-                        near = np.r_[above, np.flatnonzero(s == edge)[: take - len(above) + 1]]
-                        near = near[key[near] != ids[i]]
-                        away = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                        away, to = np.r_[best[i][0], away], np.r_[best[i][1], key[near]]
-                        by = np.lexsort((to, away))
-                        _, first = np.unique(to[by], return_index=True)
-                        by = by[np.sort(first)][:k]
-                        best[i] = away[by], to[by]
+                        scored(i, np.r_[above, np.flatnonzero(s == edge)[: take - len(above) + 1]], key, x)
+                    kth = np.array([best[i][0][k - 1] if len(best[i][0]) >= k else np.inf for i in range(lo, lo + len(asked))]) / quantiser.extent
+                    rows, may = _nearer(est, point, off, own, half, asked, kth, quantiser.m)
+                    for i in np.flatnonzero(may.any(0)):
+                        scored(lo + i, rows[may[:, i]], key, x)
         if any(len(x[0]) for x in best):
             counts = [len(x[0]) for x in best]
             yield pa.RecordBatch.from_arrays(
