@@ -183,11 +183,26 @@ def links(support: DataFrame, current: DataFrame, on: str = "sites") -> Links:
     return Links(a, b, stash(pairs, "class-links"))
 
 
-def linked(found: Links, side: str = "support") -> DataFrame:
-    """{side}_id with n, first and last of the rows that it is linked to; ids without a link are left out."""
+#: Ids of all classes' lists up to which these are broadcast.
+BROADCAST_IDS = 5_000_000
+
+
+def linked(found: Links, side: str = "support", ids: bool = False) -> DataFrame:
+    """{side}_id with n, first and last of the rows that it is linked to; ids without a link are left out.
+
+    ids: all their ids too, sorted. A class's list is made once and joined to its rows; a cell holds the whole list.
+    """
     other = "current" if side == "support" else "support"
     own = found.classes.groupBy(F.col(f"{side}_class").alias("class")).agg(F.sum(f"{other}_n").alias("n"), F.min(f"{other}_first").alias("first"), F.max(f"{other}_last").alias("last"))
-    return getattr(found, side).join(bounded(own), "class").select(F.col("id").alias(f"{side}_id"), "n", "first", "last")
+    rows, names = getattr(found, side), [F.col("id").alias(f"{side}_id"), "n", "first", "last"]
+    if not ids:
+        return rows.join(bounded(own), "class").select(*names)
+    pairs = found.classes.select(F.col(f"{side}_class").alias("class"), F.col(f"{other}_class").alias("_other"))
+    members = getattr(found, other).select(F.col("id").alias("_id"), F.col("class").alias("_other"))
+    lists = members.join(bounded(pairs), "_other").groupBy("class").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+    own = stash(own.join(lists, "class"), "linked-ids")
+    held = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(own) if held <= BROADCAST_IDS else own, "class").select(*names, "ids")
 
 
 def expanded(found: Links) -> DataFrame:

@@ -86,8 +86,8 @@ def support_links(spark, sf):
 
 
 def reciprocal_links(spark, sf):
-    """The same links from the canonical side: how many, the first and the last."""
-    return reconcile.linked(_links(spark, sf), "current").select("current_id", "n", "first", "last")
+    """The same links from the canonical side: how many, the first and the last, and all ids in order."""
+    return reconcile.linked(_links(spark, sf), "current", ids=True).select("current_id", "n", "first", "last", F.array_join("ids", ",").alias("support_ids"))
 
 
 def link_classes(spark, sf):
@@ -127,7 +127,7 @@ QUERIES = {
     "structural_match": (structural_match, f"WITH d AS (SELECT doc_id, {SECTIONS}[CAST(doc_id % {len(SECTIONS)} + 1 AS BIGINT)] AS section, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 5 + 1 END AS ordinal FROM documents) SELECT doc_id, matched_id FROM d LEFT JOIN {_ids.replace(' AS t(', ' AS s(')} USING (section, ordinal)"),
     "prefix_join": (prefix_join, f"WITH {ATTRIBUTES} SELECT section, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM attrs JOIN {values([*V.SECTION_PREFIX.items()], 'section', 'prefix')} ON starts_with(recommendation_id, prefix) GROUP BY section"),
     "support_links": (support_links, f"WITH {_links_sql} SELECT support_id, count(*) AS n, min(current_id) AS first FROM links GROUP BY support_id"),
-    "reciprocal_links": (reciprocal_links, f"WITH {_links_sql} SELECT current_id, count(*) AS n, min(support_id) AS first, max(support_id) AS last FROM links GROUP BY current_id"),
+    "reciprocal_links": (reciprocal_links, f"WITH {_links_sql} SELECT current_id, count(*) AS n, min(support_id) AS first, max(support_id) AS last, string_agg(CAST(support_id AS VARCHAR), ',' ORDER BY support_id) AS support_ids FROM links GROUP BY current_id"),
     "link_classes": (link_classes, f"WITH {_links_sql} SELECT source AS support_class, source AS current_class, count(DISTINCT support_id) AS support_n, count(DISTINCT current_id) AS current_n, count(*) AS links FROM links JOIN documents ON doc_id = current_id GROUP BY source"),
     "version_classes": (version_classes, "WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_discount * 8 END AS score, l_linenumber % 2 = 0 AS structural, l_orderkey % 3 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(score < 0.32::DOUBLE, true) AS unmatched, coalesce(score >= 0.62::DOUBLE, false) AS duplicate, coalesce(score >= 0.32::DOUBLE AND n > 0 AND (structural OR score >= 0.42::DOUBLE), false) AS differs FROM c"),
 }

@@ -92,3 +92,14 @@ def test_an_unfilled_mark_is_not_a_commit(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], SCHEMA)
     assert rows_of(spark, str(path)) == []
     assert files.append_attempt(rows, str(path), "run-1") and rows_of(spark, str(path)) == [(1, "a")]
+
+
+def test_links_from_either_side_give_all_ids(spark):
+    """Every link is in a list, however the classes overlap."""
+    df = lambda rows: spark.createDataFrame(rows, "id long, sites array<string>")
+    a, b = [(i, [f"s{i % 3}", f"s{i % 5}"]) for i in range(40)], [(i, [f"s{i % 4}"]) for i in range(100, 130)]
+    found = reconcile.links(df(a), df(b))
+    for side, own, other in (("support", a, b), ("current", b, a)):
+        want = {i: sorted(j for j, y in other if set(x) & set(y)) for i, x in own}
+        got = {r[f"{side}_id"]: (r.n, r.ids) for r in reconcile.linked(found, side, ids=True).collect()}
+        assert got == {i: (len(x), x) for i, x in want.items() if x}
