@@ -1,9 +1,9 @@
 """A stored lexical index: built once, opened by every search, with exact top k by skipping.
 
-Documents are dealt to shards by their key's hash, about SHARD_DOCS documents or SHARD_BYTES of text each. A shard's rows are one
-per term, the documents (their places in the shard) and how often each holds it, and one under the empty term, the
-shard's keys and lengths. The postings lie in BUCKETS folders by the term's hash, so a search reads the folders of its
-terms and no text. terms has df and cf, corpus one row: n, tokens.
+A shard is what a task reads on, up to SHARD_DOCS documents or SHARD_BYTES of tokens, so texts are neither shuffled nor sorted
+for the index. A shard's rows are one per term, the documents (their places in the shard) and how often each holds it, and
+one under the empty term, the shard's keys and lengths. The postings lie in BUCKETS folders by the term's hash, so a search
+reads the folders of its terms and no text. terms has df and cf, corpus one row: n, tokens.
 
 Search: the asked terms' rows meet by shard, a shard in one task and at most its own postings; questions go to the tasks
 in blocks. Within a shard a question's terms are added from the largest bound (weight times the block's largest impact)
@@ -19,6 +19,7 @@ empty index. Stale indexes aren't opened: a source whose size, file count or tim
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ MOST_TERMS = 400_000
 
 @dataclass(frozen=True)
 class Index:
-    """Where an index lies, and how many shards it has."""
+    """Where an index lies, and how many shards it would have if all were full (tasks' last ones aren't)."""
 
     spark: SparkSession
     path: str
@@ -58,7 +59,7 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        return self._table("postings", "term string, shard int, docs array<long>, tfs array<int>, bucket int")
+        return self._table("postings", "term string, shard long, docs array<long>, tfs array<int>, bucket int")
 
     @property
     def terms(self) -> DataFrame:
@@ -76,6 +77,17 @@ class Index:
         both = self.postings.where(F.col("bucket") == -1).select(F.explode(F.arrays_zip("docs", "tfs")).alias("d"))
         return both.select(F.col("d.docs").alias("doc_id"), F.col("d.tfs").cast("long").alias("dl"))
 
+    @property
+    def places(self) -> DataFrame:
+        """doc_id, shard of every document."""
+        own = self.postings.where(F.col("bucket") == -1)
+        return own.select(F.explode("docs").alias("doc_id"), "shard")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, a long, and others) with shard, a time a shard that holds the document; those of none are left out."""
+        at = self.places.select(F.col("doc_id").alias("_held"), "shard")
+        return rows.join(at, F.col("doc_id").eqNullSafe(F.col("_held"))).drop("_held")
+
     def stats(self) -> DataFrame:
         """term, df, cf, idf."""
         return self.terms.crossJoin(F.broadcast(self.corpus)).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
@@ -90,9 +102,8 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _posted(table: pa.Table) -> pa.Table:
+def _posted(shard: int, keys: pa.Array, tokens: pa.ListArray) -> pa.Table:
     """A shard's rows from its documents' tokens."""
-    shard, tokens = table.column("shard")[0].as_py(), table.column("tokens").combine_chunks()
     sizes = tokens.value_lengths().fill_null(0).to_numpy()
     words = tokens.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
@@ -101,26 +112,57 @@ def _posted(table: pa.Table) -> pa.Table:
     ends = np.searchsorted(term, np.arange(len(words.dictionary) + 1)).astype(np.int32)
     lists = lambda ends, values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values).cast(kind))
     own = np.array([0, len(sizes)], np.int32)
-    keys = pa.ListArray.from_arrays(pa.array(own), table.column("doc_id").combine_chunks().cast(pa.int64()))
+    keys = pa.ListArray.from_arrays(pa.array(own), keys.cast(pa.int64()))
     parts = [
         pa.table([pa.array([""]), keys, lists(own, tokens.value_lengths(), pa.int32())], names=["term", "docs", "tfs"]),
         pa.table([words.dictionary, lists(ends, doc, pa.int64()), lists(ends, tf, pa.int32())], names=["term", "docs", "tfs"]),
     ]
     whole = pa.concat_tables(parts)
-    return whole.add_column(1, "shard", pa.array(np.full(len(whole), shard, np.int32)))
+    return whole.add_column(1, "shard", pa.array(np.full(len(whole), shard, np.int64)))
+
+
+def _sharded(docs: int, size: int):
+    """A function for mapInArrow over (doc_id, tokens): the rows of a task's shards, each of so many documents or bytes at most."""
+
+    def run(batches):
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
+        held, n, bytes_ = [], 0, 0
+
+        def done():
+            both = [pa.concat_arrays([h[i] for h in held]) for i in (0, 1)]
+            return _posted(next(numbers), *both).to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            keys, tokens = batch.columns
+            ends = np.r_[0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())]
+            lengths = np.r_[0, np.cumsum(pc.binary_length(tokens.flatten()).to_numpy(zero_copy_only=False))][ends]
+            at = 0
+            while at < len(batch):
+                room = int(np.searchsorted(lengths, lengths[at] + max(size - bytes_, 0), "right")) - 1
+                to = min(max(room, at + (not held)), at + docs - n, len(batch))
+                if to > at:
+                    held.append((keys.slice(at, to - at), tokens.slice(at, to - at)))
+                    n, bytes_ = n + to - at, bytes_ + int(lengths[to] - lengths[at])
+                    at = to
+                if at < len(batch) or n >= docs:
+                    yield from done()
+                    held, n, bytes_ = [], 0, 0
+        if held:
+            yield from done()
+
+    return run
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-    """Writes the index of docs (key: a long) to path. Texts are tokenized once; one shuffle deals them, one their postings."""
+    """Writes the index of docs (key: a long) to path. Texts are tokenized once, in the tasks that read them; nothing is shuffled but term counts."""
     spark = docs.sparkSession
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    shards = max(math.ceil(n / SHARD_DOCS), math.ceil(size / SHARD_BYTES), 1)
-    dealt = docs.select(F.col(key).alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), T.tokens(text).alias("tokens"))
-    rows = dealt.groupBy("shard").applyInArrow(_posted, "term string, shard int, docs array<long>, tfs array<int>")
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), T.tokens(text).alias("tokens"))
+    rows = read.mapInArrow(_sharded(SHARD_DOCS, SHARD_BYTES), "term string, shard long, docs array<long>, tfs array<int>")
     rows = rows.withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(_bucket(F.col("term"))))
-    spread = F.pmod("shard", F.lit(math.ceil(shards / 512)))  # a bucket of many shards is several files
-    rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", CODEC).parquet(f"{path}/postings")
-    index = Index(spark, path, shards)
+    rows.write.partitionBy("bucket").option("compression", CODEC).parquet(f"{path}/postings")
+    index = Index(spark, path, 0)
+    n = index.postings.where("bucket = -1").agg(F.sum(F.size("docs"))).first()[0] or 0
+    index = Index(spark, path, max(math.ceil(n / SHARD_DOCS), 1))
     sums = index.postings.select("bucket", "term", F.size("docs").cast("long").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("cf"), F.size(F.array_compact("tfs")).cast("long").alias("texts"))
     sums.where("bucket >= 0").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).write.option("compression", CODEC).parquet(f"{path}/terms")
     whole = sums.where("bucket = -1").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("cf"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"))
@@ -262,7 +304,7 @@ def _run(index: Index, weights: DataFrame, score, kind: str, k1: float, b: float
 
     if among is None:
         return rows.groupBy("shard").applyInArrow(alone, out)
-    may = among.select(F.pmod(F.xxhash64("doc_id"), F.lit(index.shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"))
+    may = index.placed(among.select(F.col("doc_id").cast("long").alias("doc_id")))
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -305,11 +347,12 @@ def topk(index: Index, questions: DataFrame, k: int = 10, qkey: str = "item_id",
         ask = lambda least, where: _run(index, weights, lambda b_, i, t, w: b_.best(t, w, k, least.value.get(i, 0.0) if least else 0.0), kind, k1, b, where, among)
         if index.shards < 2 * LEAD:
             return ask(None, None)
-        first = stash(ask(None, lambda rows: rows.where(F.col("shard") % LEAD == 0)), "leads")
+        lead = F.pmod(F.xxhash64("shard"), F.lit(LEAD)) == 0
+        first = stash(ask(None, lambda rows: rows.where(lead)), "leads")
         nth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
         # k scores a question of a block
         least = {r[0]: r[1] for r in nth.where(F.col("n") >= k).select("query_id", F.element_at("s", k)).collect()}
-        return first.unionByName(ask(index.spark.sparkContext.broadcast(least), lambda rows: rows.where(F.col("shard") % LEAD != 0)))
+        return first.unionByName(ask(index.spark.sparkContext.broadcast(least), lambda rows: rows.where(~lead)))
 
     return _blocks(question_terms(questions, qkey, qtext), run).withColumnRenamed("score", "bm25")
 
@@ -341,7 +384,8 @@ def coverage(index: Index, candidates: DataFrame, terms: DataFrame) -> DataFrame
             place = np.minimum(np.searchsorted(block_.code, code), max(len(block_.code) - 1, 0))
             return at, (w[:, None] * (block_.code[place] == code)).sum(0)
 
-        mine = stash(found.select(F.pmod(F.xxhash64("doc_id"), F.lit(index.shards)).cast("int").alias("shard")).distinct(), "near")
+        few = F.broadcast(found.select("doc_id").distinct())  # a few rows a question of a block
+        mine = stash(index.places.join(few, "doc_id", "left_semi").select("shard").distinct(), "near")
         rows = _run(index, weights, held, kind, V.K1, V.B, lambda rows: rows.join(F.broadcast(mine), "shard", "left_semi"))
         return rows.join(F.broadcast(whole), "query_id").select("query_id", "doc_id", (F.col("score") / F.col("whole")).alias("coverage"))
 

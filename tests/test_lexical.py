@@ -150,3 +150,15 @@ def test_dense_blocks(spark, monkeypatch, cells):
 def test_queries_at_a_larger_scale(spark, name):
     sf = "/root/testdata/sf0.01"
     assert spark_rows(registry.queries()[name](spark, sf)) == duck_rows(registry.oracle_sql()[name], sf)
+
+
+def test_an_index_is_built_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    """Shards are cut where the texts are read: by documents, by bytes, and every document stands in one of them."""
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 3_000)
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * (i % 50) if i % 11 else None) for i in range(400)], "doc_id long, text string").repartition(3)
+    lex = lexical.build(docs, str(tmp_path / "s"))
+    assert sorted(r.doc_id for r in lex.places.collect()) == list(range(400))
+    own = lex.postings.where("bucket = -1").selectExpr("aggregate(tfs, 0, (a, x) -> a + coalesce(x, 0)) AS words", "size(docs) AS n").collect()
+    assert len(own) > 6 and all(r.words * 2 <= 3_000 or r.n == 1 for r in own)
+    plain = {r.doc_id: r.dl for r in index.tokenized(docs).collect()}
+    assert {r.doc_id: r.dl for r in lex.documents.collect()} == {i: (None if n is None or n < 0 else n) for i, n in plain.items()}
