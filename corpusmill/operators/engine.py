@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards
-from . import index, lexical
+from . import index, lexical, ranking
 from . import search as S
 
 
@@ -28,7 +28,8 @@ def search(
     is_current, canonical, page, recommendation_id and, for dense search, embedding. Without vectors every mode falls back
     to bm25 (mode_used, and warning says so). Statistics are over all chunks, candidates the allowed ones; every candidate
     is scored, without a shared term or vector too. Refused questions never reach the join. Questions go to the chunks'
-    tasks in blocks of index.BLOCK; the lexical hits and the candidates are stored.
+    tasks in blocks of index.BLOCK; the lexical hits and the candidates are stored. With a lexicon no hit is: each of its shards
+    scores its own chunks and gives the best of them (operators.ranking).
     """
     if mode not in ("bm25", "dense", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -39,12 +40,10 @@ def search(
     open_ = asked.where("outcome is null").select(F.col(key).alias("query_id"), F.col(text).alias("question"), *(["vector"] if dense else []))
     may = S.allowed(chunks, sites, types)
     may = may.select("doc_id", "sites", "content_type", "is_current", "canonical", "page", "recommendation_id", *(["embedding"] if dense else []))
-    ids = may.select("doc_id")
     if lexicon is None:
-        hits = index.bm25(chunks, open_, qkey="query_id", qtext="question", among=ids)
+        top = S.search(may, open_, index.bm25(chunks, open_, qkey="query_id", qtext="question", among=may.select("doc_id")), used)
     else:
-        hits = lexical.hits(lexicon, open_, "query_id", "question", among=ids)
-    top = S.search(may, open_, hits, used)
+        top = ranking.best(lexicon, may, open_, used)
     if rerank:
         terms = S.salient_terms(open_, "query_id", "question", code)
         covered = S.coverage(top, chunks, terms) if lexicon is None else lexical.coverage(lexicon, top, terms)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..functions import vocabulary as V
-from ..operators import engine, index, lexical, search
+from ..operators import engine, index, lexical, ranking, search
 from ..store import stash
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
@@ -80,40 +80,44 @@ def manifest_check(spark, sf):
 
 
 def _sides(spark, sf):
-    """Chunks and questions with their vectors, where there are any, and the lexical hits."""
+    """Chunks and questions with their vectors, where there are any."""
     docs, emb = texts(spark, sf), table(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = table(spark, sf, "benchmark")
     questions = asked.join(emb, F.col("item_id") == F.col("vec_id"), "left")
     questions = stash(questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("embedding").alias("vector")), "questions")
     chunks = with_attributes(docs.drop("text")).join(emb, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
-    return stash(chunks, "chunks"), questions, lexical.hits(lexicon(spark, sf), asked)
+    return stash(chunks, "chunks"), questions
+
+
+def _first(spark, sf, **more):
+    """The first stage over all documents."""
+    return ranking.best(lexicon(spark, sf), *_sides(spark, sf), whole=True, **more)
 
 
 def hybrid_topk(spark, sf):
-    chunks, questions, hits = _sides(spark, sf)
-    hits = stash(hits, "hits")
+    chunks, questions = _sides(spark, sf)
 
     def run(block):
-        read = search.read_questions(block).drop("question")
-        rows = search.fuse(search.pairs(chunks, read, hits.join(F.broadcast(block.select("query_id")), "query_id", "left_semi")))
+        read = stash(search.read_questions(block), "questions-read")
+        rows = ranking.candidates(lexicon(spark, sf), chunks, read, "hybrid", 10, False, True, boosted=False, digits=6, order=ranking.BY_ID)
         rows = rows.select("query_id", "doc_id", "bm25", F.round("base", 6).alias("score"), F.round("bm25_norm", 6).alias("bm25_norm"), F.round("dense", 6).alias("dense"))
         return search.best_pairs(rows, 10, F.desc("score"), F.col("doc_id")).drop("bm25")
 
-    return index.in_blocks(questions, "query_id", run)
+    return ranking.blocks(questions, run)
 
 
 def hybrid_boosted(spark, sf):
-    top = search.search(*_sides(spark, sf), coherent=False)
+    top = _first(spark, sf, coherent=False)
     return top.select("query_id", "doc_id", "first_rank", F.round("score", 6).alias("score"), F.round("adjustment", 6).alias("adjustment"))
 
 
 def anchor_coherence(spark, sf):
-    top = search.search(*_sides(spark, sf))
+    top = _first(spark, sf)
     return top.select("query_id", "doc_id", "first_rank", F.round("score", 6).alias("score"), F.array_join("anchor_sites", ",").alias("anchor_sites"))
 
 
 def _reranked(spark, sf, k=10):
-    top = search.search(*_sides(spark, sf))
+    top = _first(spark, sf)
     terms = search.salient_terms(table(spark, sf, "benchmark"), "item_id", "text")
     return search.rerank(top, lexical.coverage(lexicon(spark, sf), top, terms), k)
 
@@ -157,7 +161,7 @@ FILTERS = {"sites": ["fr", "en"], "types": ["recommendation", "evidence", "ratio
 
 def engine_reranked(spark, sf):
     """The public search in full: hybrid by vectors and terms, filtered by sites and types, with the reranker."""
-    chunks, questions, _ = _sides(spark, sf)
+    chunks, questions = _sides(spark, sf)
     asked = questions.select(F.col("query_id").cast("string").alias("qid"), F.col("question").alias("text"), "vector")
     out = engine.search(asked, chunks, mode="hybrid", top_k=5, **FILTERS, lexicon=lexicon(spark, sf))
     return out.select("qid", "outcome", "mode_used", "rank", "first_rank", "doc_id", "score", "base", "coverage")
