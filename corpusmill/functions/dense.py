@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 #: Products that a task holds at once (8 bytes each).
-CELLS = 4_000_000
+CELLS = 1_000_000
 DIGITS = 6
 
 
@@ -24,16 +25,29 @@ def matrix(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).reshape(len(there), width), there
 
 
+def release() -> None:
+    """Gives a Python worker's unused memory back to the machine; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def largest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of scores (questions x rows of ids) the k largest, ties by the smaller id."""
-    if scores.shape[1] > 4 * k:
-        # all that reach the k-th largest, so that ties are cut by id below
-        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        near = (scores >= cut[:, None]).any(axis=0)
-        scores, ids = scores[:, near], ids[..., near]
-    ids = np.broadcast_to(ids, scores.shape)
-    at = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    if scores.shape[1] <= 4 * k:
+        ids = np.broadcast_to(ids, scores.shape)
+        at = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    # a question at a time: all that reach its k-th largest, so that ties are cut by id; no sort of the whole block
+    top, names = np.empty((len(scores), k)), np.empty((len(scores), k), ids.dtype)
+    for i, own in enumerate(scores):
+        less = -own  # not a number comes last
+        near = np.flatnonzero(~(less > np.partition(less, k - 1)[k - 1]))
+        by = near[np.lexsort((ids[near], less[near]))[:k]]
+        top[i], names[i] = own[by], ids[by]
+    return top, names
 
 
 @dataclass(frozen=True)
@@ -79,6 +93,8 @@ class Questions:
             if top is not None:
                 each = pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))
                 yield pa.RecordBatch.from_arrays([ids.take(each), pa.array(names.ravel()), pa.array(top.ravel())], names=["query_id", "vec_id", "cosine"])
+            top = names = scores = of = products = rows = None
+            release()
 
         return run
 
