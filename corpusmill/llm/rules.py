@@ -1,8 +1,9 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Each document's statistics come from its whole text in one pass; two base rules reject at once. The rest is judged by
-an isolation forest: trees of random splits over the statistics, fitted on a bounded sample of all documents, in which
-anomalies have short paths. The threshold on the anomaly score is calibrated on labelled rows: it has the largest share of
+an isolation forest: trees of random splits over the statistics, each grown on a subsample (SUBSAMPLE rows, as the method
+defines it) drawn from all documents, in which
+anomalies have short paths. The threshold on the anomaly score is calibrated on all labelled rows: it has the largest share of
 poor rows rejected less `cost` times the share of good rows rejected. Of a few sets of statistics, up to all of the rules',
 the one whose forest gains most there is taken.
 
@@ -11,15 +12,15 @@ labels other than 0 and 1 don't count;
 without labelled rows of both kinds the forest rejects nothing; repeated rows are each judged alike; an empty table
 gives an empty result; other columns are left out (the query) or pass through (`keep`).
 
-Scale: one scan that yields a narrow stored table of numbers; the sample and the labelled rows used for calibration are
-bounded by parameters; the forest (TREES x 2 x SUBSAMPLE nodes) is the only thing sent to all tasks. No text is shuffled.
+Scale: one scan that yields a narrow stored table of numbers; labelled rows are scored and their scores summed in order of
+range by Spark, so of them the driver gets a row a range; the trees' subsamples are of a fixed size; the forest (TREES x 2 x SUBSAMPLE nodes) is the only thing sent to all tasks. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_scratch, keep_rows, share_of, stash, table
@@ -36,8 +37,6 @@ STATS = ["columns", "cries", "symbols", "word_length", "kinds", "dup_lines", "re
 SETS = (3, 5, 7)
 WINDOW = 8
 TREES, SUBSAMPLE = 200, 256
-#: Rows that the forest is fitted on, and labelled rows that the threshold is calibrated on, at most (about).
-SAMPLE, LABELLED = 20_000, 50_000
 #: How many times the share of poor labelled rows the share of good ones counts, when the threshold is chosen.
 COST = 10.0
 
@@ -167,29 +166,61 @@ def _some(df: DataFrame, key: str, most: int) -> np.ndarray:
     return got[np.lexsort(got.T)] if len(got) else got.reshape(0, len(STATS))
 
 
+def _scored(known: DataFrame, forests: list[Forest]) -> DataFrame:
+    """_label and each forest's score of every labelled row."""
+    shared = known.sparkSession.sparkContext.broadcast(forests)
+    names = [f"s{i}" for i in range(len(forests))]
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(1 + i).to_numpy() for i in range(len(STATS))]) if len(b) else np.empty((0, len(STATS)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.score(x)) for f in shared.value)], names=["_label", *names])
+
+    return known.select(F.col("_label").cast("int").alias("_label"), *STATS).mapInArrow(run, "_label int, " + ", ".join(f"{n} double" for n in names))
+
+
+def best_cut(scored: DataFrame, score: str, good: int, poor: int, cost: float) -> tuple[float, float]:
+    """The gain and the score of the best threshold, over all rows (score, _label); the largest of equal ones, 2 if none gains.
+
+    Equal scores are one row; the rows are dealt by ranges of the score, and a table of the ranges' sums carries the counts on.
+    """
+    count = lambda v: F.count_if(F.col("_label") == v)
+    each = scored.groupBy(F.col(score).alias("s")).agg(count(1).alias("good"), count(0).alias("poor")).repartitionByRange("s")
+    each = stash(each.withColumn("part", F.spark_partition_id()), "rules-scores")
+    sums = each.groupBy("part").agg(F.sum("good").alias("g"), F.sum("poor").alias("p")).orderBy("part").collect()  # a row a range
+    before, g, p = [], 0, 0
+    for r in sums:
+        before.append((r.part, g, p))
+        g, p = g + r.g, p + r.p
+    before = scored.sparkSession.createDataFrame(before, "part int, g long, p long")
+    so_far = Window.partitionBy("part").orderBy("s")
+    below = lambda own, passed: F.col(passed) + F.sum(own).over(so_far) - F.col(own)
+    gain = (1 - below("poor", "p") / poor) - cost * (1 - below("good", "g") / good)
+    top = each.join(F.broadcast(before), "part").select(gain.alias("gain"), "s").agg(F.max(F.struct("gain", "s")).alias("top")).first().top
+    return (top.gain, top.s) if top is not None and top.gain > 0 else (0.0, 2.0)
+
+
 @in_scratch
 def fit(stats: DataFrame, labels: DataFrame | None, key: str = "doc_id", label: str = "quality", cost: float = COST):
     """The forest and the anomaly score from which it rejects."""
     passed = stats.where(~base_failed())
-    x = _some(passed, key, SAMPLE)
+    x = _some(passed, key, TREES * SUBSAMPLE)  # what the trees together draw
     if len(x) < 2:
         return None, 2.0
     if labels is None:
         return Forest(x), 2.0
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
     known = stash(passed.join(known, F.col(key) == F.col("_key")).select(key, *STATS, "_label"), "rules-labelled")
-    good, poor = (_some(known.where(F.col("_label") == v), key, LABELLED) for v in (1, 0))
-    if not len(good) or not len(poor):
+    counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
+    good, poor = counts.get(1, 0), counts.get(0, 0)
+    if not good or not poor:
         return Forest(x), 2.0
-    best = None
-    for first in SETS:
-        forest = Forest(x, first=first)
-        a, b = np.sort(forest.score(good)), np.sort(forest.score(poor))
-        cuts = np.r_[np.unique(np.r_[a, b]), 2.0]
-        gain = (1 - np.searchsorted(b, cuts) / len(b)) - cost * (1 - np.searchsorted(a, cuts) / len(a))
-        at = len(cuts) - 1 - np.argmax(gain[::-1])
-        if best is None or gain[at] > best[0] + 1e-9:
-            best = gain[at], forest, float(cuts[at])
+    forests = [Forest(x, first=first) for first in SETS]
+    scored, best = stash(_scored(known, forests), "rules-scored"), None
+    for i, forest in enumerate(forests):
+        gain, cut = best_cut(scored, f"s{i}", good, poor, cost)
+        if best is None or gain > best[0] + 1e-9:
+            best = gain, forest, float(cut)
     return best[1:]
 
 
