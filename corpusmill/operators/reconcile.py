@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import defaultdict
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import ratio
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.dense import release
 from ..store import stash
 from .index import bounded, exploded, in_blocks
 
@@ -98,37 +104,157 @@ def similarity(left, right):
     return 0.6 * T.jaccard(T.match_terms(left), T.match_terms(right)) + 0.4 * sequence_ratio(T.match_form(left), T.match_form(right))
 
 
+class Blend:
+    """Scores of earlier forms with a block of current ones by `similarity`, in the earlier ones' tasks."""
+
+    def __init__(self, forms: list[str]):
+        self.block, self.terms = ratio.Block(forms), [self._terms(f) for f in forms]
+        having = defaultdict(list)
+        for i, own in enumerate(self.terms):
+            for term in own:
+                having[term].append(i)
+        self.having = {term: np.array(own) for term, own in having.items()}
+        self.n = np.array([len(own) for own in self.terms], np.int64)
+
+    @staticmethod
+    def _terms(form: str) -> set[str]:
+        """As `T.match_terms`, of a form."""
+        return set(form.split(" ")).difference(V.MATCH_STOPWORDS, ("",))
+
+    def jaccard(self, old: str) -> np.ndarray:
+        own = self._terms(old)
+        met = [self.having[t] for t in own if t in self.having]
+        shared = np.bincount(np.concatenate(met), minlength=len(self.n)) if met else np.zeros(len(self.n), np.int64)
+        return shared / np.maximum(self.n + len(own) - shared, 1)
+
+    def likely(self, old: str) -> np.ndarray:
+        """A guess at the scores: nothing but the first candidates depends on it."""
+        jaccard, chars = self.jaccard(old), self.block.sizes + len(old)
+        return 0.6 * jaccard + np.where(self.block.laid, 0.08, 0.4) * self.block.shared(old) / np.maximum(chars, 1)
+
+    def able(self, old: str, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The current forms with which old could reach the floor, and the Jaccard index with each form."""
+        jaccard, chars = self.jaccard(old), self.block.sizes + len(old)
+
+        def reach(most):
+            return 0.6 * jaccard + 0.4 * np.where(chars > 0, 2 * most / np.maximum(chars, 1), 1.0) >= floor - SLACK
+
+        # the cheapest bound first
+        out = reach(np.minimum(self.block.sizes, len(old)))
+        if out.any():
+            shared = self.block.shared(old)
+            out &= reach(shared)
+            if (out & self.block.laid).any():
+                out &= ~self.block.laid | reach(self.block.held_in_grams(old))
+        return np.flatnonzero(out), jaccard
+
+    def matched(self, first: ratio.First, i: int, jaccard: float, floor: float) -> int:
+        """Characters that difflib matches, or -1 if they leave the score below the floor."""
+        least = (floor - SLACK - 0.6 * jaccard) * (len(first.text) + self.block.sizes[i]) / 0.8
+        return ratio.matched(first, self.block.texts[i], float(least))
+
+    def score(self, old: str, i: int, jaccard: float, matched: int) -> float:
+        chars = len(old) + int(self.block.sizes[i])
+        return 0.6 * jaccard + 0.4 * (2.0 * matched / chars if chars else 1.0)
+
+
+#: Scores closer than this may be equal (they are ranked by ten digits).
+SLACK = 1e-9
+#: Candidates an item and wanted row by which the floors are found.
+LIKELY = 4
+#: Pairs whose matches a task keeps for further copies of a text.
+KEPT = 5_000
+
+
 def best_blend(current: DataFrame, earlier: DataFrame, k: int = 1) -> DataFrame:
     """left_id, right_id, score, rank: each current text's k best of all earlier ones by `similarity`, exact. Both: id, text.
 
-    The blend of the k best by terms is a floor. A pair is compared if its Jaccard index and the largest ratio that its
-    lengths allow could reach the floor; one that shares no term, if its lengths alone could. The lengths of all pairs are
-    looked at in the earlier texts' tasks, for a block of current ones at a time; only pairs that pass are shuffled.
+    A block of current texts is sent to the earlier texts' tasks, where every pair is bounded: by its Jaccard index and by
+    the characters that both texts, or grams of both, can have in common (`functions.ratio`). The ratio is worked out only
+    for pairs that can reach the k-th best score so far. The first floor is the k-th best score of a few likely candidates
+    of all earlier texts. No pair is stored but each task's k best. Texts that are null take no part.
     """
-    return in_blocks(current, "id", lambda block: _best_blend(stash(block, "current"), earlier, k))
-
-
-def _best_blend(current: DataFrame, earlier: DataFrame, k: int) -> DataFrame:
-    a = F.broadcast(stash(current.select(F.col("id").alias("left_id"), T.match_form("text").alias("_new")), "current-forms"))  # a block
-    b = stash(earlier.select(F.col("id").alias("right_id"), T.match_form("text").alias("_old")), "earlier-forms")
-    terms = stash(shared_terms(current, earlier), "shared-terms")
-    ratio = 0.4 * sequence_ratio("_old", "_new")
-
-    def scored(pairs):
-        return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", (0.6 * F.col("jaccard") + ratio).alias("score"))
-
-    seeds = scored(best_match(terms, k=k).select("left_id", "right_id", "jaccard").repartition("left_id", "right_id"))
-    floor = stash(seeds.groupBy("left_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("_floor")), "floors")
-    asked = a.select("left_id", F.length("_new").alias("_n")).join(F.broadcast(floor), "left_id", "left")
-    asked = F.broadcast(asked.select("left_id", "_n", F.coalesce("_floor", F.lit(0.0)).alias("_floor")))
-    sizes = b.select("right_id", F.length("_old").alias("_m"))
-    reach = F.when(F.col("_n") + F.col("_m") > 0, 2 * F.least("_n", "_m") / (F.col("_n") + F.col("_m"))).otherwise(1.0)
-    able = 0.6 * F.col("jaccard") + 0.4 * reach >= F.col("_floor") - 1e-9
-    plain = sizes.crossJoin(asked).withColumn("jaccard", F.lit(0.0)).where(able)
-    shared = terms.join(sizes, "right_id").join(asked, "left_id").where(able)
-    # a pair with a shared term may stand in both; dealt anew, since what is left to compare is uneven
-    pairs = shared.unionByName(plain).groupBy("left_id", "right_id").agg(F.max("jaccard").alias("jaccard"))
-    return best_match(scored(pairs.repartition("left_id", "right_id")), "score", k)
+    known = "id is not null and text is not null"  # the form is made once: a filter on it would make it again
+    forms = stash(earlier.where(known).select(F.col("id").alias("right_id"), T.match_form("text").alias("_old")), "earlier-forms")
+    return in_blocks(current, "id", lambda block: _best_blend(block.where(known), forms, k))
+
+
+def _best_blend(current: DataFrame, forms: DataFrame, k: int) -> DataFrame:
+    asked = current.select("id", T.match_form("text").alias("form")).toArrow()  # a block
+    ids, sent = asked.column(0).combine_chunks(), current.sparkSession.sparkContext.broadcast(asked.column(1).to_pylist())
+    schema = f"left_id {current.schema['id'].dataType.simpleString()}, right_id {forms.schema['right_id'].dataType.simpleString()}"
+
+    def rows(items, right, score, more=()):
+        each = pa.array(np.asarray(items, np.int64))
+        return pa.RecordBatch.from_arrays([ids.take(each), right, pa.array(score, pa.float64()), *more], names=["left_id", "right_id", "score", *["_at"] * len(more)])
+
+    def likely(batches):
+        """Each task's likeliest texts of each current one."""
+        blend, most = Blend(sent.value), LIKELY * k
+        for b in batches:
+            guesses = [blend.likely(old) for old in b.column(1).to_pylist()]
+            if guesses and len(ids):
+                # the first rows of equal guesses are as good as others
+                guesses = np.array(guesses).T
+                top = np.argpartition(-guesses, most - 1, axis=1)[:, :most] if guesses.shape[1] > most else np.tile(np.arange(guesses.shape[1]), (len(ids), 1))
+                items = np.repeat(np.arange(len(ids)), top.shape[1])
+                yield rows(items, b.column(0).take(pa.array(top.ravel())), np.take_along_axis(guesses, top, 1).ravel(), [pa.array(items)])
+        release()
+
+    def seeded(batches):
+        """Scores of the likely pairs: _at is the current text's place in the block."""
+        blend = Blend(sent.value)
+        for b in batches:
+            at, olds = b.column(1).to_pylist(), b.column(2).to_pylist()
+            scores = []
+            for i, old in zip(at, olds):
+                jaccard = float(blend.jaccard(old)[i])
+                scores.append(blend.score(old, i, jaccard, blend.matched(ratio.First(old), i, jaccard, 0.0)))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scores, pa.float64())], names=["_at", "score"])
+        release()
+
+    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    first = forms.mapInArrow(likely, f"{schema}, score double, _at long").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LIKELY * k)
+    first = stash(first.select("_at", "right_id").distinct(), "likely-pairs")
+    # a stated number of tasks: few bytes, much work
+    tasks = current.sparkSession.sparkContext.defaultParallelism
+    pairs = forms.join(F.broadcast(first), "right_id").select("right_id", "_at", "_old").repartition(tasks, "right_id", "_at")
+    seeds = pairs.mapInArrow(seeded, "_at long, score double").groupBy("_at").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+    floor = np.zeros(len(ids))
+    for r in seeds.where(F.size("s") >= k).select("_at", F.element_at("s", k).alias("least")).collect():  # a block
+        floor[r["_at"]] = r["least"]
+    floors = current.sparkSession.sparkContext.broadcast(floor)
+
+    def best(batches):
+        """Each task's k best texts of each current one, exact."""
+        blend, floor = Blend(sent.value), floors.value.copy()
+        top, kept, kind = [[] for _ in range(len(ids))], {}, None
+        for b in batches:
+            kind = b.column(0).type
+            for right, old in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                able, jaccard = blend.able(old, floor)
+                first = ratio.First(old)
+                for i in able.tolist():
+                    # what is known of a copy holds: a floor never falls
+                    m = kept.get((old, i))
+                    if m is None:
+                        m = blend.matched(first, i, jaccard[i], floor[i])
+                        if len(kept) >= KEPT:
+                            kept.clear()
+                        kept[old, i] = m
+                    if m < 0 or (score := blend.score(old, i, float(jaccard[i]), m)) <= 0:
+                        continue
+                    insort(top[i], (-round(score, 10), right, score))
+                    if len(top[i]) > k:
+                        top[i].pop()
+                    if len(top[i]) == k:
+                        floor[i] = max(floor[i], top[i][-1][2])
+        if kind is not None:
+            out = [(i, right, score) for i, own in enumerate(top) for _, right, score in own]
+            yield rows([x[0] for x in out], pa.array([x[1] for x in out], kind), [x[2] for x in out])
+        release()
+
+    return best_match(forms.mapInArrow(best, f"{schema}, score double"), "score", k)
 
 
 def difference_reasons(old, new):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import reconcile, windows
+from ..operators.index import bounded
+from ..store import stash
 from .common import ATTRIBUTES, literal, table, texts, values, with_attributes
 
 
@@ -34,7 +36,8 @@ def unmatched(spark, sf):
 def _with_texts(spark, sf, best):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("current"))
     docs = texts(spark, sf).select(F.col("doc_id").alias("right_id"), F.col("text").alias("earlier"))
-    return best.join(items, "left_id").join(docs, "right_id")
+    # a few rows an item: sent to the documents, whose texts are not shuffled
+    return docs.join(bounded(stash(best.join(items, "left_id"), "best-pairs")), "right_id")
 
 
 def similarity_blend(spark, sf):
